@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import reading
+from folioscope.plans import comparing, reading
 
-FAMILIES = (reading,)
+FAMILIES = (reading, comparing)
 
 
 def queries() -> dict:

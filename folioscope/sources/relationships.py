@@ -19,7 +19,10 @@ def fold_path(path) -> Column:
             .otherwise(F.concat(acc, F.array(segment)))
         )
 
-    return F.array_join(F.aggregate(F.split(as_column(path), "/"), empty, step), "/")
+    column = as_column(path)
+    folded = F.array_join(F.aggregate(F.split(column, "/"), empty, step), "/")
+    # Most targets have nothing to fold and skip the array work.
+    return F.when(column.rlike(r"(?:^|/)(?:\.\.?)?(?:/|$)"), folded).otherwise(column)
 
 
 def owner_of(rels_part) -> Column:
