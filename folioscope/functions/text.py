@@ -55,6 +55,11 @@ def round_half_up(value) -> Column:
     return F.floor(as_column(value) + F.lit(0.5))
 
 
+def nearest(value, digits: int) -> Column:
+    """``round_half_up`` at a number of decimals."""
+    return F.floor(as_column(value) * F.lit(float(10**digits)) + F.lit(0.5)) / F.lit(float(10**digits))
+
+
 def object_id(fmt: Column, part: Column, idx: Column) -> Column:
     """``format:`` + first 16 hex digits of sha256 over format, part and position."""
     digest = F.sha2(F.concat(fmt, part, idx.cast("string")), 256)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import xml.parsers.expat
+from xml.parsers.expat import ExpatError, ParserCreate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,11 +139,11 @@ def entity_declarations(parts: DataFrame) -> DataFrame:
 @F.pandas_udf(T.BooleanType())
 def well_formed(text: pd.Series) -> pd.Series:
     def one(value: str) -> bool:
-        parser = xml.parsers.expat.ParserCreate("utf-8")
+        parser = ParserCreate("utf-8")
         try:
             parser.Parse(value.encode("utf-8", "surrogatepass"), True)
             return True
-        except xml.parsers.expat.ExpatError:
+        except ExpatError:
             return False
 
     return text.map(one)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import comparing, reading
+from folioscope.plans import comparing, reading, verifying
 
-FAMILIES = (reading, comparing)
+FAMILIES = (reading, comparing, verifying)
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return queries()["page_summary"](spark, sf_dir)
+    return verifying.verify_pages(spark, sf_dir)
