@@ -77,7 +77,7 @@ def redact_paths(df: DataFrame, column: str, roots: dict[str, str] | None = None
 
 
 def json_leaves(df: DataFrame, keys: list[str], column: str, depth: int = 8) -> DataFrame:
-    """``(keys, location, value)`` for every leaf of a JSON document.
+    """``(keys, location, value, kind)`` for every leaf of a JSON document.
 
     Objects and arrays are opened level by level. Whatever is nested deeper
     than ``depth`` is returned as JSON text, so nothing is lost.
@@ -85,7 +85,8 @@ def json_leaves(df: DataFrame, keys: list[str], column: str, depth: int = 8) ->
     spark = df.sparkSession
     level = df.select(*keys, F.lit("$").alias("location"), F.try_parse_json(column).alias("v")).filter(F.col("v").isNotNull())
     opened = lambda: F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-    leaf = lambda d: d.select(*keys, "location", F.try_variant_get("v", "$", "string").alias("value"))
+    leaf = lambda d: d.select(
+        *keys, "location", F.try_variant_get("v", "$", "string").alias("value"), F.schema_of_variant("v").alias("kind"))
     leaves = leaf(level.filter(~opened()))
     for _ in range(depth):
         inner = level.filter(opened()).select(*keys, F.col("location").alias("outer"), "v")
@@ -94,7 +95,7 @@ def json_leaves(df: DataFrame, keys: list[str], column: str, depth: int = 8) ->
             F.concat(F.lit("."), "k"))
         level = pieces.select(*keys, F.concat("outer", step).alias("location"), F.col("child").alias("v"))
         leaves = leaves.unionByName(leaf(level.filter(~opened())))
-    rest = level.filter(opened()).select(*keys, "location", F.to_json("v").alias("value"))
+    rest = level.filter(opened()).select(*keys, "location", F.to_json("v").alias("value"), F.lit("JSON").alias("kind"))
     return leaves.unionByName(rest)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import comparing, reading, verifying
+from folioscope.plans import comparing, editing, reading, verifying
 
-FAMILIES = (reading, comparing, verifying)
+FAMILIES = (reading, comparing, verifying, editing)
 
 
 def queries() -> dict:
