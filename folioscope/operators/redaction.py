@@ -76,27 +76,40 @@ def redact_paths(df: DataFrame, column: str, roots: dict[str, str] | None = None
     return out.withColumn("redacted", F.when(F.col("redacted").startswith("#/"), F.col("redacted")).otherwise(posix))
 
 
+def _children(node: Column) -> Column:
+    """Members of an object or items of an array, with their paths."""
+    value, path = node["v"], node["location"]
+    members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    items = F.try_variant_get(value, "$", "array<variant>")
+    named = F.transform(members, lambda m: F.struct(F.concat(path, F.lit("."), m["key"]).alias("location"), m["value"].alias("v")))
+    numbered = F.transform(items, lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("location"), x.alias("v")))
+    return F.when(_kind(value).startswith("OBJECT"), named).otherwise(numbered)
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
 def json_leaves(df: DataFrame, keys: list[str], column: str, depth: int = 8) -> DataFrame:
     """``(keys, location, value, kind)`` for every leaf of a JSON document.
 
-    Objects and arrays are opened level by level. Whatever is nested deeper
-    than ``depth`` is returned as JSON text, so nothing is lost.
+    Objects and arrays are opened level by level inside the row: one scan, one
+    explode, no join. Whatever is nested deeper than ``depth`` is returned as
+    JSON text, so nothing is lost.
     """
-    spark = df.sparkSession
-    level = df.select(*keys, F.lit("$").alias("location"), F.try_parse_json(column).alias("v")).filter(F.col("v").isNotNull())
-    opened = lambda: F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-    leaf = lambda d: d.select(
-        *keys, "location", F.try_variant_get("v", "$", "string").alias("value"), F.schema_of_variant("v").alias("kind"))
-    leaves = leaf(level.filter(~opened()))
-    for _ in range(depth):
-        inner = level.filter(opened()).select(*keys, F.col("location").alias("outer"), "v")
-        pieces = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("p", "k", "child"))
-        step = F.when(F.col("k").isNull(), F.concat(F.lit("["), F.col("p").cast("string"), F.lit("]"))).otherwise(
-            F.concat(F.lit("."), "k"))
-        level = pieces.select(*keys, F.concat("outer", step).alias("location"), F.col("child").alias("v"))
-        leaves = leaves.unionByName(leaf(level.filter(~opened())))
-    rest = level.filter(opened()).select(*keys, "location", F.to_json("v").alias("value"), F.lit("JSON").alias("kind"))
-    return leaves.unionByName(rest)
+    is_open = lambda n: _kind(n["v"]).rlike("^(OBJECT|ARRAY)")
+    is_leaf = lambda n: ~_kind(n["v"]).rlike("^(OBJECT|ARRAY)")
+    root = F.struct(F.lit("$").alias("location"), F.try_parse_json(column).alias("v"))
+    out = df.select(*keys, root.alias("root")).filter(F.col("root.v").isNotNull()).select(*keys, F.array("root").alias("l0"))
+    for level in range(depth):
+        deeper = F.flatten(F.transform(F.filter(f"l{level}", is_open), _children))
+        out = out.withColumn(f"l{level + 1}", F.when(F.exists(f"l{level}", is_open), deeper).otherwise(F.filter(f"l{level}", lambda n: F.lit(False))))
+    leaves = F.concat(*[F.filter(f"l{level}", is_leaf) for level in range(depth + 1)])
+    simple = F.transform(leaves, lambda n: F.struct(
+        n["location"].alias("location"), F.try_variant_get(n["v"], "$", "string").alias("value"), _kind(n["v"]).alias("kind")))
+    rest = F.transform(F.filter(f"l{depth}", is_open), lambda n: F.struct(
+        n["location"].alias("location"), F.try_variant_get(n["v"], "$", "string").alias("value"), F.lit("JSON").alias("kind")))
+    return out.select(*keys, F.inline(F.concat(simple, rest)))
 
 
 def redact_json(df: DataFrame, keys: list[str], column: str, roots: dict[str, str] | None = None, depth: int = 8) -> DataFrame:

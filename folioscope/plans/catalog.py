@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import comparing, editing, reading, verifying
+from folioscope.plans import comparing, editing, lineage, reading, verifying
 
-FAMILIES = (reading, comparing, verifying, editing)
+FAMILIES = (reading, comparing, verifying, editing, lineage)
 
 
 def queries() -> dict:

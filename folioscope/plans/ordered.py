@@ -87,3 +87,29 @@ def previous(
     return joined.drop(
         "_chunk", "_here", "_lag", "_carry", "_prev", "_k_chunk", *[f"_k_{k}" for k in keys]
     )
+
+
+def filled(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, out: str) -> DataFrame:
+    """Last non-NULL ``value`` at or before each row, over ``keys``.
+
+    Inside a chunk this is a running window; what earlier chunks carry over
+    is one value per chunk.
+    """
+    tagged = df.withColumn("_chunk", chunk)
+    running = Window.partitionBy(*keys, "_chunk").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = tagged.filter(F.col(value).isNotNull()).groupBy(*keys, "_chunk").agg(F.max_by(value, F.struct(*order)).alias("_tail"))
+    # Chunks without a value of their own still need what earlier ones carry.
+    spans = tagged.select(*keys, "_chunk").distinct().join(tails, [*keys, "_chunk"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"),
+        F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
+    matched = F.col("_chunk") == F.col("_k_chunk")
+    for key in keys:
+        matched = matched & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    return (
+        tagged.withColumn("_here", F.last(value, ignorenulls=True).over(running))
+        .join(carried, matched, "left")
+        .withColumn(out, F.coalesce("_here", "_carry"))
+        .drop("_chunk", "_here", "_carry", "_k_chunk", *[f"_k_{k}" for k in keys])
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.cellref import ref_col, ref_row
 from folioscope.functions.xml import attribute, elements, first_match, matches, xml_unescape
+from folioscope.plans.ordered import chunk_of, filled
 from folioscope.sources.relationships import relationships
 
 CELL_ELEMENT = r"(?s)<c\b[^>]*/>|<c\b[^>]*>.*?</c>"
@@ -42,47 +43,59 @@ def sheets(parts: DataFrame) -> DataFrame:
     return named.join(targets, ["doc_id", "rel_id"], "left").drop("rel_id")
 
 
+def _shared_definitions(cells: Column) -> Column:
+    """Definitions of shared formulas of a sheet with their cell positions."""
+    spots = F.transform(cells, lambda c, i: F.struct(
+        i.alias("at"),
+        attribute(F.regexp_extract(c, r"<f\b([^>]*)", 1), "si").alias("si"),
+        xml_unescape(F.regexp_extract(c, r"(?s)<f\b[^>]*[^/]>(.*?)</f>", 1)).alias("formula")))
+    return F.filter(spots, lambda s: s["si"].isNotNull() & (s["formula"] != ""))
+
+
 def raw_cells(parts: DataFrame) -> DataFrame:
-    """Cells as written: type, raw value, formula text and shared-formula index."""
-    # Tags are cut out once and kept as columns; every attribute reads the short tag.
+    """Cells of worksheet parts: type, raw value, formula with shared ones filled in.
+
+    A sheet is one row, so its shared formulas are resolved inside the row: the
+    few definitions ride along with each cell and nothing is shuffled.
+    """
+    none = F.array().cast("array<struct<at:int,si:string,formula:string>>")
     cells = (
         parts.filter(F.col("part").rlike(SHEET_PART))
-        .select("doc_id", "part", F.posexplode(matches("xml", CELL_ELEMENT, 0)).alias("pos", "cell"))
+        .select("doc_id", "part", matches("xml", CELL_ELEMENT, 0).alias("cells"), F.contains("xml", F.lit("shared")).alias("shares"))
+        .withColumn("shared", F.when(F.col("shares"), _shared_definitions(F.col("cells"))).otherwise(none))
+        .select("doc_id", "part", "shared", F.posexplode("cells").alias("pos", "cell"))
+        # Tags are cut out once and kept as columns; every attribute reads the short tag.
         .withColumn("head", F.regexp_extract("cell", r"^<c\b([^>]*)", 1))
         .withColumn("f_head", first_match("cell", r"<f\b([^>]*)", 1))
         .withColumn("f_body", F.when(F.col("f_head").isNotNull(), first_match("cell", r"(?s)<f(?:\s[^>]*)?>(.*?)</f>", 1)))
         .withColumn("v_body", first_match("cell", r"(?s)<v(?:\s[^>]*)?>(.*?)</v>", 1))
         .withColumn("cell_type", F.coalesce(attribute("head", "t"), F.lit("n")))
+        .withColumn("shared_idx", F.when(F.contains("f_head", F.lit("shared")), attribute("f_head", "si")))
     )
     inline = F.array_join(F.transform(elements("cell", "t"), lambda t: xml_unescape(t)), "")
+    earlier = F.filter("shared", lambda d: (d["si"] == F.col("shared_idx")) & (d["at"] <= F.col("pos")))
+    inherited = F.when(F.col("shared_idx").isNotNull(), F.try_element_at(earlier, F.lit(-1))["formula"])
     return cells.select(
         "doc_id", "part", "pos",
         F.upper(attribute("head", "r")).alias("ref"),
         "cell_type",
         xml_unescape("v_body").alias("raw"),
         F.when(F.col("cell_type") == "inlineStr", inline).alias("inline"),
-        xml_unescape(F.nullif("f_body", F.lit(""))).alias("formula"),
+        F.coalesce(xml_unescape(F.nullif("f_body", F.lit(""))), inherited).alias("formula"),
         F.col("f_head").isNotNull().alias("is_formula"),
-        F.when(attribute("f_head", "t") == "shared", attribute("f_head", "si")).alias("shared_idx"),
     ).filter(F.col("ref").isNotNull())
 
 
 def resolve_shared(cells: DataFrame, keys: tuple[str, ...], order: str = "pos") -> DataFrame:
     """Fill members of a shared formula from the last definition before them.
 
-    Definitions are few (one per index in practice); they travel to the cells
-    as a small sorted array per index, so no sheet is sorted in one task.
+    Only cells of shared formulas take part; all others pass through. The fill
+    runs in chunks of the position, so a huge sheet is not sorted in one task.
     """
-    spot = F.struct(F.col(order).alias("at"), F.col("formula").alias("definition"))
-    definitions = (
-        cells.filter(F.col("shared_idx").isNotNull() & F.col("formula").isNotNull())
-        .groupBy(*keys, "shared_idx")
-        .agg(F.array_sort(F.collect_list(spot)).alias("definitions"))
-    )
-    joined = cells.join(definitions, [*keys, "shared_idx"], "left")
-    earlier = F.filter("definitions", lambda d: d["at"] <= F.col(order))
-    inherited = F.try_element_at(earlier, F.lit(-1))["definition"]
-    return joined.withColumn("formula", F.coalesce("formula", inherited)).drop("definitions")
+    shared = cells.filter(F.col("shared_idx").isNotNull())
+    filled_in = filled(shared, [*keys, "shared_idx"], [order], chunk_of(F.col(order)), "formula", "_filled")
+    members = filled_in.withColumn("formula", F.coalesce("formula", "_filled")).select(cells.columns)
+    return cells.filter(F.col("shared_idx").isNull()).unionByName(members)
 
 
 def cell_value() -> Column:
@@ -97,7 +110,7 @@ def cell_value() -> Column:
 
 def sheet_cells(parts: DataFrame) -> DataFrame:
     """Cells of every worksheet with resolved values, formulas and sheet names."""
-    cells = resolve_shared(raw_cells(parts), ("doc_id", "part"))
+    cells = raw_cells(parts)
     strings = shared_strings(parts)
     index = F.when(F.col("cell_type") == "s", F.col("raw").try_cast("int"))
     named = sheets(parts).select("doc_id", "part", "sheet_idx", "sheet_name")
