@@ -18,7 +18,7 @@ STRING = r'"(?:[^"]|"")*+"'
 STRUCTURED = r"\b([A-Za-z_][A-Za-z0-9_.]*)\s*\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 # A reference must not follow an identifier (that would be a function name).
 REFERENCE = (
-    r"(?<![A-Za-z][A-Za-z0-9_.]{0,18}\s{0,18})(?:\[[^\]]+\])?(?:(?:'[^']+'|[A-Za-z_][\w .]*)!)?"
+    r"(?<![A-Za-z0-9_.])(?:(?<!\s)|(?<![A-Za-z][A-Za-z0-9_.]{0,18}\s{1,18}))(?:\[[^\]]+\])?(?:(?:'[^']+'|[A-Za-z_][\w .]*)!)?"
     r"\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?"
 )
 NAME = r"[A-Za-z0-9_.]+"

@@ -46,7 +46,8 @@ def _formula_cells(spark, sf):
     formula = F.concat(
         F.lit("SUM(A"), r, F.lit(":$B"), r, F.lit(")+'Line 2'!C"), r,
         F.lit('*TaxRate+[Book9]Sheet1!D4&"A9"&Sales[Qty]+LOG10(E'), r, F.lit(")+Table1[[#All],[Net]]"))
-    return corpus.table(spark, sf, "lineitem").select(
+    li = corpus.spread(corpus.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey")
+    return li.select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sheet_idx"), F.concat(F.lit("Z"), r).alias("ref"), formula.alias("formula"))
 
 

@@ -18,9 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input is one small split.
+
+    Parsing markup is heavy per row. A table with fewer splits than cores is
+    redistributed first; a table of cluster size has more splits than that and
+    is read where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One markup part per page."""
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.col("page_id").alias("doc_id"),
         F.lit("html").alias("format"),
         F.col("url").alias("part"),
@@ -156,7 +167,7 @@ def _frame(df: DataFrame, fmt: str, doc: str, main: str) -> DataFrame:
 
 def docx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word-processing package per document: a paragraph per line, a run per sentence."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
     def paragraph(line: Column) -> Column:
         pieces = F.split(line, "[.] ", -1)
@@ -200,7 +211,7 @@ def slide_xml() -> Column:
 
 def pptx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A presentation per conversation, one slide part per turn."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     number = (F.col("turn") + 1).cast("string")
     slides = turns.select(
         *_part(
@@ -239,8 +250,9 @@ def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: quantity, price in cents, a formula, and two shared strings (order
     status and priority) taken from the order's own shared-string part.
     """
-    orders = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"), "l_orderkey")
     sheet_ids = F.sequence(F.lit(1), F.lit(7))
     workbook = F.concat(
         F.lit("<workbook><sheets>"),
