@@ -22,12 +22,12 @@ def _violation(when: Column, path: Column, message) -> Column:
     return F.when(when, one).otherwise(_none())
 
 
+KINDS = {"VOID": "null", "BOOLEAN": "boolean", "BIGINT": "integer", "STRING": "string", "ARRAY": "array", "OBJECT": "object"}
+
+
 def json_type(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind == "STRING", "string")
-        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
-    )
+    known = F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)), F.lit("number"))
 
 
 def _accepts(expected, kind: Column) -> Column:
@@ -53,7 +53,12 @@ def compile_schema(schema: dict, path: Column, value: Column) -> Column:
     pattern, minimum, maximum, properties, additionalProperties: false,
     required, items``.
     """
-    kind = json_type(value)
+    # The node is bound once; every rule then reads its type and value from it.
+    node = F.struct(value.alias("v"), json_type(value).alias("kind"))
+    return F.flatten(F.transform(F.array(node), lambda n: _rules(schema, path, n["v"], n["kind"])))
+
+
+def _rules(schema: dict, path: Column, value: Column, kind: Column) -> Column:
     text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
     is_text, is_number = kind == "string", kind.isin("integer", "number")
     found: list[Column] = []

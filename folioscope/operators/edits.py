@@ -133,16 +133,15 @@ def cell_ops(ops: DataFrame) -> DataFrame:
 
 
 def upsert_cells(cells: DataFrame, changes: DataFrame) -> DataFrame:
-    """Cells after the changes; per ``(doc, sheet, ref)`` the last change wins over the old cell.
+    """Cells after the changes; the last change of a cell replaces it.
 
-    An aggregate instead of a sorted window: sheets of any size stay spread out.
+    Only the changes are aggregated. Old cells pass through an anti-join, so
+    an edit of few cells does not reshuffle the workbook when the changes are small.
     """
-    old = cells.select("doc_id", "sheet", "col", "row", F.lit(-1).cast("bigint").alias("op_idx"), "value", "formula")
-    new = changes.select("doc_id", "sheet", "col", "row", F.col("op_idx").cast("bigint").alias("op_idx"), "value", "formula")
-    merged = old.unionByName(new).groupBy("doc_id", "sheet", "col", "row").agg(
-        F.max_by(F.struct("value", "formula"), "op_idx").alias("cell"), F.max("op_idx").alias("by"))
-    return merged.select("doc_id", "sheet", "col", "row", make_ref("col", "row").alias("ref"), "cell.value", "cell.formula",
-                         (F.col("by") >= 0).alias("edited"))
+    keys = ["doc_id", "sheet", "col", "row"]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct("value", "formula"), "op_idx").alias("cell")).select(*keys, "cell.value", "cell.formula")
+    kept = cells.select(*keys, "value", "formula").join(last.select(*keys), keys, "left_anti").withColumn("edited", F.lit(False))
+    return kept.unionByName(last.withColumn("edited", F.lit(True))).withColumn("ref", make_ref("col", "row"))
 
 
 def unsafe_changes(changes: DataFrame) -> DataFrame:

@@ -28,48 +28,47 @@ def _masked(formula: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(formula, STRUCTURED, " "), STRING, " ")
 
 
-def _dep(kind, ref=None, sheet=None, book=None, name=None, source=None, word=None) -> Column:
-    text = lambda c: F.lit(None).cast("string") if c is None else c
-    return F.struct(
-        (F.lit(kind) if isinstance(kind, str) else kind).alias("dep_kind"), text(ref).alias("dep_ref"), text(sheet).alias("dep_sheet"),
-        text(book).alias("dep_book"), text(name).alias("dep_name"), text(source).alias("source_text"), text(word).alias("word"))
-
-
-def _reference(token: Column) -> Column:
-    book = first_match(token, r"^\[([^\]]+)\]", 1)
-    sheet = F.coalesce(first_match(token, r"'([^']+)'!", 1), first_match(token, r"(?:^|\])([A-Za-z_][\w .]*)!", 1))
-    cell = F.upper(F.replace(F.regexp_extract(token, r"(\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?)$", 1), F.lit("$"), F.lit("")))
-    kind = F.when(F.contains(token, F.lit("!")) | token.startswith("["), "threeD").when(F.contains(cell, F.lit(":")), "range").otherwise("cell")
-    return _dep(kind, cell, xml_unescape(sheet, numeric=False), xml_unescape(book, numeric=False), source=token)
+def _names_by_document(names: DataFrame) -> DataFrame:
+    """Defined names of a workbook as one small map; they all sit in one bounded part."""
+    unique = names.groupBy("doc_id", F.lower("name").alias("word")).agg(F.min("name").alias("name"))
+    return unique.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "name"))).alias("names"))
 
 
 def formula_deps(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataFrame:
-    """Dependencies of every formula cell, without repeats.
+    """Dependencies of every formula cell, without repeats inside a cell.
 
     ``cells``: ``doc_id, sheet_idx, ref, formula``; ``names``: ``doc_id, name``;
-    ``tables``: ``doc_id, name``. One pass reads structured references, cell
-    references and words of a formula; words are then joined with the defined
-    names of the document.
+    ``tables``: ``doc_id, name``. Formulas meet the names of their workbook in
+    one join; everything else is read from the formula in one pass.
     """
     keys = ["doc_id", "sheet_idx", "ref"]
     rows = cells.filter(F.col("formula").isNotNull() & (F.col("formula") != "")).select(
-        *keys, "formula", _masked(F.col("formula")).alias("clean"))
-    structured = F.transform(matches("formula", STRUCTURED, 0), lambda t: _dep(
-        "tableStructuredRef", name=first_match(t, r"^([A-Za-z_][A-Za-z0-9_.]*)", 1), source=t))
-    references = F.transform(matches("clean", REFERENCE, 0), _reference)
-    words = F.transform(F.array_distinct(F.transform(matches("clean", f"({NAME})", 1), F.lower)), lambda w: _dep("namedRange", word=w))
-    found = rows.select(*keys, F.inline(F.concat(structured, references, words)))
-    plain = _without(names, tables)
-    simple = plain.filter(F.col("name").rlike(f"^{NAME}$")).select("doc_id", F.lower("name").alias("word"), F.col("name").alias("known"))
-    named = found.join(simple, ["doc_id", "word"], "left").filter(F.col("word").isNull() | F.col("known").isNotNull()).select(
-        *keys, "dep_kind", "dep_ref", "dep_sheet", "dep_book", F.coalesce("dep_name", "known").alias("dep_name"), F.coalesce("source_text", "known").alias("source_text"))
-    # Names with other characters need a search; they are looked up inside their own workbook only.
-    odd = plain.filter(~F.col("name").rlike(f"^{NAME}$"))
+        *keys, "formula", _masked(F.col("formula")).alias("clean")).join(_names_by_document(_without(names, tables)), "doc_id", "left")
+    tagged = lambda tag: lambda t: F.struct(F.lit(tag).alias("tag"), t.alias("token"))
+    plain = F.filter(F.array_distinct(F.transform(matches("clean", f"({NAME})", 1), F.lower)), lambda w: F.map_contains_key("names", w))
+    # Names with other characters are searched for; word characters must not touch them.
     edge = r"[^A-Za-z0-9_.]"
-    at = F.concat(F.lit(rf"(?i)(^|{edge})\Q"), F.col("name"), F.lit(rf"\E($|{edge})"))
-    by_search = rows.join(odd, "doc_id").filter(F.regexp_like("clean", at)).select(
-        *keys, F.inline(F.array(_dep("namedRange", name=F.col("name"), source=F.col("name"))))).drop("word")
-    return named.unionByName(by_search).distinct()
+    odd = F.filter(F.map_keys("names"), lambda n: ~n.rlike(f"^{NAME}$") & F.contains(F.lower("clean"), n) & F.regexp_like(
+        F.col("clean"), F.concat(F.lit(rf"(?i)(^|{edge})\Q"), n, F.lit(rf"\E($|{edge})"))))
+    named = F.when(F.col("names").isNotNull(), F.concat(plain, odd)).otherwise(F.array().cast("array<string>"))
+    tokens = F.concat(
+        F.transform(matches("formula", STRUCTURED, 0), tagged("s")), F.transform(matches("clean", REFERENCE, 0), tagged("r")),
+        F.transform(F.transform(named, lambda w: F.try_element_at("names", w)), tagged("n")))
+    found = rows.select(*keys, F.inline(F.array_distinct(tokens)))
+    reference = F.col("tag") == "r"
+    cell = F.when(reference, F.regexp_extract("token", r"(\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?)$", 1))
+    elsewhere = F.contains("token", F.lit("!")) | F.col("token").startswith("[")
+    sheet = F.coalesce(first_match("token", r"'([^']+)'!", 1), first_match("token", r"(?:^|\])([A-Za-z_][\w .]*)!", 1))
+    placed = found.withColumns({
+        "dep_ref": F.upper(F.replace(cell, F.lit("$"), F.lit(""))),
+        "raw_sheet": F.when(reference & elsewhere, sheet), "raw_book": F.when(reference & elsewhere, first_match("token", r"^\[([^\]]+)\]", 1)),
+        "dep_name": F.when(F.col("tag") == "n", F.col("token")).when(F.col("tag") == "s", F.regexp_extract("token", r"^([A-Za-z_][A-Za-z0-9_.]*)", 1))})
+    kind = (
+        F.when(F.col("tag") == "s", "tableStructuredRef").when(F.col("tag") == "n", "namedRange").when(elsewhere, "threeD")
+        .when(F.contains("dep_ref", F.lit(":")), "range").otherwise("cell"))
+    return placed.select(
+        *keys, kind.alias("dep_kind"), "dep_ref", xml_unescape("raw_sheet", numeric=False).alias("dep_sheet"),
+        xml_unescape("raw_book", numeric=False).alias("dep_book"), "dep_name", F.col("token").alias("source_text"))
 
 
 def _without(names: DataFrame, tables: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 import pandas as pd
 
-from folioscope.functions.cellref import col_to_letters
+from folioscope.functions.cellref import col_to_letters, letters_to_col
 from folioscope.functions.text import fnv1a, round_half_up
 from folioscope.functions.xml import as_column, attribute, element_pattern, first_match, matches, xml_unescape
-from folioscope.sources.sheets import SHEET_PART
+from folioscope.sources.sheets import SHEET_PART, sheets
 from folioscope.sources.textnodes import semantic_part
 
 
@@ -38,24 +38,32 @@ def summarize(parts: DataFrame, objects: DataFrame, tables: DataFrame | None = N
     return out.withColumn("has_text", F.col("text_objects") > 0)
 
 
-def sheet_map(parts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per sheet: cells, formulas, used range, validations, protection and role."""
-    sheet_parts = parts.filter(F.col("part").rlike(SHEET_PART)).groupBy("doc_id", "part").agg(
-        F.sum(F.regexp_count("xml", F.lit(r"<f\b"))).cast("bigint").alias("formulas"),
-        F.sum(F.regexp_count("xml", F.lit(r"<dataValidation\b"))).cast("bigint").alias("validations"),
-        F.bool_or(F.col("xml").rlike(r"(?i)<sheetProtection\b")).alias("protected"),
-    )
-    used = cells.groupBy("doc_id", "part", "sheet_idx", "sheet_name").agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.min("col").alias("c0"), F.min("row").alias("r0"), F.max("col").alias("c1"), F.max("row").alias("r1"),
-    )
+def sheet_map(parts: DataFrame) -> DataFrame:
+    """Per sheet: cells, formulas, used range, validations, protection and role.
+
+    Counts and bounds are read inside each worksheet row, without exploding
+    cells; column letters are reduced to distinct ones before they are decoded.
+    """
+    cell = r'<c\b[^>]*\br="([A-Za-z]+)([0-9]+)"'
+    letters = F.array_distinct(matches("xml", cell, 1))
+    local = parts.filter(F.col("part").rlike(SHEET_PART)).select(
+        "doc_id", "part",
+        F.regexp_count("xml", F.lit(cell)).alias("n"), F.transform(letters, letters_to_col).alias("columns"),
+        F.transform(F.array_distinct(matches("xml", cell, 2)), lambda r: r.try_cast("int")).alias("rows"),
+        F.regexp_count("xml", F.lit(r"<f\b")).alias("f"), F.regexp_count("xml", F.lit(r"<dataValidation\b")).alias("d"),
+        F.col("xml").rlike(r"(?i)<sheetProtection\b").alias("p"))
+    used = local.groupBy("doc_id", "part").agg(
+        F.sum("n").alias("cells"), F.sum("f").alias("formulas"), F.sum("d").alias("validations"), F.bool_or("p").alias("protected"),
+        F.min(F.array_min("columns")).alias("c0"), F.min(F.array_min("rows")).alias("r0"),
+        F.max(F.array_max("columns")).alias("c1"), F.max(F.array_max("rows")).alias("r1"))
     role = (
         F.when(F.col("formulas") > 20, "model").when(F.col("validations") > 0, "input")
         .when(F.col("sheet_idx") == 1, "primary").otherwise("support")
     )
     reach = F.concat(col_to_letters("c0"), F.col("r0").cast("string"), F.lit(":"),
                      col_to_letters("c1"), F.col("r1").cast("string"))
-    return used.join(sheet_parts, ["doc_id", "part"]).select(
+    named = sheets(parts).select("doc_id", "part", "sheet_idx", "sheet_name")
+    return used.join(named, ["doc_id", "part"], "left").select(
         "doc_id", "sheet_idx", "sheet_name", "cells", "formulas", "validations", "protected",
         role.alias("role"), reach.alias("used_range"),
     )

@@ -29,15 +29,38 @@ HOME = r"(^|[^\w:>/])~[\\/][^\"'\s,;)]*"
 POSIX = r"(^|[^\w:>/.])/[^/\"'\s,;)][^\"'\s,;)]*/[^\"'\s,;)]+"
 
 
+# What a text must hold before a secret pattern can match at all; cheap to test.
+SECRET_WORDS = "(?i)passw|pwd|secret|token|key"
+SECRET_HINTS = [
+    lambda t: F.contains(t, F.lit("-----BEGIN")),
+    lambda t: F.contains(t, F.lit("Bearer")),
+    lambda t: t.rlike("[A-Za-z0-9]{16}"),
+    lambda t: F.contains(t, F.lit("=")) & t.rlike(SECRET_WORDS),
+    lambda t: F.contains(t, F.lit("=")) & t.rlike("[?&]"),
+    lambda t: t.rlike("(?i)cookie:"),
+]
+
+
+def _masked(text: str, step: int) -> Column:
+    pattern, replacement = SECRETS[step]
+    column = F.col(text)
+    return F.when(SECRET_HINTS[step](column), F.regexp_replace(column, pattern, replacement)).otherwise(column)
+
+
+def _hits(text: str, step: int) -> Column:
+    column = F.col(text)
+    return F.when(SECRET_HINTS[step](column), F.regexp_count(column, F.lit(SECRETS[step][0]))).otherwise(0)
+
+
 def redact_secrets(df: DataFrame, column: str) -> DataFrame:
-    """Text with secrets masked and the number of redactions per kind of pattern.
+    """Text with secrets masked and the number of redactions.
 
     Each step is a column of its own, so a later pattern sees the earlier masks.
     """
     out = df.withColumn("redacted", F.col(column)).withColumn("redactions", F.lit(0))
-    for pattern, replacement in SECRETS:
-        out = out.withColumn("redactions", F.col("redactions") + F.regexp_count("redacted", F.lit(pattern)))
-        out = out.withColumn("redacted", F.regexp_replace("redacted", pattern, replacement))
+    for step in range(len(SECRETS)):
+        out = out.withColumn("redactions", F.col("redactions") + _hits("redacted", step))
+        out = out.withColumn("redacted", _masked("redacted", step))
     return out
 
 
@@ -53,9 +76,10 @@ def secret_records(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One record per redaction: pattern step and location; matched text is not kept."""
     out = df.select(*keys, F.col(column).alias("_t0"))
     steps = []
-    for step, (pattern, replacement) in enumerate(SECRETS):
-        found = F.transform(matches(f"_t{step}", pattern, 0), _record(step))
-        out = out.withColumn(f"_r{step}", found).withColumn(f"_t{step + 1}", F.regexp_replace(f"_t{step}", pattern, replacement))
+    none = F.array().cast("array<struct<step:int,matched_chars:int>>")
+    for step, (pattern, _) in enumerate(SECRETS):
+        found = F.when(SECRET_HINTS[step](F.col(f"_t{step}")), F.transform(matches(f"_t{step}", pattern, 0), _record(step))).otherwise(none)
+        out = out.withColumn(f"_r{step}", found).withColumn(f"_t{step + 1}", _masked(f"_t{step}", step))
         steps.append(F.col(f"_r{step}"))
     return out.select(*keys, F.inline(F.concat(*steps)))
 

@@ -366,14 +366,14 @@ def _secret_sql(source: str) -> str:
 @query("redact_secrets", "WITH " + _secret_sql("SELECT doc_id, text AS t, 0 AS n FROM documents")
        + "SELECT doc_id, t AS redacted, CAST(n AS INT) AS redactions FROM s6")
 def _(spark, sf):
-    docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
+    docs = corpus.spread(corpus.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return redaction.redact_secrets(docs, "text").select("doc_id", "redacted", "redactions")
 
 
 @query("secret_records", "WITH " + _secret_sql("SELECT doc_id, text AS t, 0 AS n FROM documents")
        + "SELECT doc_id, CAST(n AS BIGINT) AS records FROM s6 WHERE n > 0")
 def _(spark, sf):
-    docs = corpus.table(spark, sf, "documents")
+    docs = corpus.spread(corpus.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return redaction.secret_records(docs, "text", ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("records"))
 
 

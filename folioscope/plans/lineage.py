@@ -42,13 +42,15 @@ def _(spark, sf):
 
 
 def _formula_cells(spark, sf):
-    r = (F.col("l_suppkey") % 50 + 1).cast("string")
+    """One formula per order, line number and row; equal cells are dropped on their narrow keys."""
+    row = (F.col("l_suppkey") % 50 + 1).cast("string")
+    places = corpus.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sheet_idx"), row.alias("r")).distinct()
+    r = F.col("r")
     formula = F.concat(
         F.lit("SUM(A"), r, F.lit(":$B"), r, F.lit(")+'Line 2'!C"), r,
         F.lit('*TaxRate+[Book9]Sheet1!D4&"A9"&Sales[Qty]+LOG10(E'), r, F.lit(")+Table1[[#All],[Net]]"))
-    li = corpus.spread(corpus.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey")
-    return li.select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sheet_idx"), F.concat(F.lit("Z"), r).alias("ref"), formula.alias("formula"))
+    return places.select("doc_id", "sheet_idx", F.concat(F.lit("Z"), r).alias("ref"), formula.alias("formula"))
 
 
 def _names(spark, sf):

@@ -271,8 +271,7 @@ SELECT l_orderkey AS doc_id, l_linenumber AS sheet_idx, n * 6 AS cells, n AS for
        'A' || r0 || ':F' || r1 AS used_range
 FROM s""")
 def _(spark, sf):
-    parts = corpus.xlsx_parts(spark, sf)
-    return inventory.sheet_map(parts, sheets.sheet_cells(parts)).drop("sheet_name")
+    return inventory.sheet_map(corpus.xlsx_parts(spark, sf)).drop("sheet_name")
 
 
 @query("workbook_map", r"""

@@ -168,19 +168,10 @@ def _frame(df: DataFrame, fmt: str, doc: str, main: str) -> DataFrame:
 def docx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word-processing package per document: a paragraph per line, a run per sentence."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-
-    def paragraph(line: Column) -> Column:
-        pieces = F.split(line, "[.] ", -1)
-        run = lambda s, i: F.concat(
-            F.lit("<w:r><w:t>"), xml_escape(s), F.when(i < F.size(pieces) - 1, ". ").otherwise(""), F.lit("</w:t></w:r>")
-        )
-        return F.concat(F.lit("<w:p>"), F.array_join(F.transform(pieces, run), ""), F.lit("</w:p>"))
-
-    body = F.concat(
-        F.lit("<w:document><w:body>"),
-        F.array_join(F.transform(F.split("text", "\n"), paragraph), ""),
-        F.lit("<w:sectPr/></w:body></w:document>"),
-    )
+    run, para = "<w:r><w:t>", "</w:t></w:r>"
+    inner = F.replace(xml_escape("text"), F.lit(". "), F.lit(f". {para}{run}"))
+    inner = F.replace(inner, F.lit("\n"), F.lit(f"{para}</w:p><w:p>{run}"))
+    body = F.concat(F.lit(f"<w:document><w:body><w:p>{run}"), inner, F.lit(f"{para}</w:p><w:sectPr/></w:body></w:document>"))
     main = docs.select(*_part(F.col("doc_id"), "docx", "word/document.xml", 2, body))
     return _frame(docs, "docx", "doc_id", "word/document.xml").unionByName(main)
 
