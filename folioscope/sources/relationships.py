@@ -53,18 +53,13 @@ def relationships(parts: DataFrame) -> DataFrame:
         .select("doc_id", F.col("part").alias("rels_part"),
                 F.posexplode(matches("xml", r"<Relationship\b[^>]*>")).alias("pos", "tag"))
     )
-    return (
-        tags.select(
-            "doc_id",
-            "rels_part",
-            owner_of("rels_part").alias("owner"),
-            "pos",
-            attribute("tag", "Id").alias("rel_id"),
-            F.coalesce(attribute("tag", "Type"), F.lit("")).alias("type"),
-            xml_unescape(attribute("tag", "Target")).alias("target"),
-            attribute("tag", "TargetMode").alias("target_mode"),
-        )
-        .filter((F.col("rel_id") != "") & (F.col("target") != ""))
-        .withColumn("external", is_external("target", "target_mode"))
-        .withColumn("resolved", F.when(~F.col("external"), resolve_target("owner", "target")))
-    )
+    # Attributes become columns first, so that later steps do not read the tag again.
+    read = tags.filter(F.col("tag").contains("Target")).select(
+        "doc_id", "rels_part", "pos", attribute("tag", "Id").alias("rel_id"), attribute("tag", "Type").alias("type"),
+        attribute("tag", "Target").alias("raw"), attribute("tag", "TargetMode").alias("target_mode"))
+    named = read.select(
+        "doc_id", "rels_part", owner_of("rels_part").alias("owner"), "pos", "rel_id", F.coalesce("type", F.lit("")).alias("type"),
+        xml_unescape("raw").alias("target"), "target_mode")
+    out = named.withColumn("external", is_external("target", "target_mode")).withColumn(
+        "resolved", F.when(~F.col("external"), resolve_target("owner", "target")))
+    return out.filter((F.col("rel_id") != "") & (F.col("target") != ""))
