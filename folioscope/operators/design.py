@@ -14,11 +14,22 @@ DATE_TOKENS = ["date", "day", "month", "year", "deadline"]
 NAME_TOKENS = ["title", "name", "headline"]
 
 
-def colors(parts: DataFrame, pattern: str = r'<a:srgbClr\b[^>]*\bval="([0-9a-fA-F]{6})"') -> DataFrame:
-    """Colour counts per document with up to six source parts."""
-    hits = parts.select("doc_id", "part", F.explode(matches("xml", pattern, 1)).alias("hex")).select(
+COLOR = r'<a:srgbClr\b[^>]*\bval="([0-9a-fA-F]{6})"'
+
+
+def _color_hits(parts: DataFrame, pattern: str) -> DataFrame:
+    return parts.select("doc_id", "part", F.explode(matches("xml", pattern, 1)).alias("hex")).select(
         "doc_id", "part", F.concat(F.lit("#"), F.upper("hex")).alias("color"))
-    per_part = hits.groupBy("doc_id", "color", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def color_counts(parts: DataFrame, pattern: str = COLOR) -> DataFrame:
+    """How often a document uses each colour."""
+    return _color_hits(parts, pattern).groupBy("doc_id", "color").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def colors(parts: DataFrame, pattern: str = COLOR) -> DataFrame:
+    """Colour counts per document with up to six source parts."""
+    per_part = _color_hits(parts, pattern).groupBy("doc_id", "color", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = per_part.groupBy("doc_id", "color").agg(F.sum("n").alias("uses"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "color").orderBy("part"))
     sources = per_part.withColumn("rn", rank).filter(F.col("rn") <= 6).groupBy("doc_id", "color").agg(

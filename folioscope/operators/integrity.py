@@ -210,9 +210,11 @@ def _anchor(pattern: Column) -> Column:
     return F.array_max(ranked)["word"]
 
 
-def text_hits(objects: DataFrame, patterns: DataFrame, chunk: int = 500) -> DataFrame:
+def text_hits(objects: DataFrame, patterns: DataFrame, chunk: int = 500, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, object_id, pattern_id)`` for every pattern a text contains, ignoring case.
 
+    ``keep`` adds columns of the matching object.
+
     Patterns with an inner word are found by an equi-join on that word and then
     verified on the whole text; texts are joined as distinct words only. The
     few patterns without an inner word are tested in place, ``chunk`` literals
@@ -228,24 +230,24 @@ def text_hits(objects: DataFrame, patterns: DataFrame, chunk: int = 500) -> Data
     found = (
         candidates.join(objects.select("doc_id", "object_id", "text"), ["doc_id", "object_id"])
         .filter(F.contains(F.lower("text"), F.col("needle")))
-        .select("doc_id", "object_id", "pattern_id")
+        .select("doc_id", "object_id", "pattern_id", *keep)
     )
     short = [(r["pattern_id"], r["needle"]) for r in keyed.filter(F.col("word").isNull()).toLocalIterator()]
     for start in range(0, len(short), chunk):
         tests = [F.when(F.contains(F.lower("text"), F.lit(needle)), F.lit(ident)) for ident, needle in short[start:start + chunk]]
         found = found.unionByName(objects.select(
-            "doc_id", "object_id", F.explode(F.array_compact(F.array(*tests))).alias("pattern_id")))
+            "doc_id", "object_id", F.explode(F.array_compact(F.array(*tests))).alias("pattern_id"), *keep))
     return found
 
 
 def forbidden_text(objects: DataFrame, patterns: DataFrame, margin: int = 24) -> DataFrame:
     """Forbidden patterns found, with a sample of ``margin`` characters on both sides."""
-    hits = text_hits(objects, patterns)
+    hits = text_hits(objects, patterns, keep=("text",))
     at = F.instr(F.lower("text"), F.lower("pattern"))
     sample = F.substr("text", F.greatest(at - margin, F.lit(1)),
                       F.length("pattern") + margin + F.least(F.lit(margin), at - 1))
     return (
-        hits.join(patterns, "pattern_id").join(objects.select("doc_id", "object_id", "text"), ["doc_id", "object_id"])
+        hits.join(patterns, "pattern_id")
         .select("doc_id", "object_id", "pattern_id", F.regexp_replace(sample, r"\s+", " ").alias("sample"))
     )
 

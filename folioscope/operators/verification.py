@@ -393,11 +393,15 @@ def corpus_report(results: DataFrame) -> DataFrame:
     first position before the eight are chosen.
     """
     failed = F.when(~F.col("ok"), F.coalesce("error", F.lit("unknown")))
-    totals = results.agg(F.count(F.lit(1)).alias("documents"), F.count_if("ok").alias("ok_count"))
+    totals = results.agg(F.count(F.lit(1)).alias("documents"), F.count_if("ok").alias("ok_count")).withColumn(
+        "e", F.lit(None).cast("struct<first:bigint,error:string>"))
     distinct = results.filter(~F.col("ok")).groupBy(failed.alias("error")).agg(F.min("position").alias("first")).filter(F.col("error") != "")
-    head = distinct.orderBy("first", "error").limit(8).agg(F.array_sort(F.collect_list(F.struct("first", "error"))).alias("e"))
-    # Both sides are single-row aggregates.
-    out = totals.withColumn("one", F.lit(1)).join(head.withColumn("one", F.lit(1)), "one").drop("one")
+    head = distinct.orderBy("first", "error").limit(8).select(
+        F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("ok_count"),
+        F.struct(F.col("first").cast("bigint").alias("first"), "error").alias("e"))
+    # One row of totals and at most eight rows of errors are folded into one.
+    out = totals.unionByName(head).agg(
+        F.sum("documents").alias("documents"), F.sum("ok_count").alias("ok_count"), F.array_sort(F.collect_list("e")).alias("e"))
     done, total = F.col("ok_count"), F.col("documents")
     return out.select(
         "documents", "ok_count", (total - done).alias("failed_count"),
@@ -409,9 +413,10 @@ def corpus_report(results: DataFrame) -> DataFrame:
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     """Mean score and ok count of two corpus runs, and the change of the mean."""
-    mean = lambda d, side: d.agg(
-        F.coalesce(F.round(F.avg("score"), 4), F.lit(0.0)).alias(f"{side}_score"), F.count_if("ok").alias(f"{side}_ok")).withColumn("one", F.lit(1))
-    out = mean(before, "before").join(mean(after, "after"), "one").drop("one")
+    both = before.select("score", "ok", F.lit("before").alias("side")).unionByName(after.select("score", "ok", F.lit("after").alias("side")))
+    mean = lambda side: F.coalesce(F.round(F.avg(F.when(F.col("side") == side, F.col("score"))), 4), F.lit(0.0)).alias(f"{side}_score")
+    good = lambda side: F.count_if((F.col("side") == side) & F.col("ok")).alias(f"{side}_ok")
+    out = both.agg(mean("before"), good("before"), mean("after"), good("after"))
     return out.withColumn("delta", F.round(F.col("after_score") - F.col("before_score"), 4))
 
 

@@ -258,7 +258,7 @@ def _payloads(spark, sf):
         F.when(F.col("event_id") % 11 == 0, F.array(F.col("event_type"))).otherwise(F.array("event_type", F.lit("x"))).alias("tags"),
         F.when(F.col("event_id") % 3 == 0, F.lit(1)).alias("extra"))
     text = F.when(F.col("event_id") % 101 == 0, F.lit("{broken")).otherwise(F.to_json(body))
-    return corpus.table(spark, sf, "events").select("event_id", text.alias("payload"))
+    return corpus.spread(corpus.table(spark, sf, "events"), "event_id").select("event_id", text.alias("payload"))
 
 
 @query("validate_json", r"""

@@ -430,9 +430,9 @@ u AS (SELECT doc_id, color FROM b UNION SELECT doc_id, color FROM tx)
 SELECT doc_id, color, confidence, 'background' AS role FROM b UNION ALL SELECT doc_id, color, 0.72, 'text' FROM tx UNION ALL
 SELECT doc_id, color, 0.55, 'accent' FROM (SELECT doc_id, color, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, color) AS r FROM allc ANTI JOIN u USING (doc_id, color)) WHERE r <= 3""")
 def _(spark, sf):
-    counts = design.colors(_color_parts(spark, sf))
-    background = design.colors(_color_parts(spark, sf, (F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 2 == 0)))
-    text = design.colors(_color_parts(spark, sf, F.col("l_linestatus") == "F"))
+    counts = design.color_counts(_color_parts(spark, sf))
+    background = design.color_counts(_color_parts(spark, sf, (F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 2 == 0)))
+    text = design.color_counts(_color_parts(spark, sf, F.col("l_linestatus") == "F"))
     return design.color_roles(counts, background, text)
 
 
