@@ -209,3 +209,8 @@ def test_sheet_data_round_trip(spark, rows):
     assert xml == ('<sheetData><row r="2"><c r="A2"><v>5</v></c></row><row r="10"><c r="A10"><f>A2*2</f></c>'
                    '<c r="B10" t="inlineStr"><is><t>x&lt;y</t></is></c></row></sheetData>')
     assert rows(edits.sheet_data(cells, max_cells=2), "blocked") == [("PART_TOO_LARGE",)]
+
+
+def test_pdf_information_fields(spark, rows):
+    files = frame(spark, [("p", "pdf", b"%PDF-1.4 << /Title (Annual report) /Author(me) /CreationDate (D:20240102) >>")])
+    assert rows(inventory.pdf_metadata(files), "title", "author", "created", "modified") == [("Annual report", "me", "D:20240102", None)]
