@@ -12,7 +12,7 @@ The sample is at most ``documents`` labelled rows per language, chosen by hash,
 than ``longest`` code points, and ``symbols`` symbols of them. Prediction reads whole texts.
 
 Defined results: NULL texts and texts without a letter are ``und`` with score 0.0, and so is
-every text if nothing could be learned. Ties go to the alphabetically first language. NULL keys
+every text if nothing could be learned. Ties go to the language with more labelled rows. NULL keys
 are not learned from; repeated rows are predicted like others; other columns are ignored.
 """
 
@@ -76,7 +76,7 @@ class Parser:
     """
 
     def __init__(self, texts: dict[str, str]):
-        self.languages = sorted(texts)
+        self.languages = list(texts)
         common = Counter(c for t in texts.values() for c in t).most_common(ALPHABET)
         self.symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(common))}
         width = self.width = len(self.symbols) + 2
@@ -141,7 +141,7 @@ def phrases(value: tuple, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, documents: int = DOCUMENTS, longest: int = LONGEST, symbols: int = SYMBOLS) -> dict[str, str]:
-    """Sampled plain text per language from docs (key, text, lang)."""
+    """Sampled plain text per language from docs (key, text, lang), the most frequent one first."""
     usable = docs.where((F.col("lang") != UNKNOWN) & F.col("key").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
@@ -160,7 +160,7 @@ def train(docs: DataFrame, documents: int = DOCUMENTS, longest: int = LONGEST, s
             out.setdefault(k, []).append(text)
             size[k] += len(text) + 1
             taken[k] += 1
-    return {k: " ".join(v)[:symbols] for k, v in out.items()}
+    return {k: " ".join(out[k])[:symbols] for k in sorted(out, key=lambda k: (-counts[k], k))}
 
 
 def predicted(docs: DataFrame, texts: dict[str, str]) -> DataFrame:

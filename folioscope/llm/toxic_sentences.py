@@ -1,14 +1,16 @@
 """Toxicity by multiple-instance learning (operator 8).
 
-A document is a bag of sentences. A sentence's probability is logistic in the words it holds
-(hashed features, each once); the document's is their noisy-or, one minus the product of the
-complements. Only documents are labelled: the gradient of the document's likelihood reaches
-the sentences through the noisy-or, so a toxic document's most suspect sentences take the
-blame, and the fitted model locates offending sentences it never saw a label for.
-
-The fit uses at most ``sample`` labelled documents of either class, chosen by hash; their
-features come to the driver, where a short Adam run with decay fits weights and bias. Classes
-are weighted back to their true shares. Scoring covers every whole text.
+A document is a bag of sentences. A sentence's probability is logistic in the words it holds;
+the document's is their noisy-or, one minus the product of the complements. Only documents
+are labelled: the gradient of the document's likelihood reaches the sentences through the
+noisy-or, so a toxic document's most suspect sentences take the blame, and the fitted model
+locates offending sentences it never saw a label for.
+
+The fit uses at most ``sample`` labelled documents of either class, chosen by hash; their words,
+as 64-bit hashes, come to the driver. Words whose share of toxic documents exceeds that of the
+others by ``SURE`` standard errors become features; a short Adam run with decay fits their
+weights and the bias. Classes are weighted back to their true shares. Scoring covers every
+whole text.
 
 Defined results: NULL, empty and wordless texts score 0.0. Without labels of both classes all
 texts score 0.0. A document with several labels counts as toxic if one says so. NULL labels and
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.shared import Shipped, Words, map_batches, remainder, texts_of
 
-FEATURES = 1 << 18
 SAMPLE = 3000
+SURE, LEAST = 5.0, 4
 THRESHOLD = 0.7
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -39,10 +41,10 @@ STOPS[[10, 33, 46, 63]] = 1  # line feed ! . ?
 
 @dataclass
 class Bag:
-    """Distinct (sentence, feature) pairs in order, and each sentence's first and last byte."""
+    """Words as hashes, the sentence of each, and each sentence's first and last byte."""
 
-    sentence: np.ndarray
     feature: np.ndarray
+    sentence: np.ndarray
     begins: np.ndarray
     ends: np.ndarray
 
@@ -55,12 +57,10 @@ class Bags:
         data, starts, ends = self.words.spans(raw)
         if not len(starts):
             none = np.zeros(0, np.int64)
-            return Bag(none, none, none, none)
-        features = (self.words.hashes(data, starts, ends) & np.uint64(FEATURES - 1)).astype(np.int64)
+            return Bag(none.view(np.uint64), none, none, none)
         place = np.cumsum(STOPS[data])[starts]
         fresh = np.r_[True, place[1:] != place[:-1]]
-        pairs = np.unique((np.cumsum(fresh) - 1) * FEATURES + features)
-        return Bag(pairs // FEATURES, pairs % FEATURES, starts[fresh], np.r_[ends[np.flatnonzero(fresh)[1:] - 1], ends[-1]])
+        return Bag(self.words.hashes(data, starts, ends), np.cumsum(fresh) - 1, starts[fresh], np.r_[ends[np.flatnonzero(fresh)[1:] - 1], ends[-1]])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -71,33 +71,48 @@ def noisy_or(probabilities: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-probabilities).sum())) if len(probabilities) else 0.0
 
 
-def fit(features: np.ndarray, sentences: np.ndarray, documents: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 80, rate: float = 0.4, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias. ``sentences`` is the sentence of each feature, ``documents`` of each sentence."""
-    held = np.bincount(features, minlength=FEATURES)
-    kept = np.flatnonzero(held >= 3)
-    place = np.full(FEATURES, -1)
-    place[kept] = np.arange(len(kept))
-    used = place[features] >= 0
-    features, sentences = place[features[used]], sentences[used]
-    w, bias = np.zeros(len(kept)), -6.0
-    first, second = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+def telling(features: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Words that occur in clearly more of the toxic documents than of the others."""
+    pairs = np.unique(np.stack([features, owners.astype(np.uint64)]), axis=1) if len(features) else np.zeros((2, 0), np.uint64)
+    words, place = np.unique(pairs[0], return_inverse=True)
+    toxic = labels[pairs[1].astype(np.int64)] == 1
+    yes, no = np.bincount(place[toxic], minlength=len(words)), np.bincount(place[~toxic], minlength=len(words))
+    n, m = (labels == 1).sum(), (labels == 0).sum()
+    share = (yes + no) / (n + m)
+    error = np.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-12
+    return words[((yes / n - no / m) / error >= SURE) & (yes >= LEAST)]
+
+
+def hits(known: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of known words, and which they are; ``known`` is sorted."""
+    at = np.searchsorted(known, features)
+    at[at == len(known)] = 0
+    found = np.flatnonzero(known[at] == features) if len(known) else np.zeros(0, np.int64)
+    return found, at[found]
+
+
+def fit(features: np.ndarray, sentences: np.ndarray, documents: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 200, rate: float = 0.15, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Words, their weights and the bias. ``sentences`` is each word's sentence, ``documents`` each sentence's document."""
+    known = telling(features, documents[sentences], labels)
+    found, features = hits(known, features)
+    sentences = sentences[found]
+    w, bias = np.zeros(len(known)), -6.0
+    first, second = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     many, total = len(documents), weights.sum()
     for step in range(1, steps + 1):
         p = sigmoid(bias + np.bincount(sentences, w[features], many))
         none = np.exp(np.maximum(np.bincount(documents, np.log1p(-p), len(labels)), -600.0))
         pull = weights * np.where(labels == 1, none / np.maximum(1.0 - none, 1e-9), -1.0) / total
         slope = p * pull[documents]
-        gradient = np.r_[np.bincount(features, slope[sentences], len(kept)) - decay * w, slope.sum()]
+        gradient = np.r_[np.bincount(features, slope[sentences], len(known)) - decay * w, slope.sum()]
         first += 0.1 * (gradient - first)
         second += 0.01 * (gradient**2 - second)
-        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
         w, bias = w + move[:-1], bias + move[-1]
-    out = np.zeros(FEATURES)
-    out[kept] = w
-    return out, float(bias)
+    return known, w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
     """Fit on docs (key, text) with labels (key, toxic); None unless both classes occur."""
     known = labels.where("key IS NOT NULL AND toxic IS NOT NULL").groupBy("key").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -111,19 +126,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [bags.of(x.encode("utf-8", "surrogatepass")) for x in texts_of(batch)]
-            lists = [pa.array([f.tolist() for f in (b.feature for b in found)], pa.list_(pa.int32())), pa.array([b.sentence.tolist() for b in found], pa.list_(pa.int32()))]
+            lists = [pa.array([b.feature.view(np.int64) for b in found], pa.list_(pa.int64())), pa.array([b.sentence.astype(np.int32) for b in found], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([batch.column("toxic"), *lists], ["toxic", "feature", "sentence"])
 
         return step
 
     rows = docs.join(chosen, "key").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    got = map_batches(rows, make, "toxic int, feature array<int>, sentence array<int>").toArrow()
+    got = map_batches(rows, make, "toxic int, feature array<bigint>, sentence array<int>").toArrow()
     y = got.column("toxic").to_numpy()
     if len(np.unique(y)) < 2:
         return None
     features, sentences, documents, n = [], [], [], 0
     for i, (f, s) in enumerate(zip(got.column("feature"), got.column("sentence"))):
-        f, s = f.values.to_numpy(), s.values.to_numpy()
+        f, s = f.values.to_numpy().view(np.uint64), s.values.to_numpy()
         if len(f):
             features.append(f)
             sentences.append(s.astype(np.int64) + n)
@@ -135,27 +150,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return fit(np.concatenate(features), np.concatenate(sentences), np.concatenate(documents), y, weight)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, spots: bool = False, threshold: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, spots: bool = False, threshold: float = 0.5) -> DataFrame:
     """(key, score) of every text; with ``spots`` also the offending sentences as code point spans."""
-    weights, bias = model if model else (np.zeros(FEATURES), -np.inf)
-    at = np.flatnonzero(weights)
-    shipped = Shipped(docs.sparkSession, (at.astype(np.int32), weights[at], bias))
-
-    def dense(value):
-        w = np.zeros(FEATURES)
-        w[value[0]] = value[1]
-        return w, value[2]
+    shipped = Shipped(docs.sparkSession, model)
 
     def make():
         bags = Bags()
-        w, b = shipped.state("toxic weights", dense)
+        value = shipped.state("toxic weights", lambda x: x)
+
+        def sentences(bag: Bag) -> np.ndarray:
+            if value is None or not len(bag.begins):
+                return np.zeros(0)
+            known, w, bias = value
+            found, which = hits(known, bag.feature)
+            return sigmoid(bias + np.bincount(bag.sentence[found], w[which], len(bag.begins)))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores, found = [], []
             for x in texts_of(batch):
                 raw = x.encode("utf-8", "surrogatepass")
                 bag = bags.of(raw)
-                p = sigmoid(b + np.bincount(bag.sentence, w[bag.feature], len(bag.begins))) if len(bag.begins) and b > -np.inf else np.zeros(0)
+                p = sentences(bag)
                 scores.append(noisy_or(p))
                 if spots:
                     found.append([{"start": len(raw[: bag.begins[i]].decode("utf-8", "replace")), "end": len(raw[: bag.ends[i]].decode("utf-8", "replace")), "score": float(p[i])}
