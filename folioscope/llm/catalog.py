@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bag_minhash, cross_parsing, minhash_prints, piece_codec, token_lengths, toxic_sentences
+from folioscope.llm import bag_minhash, budget_mixing, cross_parsing, fertility_rules, minhash_prints, piece_codec, token_lengths, toxic_sentences
 
 QUERIES = {
+    "op1_budget_mixing": budget_mixing.op1_budget_mixing,
     "op2_bag_minhash": bag_minhash.op2_bag_minhash,
     "op3_minhash_prints": minhash_prints.op3_minhash_prints,
     "op4_cross_parsing": cross_parsing.op4_cross_parsing,
     "op7_token_lengths": token_lengths.op7_token_lengths,
     "op8_toxic_sentences": toxic_sentences.op8_toxic_sentences,
+    "op9_fertility_rules": fertility_rules.op9_fertility_rules,
     "op10_piece_codec": piece_codec.op10_piece_codec,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_budget_mixing": budget_mixing.SQL}
