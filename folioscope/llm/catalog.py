@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bag_minhash, budget_mixing, cross_parsing, fertility_rules, minhash_prints, piece_codec, token_lengths, toxic_sentences
+from folioscope.llm import bag_minhash, budget_mixing, chat_windows, cross_parsing, fertility_rules, minhash_prints, piece_codec, suffix_tree_lm, token_lengths, toxic_sentences
 
 QUERIES = {
     "op1_budget_mixing": budget_mixing.op1_budget_mixing,
     "op2_bag_minhash": bag_minhash.op2_bag_minhash,
     "op3_minhash_prints": minhash_prints.op3_minhash_prints,
     "op4_cross_parsing": cross_parsing.op4_cross_parsing,
+    "op5_suffix_tree_lm": suffix_tree_lm.op5_suffix_tree_lm,
+    "op6_chat_windows": chat_windows.op6_chat_windows,
     "op7_token_lengths": token_lengths.op7_token_lengths,
     "op8_toxic_sentences": toxic_sentences.op8_toxic_sentences,
     "op9_fertility_rules": fertility_rules.op9_fertility_rules,
