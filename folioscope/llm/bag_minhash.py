@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.near_groups import near_classes
+from folioscope.llm.near_groups import near_classes, one_of_each
 from folioscope.llm.shared import MASK, mixed
 
 BANDS, ROWS = 20, 6
@@ -77,10 +77,19 @@ def signature(hashes: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray | None
         horizon *= 2
 
 
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    return near_classes(df.select(F.col(key).alias("key"), F.col(text).alias("text")), signature, multiset, BANDS, ROWS, threshold, slack=0.15)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(key, class_id, copies): the near-duplicate class of every row, and how often its text occurs."""
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return near_classes(docs, signature, multiset, BANDS, ROWS, threshold, slack=0.2).withColumnRenamed("key", key)
+    blank = df.where(F.col(text).isNull()).select(F.col(key).alias("key"), F.col(key).alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
+    return classes(df, key, text, threshold).select("key", "class_id", "copies").unionByName(blank).withColumnRenamed("key", key)
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``df`` with one row of each near-duplicate class, the one with the least key; rows without text stay."""
+    return one_of_each(df, classes(df, key, text, threshold), key, text)
 
 
 def op2_bag_minhash(spark, sf_dir):

@@ -196,8 +196,7 @@ def predicted(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
 
         return step
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return map_batches(docs.select("key", "text"), make, f"key {kind}, lang_pred string, score double, phrases_per_symbol double")
+    return map_batches(docs.select("key", "text"), make, "key string, lang_pred string, score double, phrases_per_symbol double")
 
 
 def languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

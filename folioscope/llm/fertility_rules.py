@@ -138,9 +138,8 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
         return step
 
-    kind = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    schema = f"key {kind}, band string, " + ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"{m} double" for m in MEASURES)])
+    schema = f"key string, band string, " + ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"{m} double" for m in MEASURES)])
     return map_batches(narrow, make, schema)
 
 

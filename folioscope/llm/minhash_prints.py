@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.near_groups import near_classes, node_of
+from folioscope.llm.near_groups import near_classes, node_of, one_of_each
 from folioscope.llm.shared import Words, map_batches, mixed, shingles, texts_of
 
 BANDS, ROWS = 20, 6
@@ -84,14 +84,22 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
         return step
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
+    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), make, "key string, fingerprint string").withColumnRenamed("key", key)
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    return near_classes(df.select(F.col(key).alias("key"), F.col(text).alias("text")), signature, elements, BANDS, ROWS, threshold, slack=0.15)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(key, class_id, copies) by bands of the signatures and verified Jaccard similarity."""
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return near_classes(docs, signature, elements, BANDS, ROWS, threshold, slack=0.2).withColumnRenamed("key", key)
+    """(key, class_id, copies): the near-duplicate class of every row, and how often its text occurs."""
+    blank = df.where(F.col(text).isNull()).select(F.col(key).alias("key"), F.col(key).alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
+    return classes(df, key, text, threshold).select("key", "class_id", "copies").unionByName(blank).withColumnRenamed("key", key)
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``df`` with one row of each near-duplicate class, the one with the least key; rows without text stay."""
+    return one_of_each(df, classes(df, key, text, threshold), key, text)
 
 
 class Pair:

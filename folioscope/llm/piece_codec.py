@@ -283,8 +283,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
 
         return step
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(_narrow(df, key, text), make, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return map_batches(_narrow(df, key, text), make, "key string, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -307,8 +306,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
 
         return step
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(_narrow(df, key, text), make, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return map_batches(_narrow(df, key, text), make, "key string, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
 
 def _narrow(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
@@ -59,7 +60,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for at in range(0, batch.num_rows, rows):
                 yield step(batch.slice(at, rows))
 
-    return df.mapInArrow(run, schema)
+    found = StructType.fromDDL(schema)
+    for name in ("key", "node"):  # passed through: their types may not be expressible in text
+        if name in found.names and name in df.columns:
+            found[name].dataType = df.schema[name].dataType
+    return df.mapInArrow(run, found)
 
 
 class Shipped:

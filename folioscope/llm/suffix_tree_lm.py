@@ -276,8 +276,7 @@ def model_scores(df: DataFrame, key: str = "doc_id", text: str = "text", head: i
                            pa.array(rest, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column("key"), *columns], ["key", "n_tokens", "base", "known", "score", "rest", "times"])
 
-    kind = docs.schema["key"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"key {kind}, n_tokens bigint, base double, known bigint, score double, rest array<bigint>, times array<int>")
+    rows = docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n_tokens bigint, base double, known bigint, score double, rest array<bigint>, times array<int>")
     rows = shared_table(rows.withColumn("row", F.monotonically_increasing_id()))
     open_words = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
     looked_up = open_words.join(words.withColumnRenamed("key", "word"), "word", "left")

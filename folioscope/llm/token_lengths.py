@@ -116,9 +116,8 @@ def token_lengths(df: DataFrame, key: str = "doc_id", text: str = "text", model:
 
         return step
 
-    kind = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_batches(narrow, make, f"key {kind}, n_words bigint, n_tokens bigint, n_unknown bigint").withColumnRenamed("key", key)
+    return map_batches(narrow, make, "key string, n_words bigint, n_tokens bigint, n_unknown bigint").withColumnRenamed("key", key)
 
 
 def op7_token_lengths(spark, sf_dir):

@@ -183,9 +183,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None,
 
         return step
 
-    kind = docs.schema["key"].dataType.simpleString()
     more = ", spots array<struct<start: int, end: int, score: double>>" if spots else ""
-    return map_batches(docs.select("key", "text"), make, f"key {kind}, score double{more}")
+    return map_batches(docs.select("key", "text"), make, f"key string, score double{more}")
 
 
 def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
