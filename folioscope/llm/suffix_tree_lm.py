@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import SPACE, Shipped, Words, remainder, shared_table, texts_of
 
 DEPTH, GAIN, SUPPORT = 6, 3e-6, 1e-6
+LEAST_GAIN = 12.0  # bits, for small corpora
 HEAD = 200_000
 START, END, BLANK = 13, 10, 32  # codes no word holds
 CODES = 252  # byte values a symbol can have: all but the four other blanks
@@ -135,7 +136,7 @@ def retained(grams: DataFrame, total: int) -> tuple[list[dict], dict[int, int]]:
         shorter = tables[k - 1].select(F.col("w").alias("v"), (F.col("n") / F.col("all")).alias("q"))
         joined = tables[k].join(shorter, F.col("w").bitwiseAND(F.lit(mask)) == F.col("v"))
         gain = joined.groupBy("context").agg(F.sum(F.col("n") * F.log2(F.col("n") / F.col("all") / F.col("q"))).alias("gain"))
-        kept = gain.where(F.col("gain") >= GAIN * total).select("context")
+        kept = gain.where(F.col("gain") >= max(LEAST_GAIN, GAIN * total)).select("context")
         rows.append(tables[k].join(kept, "context").select("context", F.lit(k).alias("depth"), F.col("w").bitwiseAND(F.lit(255)).alias("symbol"), "n"))
     found = rows[0]
     for more in rows[1:]:
