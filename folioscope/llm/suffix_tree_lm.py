@@ -23,6 +23,7 @@ empty table.
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -154,9 +155,12 @@ class Tree:
         for i, c in enumerate(used, 1):
             self.classes[c] = i
         width = len(used) + 1
-        followers: dict[bytes, list[tuple[int, int]]] = {}
-        for context, depth, symbol, n in zip(*(rows.column(c).to_pylist() for c in ("context", "depth", "symbol", "n"))):
-            followers.setdefault(context.to_bytes(depth, "big"), []).append((symbol, n))
+        contexts, depths, follower, times = (rows.column(c).to_numpy() for c in ("context", "depth", "symbol", "n"))
+        by = np.lexsort((contexts, depths))
+        contexts, depths, follower, times = contexts[by], depths[by], self.classes[follower[by].astype(np.int64)], times[by]
+        edges = np.flatnonzero(np.r_[True, (contexts[1:] != contexts[:-1]) | (depths[1:] != depths[:-1])]) if len(by) else np.zeros(0, np.int64)
+        followers = {  # context to its first and last row
+            int(contexts[a]).to_bytes(int(depths[a]), "big"): (a, b) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(by)])}
         states = {b""}
         for context in followers:  # closed under prefixes and suffixes
             states.update(context[i:j] for i in range(len(context)) for j in range(i + 1, len(context) + 1))
@@ -166,29 +170,24 @@ class Tree:
         share = np.full(width, 0.5 / (total + 0.5 * CODES))
         for c, n in single.items():
             share[self.classes[c]] = (n + 0.5) / (total + 0.5 * CODES)
-        logs = np.zeros((len(order), width), np.float32)
         moves = np.zeros((len(order), width), np.int32)
-        shares = np.zeros((len(order), width))
-        for i, s in enumerate(order):
-            if s:
-                back = place[s[1:]]
+        shares = np.zeros((len(order), width), np.float32)
+        shares[0] = share
+        for _, level in groupby(order[1:], len):
+            level = list(level)
+            for s in level:  # first the prefixes, all a level shorter, learn where they lead
+                moves[place[s[:-1]], self.classes[s[-1]]] = place[s] * width
+            for s in level:
+                i, back = place[s], place[s[1:]]
                 moves[i] = moves[back]
-                known = followers.get(s)
-                if known:
+                shares[i] = shares[back]
+                if s in followers:
+                    first, last = followers[s]
                     counts = np.zeros(width)
-                    for c, n in known:
-                        counts[self.classes[c]] = n
-                    shares[i] = (counts + len(known) * shares[back]) / (counts.sum() + len(known))
-                else:
-                    shares[i] = shares[back]
-            else:
-                shares[i] = share
-            logs[i] = np.log10(shares[i])
-            for c in used:
-                longer = place.get(s + bytes([c]))
-                if longer is not None:
-                    moves[i, self.classes[c]] = longer * width
-        self.moves, self.logs = moves.ravel(), logs.ravel()
+                    counts[follower[first:last]] = times[first:last]
+                    shares[i] = (counts + (last - first) * shares[back]) / (counts.sum() + last - first)
+        self.states = order
+        self.moves, self.logs = moves.ravel(), np.log10(shares, out=shares).ravel()
 
 
 def scores(moves: np.ndarray, logs: np.ndarray, classes: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:

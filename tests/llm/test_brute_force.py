@@ -153,6 +153,17 @@ def test_probabilities_of_a_tree_sum_to_one(spark, sf):
     unseen = lm.CODES - (int(tree.classes.max()) - 1)  # codes that share class 0; the start mark has a class but is never predicted
     totals = (10.0 ** np.delete(logs, [0, int(tree.classes[lm.START])], axis=1)).sum(axis=1) + unseen * 10.0 ** logs[:, 0]
     assert len(logs) > 100 and np.allclose(totals, 1.0, atol=1e-4)
+    # the automaton ends in the longest suffix state, across block borders too
+    place = {s: i for i, s in enumerate(tree.states)}
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(12).collect()] + ["", "zz \u0000 unseen Ж", "A b " * 700]
+    coded = [lm.symbols(t.encode()) for t in texts]
+    got = lm.scores(tree.moves, tree.logs, tree.classes, coded)
+    for value, c in zip(got, coded):
+        raw, want = c.tobytes(), 0.0
+        for at in range(lm.DEPTH, len(raw)):
+            state = next(raw[at - k : at] for k in range(lm.DEPTH, -1, -1) if raw[at - k : at] in place)
+            want += logs[place[state], tree.classes[raw[at]]]
+        assert math.isclose(value, want, rel_tol=1e-5)
 
 
 def test_conversations(spark, sf):
