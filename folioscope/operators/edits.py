@@ -16,6 +16,7 @@ from folioscope.functions.xml import (
     xml_escape,
 )
 from folioscope.operators.integrity import explode_issues, issue, unsafe_formula
+from folioscope.sources.packages import MAX_XML_PART_BYTES
 from folioscope.sources.relationships import resolve_target
 
 # Operations the supported runtime accepts.
@@ -336,12 +337,15 @@ def write_back(parts: DataFrame, edits: DataFrame, tags: tuple[str, ...] = TEXT_
     """Part XML rebuilt from its literals and the new texts of edited nodes.
 
     ``edits``: ``doc_id, part, idx, text`` with the positions ``text_objects``
-    assigns. The edits of one part become a map; a part is one row whose size
-    the shred limits bound.
+    assigns, and ``op_idx`` where a node may be edited more than once: the last
+    edit counts (without it the greatest text). The edits of one part become a
+    map; a part is one row whose size the shred limits bound.
     """
     names = "|".join(tags)
     node = rf"(?s)<(?:{names})(?:\s[^>]*)?>.*?</(?:{names})>"
-    maps = edits.groupBy("doc_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("idx", "text"))).alias("edits"))
+    order = F.struct("op_idx", "text") if "op_idx" in edits.columns else F.col("text")
+    last = edits.groupBy("doc_id", "part", "idx").agg(F.max_by("text", order).alias("text"))
+    maps = last.groupBy("doc_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("idx", "text"))).alias("edits"))
     joined = parts.join(maps, ["doc_id", "part"], "left")
 
     def rebuilt(token: Column, i: Column) -> Column:
@@ -374,17 +378,18 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
         "row_xml", F.concat(F.lit('<row r="'), F.col("row").cast("string"), F.lit('">'), "body", F.lit("</row>"))).drop("body")
 
 
-def sheet_data(cells: DataFrame, max_cells: int = 2_000_000) -> DataFrame:
+def sheet_data(cells: DataFrame, max_bytes: int = MAX_XML_PART_BYTES) -> DataFrame:
     """``sheetData`` elements ready to be packed. A sheet is one part and so one value.
 
-    Sheets beyond ``max_cells`` would not be readable as one part; they are
-    returned with ``blocked`` set and stay available through ``sheet_rows``.
+    A sheet above ``max_bytes``, the limit for one part, could not be read again; it is
+    returned with ``blocked`` set and stays available through ``sheet_rows``.
     """
-    sizes = cells.groupBy("doc_id", "sheet").agg(F.count(F.lit(1)).alias("n"))
-    small = cells.join(sizes.filter(F.col("n") <= max_cells).select("doc_id", "sheet"), ["doc_id", "sheet"], "left_semi")
+    lined = sheet_rows(cells)
+    sizes = lined.groupBy("doc_id", "sheet").agg(F.sum(F.octet_length("row_xml")).alias("n"))
+    small = lined.join(sizes.filter(F.col("n") <= max_bytes).select("doc_id", "sheet"), ["doc_id", "sheet"], "left_semi")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "row_xml"))), lambda r: r["row_xml"]), "")
-    built = sheet_rows(small).groupBy("doc_id", "sheet").agg(F.concat(F.lit("<sheetData>"), lines, F.lit("</sheetData>")).alias("xml"))
-    refused = sizes.filter(F.col("n") > max_cells).select("doc_id", "sheet", F.lit(None).cast("string").alias("xml"), F.lit("PART_TOO_LARGE").alias("blocked"))
+    built = small.groupBy("doc_id", "sheet").agg(F.concat(F.lit("<sheetData>"), lines, F.lit("</sheetData>")).alias("xml"))
+    refused = sizes.filter(F.col("n") > max_bytes).select("doc_id", "sheet", F.lit(None).cast("string").alias("xml"), F.lit("PART_TOO_LARGE").alias("blocked"))
     return built.withColumn("blocked", F.lit(None).cast("string")).unionByName(refused)
 
 

@@ -169,12 +169,13 @@ def pdf_markers(packages: DataFrame) -> DataFrame:
     ])
 
 
-def unsafe_formula(formula: str = "formula") -> Column:
-    bare = F.lower(F.regexp_replace(F.trim(F.col(formula)), "^=+", ""))
+def unsafe_formula(formula: str | Column = "formula") -> Column:
+    formula = F.col(formula) if isinstance(formula, str) else formula
+    bare = F.lower(F.regexp_replace(F.trim(formula), "^=+", ""))
     hit = F.lit(False)
     for token in FORMULA_TOKENS:
         hit = hit | F.contains(bare, F.lit(token))
-    return hit | F.col(formula).rlike(r"\[[^\]]+\][^!]*!")
+    return hit | formula.rlike(r"\[[^\]]+\][^!]*!")
 
 
 def unsafe_formulas(cells: DataFrame) -> DataFrame:

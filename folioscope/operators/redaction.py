@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.xml import matches, substitute
@@ -114,30 +114,39 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def json_leaves(df: DataFrame, keys: list[str], column: str, depth: int = 8) -> DataFrame:
-    """``(keys, location, value, kind)`` for every leaf of a JSON document.
+def _depth(text: Column) -> Column:
+    """Nesting depth of a JSON text: the most brackets open at once, strings left out."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', "")
+    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[{\]}]"), F.lit(0)), lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")), lambda s: s["most"])
 
-    Objects and arrays are opened level by level inside the row: one scan, one
-    explode, no join. Whatever is nested deeper than ``depth`` is returned as
-    JSON text, so nothing is lost.
+
+def json_leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``(keys, location, value, kind)`` for every leaf of a JSON document, however deep.
+
+    Objects and arrays are opened level by level inside the row, as many levels as the document
+    has: one scan, one explode, no join.
     """
     is_open = lambda n: _kind(n["v"]).rlike("^(OBJECT|ARRAY)")
-    is_leaf = lambda n: ~_kind(n["v"]).rlike("^(OBJECT|ARRAY)")
+    node, leaf = "array<struct<location:string,v:variant>>", "array<struct<location:string,value:string,kind:string>>"
+    told = lambda n: F.struct(n["location"].alias("location"), F.try_variant_get(n["v"], "$", "string").alias("value"), _kind(n["v"]).alias("kind"))
     root = F.struct(F.lit("$").alias("location"), F.try_parse_json(column).alias("v"))
-    out = df.select(*keys, root.alias("root")).filter(F.col("root.v").isNotNull()).select(*keys, F.array("root").alias("l0"))
-    for level in range(depth):
-        deeper = F.flatten(F.transform(F.filter(f"l{level}", is_open), _children))
-        out = out.withColumn(f"l{level + 1}", F.when(F.exists(f"l{level}", is_open), deeper).otherwise(F.filter(f"l{level}", lambda n: F.lit(False))))
-    leaves = F.concat(*[F.filter(f"l{level}", is_leaf) for level in range(depth + 1)])
-    simple = F.transform(leaves, lambda n: F.struct(
-        n["location"].alias("location"), F.try_variant_get(n["v"], "$", "string").alias("value"), _kind(n["v"]).alias("kind")))
-    rest = F.transform(F.filter(f"l{depth}", is_open), lambda n: F.struct(
-        n["location"].alias("location"), F.try_variant_get(n["v"], "$", "string").alias("value"), F.lit("JSON").alias("kind")))
-    return out.select(*keys, F.inline(F.concat(simple, rest)))
-
-
-def redact_json(df: DataFrame, keys: list[str], column: str, roots: dict[str, str] | None = None, depth: int = 8) -> DataFrame:
+    rows = df.select(*keys, _depth(F.col(column)).alias("depth"), root.alias("root")).filter(F.col("root.v").isNotNull())
+
+    def opened(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(F.filter(state["open"], is_open), _children))
+        found = F.transform(F.filter(state["open"], lambda n: ~is_open(n)), told)
+        return F.struct(below.cast(node).alias("open"), F.concat(state["leaves"], found).cast(leaf).alias("leaves"))
+
+    start = F.struct(F.array("root").cast(node).alias("open"), F.array().cast(leaf).alias("leaves"))
+    # One step more than there are levels: the last one takes the leaves of the deepest.
+    leaves = F.aggregate(F.sequence(F.lit(0), F.col("depth")), start, opened, lambda s: s["leaves"])
+    return rows.select(*keys, F.inline(leaves))
+
+
+def redact_json(df: DataFrame, keys: list[str], column: str, roots: dict[str, str] | None = None) -> DataFrame:
     """Every string leaf with paths, then secrets masked, and its location."""
-    leaves = json_leaves(df, keys, column, depth)
+    leaves = json_leaves(df, keys, column)
     return redact_secrets(redact_paths(leaves, "value", roots).withColumnRenamed("redacted", "_path"), "_path").select(
         *keys, "location", "redacted", (F.col("redacted") != F.col("value")).alias("changed"))

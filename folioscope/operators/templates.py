@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.xml import as_column, matches, xml_escape
-from folioscope.operators.integrity import explode_issues, issue, text_hits
+from folioscope.functions.xml import as_column, matches, xml_escape, xml_unescape
+from folioscope.operators.integrity import explode_issues, issue, text_hits, unsafe_formula
 
 PLACEHOLDER = r"\{\{\s*([A-Za-z0-9_.-]+)\s*\}\}"
 
@@ -40,10 +40,13 @@ def fill(templates: DataFrame, data: DataFrame) -> DataFrame:
     filled = F.array_join(F.zip_with(literals, tokens, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     gaps = F.zip_with("names", "values", lambda n, v: F.when(v.isNull(), n))
     missing = F.array_sort(F.array_distinct(F.array_compact(gaps)))
-    out = valued.withColumn("missing", missing)
+    out = valued.withColumn("missing", missing).withColumn("done", filled)
     replaced = F.size(F.filter("values", lambda v: v.isNotNull()))
-    return out.select(
-        "record_id", "template_id", F.when(F.size("missing") == 0, filled).alias("filled"), replaced.alias("replacements"),
+    # A value may turn a harmless formula into one that reaches out: the filled formulas are tested.
+    formulas = F.transform(matches("done", r"(?s)<f(?:\s[^>]*)?>(.*?)</f>", 1), lambda f: xml_unescape(f))
+    unsafe = F.coalesce(F.exists(formulas, unsafe_formula), F.lit(False))
+    return out.withColumn("unsafe", unsafe).select(
+        "record_id", "template_id", F.when((F.size("missing") == 0) & ~F.col("unsafe"), F.col("done")).alias("filled"), replaced.alias("replacements"), "unsafe",
         F.array_join("missing", ",").alias("missing"), F.col("xml").alias("template_xml"))
 
 
@@ -51,11 +54,11 @@ def fill_report(filled: DataFrame) -> DataFrame:
     """Outcome per record: blocked, changed, or why nothing changed."""
     unchanged = F.col("filled") == F.col("template_xml")
     code = (
-        F.when(F.col("missing") != "", "TEMPLATE_FIELD_MISSING")
+        F.when(F.col("missing") != "", "TEMPLATE_FIELD_MISSING").when(F.col("unsafe"), "XLSX_FORMULA_UNSAFE")
         .when(unchanged & (F.col("replacements") == 0), "NO_PLACEHOLDERS_FOUND").when(unchanged, "TEMPLATE_NO_EFFECT")
     )
-    changed = (F.col("missing") == "") & ~unchanged
-    readiness = F.when(F.col("missing") != "", "blocked").when(changed, "pass").otherwise("warning")
+    changed = (F.col("missing") == "") & ~F.col("unsafe") & ~unchanged
+    readiness = F.when((F.col("missing") != "") | F.col("unsafe"), "blocked").when(changed, "pass").otherwise("warning")
     return filled.select("record_id", "template_id", "replacements", "missing", F.coalesce(changed, F.lit(False)).alias("changed"),
                          code.alias("code"), readiness.alias("readiness"))
 

@@ -69,7 +69,7 @@ def _(spark, sf):
     """Slides zipped into packages and read back from the bytes."""
     parts = packages.readable(packages.shred(packages.pack(corpus.pptx_parts(spark, sf))))
     texts = F.transform(textnodes.matches("xml", r"(?s)<a:t(?:\s[^>]*)?>(.*?)</a:t>", 1), lambda t: xml_unescape(t))
-    body = F.array_join(F.slice(texts, 2, 1000000), "")
+    body = F.array_join(F.slice(texts, F.lit(2), F.size(texts)), "")
     return parts.filter(F.col("part").startswith("ppt/slides/slide")).select(
         "doc_id", "part", "ord", F.size(texts).alias("text_nodes"), F.length(body).alias("body_chars"))
 
@@ -432,7 +432,17 @@ def _(spark, sf):
     return inventory.chart_series(_chart_parts(spark, sf)).drop("part", "pos")
 
 
-@query("fingerprints")
+HASH = """lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda x: ord(x)::BIGINT)),
+  lambda h, x: (xor(h, x) * 16777619) & 4294967295))), 8, '0')"""
+FINGERPRINTS = f"""
+WITH b AS (SELECT l_orderkey AS doc_id, l_returnflag || ' ' || l_linestatus AS text,
+  concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d')) AS object_id,
+  concat_ws(':', CAST(l_quantity * 20 AS BIGINT), CAST(round(l_tax * 4000) AS BIGINT), CAST(l_linenumber * 30 AS BIGINT), CAST(round(l_discount * 400) + 20 AS BIGINT)) AS place
+  FROM lineitem)
+SELECT doc_id, object_id, {HASH.format('text')} AS text_hash, {HASH.format('place')} AS position_hash FROM b"""
+
+
+@query("fingerprints", FINGERPRINTS)
 def _(spark, sf):
     return inventory.fingerprints(corpus.boxes(spark, sf)).select("doc_id", "object_id", "text_hash", "position_hash")
 
@@ -475,6 +485,6 @@ def _(spark, sf):
     return named.select("l_orderkey", "l_linenumber", "col", "letters", ref_row("ref").alias("row"), "ref", ref_col("ref").alias("back"))
 
 
-@query("text_hashes")
+@query("text_hashes", "SELECT item_id, " + HASH.format("text") + " AS text_hash FROM benchmark")
 def _(spark, sf):
     return corpus.table(spark, sf, "benchmark").select("item_id", fnv1a("text").alias("text_hash"))

@@ -366,16 +366,15 @@ def _(spark, sf):
 
 
 @query("page_quality", r"""
-WITH p AS (SELECT conv_id AS doc_id, turn, CASE WHEN turn % 6 <> 5 AND role <> 'system' THEN role END AS digest FROM conversations),
+WITH p AS (SELECT conv_id AS doc_id, turn, CASE WHEN turn % 6 <> 5 AND role <> 'system' THEN sha256(text) END AS digest FROM conversations),
 g AS (SELECT doc_id, digest, count(*) AS n FROM p WHERE digest IS NOT NULL GROUP BY 1, 2)
 SELECT p.doc_id, count(*) AS pages, count(*) FILTER (digest IS NULL) AS blank_pages,
        CAST(coalesce((SELECT sum(n) FROM g WHERE g.doc_id = p.doc_id AND n > 1), 0) AS BIGINT) AS identical_pages,
        count(*) > 1 AND coalesce((SELECT max(n) FROM g WHERE g.doc_id = p.doc_id), 0) = count(*) AS all_identical
 FROM p GROUP BY p.doc_id""")
 def _(spark, sf):
-    """The speaker's role stands for the page text, so that identical pages occur."""
-    pages = corpus.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "role")
-    objects = pages.filter((F.col("page") % 6 != 5) & (F.col("role") != "system")).select("doc_id", "page", F.lit(0).alias("idx"), F.col("role").alias("text"))
+    pages = corpus.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "role", "text")
+    objects = pages.filter((F.col("page") % 6 != 5) & (F.col("role") != "system")).select("doc_id", "page", F.lit(0).alias("idx"), "text")
     return verification.page_quality(objects, pages)
 
 

@@ -18,20 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the input is one small split.
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by their document, at every size.
 
-    Parsing markup is heavy per row. A table with fewer splits than cores is
-    redistributed first; a table of cluster size has more splits than that and
-    is read where it lies.
+    Parsing markup is heavy per row, and what follows joins and groups by document: the one
+    exchange here serves those as well.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(key)
 
 
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One markup part per page."""
-    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+    return by_key(table(spark, sf_dir, "pages"), "page_id").select(
         F.col("page_id").alias("doc_id"),
         F.lit("html").alias("format"),
         F.col("url").alias("part"),
@@ -150,16 +148,14 @@ def _part(doc: Column, fmt: str, name, order, xml: Column):
 CONTENT_TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>'
 
 
-def _frame(df: DataFrame, fmt: str, doc: str, main: str) -> DataFrame:
-    """The two package-level parts every office file carries."""
+def _parts(df: DataFrame, fmt: str, doc: str, main: str, named: dict[str, Column]) -> DataFrame:
+    """The two package-level parts every office file carries and the ``named`` ones, from one scan."""
     root = (
         '<?xml version="1.0"?><Relationships><Relationship Id="rId1" '
         f'Type="officeDocument" Target="{main}"/></Relationships>'
     )
-    parts = F.array(
-        F.struct(F.lit("[Content_Types].xml").alias("part"), F.lit(CONTENT_TYPES).alias("xml")),
-        F.struct(F.lit("_rels/.rels").alias("part"), F.lit(root).alias("xml")),
-    )
+    bodies = {"[Content_Types].xml": F.lit(CONTENT_TYPES), "_rels/.rels": F.lit(root), **named}
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), xml.alias("xml")) for name, xml in bodies.items()])
     return df.select(
         F.col(doc).alias("doc_id"), F.lit(fmt).alias("format"), F.posexplode(parts).alias("ord", "p")
     ).select("doc_id", "format", "p.part", "ord", "p.xml")
@@ -167,13 +163,12 @@ def _frame(df: DataFrame, fmt: str, doc: str, main: str) -> DataFrame:
 
 def docx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word-processing package per document: a paragraph per line, a run per sentence."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = by_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     run, para = "<w:r><w:t>", "</w:t></w:r>"
     inner = F.replace(xml_escape("text"), F.lit(". "), F.lit(f". {para}{run}"))
     inner = F.replace(inner, F.lit("\n"), F.lit(f"{para}</w:p><w:p>{run}"))
     body = F.concat(F.lit(f"<w:document><w:body><w:p>{run}"), inner, F.lit(f"{para}</w:p><w:sectPr/></w:body></w:document>"))
-    main = docs.select(*_part(F.col("doc_id"), "docx", "word/document.xml", 2, body))
-    return _frame(docs, "docx", "doc_id", "word/document.xml").unionByName(main)
+    return _parts(docs, "docx", "doc_id", "word/document.xml", {"word/document.xml": body})
 
 
 def slide_xml() -> Column:
@@ -202,7 +197,7 @@ def slide_xml() -> Column:
 
 def pptx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A presentation per conversation, one slide part per turn."""
-    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    turns = by_key(table(spark, sf_dir, "conversations"), "conv_id")
     number = (F.col("turn") + 1).cast("string")
     slides = turns.select(
         *_part(
@@ -227,12 +222,8 @@ def pptx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         )), ""),
         F.lit("</Relationships>"),
     )
-    return (
-        _frame(convs, "pptx", "conv_id", "ppt/presentation.xml")
-        .unionByName(convs.select(*_part(F.col("conv_id"), "pptx", "ppt/presentation.xml", 2, deck)))
-        .unionByName(convs.select(*_part(F.col("conv_id"), "pptx", "ppt/_rels/presentation.xml.rels", 3, rels)))
-        .unionByName(slides)
-    )
+    named = {"ppt/presentation.xml": deck, "ppt/_rels/presentation.xml.rels": rels}
+    return _parts(convs, "pptx", "conv_id", "ppt/presentation.xml", named).unionByName(slides)
 
 
 def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +232,8 @@ def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: quantity, price in cents, a formula, and two shared strings (order
     status and priority) taken from the order's own shared-string part.
     """
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
-    li = spread(table(spark, sf_dir, "lineitem").select(
+    orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    li = by_key(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"), "l_orderkey")
     sheet_ids = F.sequence(F.lit(1), F.lit(7))
     workbook = F.concat(
@@ -282,14 +273,8 @@ def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     name = F.concat(F.lit("xl/worksheets/sheet"), F.col("l_linenumber").cast("string"), F.lit(".xml"))
     sheets = li.select(*_part(F.col("l_orderkey"), "xlsx", name, F.col("l_linenumber") + 5, sheet))
-    key = F.col("o_orderkey")
-    return (
-        _frame(orders, "xlsx", "o_orderkey", "xl/workbook.xml")
-        .unionByName(orders.select(*_part(key, "xlsx", "xl/workbook.xml", 2, workbook)))
-        .unionByName(orders.select(*_part(key, "xlsx", "xl/_rels/workbook.xml.rels", 3, rels)))
-        .unionByName(orders.select(*_part(key, "xlsx", "xl/sharedStrings.xml", 4, strings)))
-        .unionByName(sheets)
-    )
+    named = {"xl/workbook.xml": workbook, "xl/_rels/workbook.xml.rels": rels, "xl/sharedStrings.xml": strings}
+    return _parts(orders, "xlsx", "o_orderkey", "xl/workbook.xml", named).unionByName(sheets)
 
 
 def pdf_packages(spark: SparkSession, sf_dir: str) -> DataFrame:

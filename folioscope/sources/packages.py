@@ -24,7 +24,7 @@ MAX_NESTED_DEPTH = 1
 # File extension -> format.
 FORMATS = {
     "pptx": "pptx", "docx": "docx", "xlsx": "xlsx", "pdf": "pdf",
-    "svg": "svg", "html": "html", "json": "json",
+    "svg": "svg", "html": "html", "htm": "html", "json": "json",
 }
 
 PARTS_SCHEMA = (
@@ -53,18 +53,20 @@ def format_of(path: Column) -> Column:
 def scan_packages(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """One row per file: format by extension, size, digest, bytes.
 
-    The length filter is pushed into the source, so oversized files are listed
-    (see ``oversized``) but never read into memory.
+    A file above the input limit is a row without bytes whose ``blocked`` says why. The length
+    filters are pushed into the source, so such a file is never read into memory.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= limits.input_bytes).select(
-        F.col("path").alias("doc_id"),
-        "path",
-        format_of(F.col("path")).alias("format"),
-        F.col("length").alias("byte_len"),
-        F.sha2("content", 256).alias("sha256"),
-        "content",
-    )
+    small, large = F.col("length") <= limits.input_bytes, F.col("length") > limits.input_bytes
+
+    def rows(kept: DataFrame, digest: Column, content: Column, blocked: Column) -> DataFrame:
+        return kept.select(
+            F.col("path").alias("doc_id"), "path", format_of(F.col("path")).alias("format"), F.col("length").alias("byte_len"),
+            digest.alias("sha256"), content.alias("content"), blocked.cast("string").alias("blocked"))
+
+    read = rows(files.filter(small), F.sha2("content", 256), F.col("content"), F.lit(None))
+    refused = rows(files.filter(large), F.lit(None).cast("string"), F.lit(None).cast("binary"), F.lit("INPUT_TOO_LARGE"))
+    return read.unionByName(refused)
 
 
 def oversized(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
@@ -104,8 +106,10 @@ def _decode(name: str, data: bytes) -> str | None:
         return None
 
 
-def _shred_one(doc_id, fmt, content: bytes, limits: Limits) -> list[tuple]:
+def _shred_one(doc_id, fmt, content: bytes | None, blocked: str | None, limits: Limits) -> list[tuple]:
     blank = [None] * 6
+    if content is None:
+        return [(doc_id, fmt, None, None, *blank, blocked or "INPUT_MISSING")]
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             reason = _refusal(archive, limits)
@@ -136,10 +140,11 @@ def shred(packages: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, fmt, content in zip(batch["doc_id"], batch["format"], batch["content"]):
-                yield pd.DataFrame(_shred_one(doc_id, fmt, content, limits), columns=names)
+            for doc_id, fmt, content, blocked in zip(batch["doc_id"], batch["format"], batch["content"], batch["blocked"]):
+                yield pd.DataFrame(_shred_one(doc_id, fmt, content, blocked, limits), columns=names)
 
-    narrow = packages.select(F.col("doc_id").cast("string").alias("doc_id"), "format", "content")
+    blocked = F.col("blocked") if "blocked" in packages.columns else F.lit(None).cast("string")
+    narrow = packages.select(F.col("doc_id").cast("string").alias("doc_id"), "format", "content", blocked.alias("blocked"))
     return narrow.mapInPandas(explode, PARTS_SCHEMA)
 
 
@@ -159,30 +164,28 @@ def pack(parts: DataFrame, limits: Limits = Limits()) -> DataFrame:
         else F.encode(F.col("xml"), "UTF-8")
     rows = parts.select("doc_id", "format", "part", "ord", body.alias("content"))
     totals = rows.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("content")).alias("bytes")
+        F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("content")).alias("bytes"), F.min(F.struct("ord", "part")).alias("first")
     )
     over = (F.col("entries") > limits.entries) | (F.col("bytes") > limits.expanded_bytes)
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        if first["over"]:
+            return pd.DataFrame([(first["doc_id"], None, None, "PACKAGE_TOO_LARGE")], columns=["doc_id", "format", "content", "blocked"])
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
             for name, data in frame.sort_values("ord", kind="stable")[["part", "content"]].itertuples(index=False):
                 archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
-        first = frame.iloc[0]
         return pd.DataFrame([(first["doc_id"], first["format"], buffer.getvalue(), None)],
                             columns=["doc_id", "format", "content", "blocked"])
 
     id_type = parts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, format string, content binary, blocked string"
-    packed = (
-        rows.join(totals.filter(~over).select("doc_id"), "doc_id", "left_semi")
-        .groupBy("doc_id").applyInPandas(build, schema)
-    )
-    refused = totals.filter(over).select(
-        "doc_id", F.lit(None).cast("string").alias("format"), F.lit(None).cast("binary").alias("content"),
-        F.lit("PACKAGE_TOO_LARGE").alias("blocked"),
-    )
-    return packed.unionByName(refused)
+    # Of a package above the limits one row without bytes is left, so that nothing large is gathered.
+    sized = rows.join(totals.select("doc_id", over.alias("over"), "first"), "doc_id")
+    kept = sized.filter(~F.col("over") | (F.struct("ord", "part") == F.col("first"))).withColumn(
+        "content", F.when(~F.col("over"), F.col("content")))
+    return kept.drop("first").groupBy("doc_id").applyInPandas(build, schema)
 
 
 def write_packages(packed: DataFrame, path: str) -> None:

@@ -29,6 +29,11 @@ def semantic_part() -> Column:
     )
 
 
+def readable_part() -> Column:
+    """Of a presentation only its slides are read: layouts, masters and notes hold no text of the document."""
+    return (F.col("format") != "pptx") | semantic_part()
+
+
 def text_objects(parts: DataFrame, tags: tuple[str, ...] = TEXT_TAGS) -> DataFrame:
     """Text nodes with their position among all nodes of the part.
 
@@ -36,7 +41,7 @@ def text_objects(parts: DataFrame, tags: tuple[str, ...] = TEXT_TAGS) -> DataFra
     edit. Everything is one explode per part: no shuffle.
     """
     return (
-        parts.filter(F.col("xml").isNotNull())
+        parts.filter(F.col("xml").isNotNull() & readable_part())
         .select("doc_id", "format", "part", F.posexplode(elements("xml", *tags)).alias("idx", "raw"))
         .select("doc_id", "format", "part", "idx", xml_unescape("raw").alias("text"))
         .filter(not_blank("text"))
@@ -64,7 +69,7 @@ def tables(parts: DataFrame, tags: tuple[str, str, str], text_tags: tuple[str, .
     """Table objects with row and column counts; ragged rows are kept."""
     nested = nested_tables(F.col("xml"), tags, text_tags)
     return (
-        parts.filter(F.col("xml").isNotNull())
+        parts.filter(F.col("xml").isNotNull() & readable_part())
         .select("doc_id", "format", "part", F.posexplode(nested).alias("table", "rows"))
         .select(
             "doc_id", "part", "table",

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscope.operators.runs import finish_summary, trace_aggregates
+from folioscope.operators.runs import run_summary
 
 TRACE_SCHEMA = (
     "run_id string, step_idx int, step_id string, command string, status string, exit_code int, started_ms bigint, "
@@ -14,36 +13,30 @@ TRACE_SCHEMA = (
 )
 
 
+SUMMARISED = ["run_id", "step_idx", "step_id", "status", "started_ms", "finished_ms"]
+
+
 def read_traces(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Append-only log files, picked up as they appear."""
     return spark.readStream.schema(TRACE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def summaries(traces: DataFrame) -> DataFrame:
-    """Running summary per run. The state is one row of aggregates per run.
-
-    A log ends at its first failure, so the plain aggregates suffice; there
-    are no event times to put a watermark on.
-    """
-    return traces.groupBy("run_id").agg(*trace_aggregates())
-
-
 def start_summaries(traces: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the latest summary of every run as versioned Parquet rows.
+    """Keep the columns a summary needs as a Parquet table that grows with the log.
 
-    Each micro-batch writes only the runs it changed, into its own batch
-    folder, so a replayed batch overwrites itself; ``latest`` reads the newest
-    version of each run.
+    Which steps count depends on the first failure, and that may arrive after later steps. So the
+    stream appends rows, and :func:`latest` summarises them as the batch does: the same log gives
+    the same answer either way. Each micro-batch writes its own folder, so a replayed batch
+    overwrites itself.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        finish_summary(batch).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        batch.select(*SUMMARISED).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
-    writer = summaries(traces).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = traces.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def latest(spark: SparkSession, table_path: str) -> DataFrame:
-    rows = spark.read.parquet(table_path)
-    columns = [c for c in rows.columns if c not in ("version", "batch", "run_id")]
-    return rows.groupBy("run_id").agg(F.max_by(F.struct(*columns), "version").alias("s")).select("run_id", "s.*")
+    """Summary of every run seen so far."""
+    return run_summary(spark.read.parquet(table_path).select(*SUMMARISED))

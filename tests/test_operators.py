@@ -219,11 +219,17 @@ def test_paths_and_roots(spark):
     assert got == ["<userHome>/x.txt <uncPath> <userHome> <absolutePath> http://h/a/b #<absolutePath>", "#/a/b/c"]
 
 
-def test_json_leaves_go_beyond_the_depth_limit(spark, rows):
+def test_json_leaves_go_to_any_depth(spark, rows):
     doc = {"a": [{"b": "/opt/x/y"}, 1, None], "c": {"d": {"e": {"f": "deep"}}}}
     df = spark.createDataFrame([(1, json.dumps(doc)), (2, "no json")], "id int, j string")
-    assert rows(redaction.json_leaves(df, ["id"], "j", depth=2), "location", "value") == [
-        ("$.a[0]", '{"b":"/opt/x/y"}'), ("$.a[1]", "1"), ("$.a[2]", None), ("$.c.d", '{"e":{"f":"deep"}}')]
+    assert rows(redaction.json_leaves(df, ["id"], "j"), "location", "value") == [
+        ("$.a[0].b", "/opt/x/y"), ("$.a[1]", "1"), ("$.a[2]", None), ("$.c.d.e.f", "deep")]
+    leaf = 'leaf \\" ] } \\\\'
+    nested = leaf
+    for level in range(40):
+        nested = {f"k{level}": nested} if level % 2 else [nested]
+    deep = spark.createDataFrame([(1, json.dumps(nested))], "id int, j string")
+    assert [r["value"] for r in redaction.json_leaves(deep, ["id"], "j").collect()] == [leaf]
     assert ("$.a[0].b", "<absolutePath>", True) in rows(redaction.redact_json(df, ["id"], "j"), "location", "redacted", "changed")
 
 
@@ -253,6 +259,37 @@ def test_values_are_not_expanded_again(spark, rows):
     assert rows(templates.fill_report(filled), "record_id", "readiness") == [(1, "pass"), (2, "blocked")]
 
 
+def test_a_fill_that_makes_a_formula_unsafe_is_blocked(spark, rows):
+    t = spark.createDataFrame([("t", "<c><f>SUM({{x}})</f></c>")], "template_id string, xml string")
+    d = spark.createDataFrame([(1, "t", '{"x":"A1"}'), (2, "t", '{"x":"WEBSERVICE(1)"}')], "record_id int, template_id string, json string")
+    filled = templates.fill(t, d)
+    assert rows(filled, "record_id", "filled") == [(1, "<c><f>SUM(A1)</f></c>"), (2, None)]
+    assert rows(templates.fill_report(filled), "record_id", "code", "readiness") == [(1, None, "pass"), (2, "XLSX_FORMULA_UNSAFE", "blocked")]
+
+
+def test_two_edits_of_one_node_leave_the_last(spark):
+    parts = spark.createDataFrame([("d", "docx", "p.xml", "<w:t>a</w:t><w:t>b</w:t>")], "doc_id string, format string, part string, xml string")
+    changes = spark.createDataFrame([("d", "p.xml", 0, "late", 2), ("d", "p.xml", 0, "soon", 1)], "doc_id string, part string, idx int, text string, op_idx int")
+    assert edits.write_back(parts, changes).first()["xml"] == "<w:t>late</w:t><w:t>b</w:t>"
+
+
+def test_gates_on_a_missing_document_fail(spark, rows):
+    summary = spark.createDataFrame([("d", 3, 3, 0, 0)], "doc_id string, slides int, pages int, warnings int, blank_pages int")
+    objects = spark.createDataFrame([("d", "hello")], "doc_id string, text string")
+    gates = spark.createDataFrame(
+        [("d", 3, None, ["hello"], None, None, None), ("gone", 3, None, ["hello"], None, None, None)],
+        "doc_id string, expected_slides int, expected_pages int, required_text array<string>, forbidden_text array<string>, max_warnings int, max_blank_pages int")
+    assert rows(verification.evaluate_gates(summary, objects, gates), "doc_id", "code") == [("gone", "GATE_EXPECTED_SLIDES"), ("gone", "GATE_REQUIRED_TEXT_MISSING")]
+
+
+def test_layouts_and_notes_are_not_text_of_a_presentation(spark, rows):
+    from folioscope.sources import textnodes
+
+    names = ["ppt/slides/slide1.xml", "ppt/slideLayouts/slideLayout1.xml", "ppt/notesSlides/notesSlide1.xml"]
+    parts = spark.createDataFrame([("d", "pptx", n, f"<a:t>{n}</a:t>") for n in names], "doc_id string, format string, part string, xml string")
+    assert rows(textnodes.text_objects(parts), "text") == [("ppt/slides/slide1.xml",)]
+
+
 def test_conflicting_operation_arrays(spark, rows):
     df = spark.createDataFrame([("a", "[1]", "[1]"), ("b", "[1]", "[2]"), ("c", None, "[2]")], "batch_id string, operations string, ops string")
     assert rows(edits.conflicting_arrays(df), "batch_id") == [("b",)]
@@ -325,5 +362,7 @@ def test_streamed_summaries_follow_the_log(spark, tmp_path, rows):
     assert advance() == [("a", 1, None, 4), ("b", 1, None, 4)]
     append("2.jsonl", [("a", 1, "pass"), ("a", 2, "fail")])
     assert advance() == [("a", 2, "s2", 24), ("b", 1, None, 4)]
+    append("3.jsonl", [("a", 3, "pass"), ("b", 1, "fail"), ("b", 2, "pass")])
+    assert advance() == [("a", 2, "s2", 24), ("b", 1, "s1", 14)]
     batch = spark.read.schema(traces.TRACE_SCHEMA).json(str(log))
     assert rows(runs.run_summary(batch), "run_id", "completed_steps", "failed_step", "duration_ms") == advance()

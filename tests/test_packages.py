@@ -39,6 +39,9 @@ def test_scan_reads_files_with_format_size_and_digest(spark, tmp_path, rows):
     (tmp_path / "c.bin").write_bytes(b"0" * 50)
     scanned = packages.scan_packages(spark, str(tmp_path), Limits(input_bytes=400))
     assert rows(scanned, "format") == [("docx",), ("pdf",), ("unknown",)]
+    tight = packages.scan_packages(spark, str(tmp_path), Limits(input_bytes=40))
+    assert rows(tight, "format", "blocked") == [("docx", "INPUT_TOO_LARGE"), ("pdf", None), ("unknown", "INPUT_TOO_LARGE")]
+    assert ("INPUT_TOO_LARGE",) in rows(packages.shred(tight), "blocked")
     assert rows(packages.oversized(spark, str(tmp_path), Limits(input_bytes=40)), "code")[0] == ("INPUT_TOO_LARGE",)
 
 
@@ -208,7 +211,7 @@ def test_sheet_data_round_trip(spark, rows):
     xml = edits.sheet_data(cells).select("xml").first()[0]
     assert xml == ('<sheetData><row r="2"><c r="A2"><v>5</v></c></row><row r="10"><c r="A10"><f>A2*2</f></c>'
                    '<c r="B10" t="inlineStr"><is><t>x&lt;y</t></is></c></row></sheetData>')
-    assert rows(edits.sheet_data(cells, max_cells=2), "blocked") == [("PART_TOO_LARGE",)]
+    assert rows(edits.sheet_data(cells, max_bytes=20), "blocked") == [("PART_TOO_LARGE",)]
 
 
 def test_pdf_information_fields(spark, rows):
