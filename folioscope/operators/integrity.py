@@ -211,34 +211,36 @@ def _anchor(pattern: Column) -> Column:
     return F.array_max(ranked)["word"]
 
 
-def text_hits(objects: DataFrame, patterns: DataFrame, chunk: int = 500, keep: tuple[str, ...] = ()) -> DataFrame:
+GRAM = 3
+
+
+def text_hits(objects: DataFrame, patterns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, object_id, pattern_id)`` for every pattern a text contains, ignoring case.
 
     ``keep`` adds columns of the matching object.
 
-    Patterns with an inner word are found by an equi-join on that word and then
-    verified on the whole text; texts are joined as distinct words only. The
-    few patterns without an inner word are tested in place, ``chunk`` literals
-    per pass, so their number is not limited either.
+    Patterns with an inner word are found by an equi-join on that word, the others by their
+    first ``GRAM`` characters (all of a shorter one); texts are joined as distinct words and as
+    distinct character runs of these lengths. Candidates are verified on the whole text. The
+    plan is the same for any number of patterns.
     """
     lowered = patterns.select("pattern_id", F.lower("pattern").alias("needle")).filter(F.col("needle") != "")
-    keyed = lowered.withColumn("word", _anchor(F.col("needle")))
-    anchored = keyed.filter(F.col("word").isNotNull())
-    words = objects.select(
-        "doc_id", "object_id",
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"({WORD})"), F.lit(1)))).alias("word"))
-    candidates = words.join(anchored.select("pattern_id", "word", "needle"), "word").drop("word")
-    found = (
-        candidates.join(objects.select("doc_id", "object_id", "text"), ["doc_id", "object_id"])
+    word = _anchor(F.col("needle"))
+    keyed = lowered.withColumn("word", word).withColumn("key", F.coalesce("word", F.substring("needle", 1, GRAM)))
+    text = F.lower("text")
+    words = F.regexp_extract_all(text, F.lit(rf"({WORD})"), F.lit(1))
+    grams = F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)])
+
+    def found(keys: Column, wanted: DataFrame) -> DataFrame:
+        held = objects.select("doc_id", "object_id", F.explode(F.array_distinct(keys)).alias("key"))
+        return held.join(wanted.select("pattern_id", "key", "needle"), "key").drop("key")
+
+    candidates = found(words, keyed.filter(F.col("word").isNotNull())).unionByName(found(grams, keyed.filter(F.col("word").isNull())))
+    return (
+        candidates.join(objects.select("doc_id", "object_id", "text", *[c for c in keep if c != "text"]), ["doc_id", "object_id"])
         .filter(F.contains(F.lower("text"), F.col("needle")))
         .select("doc_id", "object_id", "pattern_id", *keep)
     )
-    short = [(r["pattern_id"], r["needle"]) for r in keyed.filter(F.col("word").isNull()).toLocalIterator()]
-    for start in range(0, len(short), chunk):
-        tests = [F.when(F.contains(F.lower("text"), F.lit(needle)), F.lit(ident)) for ident, needle in short[start:start + chunk]]
-        found = found.unionByName(objects.select(
-            "doc_id", "object_id", F.explode(F.array_compact(F.array(*tests))).alias("pattern_id"), *keep))
-    return found
 
 
 def forbidden_text(objects: DataFrame, patterns: DataFrame, margin: int = 24) -> DataFrame:
@@ -257,7 +259,3 @@ def missing_text(objects: DataFrame, patterns: DataFrame, required: DataFrame) -
     """``required`` holds ``(doc_id, pattern_id)``; rows not found in the document are returned."""
     hits = text_hits(objects, patterns).select("doc_id", "pattern_id").distinct()
     return required.join(hits, ["doc_id", "pattern_id"], "left_anti")
-
-
-def count_matches(text: str, pattern: str) -> Column:
-    return F.size(matches(text, pattern, 0))

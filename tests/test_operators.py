@@ -166,7 +166,7 @@ def test_text_hits_equal_substring_search(spark, rows):
     needles = ["alpha beta gamma", "eta", "a b", "GAMMA delta-x alpha", "-", "épsilon zeta. beta", "missing phrase here", "lpha beta gam"]
     want = [(d, p) for d, _, t in texts for p, n in enumerate(needles) if n.lower() in t.lower()]
     got = integrity.text_hits(spark.createDataFrame(texts, "doc_id string, object_id string, text string"),
-                              spark.createDataFrame(list(enumerate(needles)), "pattern_id int, pattern string"), chunk=2)
+                              spark.createDataFrame(list(enumerate(needles)), "pattern_id int, pattern string"))
     assert rows(got, "doc_id", "pattern_id") == sorted(want, key=repr)
 
 
@@ -233,6 +233,15 @@ def test_json_leaves_go_to_any_depth(spark, rows):
     assert ("$.a[0].b", "<absolutePath>", True) in rows(redaction.redact_json(df, ["id"], "j"), "location", "redacted", "changed")
 
 
+def test_thousands_of_one_word_patterns(spark):
+    texts = [(f"d{i}", "o", f"start w{i}x and W{i * 7}Y, é! end{i}") for i in range(60)]
+    patterns = [(n, p) for n, p in enumerate([*(f"w{i}x" for i in range(2500)), *(f"{i}y" for i in range(2497)), "é", "D1", "and"])]
+    objects = spark.createDataFrame(texts, "doc_id string, object_id string, text string")
+    wanted = spark.createDataFrame(patterns, "pattern_id int, pattern string")
+    got = {(r["doc_id"], r["pattern_id"]) for r in integrity.text_hits(objects, wanted).collect()}
+    assert got == {(d, n) for d, _, t in texts for n, p in patterns if p.lower() in t.lower()}
+
+
 # --- edits, templates ----------------------------------------------------------------------------
 
 
