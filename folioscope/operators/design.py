@@ -27,18 +27,18 @@ def color_counts(parts: DataFrame, pattern: str = COLOR) -> DataFrame:
     return _color_hits(parts, pattern).groupBy("doc_id", "color").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def colors(parts: DataFrame, pattern: str = COLOR) -> DataFrame:
-    """Colour counts per document with up to six source parts."""
+def colors(parts: DataFrame, pattern: str = COLOR, shown: int = 6) -> DataFrame:
+    """Colour counts per document with up to ``shown`` source parts."""
     per_part = _color_hits(parts, pattern).groupBy("doc_id", "color", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = per_part.groupBy("doc_id", "color").agg(F.sum("n").alias("uses"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "color").orderBy("part"))
-    sources = per_part.withColumn("rn", rank).filter(F.col("rn") <= 6).groupBy("doc_id", "color").agg(
+    sources = per_part.withColumn("rn", rank).filter(F.col("rn") <= shown).groupBy("doc_id", "color").agg(
         F.array_join(F.array_sort(F.collect_list("part")), ",").alias("sources"))
     return counts.join(sources, ["doc_id", "color"])
 
 
-def color_roles(counts: DataFrame, background: DataFrame, text: DataFrame) -> DataFrame:
-    """Background, text and up to three accent colours per document.
+def color_roles(counts: DataFrame, background: DataFrame, text: DataFrame, accents: int = 3) -> DataFrame:
+    """Background, text and up to ``accents`` accent colours per document.
 
     The background is the most used explicit background colour, else the most
     used colour; accents exclude both.
@@ -50,9 +50,9 @@ def color_roles(counts: DataFrame, background: DataFrame, text: DataFrame) -> Da
     used = back.select("doc_id", "color").unionByName(front.select("doc_id", "color"))
     rest = counts.select("doc_id", "color", "uses").join(used, ["doc_id", "color"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("uses").desc(), "color"))
-    accents = rest.withColumn("rn", rank).filter(F.col("rn") <= 3).select(
+    chosen = rest.withColumn("rn", rank).filter(F.col("rn") <= accents).select(
         "doc_id", "color", F.lit(0.55).alias("confidence"), F.lit("accent").alias("role"))
-    return back.unionByName(front).unionByName(accents)
+    return back.unionByName(front).unionByName(chosen)
 
 
 def _top(counts: DataFrame) -> DataFrame:

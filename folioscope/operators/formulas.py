@@ -13,6 +13,7 @@ from folioscope.operators.integrity import explode_issues, issue
 # Functions that recalculate on every change.
 VOLATILE = ["CELL", "INDIRECT", "INFO", "NOW", "OFFSET", "RAND", "RANDBETWEEN", "TODAY"]
 
+# The grammar of strings, table references, cell references and names.
 STRING = r'"(?:[^"]|"")*+"'
 # A table name and its bracket, which may hold brackets one level deep.
 STRUCTURED = r"\b([A-Za-z_][A-Za-z0-9_.]*)\s*\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"

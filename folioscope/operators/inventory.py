@@ -348,10 +348,8 @@ SLIDE_ELEMENTS = {"p:sp": "shape", "p:pic": "picture", "p:grpSp": "group", "p:cx
 
 def slide_objects(parts: DataFrame) -> DataFrame:
     """Shapes, pictures, groups, connectors and frames with name, placeholder, bounds, text."""
-    names = "|".join(SLIDE_ELEMENTS)
     # One alternative per element so that the closing tag belongs to the opening one.
     pattern = "(?s)" + "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}>" for tag in SLIDE_ELEMENTS)
-    del names
     kinds = F.create_map(*[F.lit(v) for pair in SLIDE_ELEMENTS.items() for v in pair])
     blocks = parts.filter(F.col("part").rlike(r"^ppt/slides/slide\d+\.xml$")).select(
         "doc_id", "part",

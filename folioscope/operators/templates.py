@@ -103,8 +103,8 @@ def _quoted(json: str, name: str) -> Column:
 
 
 def rank_templates(templates: DataFrame, tags: DataFrame, fields: DataFrame, requests: DataFrame, request_tags: DataFrame,
-                   request_fields: DataFrame, source_fields: DataFrame | None = None) -> DataFrame:
-    """Templates scored per request; zero scores drop out, ties go by id.
+                   request_fields: DataFrame, source_fields: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Templates scored per request; zero scores drop out, ties go by id; the best ``limit``, or all.
 
     ``templates``: ``template_id, search_text``; ``tags`` / ``fields``: one row
     per value; ``requests``: ``request_id, query``. Tag and field scores are
@@ -126,7 +126,8 @@ def rank_templates(templates: DataFrame, tags: DataFrame, fields: DataFrame, req
         scored = scored.unionByName(mapped)
     totals = scored.groupBy("request_id", "template_id").agg(F.sum("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("score").desc(), "template_id"))
-    return totals.withColumn("rank", rank)
+    ranked = totals.withColumn("rank", rank)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def normalize_field(name) -> Column:

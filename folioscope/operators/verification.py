@@ -46,18 +46,19 @@ def category(code: str = "code") -> Column:
     )
 
 
-def summarize_issues(issues: DataFrame, order: list[str]) -> DataFrame:
-    """Per document and code: count, worst severity, category, first three examples.
+def summarize_issues(issues: DataFrame, order: list[str], examples: int = 3) -> DataFrame:
+    """Per document and code: count, worst severity, category, first ``examples`` messages.
 
-    Counts are partial aggregates; the examples are a ranked cut of three that
-    Spark applies before the shuffle. No group of issues is gathered whole.
+    Counts are partial aggregates; the examples are a ranked cut that Spark
+    applies before the shuffle. No group of issues is gathered whole; ``issues``
+    tells how many messages there are in all.
     """
     keys = ["doc_id", "code"]
     counted = issues.groupBy(*keys).agg(F.count(F.lit(1)).alias("issues"), F.max(severity_rank()).alias("rank"))
     spot = Window.partitionBy(*keys).orderBy(*order)
-    first = issues.withColumn("rn", F.row_number().over(spot)).filter(F.col("rn") <= 3)
-    examples = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "message"))).alias("e"))
-    return counted.join(examples, keys).select(
+    first = issues.withColumn("rn", F.row_number().over(spot)).filter(F.col("rn") <= examples)
+    shown = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "message"))).alias("e"))
+    return counted.join(shown, keys).select(
         *keys, "issues", severity_name(F.col("rank")).alias("severity"), category().alias("category"),
         F.array_join(F.transform("e", lambda e: e["message"]), " | ").alias("examples"),
     )
@@ -391,20 +392,20 @@ def repair_taxonomy(issues: DataFrame, repairable: Column) -> DataFrame:
 # --- corpus level -----------------------------------------------------------------------
 
 
-def corpus_report(results: DataFrame) -> DataFrame:
-    """One row for the corpus: counts, readiness, status, first eight distinct errors.
+def corpus_report(results: DataFrame, errors: int = 8) -> DataFrame:
+    """One row for the corpus: counts, readiness, status, the first distinct errors.
 
     ``results``: ``doc_id, ok, error, position``. Errors are reduced to their
-    first position before the eight are chosen.
+    first position before ``errors`` of them are chosen, as they end up in one text.
     """
     failed = F.when(~F.col("ok"), F.coalesce("error", F.lit("unknown")))
     totals = results.agg(F.count(F.lit(1)).alias("documents"), F.count_if("ok").alias("ok_count")).withColumn(
         "e", F.lit(None).cast("struct<first:bigint,error:string>"))
     distinct = results.filter(~F.col("ok")).groupBy(failed.alias("error")).agg(F.min("position").alias("first")).filter(F.col("error") != "")
-    head = distinct.orderBy("first", "error").limit(8).select(
+    head = distinct.orderBy("first", "error").limit(errors).select(
         F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("ok_count"),
         F.struct(F.col("first").cast("bigint").alias("first"), "error").alias("e"))
-    # One row of totals and at most eight rows of errors are folded into one.
+    # One row of totals and the few rows of errors are folded into one.
     out = totals.unionByName(head).agg(
         F.sum("documents").alias("documents"), F.sum("ok_count").alias("ok_count"), F.array_sort(F.collect_list("e")).alias("e"))
     done, total = F.col("ok_count"), F.col("documents")

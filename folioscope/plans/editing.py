@@ -577,7 +577,7 @@ def _(spark, sf):
 WITH t AS (SELECT doc_id, lower(text) AS s, source || '-' || lang AS tag FROM documents),
 q AS (SELECT item_id, lower(trim(text)) AS q, 'src' || item_id % 20 || '-en' AS tag, 'q' || item_id % 2 AS field FROM benchmark),
 a AS (SELECT item_id, doc_id, 5 AS w FROM q JOIN t ON contains(s, q) UNION ALL SELECT item_id, doc_id, 3 FROM q JOIN t ON q.tag = t.tag
-      UNION ALL SELECT item_id, doc_id, 2 FROM q JOIN labels ON field = 'q' || quality AND doc_id % 10 = 0),
+      UNION ALL SELECT item_id, doc_id, 2 FROM q JOIN labels ON field = 'q' || quality),
 r AS (SELECT item_id, doc_id, CAST(sum(w) AS BIGINT) AS score, row_number() OVER (PARTITION BY item_id ORDER BY sum(w) DESC, doc_id) AS rank FROM a GROUP BY 1, 2)
 SELECT item_id AS request_id, doc_id AS template_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def _(spark, sf):
@@ -587,11 +587,12 @@ def _(spark, sf):
     ranked = templates.rank_templates(
         docs.select(F.col("doc_id").alias("template_id"), F.col("text").alias("search_text")),
         docs.select(F.col("doc_id").alias("template_id"), F.concat_ws("-", "source", "lang").alias("tag")),
-        corpus.table(spark, sf, "labels").filter(F.col("doc_id") % 10 == 0).select(F.col("doc_id").alias("template_id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("field")),
+        corpus.table(spark, sf, "labels").select(F.col("doc_id").alias("template_id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("field")),
         items.select(request, F.col("text").alias("query")),
         items.select(request, F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string"), F.lit("-EN")).alias("tag")),
-        items.select(request, F.concat(F.lit("Q"), (F.col("item_id") % 2).cast("string")).alias("field")))
-    return ranked.filter(F.col("rank") <= 10)
+        items.select(request, F.concat(F.lit("Q"), (F.col("item_id") % 2).cast("string")).alias("field")),
+        limit=10)
+    return ranked
 
 
 @query("map_fields", r"""
