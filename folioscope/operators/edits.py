@@ -242,20 +242,22 @@ def chart_to_cells(charts: DataFrame, points: DataFrame) -> tuple[DataFrame, Dat
 # --- batches ---------------------------------------------------------------------------------
 
 
-def apply_batch(outcomes: DataFrame, atomic: bool = True, dry_run: bool = False) -> DataFrame:
+def apply_batch(outcomes: DataFrame, atomic: bool = True, dry_run: bool = False, continue_on_error: bool = False, allow_partial: bool = False) -> DataFrame:
     """Final status per operation of a batch.
 
     ``outcomes``: ``batch_id, doc_id, op_idx, required, failed``. The first
-    required failure of a document skips every later operation; in an atomic
-    batch it also undoes the earlier ones. ``dry_run`` reports what would change.
+    required failure of a document skips every later operation, unless
+    ``continue_on_error``. Nothing of such a document is written: what had
+    succeeded is rolled back, unless the batch is not atomic and ``allow_partial``
+    asks for what there is. ``dry_run`` reports what would change.
     """
     stop = outcomes.filter(F.col("failed") & F.col("required")).groupBy("batch_id", "doc_id").agg(F.min("op_idx").alias("stop_at"))
     joined = outcomes.join(stop, ["batch_id", "doc_id"], "left")
     stopped = F.col("stop_at").isNotNull()
     done = "would_change" if dry_run else "applied"
     status = (
-        F.when(stopped & (F.col("op_idx") > F.col("stop_at")), "skipped-after-error").when(F.col("failed"), "failed")
-        .when(stopped & F.lit(atomic), "rolled_back").otherwise(done)
+        F.when(stopped & (F.col("op_idx") > F.col("stop_at")) & F.lit(not continue_on_error), "skipped-after-error").when(F.col("failed"), "failed")
+        .when(stopped & F.lit(atomic or not allow_partial), "rolled_back").otherwise(done)
     )
     return joined.select("batch_id", "doc_id", "op_idx", status.alias("status"))
 

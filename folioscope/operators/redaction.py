@@ -145,8 +145,20 @@ def json_leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return rows.select(*keys, F.inline(leaves))
 
 
+# Locations that are pointers, and locations with the start of a markup file.
+POINTERS = r"\.(?:instancePath|schemaPath)$"
+MARKUP = {r"(?i)\.svg$": r"(?i)^<svg\b", r"(?i)\.html?$": r"(?i)^(?:<!doctype\s+html|<html\b)", r"(?i)\.xml$": r"(?i)^<\?xml\b"}
+
+
 def redact_json(df: DataFrame, keys: list[str], column: str, roots: dict[str, str] | None = None) -> DataFrame:
-    """Every string leaf with paths, then secrets masked, and its location."""
+    """Every string leaf with paths, then secrets masked, and its location.
+
+    Pointers into a document and whole markup files keep their paths.
+    """
     leaves = json_leaves(df, keys, column)
-    return redact_secrets(redact_paths(leaves, "value", roots).withColumnRenamed("redacted", "_path"), "_path").select(
+    exempt = F.col("location").rlike(POINTERS)
+    for name, start in MARKUP.items():
+        exempt = exempt | (F.col("location").rlike(name) & F.ltrim(F.col("value")).rlike(start))
+    masked = redact_paths(leaves, "value", roots).withColumn("_path", F.when(F.coalesce(exempt, F.lit(False)), F.col("value")).otherwise(F.col("redacted")))
+    return redact_secrets(masked.drop("redacted"), "_path").select(
         *keys, "location", "redacted", (F.col("redacted") != F.col("value")).alias("changed"))

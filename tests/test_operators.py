@@ -242,6 +242,25 @@ def test_thousands_of_one_word_patterns(spark):
     assert got == {(d, n) for d, _, t in texts for n, p in patterns if p.lower() in t.lower()}
 
 
+def test_pointers_and_markup_keep_their_paths(spark, rows):
+    doc = {"a": {"instancePath": "/opt/x/y", "other": "/opt/x/y"}, "page.html": "<html> /opt/x/y </html>", "page.txt": "<html> /opt/x/y </html>"}
+    df = spark.createDataFrame([(1, json.dumps(doc))], "id int, j string")
+    assert rows(redaction.redact_json(df, ["id"], "j"), "location", "changed") == [
+        ("$.a.instancePath", False), ("$.a.other", True), ("$.page.html", False), ("$.page.txt", True)]
+
+
+def test_batch_modes(spark, rows):
+    ops = spark.createDataFrame([("b", "d", 0, True, False), ("b", "d", 1, True, True), ("b", "d", 2, True, False)], "batch_id string, doc_id string, op_idx int, required boolean, failed boolean")
+
+    def states(**mode):
+        return [s for _, s in rows(edits.apply_batch(ops, **mode), "op_idx", "status")]
+
+    assert states() == states(atomic=False) == ["rolled_back", "failed", "skipped-after-error"]
+    assert states(atomic=False, allow_partial=True) == ["applied", "failed", "skipped-after-error"]
+    assert states(atomic=False, allow_partial=True, continue_on_error=True) == ["applied", "failed", "applied"]
+    assert states(continue_on_error=True) == ["rolled_back", "failed", "rolled_back"]
+
+
 # --- edits, templates ----------------------------------------------------------------------------
 
 
@@ -250,7 +269,7 @@ def test_batches_atomic_and_best_effort(spark, rows):
     df = spark.createDataFrame(data, "batch_id string, doc_id string, op_idx int, required boolean, failed boolean")
     assert [r[0] for r in edits.apply_batch(df).orderBy("op_idx").select("status").collect()] == [
         "rolled_back", "failed", "rolled_back", "failed", "skipped-after-error"]
-    assert [r[0] for r in edits.apply_batch(df, atomic=False, dry_run=True).orderBy("op_idx").select("status").collect()] == [
+    assert [r[0] for r in edits.apply_batch(df, atomic=False, dry_run=True, allow_partial=True).orderBy("op_idx").select("status").collect()] == [
         "would_change", "failed", "would_change", "failed", "skipped-after-error"]
 
 
