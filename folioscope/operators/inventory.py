@@ -347,15 +347,21 @@ SLIDE_ELEMENTS = {"p:sp": "shape", "p:pic": "picture", "p:grpSp": "group", "p:cx
 
 
 def slide_objects(parts: DataFrame) -> DataFrame:
-    """Shapes, pictures, groups, connectors and frames with name, placeholder, bounds, text."""
+    """Shapes, pictures, groups, connectors and frames with name, placeholder, bounds, text.
+
+    ``pos`` counts elements, ``text_body`` the text bodies of the slide as ``textnodes.runs`` does;
+    it is NULL where an element has none of its own.
+    """
     # One alternative per element so that the closing tag belongs to the opening one.
     pattern = "(?s)" + "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}>" for tag in SLIDE_ELEMENTS)
     kinds = F.create_map(*[F.lit(v) for pair in SLIDE_ELEMENTS.items() for v in pair])
     blocks = parts.filter(F.col("part").rlike(r"^ppt/slides/slide\d+\.xml$")).select(
         "doc_id", "part",
         F.regexp_extract("part", r"slide(\d+)\.xml$", 1).cast("int").alias("slide"),
-        F.posexplode(matches("xml", pattern, 0)).alias("pos", "block"),
-    )
+        matches("xml", pattern, 0).alias("all"),
+    ).withColumn("bodies", F.transform("all", lambda b: F.regexp_count(b, F.lit(r"<p:txBody[\s>]")))).select(
+        "doc_id", "part", "slide", "bodies", F.posexplode("all").alias("pos", "block"))
+    before = F.aggregate(F.slice("bodies", F.lit(1), F.col("pos")), F.lit(0), lambda a, b: a + b)
     props = first_match("block", r"<p:cNvPr\b([^>]*)>", 1)
     off = first_match("block", r"<a:off\b([^>]*)>", 1)
     ext = first_match("block", r"<a:ext\b([^>]*cx=[^>]*)>", 1)
@@ -367,6 +373,7 @@ def slide_objects(parts: DataFrame) -> DataFrame:
     kind = F.element_at(kinds, first_match("block", r"^<([\w:]+)", 1))
     return blocks.select(
         "doc_id", "part", "slide", "pos", kind.alias("kind"),
+        F.when((kind != "group") & (F.col("bodies")[F.col("pos")] > 0), before).alias("text_body"),
         attribute(props, "id").alias("shape_id"),
         xml_unescape(attribute(props, "name")).alias("name"),
         attribute(first_match("block", r"<p:ph\b([^>]*)>", 1), "type").alias("placeholder"),

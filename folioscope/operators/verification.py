@@ -232,7 +232,8 @@ def font_families(runs: DataFrame) -> DataFrame:
 def layout_lint(objects: DataFrame, runs: DataFrame) -> DataFrame:
     """Off-slide boxes, tiny text, long italic text, font mixes and overflow on slides.
 
-    ``objects`` carries ``doc_id, part, shape, text, kind, x, y, w, h``.
+    ``objects`` carries ``doc_id, part, pos, text_body, text, kind, x, y, w, h``; runs meet it on
+    the text body, and a finding names the element by its position as ``shape``.
     """
     keys = ["doc_id", "part", "shape"]
     fonts = font_families(runs)
@@ -245,12 +246,12 @@ def layout_lint(objects: DataFrame, runs: DataFrame) -> DataFrame:
             (acc["seen"] + item["n"]).alias("seen"),
             F.when(acc["size"].isNull() & (acc["seen"] + item["n"] > F.floor(F.col("total") / 2)), item["font_pt"]).otherwise(acc["size"]).alias("size")))
     median = histogram.select(*keys, running["size"].alias("median_pt"))
-    joined = objects.join(shape_runs(runs), keys, "left").join(fonts, keys, "left").join(median, keys, "left")
+    joined = objects.withColumn("shape", F.col("text_body")).join(shape_runs(runs), keys, "left").join(fonts, keys, "left").join(median, keys, "left")
     off = (F.col("x") < -1) | (F.col("y") < -1) | (F.col("x") + F.col("w") > SLIDE_WIDTH) | (F.col("y") + F.col("h") > SLIDE_HEIGHT)
     has_text = F.col("text").rlike(r"\S") & F.col("paragraphs").isNotNull()
     size = F.coalesce("median_pt", F.when(F.col("kind") == "shape", 18.0).otherwise(12.0))
     height = estimated_height(F.col("text"), F.col("w").cast("double"), size, F.greatest(F.lit(1), F.col("paragraphs")))
-    return explode_issues(joined, keys, [
+    return explode_issues(joined.withColumn("shape", F.col("pos")), keys, [
         issue(off, "PPTX_OBJECT_OFF_SLIDE", "warning"),
         issue(has_text & (F.col("smallest_pt") < 9), "PPTX_TINY_TEXT", "warning"),
         issue(has_text & F.col("italic") & (F.length("text") > 24), "PPTX_ITALIC_BODY_TEXT", "info"),

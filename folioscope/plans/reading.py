@@ -412,7 +412,7 @@ SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide, CAST(k AS INT) AS pos,
        CASE k WHEN 0 THEN role ELSE replace(text, chr(10), ' ') END AS text
 FROM conversations, (SELECT unnest([0, 1]) AS k)""")
 def _(spark, sf):
-    return inventory.slide_objects(corpus.pptx_parts(spark, sf)).drop("part", "child_ids", "from_shape", "to_shape")
+    return inventory.slide_objects(corpus.pptx_parts(spark, sf)).drop("part", "text_body", "child_ids", "from_shape", "to_shape")
 
 
 def _chart_parts(spark, sf):

@@ -182,7 +182,7 @@ SELECT conv_id AS doc_id, 'ppt/slides/slide' || (turn + 1) || '.xml' AS part, 1
 UNION ALL SELECT conv_id, 'ppt/slides/slide' || (turn + 1) || '.xml', k, 'PPTX_OBJECT_OFF_SLIDE', 'warning' FROM conversations, (SELECT unnest([1]) AS k) WHERE 168 + 475 > 541""")
 def _(spark, sf):
     parts = corpus.pptx_parts(spark, sf)
-    objects = inventory.slide_objects(parts).withColumnRenamed("pos", "shape")
+    objects = inventory.slide_objects(parts)
     return verification.layout_lint(objects, textnodes.runs(parts))
 
 

@@ -261,6 +261,22 @@ def test_batch_modes(spark, rows):
     assert states(continue_on_error=True) == ["rolled_back", "failed", "rolled_back"]
 
 
+def test_findings_name_the_shape_behind_a_picture(spark, rows):
+    from folioscope.operators import inventory
+    from folioscope.sources import textnodes
+
+    box = '<p:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="952500" cy="952500"/></a:xfrm></p:spPr>'
+    body = '<p:txBody><a:p><a:r><a:rPr sz="{0}"/><a:t>some words</a:t></a:r></a:p></p:txBody>'
+    xml = ('<p:sld><p:pic><p:nvPicPr><p:cNvPr id="1" name="P"/></p:nvPicPr></p:pic>'
+           f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="A"/></p:nvSpPr>{box}{body.format(1800)}</p:sp>'
+           f'<p:sp><p:nvSpPr><p:cNvPr id="3" name="B"/></p:nvSpPr>{box}{body.format(600)}</p:sp></p:sld>')
+    parts = spark.createDataFrame([("d", "pptx", "ppt/slides/slide1.xml", xml)], "doc_id string, format string, part string, xml string")
+    objects = inventory.slide_objects(parts)
+    assert rows(objects, "pos", "text_body") == [(0, None), (1, 0), (2, 1)]
+    tiny = verification.layout_lint(objects, textnodes.runs(parts)).filter("code = 'PPTX_TINY_TEXT'")
+    assert rows(tiny, "shape") == [(2,)]
+
+
 # --- edits, templates ----------------------------------------------------------------------------
 
 
