@@ -173,7 +173,7 @@ def predicted(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     shipped = Shipped(docs.sparkSession, (parser.table, parser.roots, codes) if parser else None)
 
     def make():
-        value = shipped.state("suffix automata", lambda x: x)
+        value = shipped.state(lambda x: x)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [plain(x) if LETTER.search(x) else "" for x in texts_of(batch)]

@@ -108,12 +108,11 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """(key, group, counts, measures) of every whole text."""
     spark = df.sparkSession
     vocabulary = piece_codec.load(model or piece_codec.default_model())
-    pieces, chunks = Shipped(spark, tuple(vars(vocabulary).values())), Shipped(spark, byte_vocabulary())
+    shipped = Shipped(spark, (tuple(vars(vocabulary).values()), byte_vocabulary()))
 
     def make():
         words = Words()
-        encoder = pieces.state("piece encoder", lambda v: Encoder(Vocabulary(*v)))
-        lengths = chunks.state("byte lengths", ByteLengths)
+        encoder, lengths = shipped.state(lambda v: (Encoder(Vocabulary(*v[0])), ByteLengths(v[1])))
         spelled = np.zeros(encoder.v.size, bool)
         spelled[encoder.v.byte_ids] = True
 

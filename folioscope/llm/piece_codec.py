@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import Shipped, map_batches, texts_of
 
 MARK = "▁"
-REMEMBERED, SHORT = 1_000_000, 48
+REMEMBERED, SHORT = 500_000, 48
 NEVER = float("-inf")
 
 
@@ -273,7 +273,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
     vocabulary = Shipped(df.sparkSession, astuple(load(model or default_model())))
 
     def make():
-        encoder = vocabulary.state("piece encoder", lambda v: Encoder(Vocabulary(*v)))
+        encoder = vocabulary.state(lambda v: Encoder(Vocabulary(*v)))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw = [encoder.encode(x) for x in texts_of(batch, "text")]
@@ -291,7 +291,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
     vocabulary = Shipped(df.sparkSession, astuple(load(model or default_model())))
 
     def make():
-        encoder = vocabulary.state("piece encoder", lambda v: Encoder(Vocabulary(*v)))
+        encoder = vocabulary.state(lambda v: Encoder(Vocabulary(*v)))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, ids, decoded = [], [], []

@@ -83,12 +83,13 @@ class Shipped:
         out.value, out.token = value, token
         return out
 
-    def state(self, name: str, make: Callable):
-        """``make(value)``, once per Python worker and ``name``; a newer value replaces it."""
+    def state(self, make: Callable):
+        """``make(value)``, once per Python worker; it goes when another value is asked for."""
         kept = sys.__dict__.setdefault("_folioscope_state", {})
-        if kept.get(name, (None,))[0] != self.token:
-            kept[name] = (self.token, make(self.value.value))
-        return kept[name][1]
+        if self.token not in kept:
+            kept.clear()
+            kept[self.token] = make(self.value.value)
+        return kept[self.token]
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

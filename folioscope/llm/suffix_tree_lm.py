@@ -252,7 +252,7 @@ def model_scores(df: DataFrame, key: str = "doc_id", text: str = "text", head: i
 
     def run(batches):
         hashing = Words(fold=LOWER)
-        moves, logs, classes, known, often = shipped.state("suffix tree", lambda x: x)
+        moves, logs, classes, known, often = shipped.state(lambda x: x)
         logged = np.log10(often + 0.1)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -100,7 +100,7 @@ def token_lengths(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     pieces = Shipped(df.sparkSession, list(piece_codec.load(model or piece_codec.default_model()).ids))
 
     def make():
-        lengths = pieces.state("word lengths", Lengths)
+        lengths = pieces.state(Lengths)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             words, tokens, unknown = [], [], []

@@ -6,10 +6,10 @@ are labelled: the gradient of the document's likelihood reaches the sentences th
 noisy-or, so a toxic document's most suspect sentences take the blame, and the fitted model
 locates offending sentences it never saw a label for.
 
-The fit uses at most ``sample`` labelled documents of either class, chosen by hash; their words,
-as 64-bit hashes, come to the driver. Words whose share of toxic documents exceeds that of the
-others by ``SURE`` standard errors become features; a short Adam run with decay fits their
-weights and the bias. Classes are weighted back to their true shares. Scoring covers every
+The fit uses at most ``sample`` labelled documents of either class, chosen by hash. Words, as
+64-bit hashes, whose share of toxic documents exceeds that of the others by ``SURE`` standard
+errors become features; Spark counts them, and only their hits by sentence come to the driver,
+where a short Adam run with decay fits their weights and the bias. Classes are weighted back to their true shares. Scoring covers every
 whole text.
 
 Defined results: NULL, empty and wordless texts score 0.0. Without labels of both classes all
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import Shipped, Words, map_batches, remainder, texts_of
+from folioscope.llm.shared import Shipped, Words, map_batches, remainder, shared_table, texts_of
 
 SAMPLE = 3000
 SURE, LEAST = 5.0, 4
@@ -71,16 +71,28 @@ def noisy_or(probabilities: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-probabilities).sum())) if len(probabilities) else 0.0
 
 
-def telling(features: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Words that occur in clearly more of the toxic documents than of the others."""
-    pairs = np.unique(np.stack([features, owners.astype(np.uint64)]), axis=1) if len(features) else np.zeros((2, 0), np.uint64)
-    words, place = np.unique(pairs[0], return_inverse=True)
-    toxic = labels[pairs[1].astype(np.int64)] == 1
-    yes, no = np.bincount(place[toxic], minlength=len(words)), np.bincount(place[~toxic], minlength=len(words))
-    n, m = (labels == 1).sum(), (labels == 0).sum()
-    share = (yes + no) / (n + m)
-    error = np.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-12
-    return words[((yes / n - no / m) / error >= SURE) & (yes >= LEAST)]
+def telling(sample: DataFrame) -> np.ndarray:
+    """Words that occur in clearly more of the toxic documents than of the others; sample (toxic, text)."""
+
+    def make():
+        bags = Bags()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(bags.of(x.encode("utf-8", "surrogatepass")).feature).view(np.int64) for x in texts_of(batch)]
+            return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["toxic", "word"])
+
+        return step
+
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n, m = sizes.get(1, 0), sizes.get(0, 0)
+    if not n or not m:
+        return np.zeros(0, np.uint64)
+    words = map_batches(sample, make, "toxic int, word array<bigint>").select("toxic", F.explode("word").alias("word"))
+    counts = words.groupBy("word").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
+    share = (F.col("yes") + F.col("no")) / (n + m)
+    error = F.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-12
+    sure = counts.where((F.col("yes") >= LEAST) & ((F.col("yes") / n - F.col("no") / m) / error >= SURE))
+    return np.sort(sure.select("word").toArrow().column("word").to_numpy().view(np.uint64))
 
 
 def hits(known: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,25 +103,23 @@ def hits(known: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, at[found]
 
 
-def fit(features: np.ndarray, sentences: np.ndarray, documents: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 200, rate: float = 0.15, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Words, their weights and the bias. ``sentences`` is each word's sentence, ``documents`` each sentence's document."""
-    known = telling(features, documents[sentences], labels)
-    found, features = hits(known, features)
-    sentences = sentences[found]
-    w, bias = np.zeros(len(known)), -6.0
-    first, second = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+def fit(known: int, features: np.ndarray, sentences: np.ndarray, documents: np.ndarray, labels: np.ndarray, weights: np.ndarray,
+        steps: int = 200, rate: float = 0.15, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights of the ``known`` words and the bias. ``sentences`` is each hit's sentence, ``documents`` each sentence's document."""
+    w, bias = np.zeros(known), -6.0
+    first, second = np.zeros(known + 1), np.zeros(known + 1)
     many, total = len(documents), weights.sum()
     for step in range(1, steps + 1):
         p = sigmoid(bias + np.bincount(sentences, w[features], many))
         none = np.exp(np.maximum(np.bincount(documents, np.log1p(-p), len(labels)), -600.0))
         pull = weights * np.where(labels == 1, none / np.maximum(1.0 - none, 1e-9), -1.0) / total
         slope = p * pull[documents]
-        gradient = np.r_[np.bincount(features, slope[sentences], len(known)) - decay * w, slope.sum()]
+        gradient = np.r_[np.bincount(features, slope[sentences], known) - decay * w, slope.sum()]
         first += 0.1 * (gradient - first)
         second += 0.01 * (gradient**2 - second)
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
         w, bias = w + move[:-1], bias + move[-1]
-    return known, w, float(bias)
+    return w, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
@@ -121,33 +131,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows
 
+    rows = shared_table(docs.join(chosen, "key").select(F.col("toxic").cast("int").alias("toxic"), "text"))
+    known = telling(rows)
+    shipped = Shipped(docs.sparkSession, known)
+
     def make():
         bags = Bags()
+        words = shipped.state(lambda x: x)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [bags.of(x.encode("utf-8", "surrogatepass")) for x in texts_of(batch)]
-            lists = [pa.array([b.feature.view(np.int64) for b in found], pa.list_(pa.int64())), pa.array([b.sentence.astype(np.int32) for b in found], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([batch.column("toxic"), *lists], ["toxic", "feature", "sentence"])
+            features, sentences, sizes = [], [], []
+            for x in texts_of(batch):
+                bag = bags.of(x.encode("utf-8", "surrogatepass"))
+                found, which = hits(words, bag.feature)
+                features.append(which.astype(np.int32))
+                sentences.append(bag.sentence[found].astype(np.int32))
+                sizes.append(len(bag.begins))
+            lists = [pa.array(features, pa.list_(pa.int32())), pa.array(sentences, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int32()), *lists], ["toxic", "size", "feature", "sentence"])
 
         return step
 
-    rows = docs.join(chosen, "key").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    got = map_batches(rows, make, "toxic int, feature array<bigint>, sentence array<int>").toArrow()
-    y = got.column("toxic").to_numpy()
-    if len(np.unique(y)) < 2:
-        return None
-    features, sentences, documents, n = [], [], [], 0
-    for i, (f, s) in enumerate(zip(got.column("feature"), got.column("sentence"))):
-        f, s = f.values.to_numpy().view(np.uint64), s.values.to_numpy()
-        if len(f):
-            features.append(f)
-            sentences.append(s.astype(np.int64) + n)
-            documents.append(np.full(int(s[-1]) + 1, i))
-            n += int(s[-1]) + 1
-    if not features:
+    got = map_batches(rows, make, "toxic int, size int, feature array<int>, sentence array<int>").toArrow()
+    y, sizes = got.column("toxic").to_numpy(), got.column("size").to_numpy()
+    if len(np.unique(y)) < 2 or not sizes.sum():
         return None
+    starts = np.cumsum(sizes) - sizes
+    features = np.concatenate([x.values.to_numpy() for x in got.column("feature")])
+    sentences = np.concatenate([x.values.to_numpy() + start for x, start in zip(got.column("sentence"), starts)])
     weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
-    return fit(np.concatenate(features), np.concatenate(sentences), np.concatenate(documents), y, weight)
+    w, bias = fit(len(known), features, sentences, np.repeat(np.arange(len(y)), sizes), y, weight)
+    return known, w, bias
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, spots: bool = False, threshold: float = 0.5) -> DataFrame:
@@ -156,7 +170,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None,
 
     def make():
         bags = Bags()
-        value = shipped.state("toxic weights", lambda x: x)
+        value = shipped.state(lambda x: x)
 
         def sentences(bag: Bag) -> np.ndarray:
             if value is None or not len(bag.begins):
