@@ -81,11 +81,13 @@ class Parser:
         self.symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(common))}
         width = self.width = len(self.symbols) + 2
         tables, self.roots, base = [], [], 0
+        # A suffix automaton has under two states per symbol.
+        kind = np.int32 if 8 * width * sum(len(t) + 1 for t in texts.values()) < 1 << 31 else np.int64
         for language in self.languages:
             edges = automaton(texts[language])
             root = base * width
-            table = np.full((len(edges), width), root * 4 + 1, np.int64)
-            start = np.full(width, root * 4 + 1, np.int64)
+            table = np.full((len(edges), width), root * 4 + 1, kind)
+            start = np.full(width, root * 4 + 1, kind)
             for c, to in edges[0].items():
                 if c in self.symbols:
                     start[self.symbols[c]] = (base + to) * width * 4
@@ -102,8 +104,6 @@ class Parser:
             self.roots.append(root)
             base += len(edges)
         self.table = np.concatenate(tables).ravel()
-        if len(self.table) < 1 << 29:
-            self.table = self.table.astype(np.int32)
 
 
 def phrases(value: tuple, texts: list[str]) -> np.ndarray:

@@ -62,25 +62,30 @@ def counts(words: Words, raw: bytes) -> tuple[int, int, int, int, int]:
             seen.add(line)
     repeated = 0
     if n >= 3:
-        _, which, many = np.unique(shingles(hashes, 3), return_inverse=True, return_counts=True)
-        twice = many[which] >= 2
-        covered = np.zeros(n, bool)
-        for k in range(3):
-            covered[k : n - 2 + k] |= twice
-        repeated = int(covered.sum())
+        windows = shingles(hashes, 3)
+        ordered = np.sort(windows)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(again):
+            twice = np.isin(windows, again)
+            covered = np.zeros(n, bool)
+            for k in range(3):
+                covered[k : n - 2 + k] |= twice
+            repeated = int(covered.sum())
     return n, int((points[ends] - points[starts]).sum()), int(SYMBOLS[data].sum()), dup, repeated
 
 
-class ByteLengths(dict):
-    """Tokens of a word (UTF-8, with the blank before it) in a byte-level vocabulary."""
+class Costs(dict):
+    """Of a word (UTF-8): its piece ids as bytes, and its tokens in a byte-level vocabulary with the blank before it."""
 
-    def __init__(self, value: tuple[str, list[tuple[str, int]]]):
+    def __init__(self, encoder: Encoder, value: tuple[str, list[tuple[str, int]]]):
         super().__init__()
         ranks = {base64.b64decode(a): b for a, b in value[1]}
+        self.encoder = encoder
         self.encode = tiktoken.Encoding("bytes", pat_str=value[0], mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, word: bytes) -> int:
-        out = len(self.encode(" " + word.decode("utf-8", "replace")))
+    def __missing__(self, word: bytes) -> tuple[bytes, int]:
+        text = word.decode("utf-8", "replace")
+        out = self.encoder.word(MARK + text), len(self.encode(" " + text))
         if len(word) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -112,18 +117,19 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def make():
         words = Words()
-        encoder, lengths = shipped.state(lambda v: (Encoder(Vocabulary(*v[0])), ByteLengths(v[1])))
+        costs = shipped.state(lambda v: Costs(Encoder(Vocabulary(*v[0])), v[1]))
+        encoder = costs.encoder
         spelled = np.zeros(encoder.v.size, bool)
         spelled[encoder.v.byte_ids] = True
 
         def measures(raw: bytes, chars: int) -> tuple:
-            parts = raw.split()
-            ids = np.frombuffer(b"".join([encoder.known[MARK + w.decode("utf-8", "replace")] for w in parts]), "<u4")
+            found = list(map(costs.__getitem__, raw.split()))
+            ids = np.frombuffer(b"".join([a for a, _ in found]), "<u4")
             if not len(ids):
                 return None, None, None, None
             many = np.unique(ids, return_counts=True)[1] / len(ids)
             entropy = float(-(many * np.log2(many)).sum() / np.log2(len(ids))) if len(ids) > 1 else 0.0
-            return chars / len(ids), chars / sum(map(lengths.__getitem__, parts)), float(spelled[ids].mean()), entropy
+            return chars / len(ids), chars / sum([n for _, n in found]), float(spelled[ids].mean()), entropy
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []

@@ -164,7 +164,7 @@ class Encoder:
         self.adjacent = {piece[i : i + 2] for piece in vocabulary.ids for i in range(len(piece) - 1)}
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs: dict[str, bool] = {}
-        self.known = Known(self._word)
+        self.known = Known(self.word)
         self.bytes_of = [b""] * vocabulary.size
         for piece, i in vocabulary.ids.items():
             self.bytes_of[i] = piece.replace(MARK, " ").encode("utf-8", "surrogatepass")
@@ -250,7 +250,7 @@ class Encoder:
                 self.id_bytes.get(token) or b"".join(self.v.byte_ids[b].to_bytes(4, "little") for b in token.encode("utf-8", "surrogatepass"))
                 for token in tokens)
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         """Ids of a word by its segments, each of which is looked up in turn."""
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.adjacent]
         if not cuts:
