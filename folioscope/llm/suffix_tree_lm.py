@@ -2,13 +2,16 @@
 
 Symbols are the bytes of a text with A-Z lower-cased, runs of blanks as one space, and an end
 symbol. Spark counts every window of ``DEPTH`` context bytes and a next byte over all training
-texts, and rolls the counts up level by level. A context stays in the tree if it is frequent
-enough and if its next-symbol distribution diverges enough from that of its shorter suffix:
-occurrences times divergence must reach ``GAIN`` bits per training symbol. These gains cannot sum
-to more than the bits of the text, so at most 8 / GAIN contexts per level stay, whatever the
-corpus. Distributions are smoothed into their suffix's by the number of different followers.
-A text's score is the sum of log10 probabilities, each from the longest suffix state of what
-precedes; the tree is closed into an automaton, and texts run through it in blocks side by side.
+texts, and rolls the counts up level by level. A context stays in the tree if it occurs
+``LEAST_COUNT`` times and if its next-symbol distribution diverges enough from that of its shorter
+suffix: occurrences times divergence must reach ``LEAST_GAIN`` bits. Both are the same for every
+corpus, so the tree grows with it and stays in tables. Distributions are smoothed into their
+suffix's by the number of different followers.
+
+A text's score is the sum of log10 probabilities, each from the longest suffix in the tree of what
+precedes. The probability of every window that occurs in any text, learned from or not, is found
+level by level with joins. The most frequent windows, ``HEAD_WINDOWS`` at most, are shipped to the
+tasks with theirs; all others of a text are looked up by a join.
 
 The base score is a smoothed unigram of words. Word counts cover all training texts. The most
 frequent words, ``HEAD`` at most, are shipped to the tasks; all others of a text are looked up
@@ -27,14 +30,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import SPACE, Shipped, Words, remainder, shared_table, texts_of
 
-DEPTH, GAIN, SUPPORT = 6, 3e-6, 1e-6
-LEAST_GAIN = 12.0  # bits, for small corpora
-HEAD = 200_000
+DEPTH, LEAST_COUNT = 6, 2
+LEAST_GAIN = 12.0  # bits
+HEAD, HEAD_WINDOWS = 200_000, 2_000_000
+SLICE = 1 << 20
 START, END, BLANK = 13, 10, 32  # codes no word holds
 CODES = 252  # byte values a symbol can have: all but the four other blanks
 BLOCK = 512
@@ -118,36 +122,49 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def retained(grams: DataFrame, total: int) -> tuple[list[dict], dict[int, int]]:
-    """Rows (context, depth, symbol, n) of the contexts that stay, and the counts of single symbols.
+def levels(grams: DataFrame, total: int) -> list[DataFrame]:
+    """(w, context, n, all, kinds, kept, p) of the windows of ``grams`` (key, n) with a context of 0, 1, ... ``DEPTH`` bytes.
 
-    The number of contexts is bounded by GAIN and SUPPORT, see the module's text.
+    ``all`` and ``kinds`` are the context's occurrences and different followers, ``kept`` tells whether it is in the
+    tree, ``p`` is the probability of the window's last byte. Windows with n = 0 are not learned from, they get ``p`` only.
     """
-    levels, tables = {DEPTH: grams.select(F.col("key").alias("w"), "n")}, {}
+    counts = {DEPTH: grams.select(F.col("key").alias("w"), "n")}
     for k in range(DEPTH - 1, -1, -1):
         mask = (1 << (8 * (k + 1))) - 1
-        levels[k] = levels[k + 1].groupBy(F.col("w").bitwiseAND(F.lit(mask)).alias("w")).agg(F.sum("n").alias("n"))
-    for k in range(DEPTH, -1, -1):
-        context = F.shiftright("w", 8)
-        sums = levels[k].groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= max(2.0, SUPPORT * total))
-        tables[k] = shared_table(levels[k].withColumn("context", context).join(sums, "context").select("w", "context", "n", "all"))
-    rows = []
+        counts[k] = shared_table(counts[k + 1].groupBy(F.col("w").bitwiseAND(F.lit(mask)).alias("w")).agg(F.sum("n").alias("n")))
+    root = counts[0].select(
+        "w", F.lit(0).cast("bigint").alias("context"), "n", F.lit(total).cast("bigint").alias("all"), F.lit(0).cast("bigint").alias("kinds"), F.lit(False).alias("kept"),
+        ((F.col("n") + 0.5) / (total + 0.5 * CODES)).alias("p"))
+    tables = [shared_table(root)]
     for k in range(1, DEPTH + 1):
         mask = (1 << (8 * k)) - 1
-        shorter = tables[k - 1].select(F.col("w").alias("v"), (F.col("n") / F.col("all")).alias("q"))
-        joined = tables[k].join(shorter, F.col("w").bitwiseAND(F.lit(mask)) == F.col("v"))
-        gain = joined.groupBy("context").agg(F.sum(F.col("n") * F.log2(F.col("n") / F.col("all") / F.col("q"))).alias("gain"))
-        kept = gain.where(F.col("gain") >= max(LEAST_GAIN, GAIN * total)).select("context")
-        rows.append(tables[k].join(kept, "context").select("context", F.lit(k).alias("depth"), F.col("w").bitwiseAND(F.lit(255)).alias("symbol"), "n"))
+        shorter = tables[k - 1].select(F.col("w").alias("v"), F.when(F.col("n") > 0, F.col("n") / F.col("all")).alias("q"), F.col("p").alias("below"))
+        joined = counts[k].withColumn("context", F.shiftright("w", 8)).join(shorter, F.col("w").bitwiseAND(F.lit(mask)) == F.col("v"))
+        same = Window.partitionBy("context")  # as many rows as there are byte values, at most
+        learned = joined.withColumn("all", F.sum("n").over(same)).withColumn("kinds", F.sum((F.col("n") > 0).cast("bigint")).over(same))
+        bits = F.when(F.col("n") > 0, F.col("n") * F.log2(F.col("n") / F.col("all") / F.col("q"))).otherwise(0.0)
+        kept = (F.col("all") >= LEAST_COUNT) & (F.col("gain") >= LEAST_GAIN)
+        p = F.when(F.col("kept"), (F.col("n") + F.col("kinds") * F.col("below")) / (F.col("all") + F.col("kinds"))).otherwise(F.col("below"))
+        told = learned.withColumn("gain", F.sum(bits).over(same)).withColumn("kept", kept).withColumn("p", p)
+        tables.append(shared_table(told.select("w", "context", "n", "all", "kinds", "kept", "p")))
+    return tables
+
+
+def retained(grams: DataFrame, total: int) -> tuple[pa.Table, dict[int, int]]:
+    """Rows (context, depth, symbol, n) of the contexts that stay, and the counts of single symbols, for a :class:`Tree`."""
+    tables = levels(grams, total)
+    rows = [
+        t.where(F.col("kept") & (F.col("n") > 0)).select("context", F.lit(k).alias("depth"), F.col("w").bitwiseAND(F.lit(255)).alias("symbol"), "n")
+        for k, t in enumerate(tables) if k]
     found = rows[0]
     for more in rows[1:]:
         found = found.union(more)
-    single = {r["w"]: r["n"] for r in tables[0].select("w", "n").collect()}  # 256 rows at most
+    single = {r["w"]: r["n"] for r in tables[0].where("n > 0").select("w", "n").collect()}  # 256 rows at most
     return found.toArrow(), single
 
 
 class Tree:
-    """The automaton: for each state and symbol class the next state's row offset and log10 probability."""
+    """A small table's model as an automaton, to compare with: for each state and symbol class the next state's row offset and log10 probability."""
 
     def __init__(self, rows, single: dict[int, int]):
         used = sorted(set(single) | {START})
@@ -214,27 +231,53 @@ def scores(moves: np.ndarray, logs: np.ndarray, classes: np.ndarray, texts: list
     return np.bincount(owner, sums, len(texts))
 
 
-def head_words(words: DataFrame, head: int) -> pa.Table:
-    """The most frequent words, ``head`` at most: those above a count that the histogram of counts gives."""
+def looked_up(seen: list[np.ndarray], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Per text the sum of its windows' values by the sorted keys, and its other windows with how often each occurs."""
+    sums, flat, owner = np.zeros(len(seen)), np.concatenate(seen), np.repeat(np.arange(len(seen)), [len(x) for x in seen])
+    missed, missing = [], []
+    for at in range(0, len(flat), SLICE):
+        part, mine = flat[at : at + SLICE], owner[at : at + SLICE]
+        found, back = np.unique(part, return_inverse=True)
+        hit = np.zeros(len(found), bool)
+        if len(keys):
+            where = np.searchsorted(keys, found)
+            where[where == len(keys)] = 0
+            hit = keys[where] == found
+            sums += np.bincount(mine, np.where(hit, values[where], 0.0)[back], len(seen))
+        miss = ~hit[back]
+        missed.append(part[miss])
+        missing.append(mine[miss])
+    windows, texts = np.concatenate(missed), np.concatenate(missing)
+    by = np.lexsort((windows, texts))
+    windows, texts = windows[by], texts[by]
+    first = np.flatnonzero(np.r_[True, (windows[1:] != windows[:-1]) | (texts[1:] != texts[:-1])]) if len(by) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(by)]).astype(np.int32)
+    offsets = pa.array(np.searchsorted(texts[first], np.arange(len(seen) + 1)).astype(np.int32))
+    return sums, pa.ListArray.from_arrays(offsets, pa.array(windows[first])), pa.ListArray.from_arrays(offsets, pa.array(times))
+
+
+def most_frequent(rows: DataFrame, head: int) -> pa.Table:
+    """The most frequent of ``rows`` (key, n, ...), ``head`` at most: those above a count that the histogram of counts gives."""
     step = F.floor(F.log2("n") * 8)
-    sizes = sorted(((r["step"], r["count"]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)  # 512 rows at most
+    sizes = sorted(((r["step"], r["count"]) for r in rows.groupBy(step.alias("step")).count().collect()), reverse=True)  # 512 rows at most
     taken, least = 0, None
     for at, n in sizes:
         if taken + n > head:
             break
         taken, least = taken + n, at
-    chosen = words.where(step >= least) if least is not None else words.where("false")
-    return chosen.select("key", "n").toArrow()
+    chosen = rows.where(step >= least) if least is not None else rows.where("false")
+    return chosen.toArrow().sort_by("key")
 
 
-def model_scores(df: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def model_scores(df: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD, head_windows: int = HEAD_WINDOWS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
     Learned from rows whose crc32 remainder by 10 is not 0.
     """
     spark: SparkSession = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counts = shared_table(counted(docs.where(remainder("key", 10) != 0)))
+    learned = F.coalesce(remainder("key", 10) != 0, F.lit(False))
+    counts = shared_table(counted(docs.where(learned)))
     words = counts.where(F.col("kind") == WORD_KIND).select("key", "n")
     facts = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()}
     total, different, texts, grams = 0, 0, 0, 0
@@ -245,22 +288,23 @@ def model_scores(df: DataFrame, key: str = "doc_id", text: str = "text", head: i
     if WINDOW_KIND in facts:
         grams = facts[WINDOW_KIND]["n"]
     tokens, kinds = total + texts, different + (texts > 0)
-    tree = Tree(*retained(counts.where(F.col("kind") == WINDOW_KIND), grams))
-    frequent = head_words(words, head)
-    by_key = frequent.sort_by("key")
-    shipped = Shipped(spark, (tree.moves, tree.logs, tree.classes, by_key.column("key").to_numpy(), by_key.column("n").to_numpy()))
+    others = counted(docs.where(~learned)).where(F.col("kind") == WINDOW_KIND).select("key", F.lit(0).cast("bigint").alias("n"))
+    every = counts.where(F.col("kind") == WINDOW_KIND).select("key", "n").union(others).groupBy("key").agg(F.sum("n").alias("n"))
+    values = levels(shared_table(every), grams)[DEPTH].select(F.col("w").alias("key"), "n", F.log10("p").alias("value"))
+    frequent, common = most_frequent(words, head), most_frequent(values.where("n > 0"), head_windows)
+    shipped = Shipped(spark, tuple(t.column(c).to_numpy() for t, cs in ((common, ("key", "value")), (frequent, ("key", "n"))) for c in cs))
 
     def run(batches):
         hashing = Words(fold=LOWER)
-        moves, logs, classes, known, often = shipped.state(lambda x: x)
+        keys, logs, known, often = shipped.state(lambda x: x)
         logged = np.log10(often + 0.1)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                coded, sizes, base, sure, rest, times = [], [], [], [], [], []
+                seen, sizes, base, sure, rest, times = [], [], [], [], [], []
                 for x in texts_of(part):
                     raw = x.encode("utf-8", "surrogatepass")
-                    coded.append(symbols(raw))
+                    seen.append(windows(symbols(raw)))
                     found, many = np.unique(hashing.hashes(*hashing.spans(raw)).view(np.int64), return_counts=True)
                     sizes.append(int(many.sum()) + 1)
                     where = np.searchsorted(known, found)
@@ -270,25 +314,29 @@ def model_scores(df: DataFrame, key: str = "doc_id", text: str = "text", head: i
                     sure.append(int(many[hit].sum()))
                     rest.append(found[~hit])
                     times.append(many[~hit].astype(np.int32))
-                if not coded:
+                if not seen:
                     continue
-                columns = [pa.array(sizes, pa.int64()), pa.array(base, pa.float64()), pa.array(sure, pa.int64()), pa.array(scores(moves, logs, classes, coded)),
-                           pa.array(rest, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column("key"), *columns], ["key", "n_tokens", "base", "known", "score", "rest", "times"])
+                sums, open_, often_ = looked_up(seen, keys, logs)
+                columns = [pa.array(sizes, pa.int64()), pa.array(base, pa.float64()), pa.array(sure, pa.int64()), pa.array(sums),
+                           pa.array(rest, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())), open_, often_]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *columns], ["key", "n_tokens", "base", "known", "sums", "rest", "times", "windows", "often"])
 
-    rows = docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n_tokens bigint, base double, known bigint, score double, rest array<bigint>, times array<int>")
+    rows = docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n_tokens bigint, base double, known bigint, sums double, rest array<bigint>, times array<int>, windows array<bigint>, often array<int>")
     rows = shared_table(rows.withColumn("row", F.monotonically_increasing_id()))
     open_words = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
-    looked_up = open_words.join(words.withColumnRenamed("key", "word"), "word", "left")
-    found = looked_up.groupBy("row").agg(
+    joined = open_words.join(words.withColumnRenamed("key", "word"), "word", "left")
+    found = joined.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
+    open_windows = rows.select("row", F.explode(F.arrays_zip("windows", "often")).alias("w")).select("row", F.col("w.windows").alias("key"), F.col("w.often").alias("often"))
+    rare = open_windows.join(values.select("key", "value"), "key").groupBy("row").agg(F.sum(F.col("often") * F.col("value")).alias("rare"))
     ending = math.log10(texts + 0.1)
     norm = math.log10(tokens + 0.1 * (kinds + 1))
-    return rows.drop("rest", "times").join(found, "row", "left").select(
+    return rows.drop("rest", "times", "windows", "often").join(found, "row", "left").join(rare, "row", "left").select(
         F.col("key").alias(key), F.coalesce(remainder("key", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0)) + F.lit(int(texts > 0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(ending) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(ending) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        (F.col("sums") + F.coalesce("rare", F.lit(0.0))).alias("score"))
 
 
 def op5_suffix_tree_lm(spark, sf_dir):

@@ -166,6 +166,32 @@ def test_probabilities_of_a_tree_sum_to_one(spark, sf):
         assert math.isclose(value, want, rel_tol=1e-5)
 
 
+def test_joined_scores_equal_the_automaton(spark, sf, docs):
+    from folioscope.llm import suffix_tree_lm as lm
+
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
+    counts = lm.counted(table.where(table["doc_id"].isin([i for i in docs if not held[i]])).select("text"))
+    grams = counts.where(counts["kind"] == lm.WINDOW_KIND).cache()
+    tree = lm.Tree(*lm.retained(grams, grams.agg({"n": "sum"}).first()[0]))
+    ids = sorted(docs)
+    want = dict(zip(ids, lm.scores(tree.moves, tree.logs, tree.classes, [lm.symbols(docs[i]["text"].encode()) for i in ids])))
+    for head in (lm.HEAD_WINDOWS, 500, 0):
+        got = {r["doc_id"]: r["score"] for r in lm.model_scores(table, head_windows=head).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in ids)
+
+
+def test_contexts_of_a_small_source_stay_beside_a_large_one(spark):
+    from folioscope.llm import suffix_tree_lm as lm
+
+    small = [(int.from_bytes(f"zqxjkv{c}".encode(), "big"), 8) for c in "wy"]  # 16 occurrences
+    large = [(int.from_bytes(f"abcdef{c}".encode(), "big"), 500_000_000) for c in "gh"]
+    grams = spark.createDataFrame(small + large, "key bigint, n bigint")
+    rows, _ = lm.retained(grams, sum(n for _, n in small + large))
+    contexts = set(zip(rows.column("context").to_pylist(), rows.column("depth").to_pylist()))
+    assert (ord("v"), 1) in contexts and (ord("f"), 1) in contexts
+
+
 def test_conversations(spark, sf):
     rows = sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"], r["role"], r["text"]))
     said = "</s>[INST] ok [/INST]"
