@@ -5,7 +5,8 @@ into phrases, each the longest string the automaton knows; the language that nee
 phrases per symbol wins. Letters are lower-cased, all other runs become one blank.
 
 The automata are flattened into one table: for every state and symbol the next state and the
-number of phrases that end. Texts are cut into blocks of ``BLOCK`` symbols (a phrase ends with
+number of phrases that end. Only the ``ALPHABET`` commonest symbols have columns there; the
+transitions of all others are in sorted arrays, so every symbol of a sample counts. Texts are cut into blocks of ``BLOCK`` symbols (a phrase ends with
 its block) and all blocks of a batch step through the table together, once per language.
 
 The sample is at most ``documents`` labelled rows per language, chosen by hash, each no longer
@@ -71,16 +72,20 @@ def automaton(text: str) -> list[dict[str, int]]:
 class Parser:
     """The flattened automata of all languages.
 
-    Symbol 0 pads: it ends a pending phrase. Symbol 1 is any character outside the alphabet: a
+    Symbol 0 pads: it ends a pending phrase. Symbol 1 is any character outside all samples: a
     phrase of its own. An entry holds the next state's row offset times four plus the phrases ended.
+    Transitions by symbols from ``width`` on are the sorted ``keys`` (row offset times ``many`` plus
+    symbol) with their ``values``.
     """
 
     def __init__(self, texts: dict[str, str]):
         self.languages = list(texts)
-        common = Counter(c for t in texts.values() for c in t).most_common(ALPHABET)
-        self.symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(common))}
-        width = self.width = len(self.symbols) + 2
+        every = Counter(c for t in texts.values() for c in t).most_common()
+        self.symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(every[:ALPHABET]) + sorted(every[ALPHABET:]))}
+        width = self.width = min(len(every), ALPHABET) + 2
+        many = self.many = len(every) + 2
         tables, self.roots, base = [], [], 0
+        rare: dict[int, int] = {}
         # A suffix automaton has under two states per symbol.
         kind = np.int32 if 8 * width * sum(len(t) + 1 for t in texts.values()) < 1 << 31 else np.int64
         for language in self.languages:
@@ -89,26 +94,41 @@ class Parser:
             table = np.full((len(edges), width), root * 4 + 1, kind)
             start = np.full(width, root * 4 + 1, kind)
             for c, to in edges[0].items():
-                if c in self.symbols:
+                if self.symbols[c] < width:
                     start[self.symbols[c]] = (base + to) * width * 4
             for state in range(len(edges)):
                 if state:
                     table[state] = start + 1  # the phrase ends, the symbol begins the next
                     table[state, 0] = root * 4 + 1
                 for c, to in edges[state].items():
-                    if c in self.symbols:
+                    if self.symbols[c] < width:
                         table[state, self.symbols[c]] = (base + to) * width * 4
+                    else:
+                        rare[(base + state) * width * many + self.symbols[c]] = (base + to) * width * 4
             table[0] = start
             table[0, 0] = root * 4
             tables.append(table)
             self.roots.append(root)
             base += len(edges)
         self.table = np.concatenate(tables).ravel()
+        self.keys = np.array(sorted(rare), np.int64)
+        self.values = np.array([rare[k] for k in self.keys.tolist()], kind)
+
+    @property
+    def codes(self) -> np.ndarray:
+        """Symbol of each code point; the last one stands for all above."""
+        codes = np.ones(max(map(ord, self.symbols), default=0) + 2, np.int32)
+        for c, i in self.symbols.items():
+            codes[ord(c)] = i
+        return codes
+
+    def shipped(self) -> tuple:
+        return self.table, self.roots, self.codes, self.keys, self.values, self.width, self.many
 
 
 def phrases(value: tuple, texts: list[str]) -> np.ndarray:
     """Phrases per text and language."""
-    table, roots, codes = value
+    table, roots, codes, *more = value
     counts = np.zeros((len(texts), len(roots)), np.int64)
     data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts])
@@ -117,6 +137,11 @@ def phrases(value: tuple, texts: list[str]) -> np.ndarray:
     if not len(owner):
         return counts
     symbols = codes[np.minimum(data, len(codes) - 1)]
+    rare = None
+    if more:
+        keys, values, width, many = more
+        if (symbols >= width).any():
+            rare, symbols = symbols, np.where(symbols < width, symbols, 1)
     start = np.cumsum(sizes) - sizes
     within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = start[owner] + within * BLOCK
@@ -132,6 +157,14 @@ def phrases(value: tuple, texts: list[str]) -> np.ndarray:
         if not running:
             break
         found = table[states[:, :running] + symbols[begin[:running] + at]]
+        if rare is not None and len(lanes := np.flatnonzero(rare[begin[:running] + at] >= width)):
+            seen, old = rare[begin[lanes] + at].astype(np.int64), states[:, lanes].astype(np.int64)
+            root = np.broadcast_to(np.array(roots, np.int64)[:, None], old.shape)
+            new = found[:, lanes]
+            for state, ended_one in ((root, (old != root).astype(table.dtype)), (old, 0)):  # going on counts over beginning anew
+                where = np.minimum(np.searchsorted(keys, state * many + seen), len(keys) - 1)
+                new = np.where(keys[where] == state * many + seen, values[where] + ended_one, new)
+            found[:, lanes] = new
         ended[:, :running] += found & 3
         states[:, :running] = found >> 2
     ended += table[states] & 3  # the pad symbol closes what is pending
@@ -167,10 +200,7 @@ def predicted(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """(key, lang_pred, score, phrases_per_symbol) of docs (key, text)."""
     parser = Parser(texts) if texts else None
     languages = parser.languages if parser else []
-    codes = np.ones(max([0, *(map(ord, parser.symbols) if parser else [])]) + 2, np.uint8)
-    for c, i in (parser.symbols if parser else {}).items():
-        codes[ord(c)] = i
-    shipped = Shipped(docs.sparkSession, (parser.table, parser.roots, codes) if parser else None)
+    shipped = Shipped(docs.sparkSession, parser.shipped() if parser else None)
 
     def make():
         value = shipped.state(lambda x: x)

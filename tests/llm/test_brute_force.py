@@ -125,6 +125,25 @@ def test_phrases_are_longest_matches(known, text):
     assert cross_parsing.phrases((parser.table, parser.roots, codes), [text])[0, 0] == count
 
 
+def test_every_symbol_of_a_sample_counts():
+    chosen = random.Random(4)
+    known = {
+        "latin": " ".join("".join(chosen.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(400)),
+        "han": "".join(chr(0x4E00 + chosen.randrange(300)) for _ in range(900)), "kana": "".join(chr(0x3041 + chosen.randrange(80)) for _ in range(900))}
+    parser = cross_parsing.Parser(known)
+    texts = [known["han"][50:90], known["kana"][50:90] + "a", known["latin"][7:50] + "字" + known["han"][3:9], "字" + known["kana"][:700], "ж", ""]
+    got = cross_parsing.phrases(parser.shipped(), texts)
+    for text, counts in zip(texts, got.tolist()):
+        for sample, n in zip(known.values(), counts):
+            want = 0
+            for block in (text[at : at + cross_parsing.BLOCK] for at in range(0, len(text), cross_parsing.BLOCK)):
+                at = 0
+                while at < len(block):
+                    at, want = at + next((k for k in range(len(block) - at, 0, -1) if block[at : at + k] in sample), 1), want + 1
+            assert n == want
+    assert got[0].argmin() == 1 and got[1].argmin() == 2
+
+
 def test_model_scores(spark, sf, docs):
     got = query(spark, sf, "op5_suffix_tree_lm")
     lower = str.maketrans({i: i + 32 for i in range(65, 91)})
