@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from folioscope.llm import bag_minhash, budget_mixing, cross_parsing, piece_codec, toxic_sentences
 from folioscope.llm.shared import remainder, shared_table
 
-LEAST_SCORE = 0.3
 SHARE, EPOCHS, SEED = 80, 2, 7
 
 
@@ -34,10 +33,10 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned, told with some certainty."""
+    """Documents in line with a language that was learned, ties between such languages too."""
     known = docs.select(F.col("doc_id").alias("key"), "text", "lang").where(remainder("key", 3) != 1)
     found = cross_parsing.predicted(_rows(docs), cross_parsing.train(known))
-    return found.where((F.col("lang_pred") != cross_parsing.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("key.*")
+    return found.where((F.col("lang_pred") != cross_parsing.UNKNOWN) & F.col("in_line")).select("key.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,37 +196,70 @@ def train(docs: DataFrame, documents: int = DOCUMENTS, longest: int = LONGEST, s
     return {k: " ".join(out[k])[:symbols] for k in sorted(out, key=lambda k: (-counts[k], k))}
 
 
+def completed(counts: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Phrases that end inside a block, where the next symbol did not fit: none if a block is one phrase."""
+    return counts - np.array([-(-len(t) // BLOCK) for t in texts])[:, None]
+
+
+def limits(texts: dict[str, str]) -> np.ndarray:
+    """Per language the completed phrases per symbol up to which a text is in line with it.
+
+    The one half of a sample is parsed by the other, as it is and with its symbols in random order; the limit
+    is the geometric mean of both rates.
+    """
+    out = []
+    for text in texts.values():
+        known, other = text[: len(text) // 2], text[len(text) // 2 :]
+        if not known:
+            out.append(np.inf)
+            continue
+        mixed_up = "".join(np.random.default_rng(0).permutation(list(other)))
+        own, noise = completed(phrases(Parser({"": known}).shipped(), [other, mixed_up]), [other, mixed_up])[:, 0] / len(other)
+        out.append(float(np.sqrt(max(own, 1 / len(other)) * max(own, noise, 1 / len(other)))))
+    return np.array(out)
+
+
 def predicted(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """(key, lang_pred, score, phrases_per_symbol) of docs (key, text)."""
+    """(key, lang_pred, score, phrases_per_symbol, in_line) of docs (key, text).
+
+    ``in_line``: the text has a letter of the samples and, for some language, not more completed phrases than the
+    language's limit and two deviations allow for its length.
+    """
     parser = Parser(texts) if texts else None
     languages = parser.languages if parser else []
-    shipped = Shipped(docs.sparkSession, parser.shipped() if parser else None)
+    shipped = Shipped(docs.sparkSession, (*parser.shipped(), limits(texts)) if parser else None)
 
     def make():
         value = shipped.state(lambda x: x)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [plain(x) if LETTER.search(x) else "" for x in texts_of(batch)]
-            names, scores, rates = [], [], []
+            names, scores, rates, fits = [], [], [], []
             if value is not None:
-                counts = phrases(value, texts)
+                *tables, limit = value
+                counts = phrases(tables, texts)
+                most = limit * np.array([len(t) for t in texts])[:, None] if len(texts) else counts
+                inside = (completed(counts, texts) <= most + 2 * np.sqrt(most)).any(axis=1)
+                codes = tables[2]
             for i, x in enumerate(texts):
                 if not x or value is None:
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     rates.append(None)
+                    fits.append(False)
                     continue
                 best = int(counts[i].argmin())
                 names.append(languages[best])
                 scores.append(float(1.0 / np.exp(np.maximum(counts[i, best] - counts[i], -700.0)).sum()))
                 rates.append(counts[i, best] / len(x))
+                fits.append(bool(inside[i]) and any(codes[min(ord(c), len(codes) - 1)] > 1 for c in x if c != " "))
             return pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                ["key", "lang_pred", "score", "phrases_per_symbol"])
+                [batch.column("key"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), pa.array(fits, pa.bool_())],
+                ["key", "lang_pred", "score", "phrases_per_symbol", "in_line"])
 
         return step
 
-    return map_batches(docs.select("key", "text"), make, "key string, lang_pred string, score double, phrases_per_symbol double")
+    return map_batches(docs.select("key", "text"), make, "key string, lang_pred string, score double, phrases_per_symbol double, in_line boolean")
 
 
 def languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

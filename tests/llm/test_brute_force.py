@@ -144,6 +144,22 @@ def test_every_symbol_of_a_sample_counts():
     assert got[0].argmin() == 1 and got[1].argmin() == 2
 
 
+def test_short_clean_documents_stay_and_noise_goes(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r for r in table.collect()]
+    like = rows[0].asDict()
+    chosen = random.Random(2)
+    short = [like | {"doc_id": 10_000_000 + n, "text": t} for n, t in enumerate(["A.", "De.", "a", "die", "The end."])]
+    noise = ["".join(chosen.choices("qxzjkvwyhb0", k=400)), "日本語の文章です", "ж", "123", "Съешь же ещё этих мягких французских булок"]
+    bad = [like | {"doc_id": 20_000_000 + n, "text": t} for n, t in enumerate(noise)]
+    full = table.union(spark.createDataFrame([tuple(r[c] for c in table.columns) for r in short + bad], table.schema))
+    known = table.selectExpr("doc_id key", "text", "lang").where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1")
+    kept = {r["key"] for r in cross_parsing.predicted(full.selectExpr("doc_id key", "text"), cross_parsing.train(known)).where("in_line").collect()}
+    assert {r["doc_id"] for r in short} <= kept and not {r["doc_id"] for r in bad} & kept
+    worded = {r["doc_id"] for r in rows if re.search(r"[^\W\d_]", r["text"] or "")}
+    assert len(kept & worded) >= 0.98 * len(worded), (len(kept & worded), len(worded), [r["text"][:80] for r in rows if r["doc_id"] in worded - kept][:8])
+
+
 def test_model_scores(spark, sf, docs):
     got = query(spark, sf, "op5_suffix_tree_lm")
     lower = str.maketrans({i: i + 32 for i in range(65, 91)})
