@@ -93,6 +93,19 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.07
 
 
+def test_times_do_not_depend_on_the_horizon():
+    seeds = np.random.default_rng(3).integers(0, 2**62, 60).astype(np.uint64)
+    for block, count in ((0, 1), (2, 4)):
+        found = []
+        for horizon in (11.0, 14.0, 25.0):
+            best = np.full(120, np.inf)
+            bag_minhash._fill(best, seeds, np.full(60, count), block, horizon)
+            found.append(best)
+        for best in found[1:]:
+            seen = np.isfinite(found[0])
+            assert seen.any() and (best[seen] == found[0][seen]).all()
+
+
 def test_prints(spark, sf, docs):
     got, ids, errors = query(spark, sf, "op3_minhash_prints"), sorted(docs), []
     for n, i in enumerate(ids):
