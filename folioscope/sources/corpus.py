@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by their document, at every size.
+    """Rows for parsing: where they lie, or over all cores if the input is one or two splits.
 
-    Parsing markup is heavy per row, and what follows joins and groups by document: the one
-    exchange here serves those as well.
+    Markup is parsed row by row, so no exchange is needed below the parser: a table of a cluster has
+    far more splits than cores and is read in place. Only a file that cannot be split, such as one row
+    group, is dealt out first, by the document, into as many partitions as there are cores.
     """
-    return df.repartition(key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +157,10 @@ def _parts(df: DataFrame, fmt: str, doc: str, main: str, named: dict[str, Column
         f'Type="officeDocument" Target="{main}"/></Relationships>'
     )
     bodies = {"[Content_Types].xml": F.lit(CONTENT_TYPES), "_rels/.rels": F.lit(root), **named}
-    parts = F.array(*[F.struct(F.lit(name).alias("part"), xml.alias("xml")) for name, xml in bodies.items()])
-    return df.select(
-        F.col(doc).alias("doc_id"), F.lit(fmt).alias("format"), F.posexplode(parts).alias("ord", "p")
-    ).select("doc_id", "format", "p.part", "ord", "p.xml")
+    # Names first, bodies by name: after a filter on the part only the bodies that are left get built.
+    body = F.coalesce(*[F.when(F.col("part") == name, xml) for name, xml in bodies.items()])
+    return df.withColumns({"_names": F.array(*map(F.lit, bodies))}).select("*", F.posexplode("_names").alias("ord", "part")).select(
+        F.col(doc).alias("doc_id"), F.lit(fmt).alias("format"), "part", "ord", body.alias("xml"))
 
 
 def docx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

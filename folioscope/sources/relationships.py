@@ -63,3 +63,13 @@ def relationships(parts: DataFrame) -> DataFrame:
     out = named.withColumn("external", is_external("target", "target_mode")).withColumn(
         "resolved", F.when(~F.col("external"), resolve_target("owner", "target")))
     return out.filter((F.col("rel_id") != "") & (F.col("target") != ""))
+
+
+def targets(xml, owner: str) -> Column:
+    """Relationships of one part as an array of ``(rel_id, resolved)``, for joins inside a row; external ones resolve to NULL."""
+    def read(tag: Column) -> Column:
+        target = xml_unescape(attribute(tag, "Target"))
+        inside = F.when(~is_external(target, attribute(tag, "TargetMode")), resolve_target(F.lit(owner), target))
+        return F.struct(attribute(tag, "Id").alias("rel_id"), inside.alias("resolved"))
+
+    return F.transform(matches(xml, r"<Relationship\b[^>]*>"), read)

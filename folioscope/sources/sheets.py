@@ -8,39 +8,46 @@ from pyspark.sql import functions as F
 from folioscope.functions.cellref import ref_col, ref_row
 from folioscope.functions.xml import attribute, elements, first_match, matches, xml_unescape
 from folioscope.plans.ordered import chunk_of, filled
-from folioscope.sources.relationships import relationships
+from folioscope.sources.relationships import targets
 
 CELL_ELEMENT = r"(?s)<c\b[^>]*/>|<c\b[^>]*>.*?</c>"
 SHEET_PART = r"(?i)^xl/worksheets/sheet\d+\.xml$"
 
 
+def _items(xml) -> Column:
+    """Strings of a shared-string part in order; rich-text pieces of one item are joined."""
+    return F.transform(matches(xml, r"(?s)<si\b.*?</si>", 0), lambda si: F.array_join(
+        F.transform(elements(si, "t"), lambda t: xml_unescape(t)), ""))
+
+
 def shared_strings(parts: DataFrame) -> DataFrame:
     """``(doc_id, idx, string)``; rich-text pieces of one item are joined."""
-    item = F.posexplode(matches("xml", r"(?s)<si\b.*?</si>", 0)).alias("idx", "si")
-    text = F.array_join(F.transform(elements("si", "t"), lambda t: xml_unescape(t)), "")
-    return (
-        parts.filter(F.col("part") == "xl/sharedStrings.xml")
-        .select("doc_id", item)
-        .select("doc_id", "idx", text.alias("string"))
-    )
+    return parts.filter(F.col("part") == "xl/sharedStrings.xml").select("doc_id", F.posexplode(_items("xml")).alias("idx", "string"))
+
+
+def books(parts: DataFrame) -> DataFrame:
+    """One row per workbook: its shared strings and its sheets in order.
+
+    The three parts that hold them are one row each, so all is read inside the row; what is
+    grouped by workbook is one array per part.
+    """
+    part = F.col("part")
+    tags = F.transform(matches("xml", r"<sheet\b[^>]*>", 0), lambda tag, i: F.struct(
+        (i + 1).alias("sheet_idx"), xml_unescape(attribute(tag, "name")).alias("sheet_name"),
+        F.coalesce(attribute(tag, "state"), F.lit("visible")).alias("state"), attribute(tag, "r:id").alias("rel_id")))
+    links = targets("xml", "xl/workbook.xml")
+    rows = parts.filter(part.isin("xl/sharedStrings.xml", "xl/workbook.xml", "xl/_rels/workbook.xml.rels")).select(
+        "doc_id", F.when(part == "xl/sharedStrings.xml", _items("xml")).alias("strings"),
+        F.when(part == "xl/workbook.xml", tags).alias("tags"), F.when(part == "xl/_rels/workbook.xml.rels", links).alias("links"))
+    one = rows.groupBy("doc_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("strings", "tags", "links")])
+    target = lambda tag: F.try_element_at(F.filter("links", lambda link: link["rel_id"] == tag["rel_id"]), F.lit(1))["resolved"]
+    return one.select("doc_id", "strings", F.transform("tags", lambda tag: F.struct(
+        tag["sheet_idx"].alias("sheet_idx"), tag["sheet_name"].alias("sheet_name"), tag["state"].alias("state"), target(tag).alias("part"))).alias("sheets"))
 
 
 def sheets(parts: DataFrame) -> DataFrame:
     """Sheet order, name, visibility and part, through the workbook relationships."""
-    tags = parts.filter(F.col("part") == "xl/workbook.xml").select(
-        "doc_id", F.posexplode(matches("xml", r"<sheet\b[^>]*>", 0)).alias("pos", "tag")
-    )
-    named = tags.select(
-        "doc_id",
-        (F.col("pos") + 1).alias("sheet_idx"),
-        xml_unescape(attribute("tag", "name")).alias("sheet_name"),
-        F.coalesce(attribute("tag", "state"), F.lit("visible")).alias("state"),
-        attribute("tag", "r:id").alias("rel_id"),
-    )
-    targets = relationships(parts.filter(F.col("part") == "xl/_rels/workbook.xml.rels")).select(
-        "doc_id", "rel_id", F.col("resolved").alias("part")
-    )
-    return named.join(targets, ["doc_id", "rel_id"], "left").drop("rel_id")
+    return books(parts).select("doc_id", F.inline("sheets"))
 
 
 def _shared_definitions(cells: Column) -> Column:
@@ -110,16 +117,14 @@ def cell_value() -> Column:
 
 def sheet_cells(parts: DataFrame) -> DataFrame:
     """Cells of every worksheet with resolved values, formulas and sheet names."""
-    cells = raw_cells(parts)
-    strings = shared_strings(parts)
     index = F.when(F.col("cell_type") == "s", F.col("raw").try_cast("int"))
-    named = sheets(parts).select("doc_id", "part", "sheet_idx", "sheet_name")
+    string = F.when(index >= 0, F.try_element_at("strings", index + 1))
+    sheet = F.try_element_at(F.filter("sheets", lambda s: s["part"] == F.col("part")), F.lit(1))
     return (
-        cells.withColumn("idx", index)
-        .join(strings, ["doc_id", "idx"], "left")
-        .join(named, ["doc_id", "part"], "left")
+        raw_cells(parts).join(books(parts), "doc_id", "left")
+        .withColumn("string", string).withColumn("sheet", sheet)
         .select(
-            "doc_id", "part", "sheet_idx", "sheet_name", "ref",
+            "doc_id", "part", F.col("sheet.sheet_idx"), F.col("sheet.sheet_name"), "ref",
             ref_col("ref").alias("col"), ref_row("ref").alias("row"),
             cell_value().alias("value"), "is_formula", "formula",
         )
