@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bag_minhash, budget_mixing, chat_windows, cross_parsing, fertility_rules, minhash_prints, piece_codec, suffix_tree_lm, token_lengths, toxic_sentences
+from folioscope.llm import bag_minhash, budget_mixing, chat_windows, cross_parsing, fertility_rules, minhash_prints, piece_codec, spectral_whitening, suffix_tree_lm, token_lengths, toxic_sentences
 
 QUERIES = {
     "op1_budget_mixing": budget_mixing.op1_budget_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxic_sentences": toxic_sentences.op8_toxic_sentences,
     "op9_fertility_rules": fertility_rules.op9_fertility_rules,
     "op10_piece_codec": piece_codec.op10_piece_codec,
+    "op11_spectral_whitening": spectral_whitening.op11_spectral_whitening,
 }
 
 SQL: dict[str, str] = {"op1_budget_mixing": budget_mixing.SQL}
