@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bag_minhash, budget_mixing, chat_windows, cross_parsing, fertility_rules, minhash_prints, piece_codec, spectral_whitening, suffix_tree_lm, token_lengths, toxic_sentences
+from folioscope.llm import bag_minhash, budget_mixing, chat_windows, cross_parsing, fertility_rules, minhash_prints, piece_codec, spectral_whitening, suffix_tree_lm, token_lengths, toxic_sentences, vertical_negatives
 
 QUERIES = {
     "op1_budget_mixing": budget_mixing.op1_budget_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_fertility_rules": fertility_rules.op9_fertility_rules,
     "op10_piece_codec": piece_codec.op10_piece_codec,
     "op11_spectral_whitening": spectral_whitening.op11_spectral_whitening,
+    "op12_vertical_negatives": vertical_negatives.op12_vertical_negatives,
 }
 
-SQL: dict[str, str] = {"op1_budget_mixing": budget_mixing.SQL}
+SQL: dict[str, str] = {"op1_budget_mixing": budget_mixing.SQL, "op12_vertical_negatives": vertical_negatives.SQL}
