@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bag_minhash, budget_mixing, chat_windows, cross_parsing, fertility_rules, minhash_prints, piece_codec, spectral_whitening, suffix_tree_lm, token_lengths, toxic_sentences, vertical_negatives
+from folioscope.llm import bag_minhash, budget_mixing, chat_windows, context_pii, cross_parsing, fertility_rules, minhash_prints, piece_codec, spectral_whitening, suffix_tree_lm, token_lengths, toxic_sentences, vertical_negatives
 
 QUERIES = {
     "op1_budget_mixing": budget_mixing.op1_budget_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_piece_codec": piece_codec.op10_piece_codec,
     "op11_spectral_whitening": spectral_whitening.op11_spectral_whitening,
     "op12_vertical_negatives": vertical_negatives.op12_vertical_negatives,
+    "op13_context_pii": context_pii.op13_context_pii,
 }
 
 SQL: dict[str, str] = {"op1_budget_mixing": budget_mixing.SQL, "op12_vertical_negatives": vertical_negatives.SQL}
