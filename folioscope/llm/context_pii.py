@@ -238,6 +238,10 @@ def bootstrapped(edges: DataFrame, support: int = SUPPORT, confidence: float = C
     return members
 
 
+def _is(kind: int):
+    return lambda x: x == kind
+
+
 def personal(df: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every whole text."""
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -252,9 +256,9 @@ def personal(df: DataFrame, key: str = "doc_id", text: str = "text", support: in
         names = F.array(*map(F.lit, KINDS))
         return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    many = [F.size(F.filter(F.col("base.kind"), _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select(
-        F.col("key").alias(key), *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        F.col("key").alias(key), *many, F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
