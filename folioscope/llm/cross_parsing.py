@@ -6,11 +6,16 @@ phrases per symbol wins. Letters are lower-cased, all other runs become one blan
 
 The automata are flattened into one table: for every state and symbol the next state and the
 number of phrases that end. Only the ``ALPHABET`` commonest symbols have columns there; the
-transitions of all others are in sorted arrays, so every symbol of a sample counts. Texts are cut into blocks of ``BLOCK`` symbols (a phrase ends with
-its block) and all blocks of a batch step through the table together, once per language.
+transitions of all others are in sorted arrays, so every symbol of a sample counts. Texts are cut into blocks of ``BLOCK`` symbols and
+all blocks of a batch step through the table together, once per language. Phrases go over
+the cuts: every block is entered once more with the state its predecessor ends in, until both runs are
+in one state (they soon are, as states stand for sets of places in the sample); a run that never
+meets the other hands its own last state on.
 
-The sample is at most ``documents`` labelled rows per language, chosen by hash, each no longer
-than ``longest`` code points, and ``symbols`` symbols of them. Prediction reads whole texts.
+The sample is at most ``documents`` labelled rows per language, chosen by hash, of each the first
+``longest`` code points, and ``symbols`` symbols of them; beyond ``ALL_SYMBOLS`` / ``symbols`` languages each
+gets an equal part of ``ALL_SYMBOLS``, which bounds what is shipped to the tasks. The ``LANGUAGES`` languages
+with most labelled rows are learned. Prediction reads whole texts.
 
 Defined results: NULL texts and texts without a letter are ``und`` with score 0.0, and so is
 every text if nothing could be learned. Ties go to the language with more labelled rows. NULL keys
@@ -31,6 +36,7 @@ from folioscope.llm.shared import Shipped, map_batches, remainder, texts_of
 
 UNKNOWN = "und"
 DOCUMENTS, LONGEST, SYMBOLS, ALPHABET, BLOCK = 200, 8000, 40_000, 48, 512
+LANGUAGES, ALL_SYMBOLS = 500, 400_000
 BLANKS = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -126,9 +132,39 @@ class Parser:
         return self.table, self.roots, self.codes, self.keys, self.values, self.width, self.many
 
 
+class Steps:
+    """One step of many runs through the table; ``rare`` symbols go by the sorted transitions."""
+
+    def __init__(self, value: tuple, data: np.ndarray):
+        self.table, roots, codes, self.keys, self.values, width, self.many = value
+        self.roots = np.array(roots, np.int64)
+        symbols = codes[np.minimum(data, len(codes) - 1)]
+        self.rare, self.symbols = None, symbols
+        if (symbols >= width).any():
+            self.rare, self.symbols = np.where(symbols >= width, symbols, 0), np.where(symbols < width, symbols, 1)
+
+    def __call__(self, states: np.ndarray, roots: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Table entries for states at the symbols of ``places``; the three broadcast to one shape."""
+        found = self.table[states + self.symbols[places]]
+        if self.rare is None:
+            return found
+        seen = np.broadcast_to(self.rare[places], found.shape)
+        if not seen.any():
+            return found
+        where = np.nonzero(seen)
+        symbol, old = seen[where].astype(np.int64), np.broadcast_to(states, found.shape)[where].astype(np.int64)
+        root = np.broadcast_to(roots, found.shape)[where]
+        new = found[where]
+        for state, ended in ((root, old != root), (old, 0)):  # going on counts over beginning anew
+            at = np.minimum(np.searchsorted(self.keys, state * self.many + symbol), len(self.keys) - 1)
+            new = np.where(self.keys[at] == state * self.many + symbol, self.values[at] + ended, new)
+        found[where] = new
+        return found
+
+
 def phrases(value: tuple, texts: list[str]) -> np.ndarray:
     """Phrases per text and language."""
-    table, roots, codes, *more = value
+    table, roots = value[:2]
     counts = np.zeros((len(texts), len(roots)), np.int64)
     data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts])
@@ -136,53 +172,82 @@ def phrases(value: tuple, texts: list[str]) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), blocks)
     if not len(owner):
         return counts
-    symbols = codes[np.minimum(data, len(codes) - 1)]
-    rare = None
-    if more:
-        keys, values, width, many = more
-        if (symbols >= width).any():
-            rare, symbols = symbols, np.where(symbols < width, symbols, 1)
-    start = np.cumsum(sizes) - sizes
+    step = Steps(value, data)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = start[owner] + within * BLOCK
+    begin = (np.cumsum(sizes) - sizes)[owner] + within * BLOCK
     size = np.minimum(sizes[owner] - within * BLOCK, BLOCK)
-    order = np.argsort(-size, kind="stable")  # long blocks first: the lanes still running are a prefix
-    owner, begin, size = owner[order], begin[order], size[order]
-    states = np.repeat(np.array(roots, table.dtype)[:, None], len(owner), axis=1)
+    # All blocks from the start state, long ones first: those still running are a prefix.
+    order = np.argsort(-size, kind="stable")
+    first, long = begin[order], size[order]
+    start = np.array(roots, table.dtype)[:, None]
+    states = np.repeat(start, len(owner), axis=1)
     ended = np.zeros(states.shape, np.int64)
     running = len(owner)
     for at in range(BLOCK):
-        while running and size[running - 1] <= at:
+        while running and long[running - 1] <= at:
             running -= 1
         if not running:
             break
-        found = table[states[:, :running] + symbols[begin[:running] + at]]
-        if rare is not None and len(lanes := np.flatnonzero(rare[begin[:running] + at] >= width)):
-            seen, old = rare[begin[lanes] + at].astype(np.int64), states[:, lanes].astype(np.int64)
-            root = np.broadcast_to(np.array(roots, np.int64)[:, None], old.shape)
-            new = found[:, lanes]
-            for state, ended_one in ((root, (old != root).astype(table.dtype)), (old, 0)):  # going on counts over beginning anew
-                where = np.minimum(np.searchsorted(keys, state * many + seen), len(keys) - 1)
-                new = np.where(keys[where] == state * many + seen, values[where] + ended_one, new)
-            found[:, lanes] = new
+        found = step(states[:, :running], step.roots[:, None], first[:running] + at)
         ended[:, :running] += found & 3
         states[:, :running] = found >> 2
-    ended += table[states] & 3  # the pad symbol closes what is pending
+    back = np.argsort(order, kind="stable")
+    states, ended = states[:, back], ended[:, back]
+    # Blocks that follow another, entered with its last state: first with that of its fresh run, then, where its
+    # true last state is another, once more in the order of the text.
+    more, final = np.zeros(states.shape, np.int64), states.copy()
+    language, block = (x.ravel() for x in np.meshgrid(np.arange(len(roots)), np.flatnonzero(within), indexing="ij"))
+    while len(block):
+        before = final[language, block]
+        added, last = _entered(step, final[language, block - 1], start[language, 0], language, begin[block], size[block])
+        more[language, block] = added
+        final[language, block] = np.where(last < 0, states[language, block], last)
+        if not len(moved := np.flatnonzero(final[language, block] != before)):
+            break
+        language, block = language[moved], block[moved] + 1
+        inside = block < len(owner)
+        language, block = language[inside], block[inside]
+        follows = within[block] > 0
+        language, block = language[follows], block[follows]
+    ends = np.r_[within[1:] == 0, True]
+    ended += more
+    ended[:, ends] += table[final[:, ends]] & 3  # the pad symbol closes what is pending
     for k in range(len(roots)):
         counts[:, k] = np.bincount(owner, ended[k], len(texts))
     return counts
 
 
+def _entered(step: Steps, left: np.ndarray, fresh: np.ndarray, language: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What entering blocks with state ``left`` adds to the phrases of their fresh runs, and the last state (-1: that of the fresh run)."""
+    left, right, roots = left.copy(), fresh.copy(), step.roots[language]
+    added, last = np.zeros(len(left), np.int64), np.full(len(left), -1, left.dtype)
+    apart = np.flatnonzero(left != right)
+    for at in range(BLOCK + 1):
+        over = apart[size[apart] <= at]
+        last[over] = left[over]
+        apart = apart[size[apart] > at]
+        if not len(apart):
+            break
+        a, b = (step(x[apart], roots[apart], begin[apart] + at) for x in (left, right))
+        added[apart] += (a & 3).astype(np.int64) - (b & 3)
+        left[apart], right[apart] = a >> 2, b >> 2
+        apart = apart[left[apart] != right[apart]]
+    return added, last
+
+
 def train(docs: DataFrame, documents: int = DOCUMENTS, longest: int = LONGEST, symbols: int = SYMBOLS) -> dict[str, str]:
     """Sampled plain text per language from docs (key, text, lang), the most frequent one first."""
-    usable = docs.where((F.col("lang") != UNKNOWN) & F.col("key").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = docs.where((F.col("lang") != UNKNOWN) & F.col("key").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    most = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in most}
     if not counts:
         return {}
+    symbols = min(symbols, ALL_SYMBOLS // len(counts))
     # A hash threshold per language keeps about twice the rows wanted, however many there are.
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * documents + 50) / n))]), F.col("lang"))
     order = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
-    rows = usable.withColumn("order", order).where(F.col("order") < share * float(1 << 30)).select("lang", "order", "key", "text").toArrow().to_pylist()
+    rows = usable.withColumn("order", order).where(F.col("order") < share * float(1 << 30)).select(
+        "lang", "order", "key", F.substring("text", 1, longest).alias("text")).toArrow().to_pylist()
     out: dict[str, list[str]] = {}
     size: Counter = Counter()
     taken: Counter = Counter()
@@ -190,6 +255,8 @@ def train(docs: DataFrame, documents: int = DOCUMENTS, longest: int = LONGEST, s
         k = r["lang"]
         if size[k] < symbols and taken[k] < documents:
             text = plain(r["text"])
+            if not text:
+                continue
             out.setdefault(k, []).append(text)
             size[k] += len(text) + 1
             taken[k] += 1
@@ -197,8 +264,8 @@ def train(docs: DataFrame, documents: int = DOCUMENTS, longest: int = LONGEST, s
 
 
 def completed(counts: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Phrases that end inside a block, where the next symbol did not fit: none if a block is one phrase."""
-    return counts - np.array([-(-len(t) // BLOCK) for t in texts])[:, None]
+    """Phrases that end inside a text, where the next symbol did not fit: none if a text is one phrase."""
+    return counts - np.array([len(t) > 0 for t in texts], np.int64)[:, None]
 
 
 def limits(texts: dict[str, str]) -> np.ndarray:

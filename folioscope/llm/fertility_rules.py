@@ -12,13 +12,14 @@ come from all documents. A group of under ``FEW`` texts takes the bands of all t
 Plain counts use words between the six blank characters; see ``counts``.
 
 Defined results: NULL and empty texts have no words, fail the plain rules and are not kept.
-NULL languages are grouped by script; texts without letters form the group ``Zyyy``. Repeated rows
+NULL and empty languages are grouped by script; texts without letters form the group ``Zyyy``. Repeated rows
 count each time; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import unicodedata
 
 import numpy as np
@@ -35,7 +36,7 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MEASURES = ("piece_chars", "byte_chars", "fallback_share", "entropy")
 FLOOR = {"piece_chars": 0.2, "byte_chars": 0.2, "fallback_share": 0.02, "entropy": 0.05}
-REACH, FEW = 3.0, 100
+REACH, PRIOR = 3.0, 100
 REMEMBERED, SHORT = 400_000, 48
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -93,6 +94,7 @@ class Costs(dict):
         return out
 
 
+@functools.lru_cache(1 << 16)
 def script_of(letter: str) -> str:
     """First word of the character's Unicode name: LATIN, CYRILLIC, CJK ..."""
     return unicodedata.name(letter, "Zyyy").split(" ")[0].split("-")[0].title()
@@ -110,7 +112,7 @@ def main_script(text: str) -> str:
 
 
 def measured(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: str | None = None) -> DataFrame:
-    """(key, group, counts, measures) of every whole text."""
+    """(key, band, script, counts, measures) of every whole text."""
     spark = df.sparkSession
     vocabulary = piece_codec.load(model or piece_codec.default_model())
     shipped = Shipped(spark, (tuple(vars(vocabulary).values()), byte_vocabulary()))
@@ -136,15 +138,16 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for x, name in zip(texts_of(batch), batch.column("lang").to_pylist()):
                 raw = x.encode("utf-8", "surrogatepass")
                 found = counts(words, raw)
-                rows.append((name or main_script(x), *found, *measures(raw, found[1])))
-            columns = list(zip(*rows)) if rows else [()] * 10
-            kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 4]
-            return pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["key", "band", *COUNTS, *MEASURES])
+                script = main_script(x)
+                rows.append((name or script, script, *found, *measures(raw, found[1])))
+            columns = list(zip(*rows)) if rows else [()] * 11
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 4]
+            return pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["key", "band", "script", *COUNTS, *MEASURES])
 
         return step
 
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    schema = f"key string, band string, " + ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"{m} double" for m in MEASURES)])
+    schema = "key string, band string, script string, " + ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"{m} double" for m in MEASURES)])
     return map_batches(narrow, make, schema)
 
 
@@ -152,31 +155,39 @@ def failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _quartiles(passed: DataFrame, level: str, *by: str) -> DataFrame:
+    """Per group the number of texts, and quartiles and range of each measure, named after the ``level``."""
+    found = passed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.75], 10000).alias(m) for m in MEASURES])
+    ends = [c.alias(f"{level}_{m}_{name}") for m in MEASURES for c, name in ((F.col(m)[0], "low"), (F.col(m)[1], "high"))]
+    return found.select(*by, F.col("n").alias(f"{level}_n"), *ends)
+
+
 def bands(rows: DataFrame) -> DataFrame:
-    """(band, <measure>_low, <measure>_high) per group; the row with a NULL band holds for all texts."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 10000).alias(m) for m in MEASURES]
-    passed = rows.where(~failed())
-    found = passed.groupBy("band").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= FEW).drop("n")
-    found = found.union(passed.agg(F.lit(None).cast("string").alias("band"), *quartiles))
+    """(band, script, <measure>_low, <measure>_high) for every pair of group and script that passes the plain rules."""
+    passed = shared_table(rows.where(~failed()).groupBy("band", "script").agg(F.count(F.lit(1)).alias("n"))).drop("n")
+    good = rows.where(~failed())
+    tables = passed.join(_quartiles(good, "own", "band"), "band").join(_quartiles(good, "script", "script"), "script")
+    tables = tables.withColumn("one", F.lit(1)).join(_quartiles(good.withColumn("one", F.lit(1)), "all", "one"), "one")
     edges = []
     for m in MEASURES:
-        low, high = F.col(m)[0], F.col(m)[1]
-        room = F.greatest(REACH * (high - low), F.lit(FLOOR[m]))
-        edges += [(low - room).alias(f"{m}_low"), (high + room).alias(f"{m}_high")]
-    return found.select("band", *edges)
+        wide = lambda level: F.col(f"{level}_{m}_high") - F.col(f"{level}_{m}_low")  # noqa: B023,E731
+        drawn = lambda level, towards: (F.col(f"{level}_n") * wide(level) + PRIOR * towards) / (F.col(f"{level}_n") + PRIOR)  # noqa: B023,E731
+        room = F.greatest(REACH * drawn("own", drawn("script", wide("all"))), F.lit(FLOOR[m]))
+        edges += [(F.col(f"own_{m}_low") - room).alias(f"{m}_low"), (F.col(f"own_{m}_high") + room).alias(f"{m}_high")]
+    return tables.select("band", "script", *edges)
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Adds base_failed and kept to measured rows."""
-    limits = bands(rows)
-    own = limits.where("band IS NOT NULL")
-    common = F.broadcast(limits.where("band IS NULL").drop("band").select([F.col(c).alias(f"all_{c}") for c in limits.columns[1:]]))  # one row
-    joined = rows.join(own, "band", "left").join(common)
+    """Adds base_failed and kept to measured rows.
+
+    The bands are written first: Spark then knows how small they are when it plans the join, and rows stay where they are.
+    """
+    limits = shared_table(bands(rows))
+    joined = rows.join(limits, ["band", "script"], "left")
     inside = F.lit(True)
     for m in MEASURES:
-        low, high = F.coalesce(f"{m}_low", f"all_{m}_low"), F.coalesce(f"{m}_high", f"all_{m}_high")
-        inside &= F.coalesce((F.col(m) >= low) & (F.col(m) <= high), F.lit(True))
-    return joined.withColumn("base_failed", failed()).withColumn("kept", ~failed() & inside).drop(*[c for c in joined.columns if c.endswith(("_low", "_high"))])
+        inside &= F.coalesce((F.col(m) >= F.col(f"{m}_low")) & (F.col(m) <= F.col(f"{m}_high")), F.lit(True))
+    return joined.withColumn("base_failed", failed()).withColumn("kept", ~failed() & inside).drop(*limits.columns[2:])
 
 
 def quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: str | None = None) -> DataFrame:

@@ -6,7 +6,11 @@ are labelled: the gradient of the document's likelihood reaches the sentences th
 noisy-or, so a toxic document's most suspect sentences take the blame, and the fitted model
 locates offending sentences it never saw a label for.
 
-The fit uses at most ``sample`` labelled documents of either class, chosen by hash. Words, as
+Words are runs of letters and digits. In scripts that put no blanks between words, every one, two and three
+neighbouring characters are words. Sentences end at a line feed and at the stops of all scripts.
+
+The fit uses at most ``sample`` labelled documents of either class, chosen by hash, one row of each id and
+the first ``excerpt`` characters of it. Words, as
 64-bit hashes, whose share of toxic documents exceeds that of the others by ``SURE`` standard
 errors become features; Spark counts them, and only their hits by sentence come to the driver,
 where a short Adam run with decay fits their weights and the bias. Classes are weighted back to their true shares. Scoring covers every
@@ -14,7 +18,7 @@ whole text.
 
 Defined results: NULL, empty and wordless texts score 0.0. Without labels of both classes all
 texts score 0.0. A document with several labels counts as toxic if one says so. NULL labels and
-NULL keys are not learned from. Repeated rows are scored like others; other columns are ignored.
+NULL keys are not learned from; of rows with one id one is. Repeated rows are scored like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.shared import Shipped, Words, map_batches, remainder, shared_table, texts_of
 
-SAMPLE = 3000
+SAMPLE, EXCERPT = 3000, 100_000
 SURE, LEAST = 5.0, 4
 THRESHOLD = 0.7
 LETTERS = np.zeros(256, bool)
@@ -37,6 +41,21 @@ LOWER = np.arange(256)
 LOWER[65:91] += 32
 STOPS = np.zeros(256, np.int64)
 STOPS[[10, 33, 46, 63]] = 1  # line feed ! . ?
+# Stops beyond ASCII, as code points.
+WIDE_STOPS = np.array([0x0589, 0x061F, 0x06D4, 0x0964, 0x0965, 0x104A, 0x104B, 0x1362, 0x17D4, 0x17D5, 0x2026, 0x203C, 0x2047, 0x2048, 0x2049,
+                       0x3002, 0xFE52, 0xFF01, 0xFF0E, 0xFF1F, 0xFF61])
+# Scripts without blanks between words (Thai and Lao, Tibetan, Myanmar, Khmer, kana, Han).
+UNSPACED = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+            (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF)]
+# Blocks of signs that are no letters.
+SIGNS = [(0x00A0, 0x00A9), (0x00AB, 0x00B1), (0x2000, 0x206F), (0x2190, 0x2BFF), (0x3000, 0x303F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20),
+         (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+GRAMS = 3
+
+
+def _within(points: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    edges = np.array(sorted(x for a, b in ranges for x in (a, b + 1)))
+    return np.searchsorted(edges, points, "right") % 2 == 1
 
 
 @dataclass
@@ -54,13 +73,43 @@ class Bags:
         self.words = Words(LETTERS, LOWER)
 
     def of(self, raw: bytes) -> Bag:
-        data, starts, ends = self.words.spans(raw)
+        data = np.frombuffer(raw, np.uint8)
+        if (data >= 0xC2).any():
+            starts, ends, stops = self._wide(raw, data)
+        else:
+            (_, starts, ends), stops = self.words.spans(raw), STOPS[data]
         if not len(starts):
             none = np.zeros(0, np.int64)
             return Bag(none.view(np.uint64), none, none, none)
-        place = np.cumsum(STOPS[data])[starts]
-        fresh = np.r_[True, place[1:] != place[:-1]]
-        return Bag(self.words.hashes(data, starts, ends), np.cumsum(fresh) - 1, starts[fresh], np.r_[ends[np.flatnonzero(fresh)[1:] - 1], ends[-1]])
+        place = np.cumsum(stops)[starts]
+        fresh = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        return Bag(self.words.hashes(data, starts, ends), np.cumsum(np.r_[True, place[1:] != place[:-1]]) - 1, starts[fresh], np.maximum.reduceat(ends, fresh))
+
+    def _wide(self, raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words in order, and the stops, of a text beyond ASCII."""
+        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # first byte of each character
+        wide = points >= 128
+        stop, dense = np.zeros(len(points), bool), np.zeros(len(points), bool)
+        letter = LETTERS[np.minimum(points, 128)]
+        beyond = points[wide]
+        stop[wide], dense[wide] = np.isin(beyond, WIDE_STOPS), _within(beyond, UNSPACED)
+        letter[wide] = ~(stop[wide] | _within(beyond, SIGNS))
+        stop[~wide] = STOPS[points[~wide]] > 0
+        dense &= letter
+        steps = np.diff((letter & ~dense).astype(np.int8), prepend=0, append=0)
+        starts, ends = [at[np.flatnonzero(steps == 1)]], [at[np.flatnonzero(steps == -1)]]
+        run = dense.copy()
+        for k in range(1, GRAMS + 1):
+            first = np.flatnonzero(run)
+            starts.append(at[first])
+            ends.append(at[first + k])
+            run = run[:-1] & dense[k:] if len(run) > 1 else run[:0]
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
+        order = np.lexsort((ends, starts))
+        stops = np.zeros(len(data), np.int64)
+        stops[at[:-1][stop]] = 1
+        return starts[order], ends[order], stops
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,7 +171,7 @@ def fit(known: int, features: np.ndarray, sentences: np.ndarray, documents: np.n
     return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> tuple[np.ndarray, np.ndarray, float] | None:
     """Fit on docs (key, text) with labels (key, toxic); None unless both classes occur."""
     known = labels.where("key IS NOT NULL AND toxic IS NOT NULL").groupBy("key").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -131,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows
 
-    rows = shared_table(docs.join(chosen, "key").select(F.col("toxic").cast("int").alias("toxic"), "text"))
+    part = F.substring(F.coalesce("text", F.lit("")), 1, excerpt)
+    one = docs.join(chosen, "key").groupBy("key").agg(F.first(F.col("toxic").cast("int")).alias("toxic"), F.min(part).alias("text"))
+    rows = shared_table(one.select("toxic", "text"))
     known = telling(rows)
     shipped = Shipped(docs.sparkSession, known)
 
