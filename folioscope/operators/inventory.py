@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,9 @@ import pandas as pd
 
 from folioscope.functions.cellref import col_to_letters, letters_to_col
 from folioscope.functions.text import fnv1a, round_half_up
+from folioscope.functions.tree import element_tree
 from folioscope.functions.xml import as_column, attribute, element_pattern, first_match, matches, xml_unescape
+from folioscope.sources.relationships import relationships
 from folioscope.sources.sheets import SHEET_PART, sheets
 from folioscope.sources.textnodes import semantic_part
 
@@ -341,51 +343,110 @@ def emu_to_px(value: Column) -> Column:
     return round_half_up(value / 914400 * 96).cast("bigint")
 
 
+SLIDE_PART = r"^ppt/slides/slide\d+\.xml$"
 # Slide element -> object kind.
 SLIDE_ELEMENTS = {"p:sp": "shape", "p:pic": "picture", "p:grpSp": "group", "p:cxnSp": "connector",
                   "p:graphicFrame": "frame"}
 
 
-def slide_objects(parts: DataFrame) -> DataFrame:
+def slide_numbers(parts: DataFrame) -> DataFrame:
+    """``(doc_id, slide, part)``: presentation order; without one the order of the numbers in the part names."""
+    head = parts.filter(F.col("part").isin("ppt/presentation.xml", "ppt/_rels/presentation.xml.rels"))
+    slides = parts.filter(F.col("part").rlike(SLIDE_PART)).select("doc_id", "part").distinct()
+    listed = slide_order(head, relationships(head)).join(slides, ["doc_id", "part"], "left_semi")
+    plain = slides.join(listed.select("doc_id").distinct(), "doc_id", "left_anti")
+    by_name = Window.partitionBy("doc_id").orderBy(F.regexp_extract("part", r"(\d+)\.xml$", 1).try_cast("bigint"), "part")  # slides of one package
+    ranked = plain.withColumn("slide", F.row_number().over(by_name))
+    return listed.select("doc_id", "slide", "part").unionByName(ranked.select("doc_id", "slide", "part"))
+
+
+def _on_slide(frames: Column, path: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A box in its group's coordinates brought to those of the slide, from the innermost group outwards."""
+    def out(box: Column, at: Column) -> Column:
+        group = F.get(frames, at)
+        wide = F.when(group["inner_w"] > 0, group["w"] / group["inner_w"]).otherwise(1.0)
+        tall = F.when(group["inner_h"] > 0, group["h"] / group["inner_h"]).otherwise(1.0)
+        moved = F.struct((group["x"] + (box["x"] - group["inner_x"]) * wide).alias("x"), (group["y"] + (box["y"] - group["inner_y"]) * tall).alias("y"),
+                         (box["w"] * wide).alias("w"), (box["h"] * tall).alias("h"))
+        return F.when(group["inner_x"].isNull() | group["x"].isNull(), box).otherwise(moved)
+
+    return F.aggregate(F.reverse(path), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")), out)
+
+
+def slide_objects(parts: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """Shapes, pictures, groups, connectors and frames with name, placeholder, bounds, text.
 
-    ``pos`` counts elements, ``text_body`` the text bodies of the slide as ``textnodes.runs`` does;
-    it is NULL where an element has none of its own.
+    Elements inside groups are objects of their own: ``parent_id`` is the shape id of the group that
+    holds one, ``depth`` the number of groups around it. Bounds are those on the slide, with the offsets and scales of all groups around;
+    ``local_x`` and ``local_y`` are as written. ``pos`` counts elements, ``text_body`` the text bodies of the slide
+    as ``textnodes.runs`` does; it is NULL where an element has none of its own. With ``numbers`` (``slide_numbers``) slides are
+    numbered in presentation order and slides that it does not list drop out, else by the part name.
     """
-    # One alternative per element so that the closing tag belongs to the opening one.
-    pattern = "(?s)" + "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}>" for tag in SLIDE_ELEMENTS)
     kinds = F.create_map(*[F.lit(v) for pair in SLIDE_ELEMENTS.items() for v in pair])
-    blocks = parts.filter(F.col("part").rlike(r"^ppt/slides/slide\d+\.xml$")).select(
-        "doc_id", "part",
-        F.regexp_extract("part", r"slide(\d+)\.xml$", 1).cast("int").alias("slide"),
-        matches("xml", pattern, 0).alias("all"),
-    ).withColumn("bodies", F.transform("all", lambda b: F.regexp_count(b, F.lit(r"<p:txBody[\s>]")))).select(
-        "doc_id", "part", "slide", "bodies", F.posexplode("all").alias("pos", "block"))
+    number = lambda tag, name: attribute(tag, name).try_cast("double")
+
+    def frame(own: Column) -> dict[str, Column]:
+        """Offset and size of an element, in its group's coordinates."""
+        off, ext = first_match(own, r"<a:off\b([^>]*)>", 1), first_match(own, r"<a:ext\b([^>]*cx=[^>]*)>", 1)
+        return {"x": number(off, "x"), "y": number(off, "y"), "w": number(ext, "cx"), "h": number(ext, "cy")}
+
+    def group_frame(node: Column) -> Column:
+        off, ext = first_match(node["own"], r"<a:chOff\b([^>]*)>", 1), first_match(node["own"], r"<a:chExt\b([^>]*)>", 1)
+        inner = {"inner_x": number(off, "x"), "inner_y": number(off, "y"), "inner_w": number(ext, "cx"), "inner_h": number(ext, "cy")}
+        fields = F.struct(*[c.alias(k) for k, c in {**frame(node["own"]), **inner}.items()])
+        return F.when(node["tag"] == "p:grpSp", fields)
+
+    shape_id = lambda own: attribute(first_match(own, r"<p:cNvPr\b([^>]*)>", 1), "id")
+    slides = parts.filter(F.col("part").rlike(SLIDE_PART))
+    if numbers is None:
+        slides = slides.withColumn("slide", F.regexp_extract("part", r"slide(\d+)\.xml$", 1).try_cast("int"))
+    else:
+        slides = slides.join(numbers, ["doc_id", "part"])
+    blocks = (
+        slides.select("doc_id", "part", "slide", element_tree("xml", *SLIDE_ELEMENTS).alias("all"))
+        .withColumn("grouped", F.exists("all", lambda n: n["tag"] == "p:grpSp"))
+        # Only slides with groups need these.
+        .withColumn("frames", F.when(F.col("grouped"), F.transform("all", group_frame)))
+        .withColumn("ids", F.when(F.col("grouped"), F.transform("all", lambda n: shape_id(n["own"]))))
+        .withColumn("bodies", F.transform("all", lambda n: F.regexp_count(n["own"], F.lit(r"<p:txBody[\s>]"))))
+        .withColumn("paths", F.when(F.col("grouped"), F.col("all.path")))
+        .select("doc_id", "part", "slide", "bodies", "frames", "ids", "paths", F.posexplode("all").alias("pos", "node"))
+        .select("*", F.col("node.own").alias("block"), F.col("node.path").alias("path"), F.element_at(kinds, F.col("node.tag")).alias("kind"))
+        .withColumn("props", first_match("block", r"<p:cNvPr\b([^>]*)>", 1))
+    )
     before = F.aggregate(F.slice("bodies", F.lit(1), F.col("pos")), F.lit(0), lambda a, b: a + b)
-    props = first_match("block", r"<p:cNvPr\b([^>]*)>", 1)
-    off = first_match("block", r"<a:off\b([^>]*)>", 1)
-    ext = first_match("block", r"<a:ext\b([^>]*cx=[^>]*)>", 1)
-    number = lambda tag, name: emu_to_px(attribute(tag, name).try_cast("double"))
     texts = F.transform(matches("block", r"(?s)<a:t(?:\s[^>]*)?>(.*?)</a:t>", 1), lambda t: xml_unescape(t))
     linked = lambda end: attribute(first_match("block", rf"<a:{end}Cxn\b([^>]*)>", 1), "id")
-    children = F.array_join(F.slice(F.transform(
-        matches("block", r"<p:cNvPr\b([^>]*)>", 1), lambda t: attribute(t, "id")), 2, 2147483647), ",")
-    kind = F.element_at(kinds, first_match("block", r"^<([\w:]+)", 1))
-    return blocks.select(
-        "doc_id", "part", "slide", "pos", kind.alias("kind"),
-        F.when((kind != "group") & (F.col("bodies")[F.col("pos")] > 0), before).alias("text_body"),
-        attribute(props, "id").alias("shape_id"),
-        xml_unescape(attribute(props, "name")).alias("name"),
+    inside = F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("paths").alias("path")), lambda n: F.array_contains(n["path"], F.col("pos")))
+    kind = F.col("kind")
+    boxed = blocks.withColumns({f"local_{k}": c for k, c in frame(F.col("block")).items()})
+    here = [F.col(f"local_{k}") for k in "xywh"]
+    placed = boxed.withColumn("box", F.when(F.size("path") > 0, _on_slide(F.col("frames"), F.col("path"), *here)).otherwise(
+        F.struct(*[c.alias(k) for k, c in zip("xywh", here)])))
+    return placed.select(
+        "doc_id", "part", "slide", "pos", "kind",
+        F.when((kind != "group") & (F.get("bodies", F.col("pos")) > 0), before).alias("text_body"),
+        attribute("props", "id").alias("shape_id"),
+        xml_unescape(attribute("props", "name")).alias("name"),
         attribute(first_match("block", r"<p:ph\b([^>]*)>", 1), "type").alias("placeholder"),
-        number(off, "x").alias("x"), number(off, "y").alias("y"),
-        number(ext, "cx").alias("w"), number(ext, "cy").alias("h"),
+        *[emu_to_px(F.col(f"box.{k}")).alias(k) for k in "xywh"],
         F.array_join(texts, " ").alias("text"),
-        F.when(kind == "group", children).alias("child_ids"),
+        F.when(kind == "group", F.array_join(F.transform(inside, lambda n: n["id"]), ",")).alias("child_ids"),
         F.when(kind == "connector", linked("st")).alias("from_shape"),
         F.when(kind == "connector", linked("end")).alias("to_shape"),
+        F.get("ids", F.get("path", F.size("path") - 1)).alias("parent_id"), F.size("path").alias("depth"),
+        emu_to_px(F.col("local_x")).alias("local_x"), emu_to_px(F.col("local_y")).alias("local_y"),
+        F.when(kind == "picture", attribute(first_match("block", r"<a:blip\b([^>]*)>", 1), "r:embed")).alias("embed"),
     )
 
 
+def picture_media(objects: DataFrame, rels: DataFrame) -> DataFrame:
+    """Which media part each picture of a slide shows, by the relationships of its slide."""
+    shown = objects.filter(F.col("embed").isNotNull()).select("doc_id", "part", "slide", "pos", "shape_id", F.col("embed").alias("rel_id"))
+    media = rels.select("doc_id", F.col("owner").alias("part"), "rel_id", F.col("resolved").alias("media_part"), "external")
+    return shown.join(media, ["doc_id", "part", "rel_id"], "left")
+
+
 def diagram_nodes(parts: DataFrame) -> DataFrame:
     """SmartArt points of diagram data parts with their text."""
     points = parts.filter(F.col("part").rlike(r"^ppt/diagrams/data\d*\.xml$")).select(

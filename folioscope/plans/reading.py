@@ -412,7 +412,56 @@ SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide, CAST(k AS INT) AS pos,
        CASE k WHEN 0 THEN role ELSE replace(text, chr(10), ' ') END AS text
 FROM conversations, (SELECT unnest([0, 1]) AS k)""")
 def _(spark, sf):
-    return inventory.slide_objects(corpus.pptx_parts(spark, sf)).drop("part", "text_body", "child_ids", "from_shape", "to_shape")
+    parts = corpus.pptx_parts(spark, sf)
+    return inventory.slide_objects(parts, inventory.slide_numbers(parts)).select(
+        "doc_id", "slide", "pos", "kind", "shape_id", "name", "placeholder", "x", "y", "w", "h", "text")
+
+
+GROUPED = r"""
+turns AS (SELECT conv_id, turn, role, max(turn) OVER (PARTITION BY conv_id) - turn + 1 AS slide, string_split(text, chr(10)) AS s FROM conversations),
+lines AS (SELECT conv_id, turn, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM turns),
+grouped AS (
+  SELECT conv_id, turn, 0 AS pos, 'group' AS kind, '10' AS shape_id, NULL AS parent_id, 0 AS depth, turn * 8 + 100 AS x, 100 AS y, 400 AS w, 200 AS h, '' AS text,
+         '11,20,' || (SELECT string_agg(CAST(29 + k AS VARCHAR), ',' ORDER BY k) FROM (SELECT unnest(range(1, len(s) + 1)) AS k)) AS child_ids FROM turns
+  UNION ALL SELECT conv_id, turn, 1, 'shape', '11', '10', 1, turn * 8 + 140, 120, 80, 40, role, NULL FROM turns
+  UNION ALL SELECT conv_id, turn, 2, 'group', '20', '10', 1, turn * 8 + 120, 160, 200, 100, '',
+         (SELECT string_agg(CAST(29 + k AS VARCHAR), ',' ORDER BY k) FROM (SELECT unnest(range(1, len(s) + 1)) AS k)) FROM turns
+  UNION ALL SELECT conv_id, turn, 2 + i, 'shape', CAST(29 + i AS VARCHAR), '20', 2, turn * 8 + 120 + 2 * (10 * i - 5), 160 + 2 * (20 * i - 10), 20, 40, line, NULL FROM lines
+  UNION ALL SELECT conv_id, turn, 3 + len(s), 'picture', '12', NULL, 0, 100, 0, 100, 100, '', NULL FROM turns
+  UNION ALL SELECT conv_id, turn, 4 + len(s), 'connector', '13', NULL, 0, NULL, NULL, NULL, NULL, '', NULL FROM turns)"""
+
+
+@query("grouped_objects", "WITH " + GROUPED + r"""
+SELECT g.conv_id AS doc_id, CAST(slide AS INT) AS slide, CAST(pos AS INT) AS pos, kind, shape_id, parent_id, CAST(depth AS INT) AS depth,
+       CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, text, child_ids,
+       CASE kind WHEN 'connector' THEN '11' END AS from_shape, CASE kind WHEN 'connector' THEN '30' END AS to_shape
+FROM grouped g JOIN (SELECT conv_id, turn, slide FROM turns) t ON t.conv_id = g.conv_id AND t.turn = g.turn""")
+def _(spark, sf):
+    """Shapes inside groups inside groups, slides in presentation order."""
+    parts = corpus.grouped_parts(spark, sf)
+    return inventory.slide_objects(parts, inventory.slide_numbers(parts)).select(
+        "doc_id", "slide", "pos", "kind", "shape_id", "parent_id", "depth", "x", "y", "w", "h", "text", "child_ids", "from_shape", "to_shape")
+
+
+@query("picture_media", "WITH " + GROUPED + r"""
+SELECT conv_id AS doc_id, CAST(slide AS INT) AS slide, '12' AS shape_id, 'ppt/media/image' || (turn + 1) || '.png' AS media_part FROM turns""")
+def _(spark, sf):
+    parts = corpus.grouped_parts(spark, sf)
+    objects = inventory.slide_objects(parts, inventory.slide_numbers(parts))
+    return inventory.picture_media(objects, relationships.relationships(parts)).select("doc_id", "slide", "shape_id", "media_part")
+
+
+@query("nested_tables", r"""
+SELECT o_orderkey AS doc_id, 0 AS "table", NULL::INT AS parent, NULL::INT AS parent_row, NULL::INT AS parent_col, 1 AS row_count, 2 AS column_count,
+       o_orderstatus || '|outer after' AS texts FROM orders
+UNION ALL SELECT o_orderkey, 1, 0, 0, 1, CAST(n AS INT), 2,
+       (SELECT string_agg(k || '|' || o_orderpriority, ';' ORDER BY k) FROM (SELECT unnest(range(1, n + 1)) AS k))
+FROM (SELECT o_orderkey, o_orderpriority, CAST(substr(o_orderpriority, 1, 1) AS INT) AS n FROM orders)""")
+def _(spark, sf):
+    """Tables inside cells of tables."""
+    found = textnodes.tables(corpus.table_parts(spark, sf), textnodes.TABLE_TAGS["docx"])
+    texts = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";")
+    return found.select("doc_id", "table", "parent", "parent_row", "parent_col", "row_count", "column_count", texts.alias("texts"))
 
 
 def _chart_parts(spark, sf):

@@ -393,7 +393,8 @@ def _(spark, sf):
 
 @query("slide_titles", "SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide, role AS title FROM conversations")
 def _(spark, sf):
-    return headings.slide_titles(inventory.slide_objects(corpus.pptx_parts(spark, sf)))
+    parts = corpus.pptx_parts(spark, sf)
+    return headings.slide_titles(inventory.slide_objects(parts, inventory.slide_numbers(parts)))
 
 
 # --- K: design ---------------------------------------------------------------------------

@@ -228,6 +228,69 @@ def pptx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(convs, "pptx", "conv_id", "ppt/presentation.xml", named).unionByName(slides)
 
 
+def grouped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A presentation per conversation whose slides hold groups within groups, listed last turn first.
+
+    Per turn: a group at twice the size of what it holds, in it the role as a shape and a second group with a shape per
+    line of the text, then a picture and a connector from the role to the first line.
+    """
+    turns = by_key(table(spark, sf_dir, "conversations"), "conv_id")
+
+    def box(x, y, w, h, name: str = "") -> Column:
+        put = lambda v: v if isinstance(v, Column) else F.lit(str(v))
+        c = name and "ch"
+        return F.concat(F.lit(f"<a:{c}{'O' if c else 'o'}ff x=\""), put(x), F.lit('" y="'), put(y), F.lit(f'"/><a:{c}{"E" if c else "e"}xt cx="'),
+                        put(w), F.lit('" cy="'), put(h), F.lit('"/>'))
+
+    def shape(number: Column, text: Column, frame: Column) -> Column:
+        return F.concat(F.lit('<p:sp><p:nvSpPr><p:cNvPr id="'), number, F.lit('" name="S'), number, F.lit('"/></p:nvSpPr><p:spPr><a:xfrm>'), frame,
+                        F.lit("</a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>"), xml_escape(text), F.lit("</a:t></a:r></a:p></p:txBody></p:sp>"))
+
+    def group(number: int, frame: Column, inner: Column, *content: Column) -> Column:
+        return F.concat(F.lit(f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="{number}" name="G{number}"/></p:nvGrpSpPr><p:grpSpPr><a:xfrm>'), frame, inner,
+                        F.lit("</a:xfrm></p:grpSpPr>"), *content, F.lit("</p:grpSp>"))
+
+    px = lambda value: (value * 9525).cast("string")
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: shape(
+        (i + 30).cast("string"), line, box(px(10 * (i + 1)), px(20 * (i + 1)), 95250, 190500))), "")
+    left = px(F.col("turn") * 8 + 100)
+    xml = F.concat(
+        F.lit("<p:sld><!-- <p:sp><p:nvSpPr/></p:sp> -->"),
+        group(10, box(left, 952500, 3810000, 1905000), box(0, 0, 1905000, 952500, "ch"),
+              shape(F.lit("11"), F.col("role"), box(190500, 95250, 381000, 190500)),
+              group(20, box(95250, 285750, 952500, 476250), box(47625, 95250, 952500, 476250, "ch"), lines)),
+        F.lit('<p:pic><p:nvPicPr><p:cNvPr id="12" name="P"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId7"/></p:blipFill><p:spPr><a:xfrm>'),
+        box(952500, 0, 952500, 952500), F.lit("</a:xfrm></p:spPr></p:pic>"),
+        F.lit('<p:cxnSp><p:nvCxnSpPr><p:cNvPr id="13" name="C"/><p:cNvCxnSpPr><a:stCxn id="11" idx="0"/><a:endCxn id="30" idx="0"/></p:cNvCxnSpPr>'
+              "</p:nvCxnSpPr></p:cxnSp></p:sld>"))
+    number = (F.col("turn") + 1).cast("string")
+    slide = F.concat(F.lit("ppt/slides/slide"), number, F.lit(".xml"))
+    link = F.concat(F.lit('<Relationships><Relationship Id="rId7" Type="image" Target="../media/image'), number, F.lit('.png"/></Relationships>'))
+    slides = turns.select(*_part(F.col("conv_id"), "pptx", slide, F.col("turn").cast("int") + 4, xml)).unionByName(
+        turns.select(*_part(F.col("conv_id"), "pptx", F.concat(F.lit("ppt/slides/_rels/slide"), number, F.lit(".xml.rels")), F.col("turn").cast("int") + 4, link)))
+    # Two levels: the deck lists its turns in falling order, so that slide numbers differ from those in part names.
+    convs = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    ids = F.reverse(F.sequence(F.lit(0).cast("bigint"), F.col("last")))
+    deck = F.concat(F.lit("<p:presentation><p:sldIdLst>"), F.array_join(F.transform(ids, lambda i: F.concat(
+        F.lit('<p:sldId id="'), (i + 256).cast("string"), F.lit('" r:id="rId'), (i + 1).cast("string"), F.lit('"/>'))), ""), F.lit("</p:sldIdLst></p:presentation>"))
+    rels = F.concat(F.lit("<Relationships>"), F.array_join(F.transform(ids, lambda i: F.concat(
+        F.lit('<Relationship Id="rId'), (i + 1).cast("string"), F.lit('" Type="slide" Target="slides/slide'), (i + 1).cast("string"), F.lit('.xml"/>'))), ""),
+        F.lit("</Relationships>"))
+    return _parts(convs, "pptx", "conv_id", "ppt/presentation.xml", {"ppt/presentation.xml": deck, "ppt/_rels/presentation.xml.rels": rels}).unionByName(slides)
+
+
+def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word-processing part per order: a table of one row and two cells, the second of which holds a table with a row per line item number up to the order's priority."""
+    orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    text = lambda value: F.concat(F.lit("<w:tc><w:p><w:r><w:t>"), xml_escape(value), F.lit("</w:t></w:r></w:p>"))
+    many = F.substring("o_orderpriority", 1, 1).cast("int")
+    inner = F.array_join(F.transform(F.sequence(F.lit(1), many), lambda i: F.concat(
+        F.lit("<w:tr>"), text(i.cast("string")), F.lit("</w:tc>"), text(F.col("o_orderpriority")), F.lit("</w:tc></w:tr>"))), "")
+    xml = F.concat(F.lit("<w:document><w:body><w:tbl><w:tr>"), text(F.col("o_orderstatus")), F.lit("</w:tc>"), text(F.lit("outer")), F.lit("<w:tbl>"), inner,
+                   F.lit("</w:tbl><w:p><w:r><w:t>after</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"))
+    return orders.select(*_part(F.col("o_orderkey"), "docx", "word/document.xml", 2, xml))
+
+
 def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook per order. Every line item is a worksheet part of one row.
 

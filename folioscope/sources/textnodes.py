@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import object_id
+from folioscope.functions.tree import table_tree
 from folioscope.functions.xml import (
     TEXT_TAGS,
     as_column,
@@ -49,36 +50,23 @@ def text_objects(parts: DataFrame, tags: tuple[str, ...] = TEXT_TAGS) -> DataFra
     )
 
 
-def nested_tables(xml: Column, tags: tuple[str, str, str], text_tags: tuple[str, ...]) -> Column:
-    """``array<array<array<string>>>``; rows without cells and tables without rows drop."""
-    table_tag, row_tag, cell_tag = tags
-
-    def cell_text(cell: Column) -> Column:
-        texts = F.transform(matches(cell, element_pattern(*text_tags), 1), lambda t: xml_unescape(t, numeric=False))
-        return F.array_join(texts, " ")
-
-    def rows(table: Column) -> Column:
-        raw = matches(table, element_pattern(row_tag), 0)
-        cells = F.transform(raw, lambda r: F.transform(matches(r, element_pattern(cell_tag), 0), cell_text))
-        return F.filter(cells, lambda r: F.size(r) > 0)
-
-    return F.filter(F.transform(matches(xml, element_pattern(table_tag), 0), rows), lambda t: F.size(t) > 0)
-
-
 def tables(parts: DataFrame, tags: tuple[str, str, str], text_tags: tuple[str, ...] = TEXT_TAGS) -> DataFrame:
-    """Table objects with row and column counts; ragged rows are kept."""
-    nested = nested_tables(F.col("xml"), tags, text_tags)
-    return (
-        parts.filter(F.col("xml").isNotNull() & readable_part())
-        .select("doc_id", "format", "part", F.posexplode(nested).alias("table", "rows"))
-        .select(
-            "doc_id", "part", "table",
-            object_id(F.col("format"), F.concat("part", F.lit(":table")), F.col("table")).alias("object_id"),
-            F.size("rows").alias("row_count"),
-            F.array_max(F.transform("rows", F.size)).alias("column_count"),
-            "rows",
-        )
-    )
+    """Table objects with row and column counts; ragged rows are kept.
+
+    A table inside a cell is a table of its own: ``parent`` is the number of the table around it, ``parent_row`` and ``parent_col`` the
+    cell; the text of that cell is the cell's own. Tables without rows and rows without cells drop before they are numbered.
+    """
+    own = lambda cell: F.array_join(F.transform(
+        matches(cell, element_pattern(*text_tags), 1), lambda t: xml_unescape(t, numeric=False)), " ")
+    found = parts.filter(F.col("xml").isNotNull() & readable_part() & F.contains("xml", F.lit(f"<{tags[0]}"))).select(
+        "doc_id", "format", "part", F.posexplode(table_tree("xml", *tags)).alias("table", "t"))
+    cells = found.select("*", "t.parent", "t.parent_row", "t.parent_col", F.transform("t.rows", lambda r: F.transform(r, own)).alias("rows"))
+    return cells.select(
+        "doc_id", "part", "table",
+        object_id(F.col("format"), F.concat("part", F.lit(":table")), F.col("table")).alias("object_id"),
+        F.size("rows").alias("row_count"),
+        F.array_max(F.transform("rows", F.size)).alias("column_count"),
+        "rows", "parent", "parent_row", "parent_col")
 
 
 def table_cells(parts: DataFrame, tags: tuple[str, str, str], text_tags: tuple[str, ...] = TEXT_TAGS) -> DataFrame:

@@ -179,7 +179,8 @@ def test_slide_objects_groups_connectors_and_charts(spark, rows, parts_of):
     diagram = '<dgm:pt modelId="m1"><a:t>node</a:t></dgm:pt><dgm:pt modelId="m2"></dgm:pt>'
     parts = parts_of("pptx", [("ppt/slides/slide1.xml", xml), ("ppt/charts/chart1.xml", chart), ("ppt/diagrams/data1.xml", diagram)])
     assert rows(inventory.slide_objects(parts), "kind", "child_ids", "from_shape", "to_shape", "x", "w", "h") == [
-        ("connector", None, "2", "3", None, None, None), ("group", "10", None, None, None, None, None), ("picture", None, None, None, 96, 96, 48)]
+        ("connector", None, "2", "3", None, None, None), ("group", "10", None, None, None, None, None), ("picture", None, None, None, 96, 96, 48),
+        ("shape", None, None, None, None, None, None)]
     assert rows(inventory.chart_series(parts), "series_idx", "series_order", "name", "category_ref", "value_ref") == [(1, 2, "A&B", "S!$A$1", "S!$B$1")]
     assert rows(inventory.diagram_nodes(parts), "model_id", "text") == [("m1", "node")]
 
@@ -217,3 +218,49 @@ def test_sheet_data_round_trip(spark, rows):
 def test_pdf_information_fields(spark, rows):
     files = frame(spark, [("p", "pdf", b"%PDF-1.4 << /Title (Annual report) /Author(me) /CreationDate (D:20240102) >>")])
     assert rows(inventory.pdf_metadata(files), "title", "author", "created", "modified") == [("Annual report", "me", "D:20240102", None)]
+
+
+def test_elements_nest(spark, parts_of):
+    from folioscope.functions import tree
+
+    token = tree.tag_pattern("g", "s")
+    assert tree.nodes_of("<g>a<s>b</s><g>c<s/>d</g>e</g><s>f</s>", token) == [
+        ("g", [], "<g>ae</g>"), ("s", [0], "<s>b</s>"), ("g", [0], "<g>cd</g>"), ("s", [0, 2], "<s/>"), ("s", [], "<s>f</s>")]
+    # Closing tags without an opening one, elements left open, comments, character data, longer names.
+    assert tree.nodes_of("</s><g><s>x</g><!-- <s> --><![CDATA[<g>]]><sx>y</sx><s>z", token) == [
+        ("g", [], "<g></g>"), ("s", [0], "<s>x"), ("s", [], "<s>z")]
+    deep = "<g>" * 3000 + "</g>" * 3000
+    assert [len(path) for _, path, _ in tree.nodes_of(deep, token)] == list(range(3000))
+
+
+def test_groups_shift_and_scale_what_they_hold(spark, parts_of):
+    frame = lambda x, y, w, h, c="": (f'<a:{c}{"O" if c else "o"}ff x="{x * 9525}" y="{y * 9525}"/><a:{c}{"E" if c else "e"}xt cx="{w * 9525}" cy="{h * 9525}"/>')
+    shape = lambda i, x, y: f'<p:sp><p:cNvPr id="{i}" name="s{i}"/>{frame(x, y, 10, 20)}<a:t>t{i}</a:t></p:sp>'
+    xml = (f'<p:sld><p:grpSp><p:cNvPr id="1"/>{frame(100, 50, 200, 100)}{frame(0, 0, 100, 100, "ch")}{shape(2, 5, 7)}'
+           f'<p:grpSp><p:cNvPr id="3"/>{frame(10, 10, 20, 20)}{frame(1, 2, 10, 10, "ch")}{shape(4, 3, 4)}</p:grpSp></p:grpSp>'
+           f'<p:grpSp><p:cNvPr id="5"/>{shape(6, 8, 9)}</p:grpSp></p:sld>')
+    order = ('<p:presentation><p:sldIdLst><p:sldId id="1" r:id="b"/><p:sldId id="2" r:id="a"/></p:sldIdLst></p:presentation>',
+             '<Relationships><Relationship Id="a" Type="slide" Target="slides/slide1.xml"/><Relationship Id="b" Type="slide" Target="slides/slide2.xml"/></Relationships>')
+    parts = parts_of("pptx", [("ppt/presentation.xml", order[0]), ("ppt/_rels/presentation.xml.rels", order[1]), ("ppt/slides/slide1.xml", xml),
+                              ("ppt/slides/slide2.xml", "<p:sld/>"), ("ppt/slides/slide3.xml", f"<p:sld>{shape(9, 1, 1)}</p:sld>")])
+    got = {r.shape_id: r for r in inventory.slide_objects(parts, inventory.slide_numbers(parts)).collect()}
+    box = lambda i: (got[i].x, got[i].y, got[i].w, got[i].h, got[i].parent_id, got[i].depth, got[i].slide)
+    assert box("2") == (110, 57, 20, 20, "1", 1, 2) and (got["2"].local_x, got["2"].local_y) == (5, 7)
+    assert box("3") == (120, 60, 40, 20, "1", 1, 2)
+    assert box("4") == (128, 64, 40, 40, "3", 2, 2)  # 10 + (3 - 1) * 2 = 14, then 100 + 14 * 2
+    assert box("6") == (8, 9, 10, 20, "5", 1, 2)
+    assert got["1"].child_ids == "2,3,4" and got["3"].child_ids == "4" and got["1"].text == "" and got["4"].text == "t4"
+    assert "9" not in got  # not listed
+    plain = {r.shape_id: r.slide for r in inventory.slide_objects(parts).collect()}
+    assert plain["9"] == 3 and plain["1"] == 1
+    unlisted = parts.where("part NOT LIKE 'ppt/%resentation%'")
+    assert {(r.slide, r.part) for r in inventory.slide_numbers(unlisted).collect()} == {(i, f"ppt/slides/slide{i}.xml") for i in (1, 2, 3)}
+
+
+def test_tables_within_cells(spark, parts_of):
+    cell = lambda t, inner="": f"<w:tc><w:t>{t}</w:t>{inner}</w:tc>"
+    inner = f"<w:tbl><w:tr>{cell('x')}</w:tr><w:tr></w:tr><w:tr>{cell('y')}{cell('z')}</w:tr></w:tbl>"
+    xml = f"<w:tbl><w:tr>{cell('a')}{cell('b', inner)}</w:tr></w:tbl><w:tbl><w:tr></w:tr></w:tbl><w:tbl><w:tr><w:tc/>{cell('c')}</w:tr></w:tbl>"
+    found = textnodes.tables(parts_of("docx", [("word/document.xml", xml)]), textnodes.TABLE_TAGS["docx"]).orderBy("table").collect()
+    assert [(r.table, r.parent, r.parent_row, r.parent_col, r.rows) for r in found] == [
+        (0, None, None, None, [["a", "b"]]), (1, 0, 0, 1, [["x"], ["y", "z"]]), (2, None, None, None, [["", "c"]])]
