@@ -76,20 +76,6 @@ def apply_set_text(objects: DataFrame, outcomes: DataFrame) -> DataFrame:
         "text", F.coalesce("new_text", "text")).drop("new_text")
 
 
-def apply_replace_text(objects: DataFrame, ops: DataFrame) -> DataFrame:
-    """Literal replacements in every text object, folded in operation order.
-
-    The operations of a document travel as one ordered list; the objects are
-    joined with it once and folded row by row.
-    """
-    step = F.struct("op_idx", "old", "new")
-    lists = ops.filter(F.col("old") != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    joined = objects.join(lists, "doc_id", "left")
-    folded = F.aggregate("steps", F.col("text"), lambda text, s: F.replace(text, s["old"], s["new"]))
-    out = F.coalesce(folded, "text")
-    return joined.withColumn("edited", out != F.col("text")).withColumn("text", out).drop("steps")
-
-
 def apply_table_cell(cells: DataFrame, ops: DataFrame, one_based: bool = False) -> DataFrame:
     """Cell texts after table operations; the last operation on a cell wins."""
     shift = 1 if one_based else 0

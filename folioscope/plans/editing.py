@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import edits, geometry, inventory, selectors, templates
+from folioscope.operators import edits, geometry, inventory, selectors, sequence, templates
 from folioscope.plans.comparing import BOXES
 from folioscope.plans.reading import DOC_LINES, LIST_TABLES, ORDER_CELLS, PAGE_NODES
 from folioscope.sources import corpus, textnodes
@@ -309,7 +309,65 @@ def _(spark, sf):
     docs = corpus.table(spark, sf, "documents").filter(F.col("doc_id") % 2 == 0)
     steps = F.array(F.struct(F.lit(1).alias("op_idx"), F.lit("e").alias("old"), F.lit("EE").alias("new")),
                     F.struct(F.lit(2).alias("op_idx"), F.lit("E").alias("old"), F.lit("a").alias("new")))
-    return edits.apply_replace_text(corpus.document_lines(spark, sf), docs.select("doc_id", F.inline(steps)))
+    return sequence.replace_in_order(corpus.document_lines(spark, sf), docs.select("doc_id", F.inline(steps)))
+
+
+EDIT_STEPS = r"""
+WITH RECURSIVE """ + DOC_LINES + r""",
+o AS (SELECT doc_id, doc_id || '#' || idx AS object_id, text, CAST(idx % 4 AS INT) AS slide FROM doc_lines),
+f AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
+ops AS (
+  SELECT doc_id, 1 AS k, 'setText' AS op, NULL AS id, NULL AS eq, nullif(substr(line, 5, 30), '') AS has, NULL::INT AS slide, NULL AS old, 'one ' || doc_id AS new FROM f
+  UNION ALL SELECT doc_id, 2, 'setText', NULL, 'one ' || doc_id, NULL, NULL, NULL, 'two e' FROM f
+  UNION ALL SELECT doc_id, 3, 'replaceText', NULL, NULL, NULL, NULL, 'e', 'EE' FROM f
+  UNION ALL SELECT doc_id, 4, 'setText', NULL, NULL, 'two EE', CASE WHEN doc_id % 2 = 0 THEN 0 END, NULL, 'three' FROM f
+  UNION ALL SELECT doc_id, 5, 'setText', NULL, line, NULL, NULL, NULL, 'never' FROM f
+  UNION ALL SELECT doc_id, 6, 'setText', doc_id || '#1', NULL, NULL, NULL, NULL, 'by id' FROM f
+  UNION ALL SELECT doc_id, 7, 'setText', doc_id || '#1', NULL, NULL, NULL, NULL, 'three' FROM f
+  UNION ALL SELECT doc_id, 8, 'setText', NULL, 'three', NULL, NULL, NULL, 'four' FROM f),
+st AS (
+  SELECT 0 AS k, doc_id, object_id, slide, text, false AS edited, '' AS outcome FROM o
+  UNION ALL
+  SELECT k, doc_id, object_id, slide, CASE WHEN hit AND op = 'setText' AND n = 1 THEN new WHEN hit AND op = 'replaceText' THEN replace(text, old, new) ELSE text END,
+         edited OR (hit AND (op = 'replaceText' OR n = 1)), CASE WHEN n = 0 THEN 'SELECTOR_NOT_FOUND' WHEN op = 'setText' AND n > 1 THEN 'SELECTOR_AMBIGUOUS' ELSE 'applied' END
+  FROM (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY doc_id) AS n FROM (
+    SELECT p.k, st.doc_id, st.object_id, st.slide, st.text, st.edited, p.op, p.new, p.old,
+           CASE WHEN p.op = 'replaceText' THEN contains(st.text, p.old) WHEN p.id IS NOT NULL THEN st.object_id = p.id
+                ELSE (p.eq IS NOT NULL OR p.has IS NOT NULL OR p.slide IS NOT NULL) AND coalesce(st.text = p.eq, true) AND coalesce(contains(st.text, p.has), true) AND coalesce(st.slide = p.slide, true) END AS hit
+    FROM st JOIN ops p ON p.doc_id = st.doc_id AND p.k = st.k + 1)))
+"""
+
+
+def _edit_steps(spark, sf):
+    objects = _line_objects(spark, sf)
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    docs = corpus.table(spark, sf, "documents").select("doc_id", line.alias("line"))
+    text = lambda value: F.lit(value).cast("string") if isinstance(value, (str, type(None))) else value
+
+    def step(k, new, op="setText", object_id=None, equals=None, contains=None, slide=None, old=None):
+        return F.struct(F.lit(k).alias("op_idx"), F.lit(op).alias("op"), text(object_id).alias("object_id"), text(equals).alias("equals"), text(contains).alias("contains"),
+                        (F.lit(None).cast("bigint") if slide is None else slide).alias("slide"), text(old).alias("old"), text(new).alias("new_text"))
+
+    key = F.col("doc_id").cast("string")
+    second = F.concat(key, F.lit("#1"))
+    steps = F.array(
+        step(1, F.concat(F.lit("one "), key), contains=F.nullif(F.substring("line", 5, 30), F.lit(""))), step(2, "two e", equals=F.concat(F.lit("one "), key)),
+        step(3, "EE", op="replaceText", old="e"), step(4, "three", contains="two EE", slide=F.when(F.col("doc_id") % 2 == 0, F.lit(0).cast("bigint"))),
+        step(5, "never", equals=F.col("line")), step(6, "by id", object_id=second), step(7, "three", object_id=second), step(8, "four", equals="three"))
+    ops = docs.select("doc_id", F.inline(steps)).withColumn("op_id", F.concat_ws("/", "doc_id", "op_idx"))
+    return sequence.apply_in_order(objects.withColumn("slide", F.col("slide").cast("bigint")).select("doc_id", "object_id", "text", "slide"), ops, ["slide"])
+
+
+@query("edits_in_order", EDIT_STEPS + "SELECT doc_id, object_id, text, edited FROM st WHERE k = 8")
+def _(spark, sf):
+    """Eight operations per document, each on what the one before left."""
+    return _edit_steps(spark, sf)[0].select("doc_id", "object_id", "text", "edited")
+
+
+@query("edit_outcomes", EDIT_STEPS + """
+SELECT DISTINCT p.doc_id || '/' || p.k AS op_id, coalesce(outcome, 'SELECTOR_NOT_FOUND') AS outcome FROM ops p LEFT JOIN st ON st.doc_id = p.doc_id AND st.k = p.k""")
+def _(spark, sf):
+    return _edit_steps(spark, sf)[1].select("op_id", "outcome")
 
 
 @query("set_table_cells", "WITH " + LIST_TABLES + r""",
