@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.cellref import range_bounds
 from folioscope.functions.xml import first_match, matches, xml_unescape
-from folioscope.operators.geometry import bands
 from folioscope.operators.integrity import explode_issues, issue
+from folioscope.plans.intervals import overlapping
 
 # Functions that recalculate on every change.
 VOLATILE = ["CELL", "INDIRECT", "INFO", "NOW", "OFFSET", "RAND", "RANDBETWEEN", "TODAY"]
@@ -108,17 +108,16 @@ def related_objects(deps: DataFrame, objects: DataFrame, size: float = 8.0) -> D
     named = deps.filter(F.col("dep_kind") == "tableStructuredRef").select(*keys, F.lower("dep_name").alias("key")).join(
         tables.select("doc_id", F.lower("name").alias("key"), "kind", "name", "path"), ["doc_id", "key"]).select(
         *keys, "kind", "name", "path", F.lit("structured-ref").alias("reason"))
-    left = bands(deps.filter(F.col("c0").isNotNull()).select(*keys, "dep_sheet", "c0", "r0", "c1", "r1"), F.col("c0"), F.col("c1"), size)
-    right = bands(objects.filter(F.col("c0").isNotNull() & (F.col("kind") != "slicer")).select(
+    left = deps.filter(F.col("c0").isNotNull()).select(*keys, "dep_sheet", "c0", "r0", "c1", "r1")
+    right = objects.filter(F.col("c0").isNotNull() & (F.col("kind") != "slicer")).select(
         "doc_id", "kind", "name", "path", F.col("sheet_idx").alias("o_sheet"), "sheet_name",
-        *[F.col(c).alias(f"o_{c}") for c in ("c0", "r0", "c1", "r1")]), F.col("o_c0"), F.col("o_c1"), size)
+        *[F.col(c).alias(f"o_{c}") for c in ("c0", "r0", "c1", "r1")])
     c = F.col
-    home = F.floor(F.greatest("c0", "o_c0") / size)
-    overlap = (c("c0") <= c("o_c1")) & (c("c1") >= c("o_c0")) & (c("r0") <= c("o_r1")) & (c("r1") >= c("o_r0"))
+    rows_too = (c("r0") <= c("o_r1")) & (c("r1") >= c("o_r0"))
     same_place = (
         F.when(c("kind") == "table", c("dep_sheet").isNotNull() | (c("sheet_idx") == c("o_sheet")))
         .otherwise(c("dep_sheet").isNull() | c("sheet_name").isNull() | (F.lower("dep_sheet") == F.lower("sheet_name"))))
-    ranged = left.join(right, ["doc_id", "band"]).filter((c("band") == home) & overlap & F.coalesce(same_place, F.lit(True))).select(
+    ranged = overlapping(left, right, ["doc_id"], ("c0", "c1"), ("o_c0", "o_c1"), size).filter(rows_too & F.coalesce(same_place, F.lit(True))).select(
         *keys, "kind", "name", "path", F.when(c("kind") == "pivotTable", "source-overlap").otherwise("range-overlap").alias("reason"))
     # A table named by a structured reference is not listed again as an overlap.
     ranged = ranged.join(named.select(*keys, "path"), [*keys, "path"], "left_anti").select(*named.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import round_half_up
+from folioscope.plans.intervals import overlapping
 from folioscope.plans.ordered import chunk_of, numbered
 
 # Confidence of each geometric relation, overlap share, evidence weights.
@@ -14,27 +15,16 @@ OVERLAP = 0.25
 BAND = 64.0
 
 
-def bands(df: DataFrame, low: Column, high: Column, size: float, name: str = "band") -> DataFrame:
-    """One copy of a row per band its extent touches."""
-    first, last = F.floor(low / size), F.floor(high / size)
-    return df.withColumn(name, F.explode(F.sequence(first, last)))
+def box_side(boxes: DataFrame, prefix: str, *more: str) -> DataFrame:
+    """One side of ``box_pairs``: ids, boxes and where they end, under a prefix."""
+    return boxes.select("doc_id", "slide", *more, *[F.col(c).alias(f"{prefix}_{c}") for c in ("object_id", "x", "y", "w", "h")],
+                        *[(F.col(a) + F.greatest(F.col(e), F.lit(0.0))).alias(f"{prefix}_{a}_end") for a, e in (("x", "w"), ("y", "h"))])
 
 
-def _side(boxes: DataFrame, prefix: str, axis: str, size: float) -> DataFrame:
-    start, extent = ("y", "h") if axis == "y" else ("x", "w")
-    rows = bands(boxes, F.col(start), F.col(start) + F.greatest(F.col(extent), F.lit(0.0)), size)
-    return rows.select(
-        "doc_id", "slide", "band",
-        *[F.col(c).alias(f"{prefix}_{c}") for c in ("object_id", "x", "y", "w", "h")])
-
-
-def _pairs(boxes: DataFrame, axis: str, size: float) -> DataFrame:
-    """Pairs that share a band; a pair that shares several is kept in one of them."""
-    start = "y" if axis == "y" else "x"
-    left, right = _side(boxes, "f", axis, size), _side(boxes, "t", axis, size)
-    joined = left.join(right, ["doc_id", "slide", "band"])
-    home = F.floor(F.greatest(F.col(f"f_{start}"), F.col(f"t_{start}")) / size)
-    return joined.filter((F.col("f_object_id") != F.col("t_object_id")) & (F.col("band") == home))
+def box_pairs(left: DataFrame, right: DataFrame, axis: str, size: float = BAND) -> DataFrame:
+    """Pairs of different boxes of a slide whose extents on the axis overlap; columns ``f_*`` and ``t_*``."""
+    pairs = overlapping(left, right, ["doc_id", "slide"], (f"f_{axis}", f"f_{axis}_end"), (f"t_{axis}", f"t_{axis}_end"), size)
+    return pairs.filter(F.col("f_object_id") != F.col("t_object_id"))
 
 
 def overlap_ratio(axis: str, left: str = "f", right: str = "t") -> Column:
@@ -45,13 +35,8 @@ def overlap_ratio(axis: str, left: str = "f", right: str = "t") -> Column:
     return shared / F.greatest(F.lit(1.0), F.least(ea, eb))
 
 
-def geometry_edges(boxes: DataFrame, size: float = BAND) -> DataFrame:
-    """``contains``, ``rightOf`` and ``below`` edges between boxes of one slide.
-
-    Every relation needs a shared stretch on one axis, so boxes are joined on
-    ``(doc, slide, band)`` of that axis, never slide against slide. ``contains``
-    and ``rightOf`` share the vertical bands, ``below`` uses horizontal ones.
-    """
+def edge_tests() -> dict[str, tuple[str, Column]]:
+    """Relation -> the axis on which its boxes overlap, and its test on a pair."""
     inside = (
         (F.col("f_w") * F.col("f_h") > F.col("t_w") * F.col("t_h"))
         & (F.col("t_x") >= F.col("f_x")) & (F.col("t_y") >= F.col("f_y"))
@@ -60,15 +45,38 @@ def geometry_edges(boxes: DataFrame, size: float = BAND) -> DataFrame:
     )
     right = (F.col("f_x") >= F.col("t_x") + F.col("t_w")) & (overlap_ratio("y") >= OVERLAP)
     below = (F.col("f_y") >= F.col("t_y") + F.col("t_h")) & (overlap_ratio("x") >= OVERLAP)
-    edge = lambda when, name: F.when(when, F.struct(F.lit(name).alias("relation"), F.lit(CONFIDENCE[name]).alias("confidence")))
+    return {"contains": ("y", inside), "rightOf": ("y", right), "below": ("x", below)}
+
+
+def geometry_edges(boxes: DataFrame, size: float = BAND) -> DataFrame:
+    """``contains``, ``rightOf`` and ``below`` edges between boxes of one slide.
+
+    Every relation needs a shared stretch on one axis, so boxes meet by interval joins on
+    that axis, never slide against slide. ``contains`` and ``rightOf`` share the vertical one.
+    """
+    tests = edge_tests()
+    edge = lambda name: F.when(tests[name][1], F.struct(F.lit(name).alias("relation"), F.lit(CONFIDENCE[name]).alias("confidence")))
     ids = [F.col("f_object_id").alias("from_id"), F.col("t_object_id").alias("to_id")]
-    rows = _pairs(boxes, "y", size).filter(inside | right).select(
-        "doc_id", "slide", *ids, F.inline(F.array_compact(F.array(edge(inside, "contains"), edge(right, "rightOf")))))
-    columns = _pairs(boxes, "x", size).filter(below).select(
+    left, right = box_side(boxes, "f"), box_side(boxes, "t")
+    rows = box_pairs(left, right, "y", size).filter(tests["contains"][1] | tests["rightOf"][1]).select(
+        "doc_id", "slide", *ids, F.inline(F.array_compact(F.array(edge("contains"), edge("rightOf")))))
+    columns = box_pairs(left, right, "x", size).filter(tests["below"][1]).select(
         "doc_id", "slide", *ids, F.lit("below").alias("relation"), F.lit(CONFIDENCE["below"]).alias("confidence"))
     return rows.unionByName(columns)
 
 
+def edges_of(boxes: DataFrame, anchors: DataFrame, relation: str, outgoing: bool = True, size: float = BAND) -> DataFrame:
+    """``(doc_id, slide, from_id, to_id)`` of one relation at the anchors (``doc_id, object_id``); no other edge is built.
+
+    ``outgoing``: the anchor is the target, so that edges lead from the objects asked for.
+    """
+    ends = boxes.join(anchors.select("doc_id", "object_id").distinct(), ["doc_id", "object_id"], "left_semi")
+    axis, test = edge_tests()[relation]
+    sides = (boxes, ends) if outgoing else (ends, boxes)
+    pairs = box_pairs(box_side(sides[0], "f"), box_side(sides[1], "t"), axis, size).filter(test)
+    return pairs.select("doc_id", "slide", F.col("f_object_id").alias("from_id"), F.col("t_object_id").alias("to_id"))
+
+
 def graph_nodes(objects: DataFrame, hints: list[str], box: str | None = None) -> DataFrame:
     """Nodes with evidence confidence and risk flags.
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import nearest as at_digits
-from folioscope.operators.geometry import bands, overlap_ratio
+from folioscope.operators.geometry import box_pairs, box_side, edges_of, overlap_ratio
 from folioscope.operators.integrity import WORD, explode_issues, issue
+from folioscope.plans.intervals import overlapping
 
 # Tie band, distance limit, confidence weights.
 TIE_DISTANCE, TIE_RATIO, MAX_DISTANCE = 24.0, 1.15, 1000.0
@@ -115,13 +116,9 @@ def right_of(objects: DataFrame, anchors: DataFrame, size: float = 64.0) -> Data
         "selector_id", "doc_id", "object_id", F.lit(None).cast("double").alias("gap"), F.lit("ambiguous").alias("status"))
     boxed = objects.select("doc_id", "slide", "object_id", "x", "y", "w", "h")
     unique = anchors.join(counted.filter(F.col("n") == 1).select("selector_id"), "selector_id").join(boxed, ["doc_id", "slide", "object_id"])
-    side = lambda d, p, extra: bands(d, F.col("y"), F.col("y") + F.col("h"), size).select(
-        "doc_id", "slide", "band", *extra, *[F.col(c).alias(f"{p}_{c}") for c in ("object_id", "x", "y", "w", "h")])
-    pairs = side(boxed, "f", []).join(side(unique, "t", ["selector_id"]), ["doc_id", "slide", "band"])
-    home = F.floor(F.greatest("f_y", "t_y") / size)
-    hits = pairs.filter(
-        (F.col("band") == home) & (F.col("f_object_id") != F.col("t_object_id"))
-        & (F.col("f_x") >= F.col("t_x") + F.col("t_w")) & (overlap_ratio("y") >= 0.25)
+    targets = box_side(unique, "t", "selector_id")
+    hits = box_pairs(box_side(boxed, "f"), targets, "y", size).filter(
+        (F.col("f_x") >= F.col("t_x") + F.col("t_w")) & (overlap_ratio("y") >= 0.25)
     ).withColumn("gap", F.col("f_x") - F.col("t_x") - F.col("t_w"))
     best = hits.groupBy("selector_id").agg(F.min("gap").alias("best"))
     close = hits.join(best, "selector_id").filter(F.col("gap") - F.col("best") <= TIE_DISTANCE).select(
@@ -187,18 +184,18 @@ def near_misses(objects: DataFrame, selectors: DataFrame, resolved: DataFrame, l
     return hits.withColumn("rank", rank).filter(F.col("rank") <= limit).select("selector_id", "doc_id", "object_id", "rank")
 
 
-def by_relation(objects: DataFrame, edges: DataFrame, anchors: DataFrame, relation: str, outgoing: bool = True) -> DataFrame:
-    """Objects with an edge to the anchor; an ambiguous anchor returns its candidates.
+def by_relation(objects: DataFrame, anchors: DataFrame, relation: str, outgoing: bool = True) -> DataFrame:
+    """Objects with a geometric edge to the anchor; an ambiguous anchor returns its candidates.
 
-    ``anchors``: ``selector_id, doc_id, object_id``.
+    ``objects`` carry boxes, ``anchors``: ``selector_id, doc_id, object_id``. Only edges at unique anchors are built.
     """
     counted = anchors.groupBy("selector_id").agg(F.count(F.lit(1)).alias("n"))
     unique = anchors.join(counted.filter(F.col("n") == 1), "selector_id")
     node, anchor = ("from_id", "to_id") if outgoing else ("to_id", "from_id")
+    edges = edges_of(objects, unique, relation, outgoing)
     related = (
-        edges.filter(F.col("relation") == relation).select("doc_id", F.col(anchor).alias("object_id"), F.col(node).alias("found"))
+        edges.select("doc_id", F.col(anchor).alias("object_id"), F.col(node).alias("found"))
         .join(unique, ["doc_id", "object_id"]).select("selector_id", "doc_id", F.col("found").alias("object_id")).distinct()
-        .join(objects.select("doc_id", "object_id"), ["doc_id", "object_id"], "left_semi")
         .withColumn("status", F.lit("candidate"))
     )
     several = anchors.join(counted.filter(F.col("n") > 1), "selector_id").select(
@@ -210,12 +207,11 @@ def by_bbox(objects: DataFrame, boxes: DataFrame, size: float = 64.0) -> DataFra
     """Objects near, intersecting or containing a requested box.
 
     ``boxes``: ``selector_id, doc_id, slide, bx, by, bw, bh, tolerance, mode``.
-    Both sides join on the vertical bands of a slide.
+    Both sides meet by the vertical extents of a slide.
     """
-    low = F.col("by") - F.col("tolerance")
-    wanted = bands(boxes, low, F.col("by") + F.col("bh") + F.col("tolerance"), size)
-    have = bands(objects.select("doc_id", "slide", "object_id", "x", "y", "w", "h"), F.col("y"), F.col("y") + F.col("h"), size)
-    pairs = wanted.join(have, ["doc_id", "slide", "band"]).filter(F.col("band") == F.floor(F.greatest(low, F.col("y")) / size))
+    wanted = boxes.withColumn("_low", F.col("by") - F.col("tolerance")).withColumn("_high", F.col("by") + F.col("bh") + F.col("tolerance"))
+    have = objects.select("doc_id", "slide", "object_id", "x", "y", "w", "h", (F.col("y") + F.col("h")).alias("_end"))
+    pairs = overlapping(wanted, have, ["doc_id", "slide"], ("_low", "_high"), ("y", "_end"), size)
     c = F.col
     close = lambda a, b: F.abs(c(a) - c(b)) <= c("tolerance")
     near = close("x", "bx") & close("y", "by") & close("w", "bw") & close("h", "bh")

@@ -154,7 +154,7 @@ SELECT DISTINCT a.selector_id, e.doc_id, e.from_id AS object_id, 'candidate' AS
 UNION ALL SELECT selector_id, doc_id, object_id, 'ambiguous' FROM a WHERE n > 1""")
 def _(spark, sf):
     boxes = corpus.boxes(spark, sf)
-    return selectors.by_relation(boxes, geometry.geometry_edges(boxes), _title_anchors(spark, sf).drop("slide"), "below")
+    return selectors.by_relation(boxes, _title_anchors(spark, sf).drop("slide"), "below")
 
 
 @query("objects_by_bbox", "WITH " + BOXES + r""",
