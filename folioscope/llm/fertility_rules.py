@@ -155,19 +155,19 @@ def failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _quartiles(passed: DataFrame, level: str, *by: str) -> DataFrame:
-    """Per group the number of texts, and quartiles and range of each measure, named after the ``level``."""
-    found = passed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.75], 10000).alias(m) for m in MEASURES])
-    ends = [c.alias(f"{level}_{m}_{name}") for m in MEASURES for c, name in ((F.col(m)[0], "low"), (F.col(m)[1], "high"))]
-    return found.select(*by, F.col("n").alias(f"{level}_n"), *ends)
+def _quartiles(level: str) -> list[Column]:
+    """The number of texts and quartiles of each measure, named after the ``level``."""
+    ends = [F.percentile_approx(m, p, 10000).alias(f"{level}_{m}_{name}") for m in MEASURES for p, name in ((0.25, "low"), (0.75, "high"))]
+    return [F.count(F.lit(1)).alias(f"{level}_n"), *ends]
 
 
 def bands(rows: DataFrame) -> DataFrame:
     """(band, script, <measure>_low, <measure>_high) for every pair of group and script that passes the plain rules."""
-    passed = shared_table(rows.where(~failed()).groupBy("band", "script").agg(F.count(F.lit(1)).alias("n"))).drop("n")
     good = rows.where(~failed())
-    tables = passed.join(_quartiles(good, "own", "band"), "band").join(_quartiles(good, "script", "script"), "script")
-    tables = tables.withColumn("one", F.lit(1)).join(_quartiles(good.withColumn("one", F.lit(1)), "all", "one"), "one")
+    pairs = good.groupBy("band", "script").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    every = good.agg(F.struct(*_quartiles("all")).alias("all")).scalar()
+    tables = pairs.join(good.groupBy("band").agg(*_quartiles("own")), "band").join(good.groupBy("script").agg(*_quartiles("script")), "script")
+    tables = tables.withColumn("all", every).select("*", "all.*")
     edges = []
     for m in MEASURES:
         wide = lambda level: F.col(f"{level}_{m}_high") - F.col(f"{level}_{m}_low")  # noqa: B023,E731

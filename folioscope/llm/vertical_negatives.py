@@ -31,7 +31,7 @@ LARGEST = float(1 << 18)
 ANCHOR_EVERY, RELABEL_EVERY, LABELS = 50, 7, 10
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
-BLOCK_ENTRIES = 1 << 24
+LEAST_ENTRIES, MOST_ENTRIES = 1 << 16, 1 << 24
 STRIDE = 8
 
 
@@ -243,7 +243,8 @@ def mined(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     rows = shared_table(prepared(df, key, vector, label))
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = rows.agg(F.sum(F.size("x"))).first()[0] or 0
-    blocks = max(2 * spread, -(-entries // BLOCK_ENTRIES))  # a task holds one block
+    # A task holds one block; blocks that are too small would only repeat every anchor's work.
+    blocks = max(min(2 * spread, -(-entries // LEAST_ENTRIES)), -(-entries // MOST_ENTRIES), 1)
     anchors = rows.where(F.col("key") % ANCHOR_EVERY == 0)
     near = _past_blocks(rows, anchors.withColumn("scores", F.lit(None).cast("array<bigint>")), blocks, _same,
                         "anchor long, other long, score long", ["anchor", "other", "score"], [pa.int64()] * 3)
