@@ -9,6 +9,7 @@ from folioscope.functions.cellref import range_bounds
 from folioscope.functions.xml import first_match, matches, xml_unescape
 from folioscope.operators.integrity import explode_issues, issue
 from folioscope.plans.intervals import overlapping
+from folioscope.session import cut
 
 # Functions that recalculate on every change.
 VOLATILE = ["CELL", "INDIRECT", "INFO", "NOW", "OFFSET", "RAND", "RANDBETWEEN", "TODAY"]
@@ -96,6 +97,10 @@ def formula_flags(cells: DataFrame, external_links: bool = False) -> DataFrame:
     return flagged.withColumn("unsafe_flags", F.array_join(flags, ",")).withColumn("volatile", F.array_join("volatile", ","))
 
 
+# Fixed value: columns of a sheet.
+MOST_COLUMNS = 16384
+
+
 def related_objects(deps: DataFrame, objects: DataFrame, size: float = 8.0) -> DataFrame:
     """Tables, charts and pivots a formula touches, and slicers of touched tables.
 
@@ -117,11 +122,11 @@ def related_objects(deps: DataFrame, objects: DataFrame, size: float = 8.0) -> D
     same_place = (
         F.when(c("kind") == "table", c("dep_sheet").isNotNull() | (c("sheet_idx") == c("o_sheet")))
         .otherwise(c("dep_sheet").isNull() | c("sheet_name").isNull() | (F.lower("dep_sheet") == F.lower("sheet_name"))))
-    ranged = overlapping(left, right, ["doc_id"], ("c0", "c1"), ("o_c0", "o_c1"), size).filter(rows_too & F.coalesce(same_place, F.lit(True))).select(
+    ranged = overlapping(left, right, ["doc_id"], ("c0", "c1"), ("o_c0", "o_c1"), size, MOST_COLUMNS).filter(rows_too & F.coalesce(same_place, F.lit(True))).select(
         *keys, "kind", "name", "path", F.when(c("kind") == "pivotTable", "source-overlap").otherwise("range-overlap").alias("reason"))
     # A table named by a structured reference is not listed again as an overlap.
     ranged = ranged.join(named.select(*keys, "path"), [*keys, "path"], "left_anti").select(*named.columns)
-    direct = named.unionByName(ranged).distinct()
+    direct = cut(named.unionByName(ranged).distinct())  # read twice below; formulas are parsed once for it
     slicers = objects.filter(c("kind") == "slicer").select("doc_id", F.lower("table_name").alias("key"), "kind", "name", "path")
     touched = direct.filter(c("kind") == "table").select(*keys, F.lower("name").alias("key")).distinct()
     linked = touched.join(slicers, ["doc_id", "key"]).select(*keys, "kind", "name", "path", F.lit("table-slicer").alias("reason"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions.xml import matches
+from folioscope.plans.search import contained
 from folioscope.sources.packages import Limits
 
 # Parts each format must hold; a star stands for any name.
@@ -198,49 +199,16 @@ def workbook_flags(summary: DataFrame, formulas: bool = True, named_ranges: bool
 # --- forbidden and required text ------------------------------------------------------
 
 
-WORD = r"[\p{L}\p{N}]+"
-
-
-def _anchor(pattern: Column) -> Column:
-    """Longest word with a non-word character on both sides, NULL if there is none.
-
-    Where the pattern occurs, such a word occurs as a whole word of the text.
-    """
-    inner = F.regexp_extract_all(pattern, F.lit(rf"(?<=[^\p{{L}}\p{{N}}])({WORD})(?=[^\p{{L}}\p{{N}}])"), F.lit(1))
-    ranked = F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))
-    return F.array_max(ranked)["word"]
-
-
-GRAM = 3
-
-
 def text_hits(objects: DataFrame, patterns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, object_id, pattern_id)`` for every pattern a text contains, ignoring case.
 
-    ``keep`` adds columns of the matching object.
-
-    Patterns with an inner word are found by an equi-join on that word, the others by their
-    first ``GRAM`` characters (all of a shorter one); texts are joined as distinct words and as
-    distinct character runs of these lengths. Candidates are verified on the whole text. The
-    plan is the same for any number of patterns.
+    ``keep`` adds columns of the matching object. Patterns are looked up by their rarest key (``plans/search.py``).
     """
-    lowered = patterns.select("pattern_id", F.lower("pattern").alias("needle")).filter(F.col("needle") != "")
-    word = _anchor(F.col("needle"))
-    keyed = lowered.withColumn("word", word).withColumn("key", F.coalesce("word", F.substring("needle", 1, GRAM)))
-    text = F.lower("text")
-    words = F.regexp_extract_all(text, F.lit(rf"({WORD})"), F.lit(1))
-    grams = F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)])
-
-    def found(keys: Column, wanted: DataFrame) -> DataFrame:
-        held = objects.select("doc_id", "object_id", F.explode(F.array_distinct(keys)).alias("key"))
-        return held.join(wanted.select("pattern_id", "key", "needle"), "key").drop("key")
-
-    candidates = found(words, keyed.filter(F.col("word").isNotNull())).unionByName(found(grams, keyed.filter(F.col("word").isNull())))
-    return (
-        candidates.join(objects.select("doc_id", "object_id", "text", *[c for c in keep if c != "text"]), ["doc_id", "object_id"])
-        .filter(F.contains(F.lower("text"), F.col("needle")))
-        .select("doc_id", "object_id", "pattern_id", *keep)
-    )
+    wanted = patterns.select("pattern_id", F.lower("pattern").alias("needle"))
+    columns = [c for c in objects.columns if c in keep]
+    texts = objects.select("doc_id", "object_id", F.lower("text").alias("text"), *[F.col(c).alias(f"_{c}") for c in columns])
+    found = contained(texts, wanted, ["doc_id", "object_id"], [f"_{c}" for c in columns])
+    return found.withColumnsRenamed({f"_{c}": c for c in columns}).select("doc_id", "object_id", "pattern_id", *keep)
 
 
 def forbidden_text(objects: DataFrame, patterns: DataFrame, margin: int = 24) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import nearest as at_digits
 from folioscope.operators.geometry import box_pairs, box_side, edges_of, overlap_ratio
-from folioscope.operators.integrity import WORD, explode_issues, issue
+from folioscope.operators.integrity import explode_issues, issue
 from folioscope.plans.intervals import overlapping
+from folioscope.plans.search import WORD
 
 # Tie band, distance limit, confidence weights.
 TIE_DISTANCE, TIE_RATIO, MAX_DISTANCE = 24.0, 1.15, 1000.0

@@ -3,7 +3,8 @@
 An interval lives on the lowest level whose cells are at least as wide as it is, so it touches one or two cells
 there, however long it is. Two overlapping intervals meet on the level of the longer one: that one
 is at home there, the shorter one visits. Only levels on which the other side has someone at home are
-visited; which these are is a small array that the same query works out. A visitor never meets a visitor.
+visited; which these are is a small array that the same query works out, or all levels up to a known width. A visitor never
+meets a visitor: what is at home on the right waits in two slots, for those at home on the left and for visitors from there.
 """
 
 from __future__ import annotations
@@ -26,37 +27,35 @@ def cells(low: Column, high: Column, level: Column, base: float) -> Column:
     return F.sequence(first, F.greatest(first, F.floor(high / width)))
 
 
-def _at_home(df: DataFrame, span: tuple[str, str], base: float) -> DataFrame:
+def _placed(df: DataFrame, span: tuple[str, str], base: float, levels: Column, home: list[int], visit: list[int]) -> DataFrame:
+    """Rows with ``_level``, ``_cell`` and ``_slot``, of which those at home and those on a visit take the given ones."""
     low, high = map(F.col, span)
-    placed = df.filter(low.isNotNull() & high.isNotNull()).withColumn("_level", level_of(low, high, base))
-    return placed.withColumn("_cell", F.explode(cells(low, high, F.col("_level"), base)))
+    own = df.filter(low.isNotNull() & high.isNotNull()).withColumn("_own", level_of(low, high, base)).withColumn("_levels", levels)
+    levelled = own.withColumn("_level", F.explode(F.array_union("_levels", F.array("_own")))).filter(F.col("_level") >= F.col("_own"))
+    celled = levelled.withColumn("_cell", F.explode(cells(low, high, F.col("_level"), base)))
+    slots = F.when(F.col("_level") == F.col("_own"), F.array(*map(F.lit, home))).otherwise(F.array(*map(F.lit, visit)))
+    return celled.withColumn("_slot", F.explode(slots)).drop("_own", "_levels")
 
 
-def _visits(df: DataFrame, span: tuple[str, str], base: float, levels: Column) -> DataFrame:
-    low, high = map(F.col, span)
-    placed = df.filter(low.isNotNull() & high.isNotNull()).withColumn("_own", level_of(low, high, base)).withColumn("_levels", levels)
-    above = placed.withColumn("_level", F.explode("_levels")).filter(F.col("_level") > F.col("_own")).drop("_levels", "_own")
-    return above.withColumn("_cell", F.explode(cells(low, high, F.col("_level"), base)))
-
-
-def _levels(df: DataFrame, span: tuple[str, str], base: float) -> Column:
+def _levels(df: DataFrame, span: tuple[str, str], base: float, widest: float | None) -> Column:
+    if widest is not None:
+        return F.sequence(F.lit(0), level_of(F.lit(0.0), F.lit(float(widest)), base))
     low, high = map(F.col, span)
     return df.filter(low.isNotNull() & high.isNotNull()).agg(F.collect_set(level_of(low, high, base))).scalar()
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], base: float) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], base: float,
+                widest: float | None = None) -> DataFrame:
     """Rows of both sides with equal ``keys`` whose closed intervals overlap, each pair once.
 
     Apart from the keys the sides have no column in common. An interval with its end before its start counts as its start. ``base``
-    is the width of the narrowest cells, best near the usual length; the result does not depend on it.
+    is the width of the narrowest cells, best near the usual length; the result does not depend on it. ``widest``, where given, is the longest
+    interval there can be on the left, which saves reading that side for its levels.
     """
-    meet = [*keys, "_level", "_cell"]
-    home = lambda df, span: _at_home(df, span, base)
     start = F.greatest(F.col(left_span[0]), F.col(right_span[0]))
     # A pair that shares two cells is kept where the overlap begins.
     once = F.col("_cell") == F.floor(start / (F.lit(float(base)) * F.pow(F.lit(2.0), F.col("_level"))))
     touch = (start <= F.greatest(*map(F.col, left_span))) & (start <= F.greatest(*map(F.col, right_span)))
-    guests = _visits(right, right_span, base, _levels(left, left_span, base))
-    longer_left = home(left, left_span).join(home(right, right_span).unionByName(guests), meet)
-    longer_right = _visits(left, left_span, base, _levels(right, right_span, base)).join(home(right, right_span), meet)
-    return longer_left.unionByName(longer_right).filter(once & touch).drop("_level", "_cell")
+    one = _placed(left, left_span, base, _levels(right, right_span, base, None), [0], [1])
+    other = _placed(right, right_span, base, _levels(left, left_span, base, widest), [0, 1], [0])
+    return one.join(other, [*keys, "_level", "_cell", "_slot"]).filter(once & touch).drop("_level", "_cell", "_slot")

@@ -25,11 +25,10 @@ def test_a_tall_box_stays_few_rows(spark):
     tall = spark.createDataFrame([(1, float(a), float(a) + 1e6) for a in (0, 63, 1234)], "k int, l0 double, l1 double")
     low = spark.createDataFrame([(1, 0.0, 10.0 * 2**i) for i in range(20)], "k int, r0 double, r1 double")
     span = ("l0", "l1")
-    home = intervals._at_home(tall, span, 64.0).groupBy("l0").count()
-    levels = intervals._levels(low, ("r0", "r1"), 64.0)
-    visits = intervals._visits(tall, span, 64.0, levels).groupBy("l0").count()
-    most = lambda df: max([x["count"] for x in df.collect()], default=0)
-    assert most(home) <= 2 and most(home) + most(visits) < 50
+    placed = intervals._placed(tall, span, 64.0, intervals._levels(low, ("r0", "r1"), 64.0, None), [0], [1])
+    every = intervals._placed(low, ("r0", "r1"), 64.0, intervals._levels(tall, span, 64.0, 1e6), [0, 1], [0])
+    most = lambda df, by: df.groupBy(by).count().agg(F.max("count")).first()[0]
+    assert most(placed, "l0") <= 2 + 2 * 9 and most(every, "r1") < 50
 
 
 def test_levels_fit_their_cells(spark):
