@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.cellref import range_bounds
+from folioscope.functions.formula import AFTER_WORD, AFTER_WORD_BREAK, split_formula
 from folioscope.functions.xml import first_match, matches, xml_unescape
 from folioscope.operators.integrity import explode_issues, issue
 from folioscope.plans.intervals import overlapping
@@ -14,38 +15,35 @@ from folioscope.session import cut
 # Functions that recalculate on every change.
 VOLATILE = ["CELL", "INDIRECT", "INFO", "NOW", "OFFSET", "RAND", "RANDBETWEEN", "TODAY"]
 
-# The grammar of strings, table references, cell references and names.
-STRING = r'"(?:[^"]|"")*+"'
-# A table name and its bracket, which may hold brackets one level deep.
-STRUCTURED = r"\b([A-Za-z_][A-Za-z0-9_.]*)\s*\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
-# A reference must not follow an identifier (that would be a function name).
+# The grammar of cell references and names; strings and table references are cut out before.
+# A reference must not follow an identifier (that would be a function name), nor one and white space.
 REFERENCE = (
-    r"(?<![A-Za-z0-9_.])(?:(?<!\s)|(?<![A-Za-z][A-Za-z0-9_.]{0,18}\s{1,18}))(?:\[[^\]]+\])?(?:(?:'[^']+'|[A-Za-z_][\w .]*)!)?"
+    rf"(?<![A-Za-z0-9_.{AFTER_WORD}{AFTER_WORD_BREAK}])(?:\[[^\]]+\])?(?:(?:'[^']+'|[A-Za-z_][\w .{AFTER_WORD}]*)!)?"
     r"\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?"
 )
 NAME = r"[A-Za-z0-9_.]+"
 
 
-def _masked(formula: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(formula, STRUCTURED, " "), STRING, " ")
-
-
 def _names_by_document(names: DataFrame) -> DataFrame:
     """Defined names of a workbook as one small map; they all sit in one bounded part."""
     unique = names.groupBy("doc_id", F.lower("name").alias("word")).agg(F.min("name").alias("name"))
     return unique.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "name"))).alias("names"))
 
 
+def _blanks(token: Column) -> Column:
+    return F.replace(token, F.lit(AFTER_WORD), F.lit(" "))
+
+
 def formula_deps(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataFrame:
     """Dependencies of every formula cell, without repeats inside a cell.
 
     ``cells``: ``doc_id, sheet_idx, ref, formula``; ``names``: ``doc_id, name``;
     ``tables``: ``doc_id, name``. Formulas meet the names of their workbook in
-    one join; everything else is read from the formula in one pass.
+    one join; strings, brackets of any depth and words before blanks are told apart in one pass over the formula.
     """
     keys = ["doc_id", "sheet_idx", "ref"]
     rows = cells.filter(F.col("formula").isNotNull() & (F.col("formula") != "")).select(
-        *keys, "formula", _masked(F.col("formula")).alias("clean")).join(_names_by_document(_without(names, tables)), "doc_id", "left")
+        *keys, split_formula("formula").alias("split")).select(*keys, "split.*").join(_names_by_document(_without(names, tables)), "doc_id", "left")
     tagged = lambda tag: lambda t: F.struct(F.lit(tag).alias("tag"), t.alias("token"))
     plain = F.filter(F.array_distinct(F.transform(matches("clean", f"({NAME})", 1), F.lower)), lambda w: F.map_contains_key("names", w))
     # Names with other characters are searched for; word characters must not touch them.
@@ -54,7 +52,7 @@ def formula_deps(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataF
         F.col("clean"), F.concat(F.lit(rf"(?i)(^|{edge})\Q"), n, F.lit(rf"\E($|{edge})"))))
     named = F.when(F.col("names").isNotNull(), F.concat(plain, odd)).otherwise(F.array().cast("array<string>"))
     tokens = F.concat(
-        F.transform(matches("formula", STRUCTURED, 0), tagged("s")), F.transform(matches("clean", REFERENCE, 0), tagged("r")),
+        F.transform("tables", tagged("s")), F.transform(F.transform(matches("clean", REFERENCE, 0), _blanks), tagged("r")),
         F.transform(F.transform(named, lambda w: F.try_element_at("names", w)), tagged("n")))
     found = rows.select(*keys, F.inline(F.array_distinct(tokens)))
     reference = F.col("tag") == "r"

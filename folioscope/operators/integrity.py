@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from folioscope.functions.xml import matches
 from folioscope.plans.search import contained
-from folioscope.sources.packages import Limits
+from folioscope.sources.packages import ARCHIVE_NAME, Limits
 
 # Parts each format must hold; a star stands for any name.
 COMMON_PARTS = ["[Content_Types].xml", "_rels/.rels"]
@@ -106,11 +106,13 @@ def risky_parts(parts: DataFrame) -> DataFrame:
 def volume_limits(parts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Limits on entries, bytes, ratio, XML part size, encryption, nesting, relationships.
 
-    One partial aggregate per document; ``flags`` and ``xml`` are optional columns.
+    One partial aggregate per document; ``flags``, ``xml`` and ``depth`` (of the archive that holds the part) are optional
+    columns. With the parts of inner archives (``shred(inner=True)``) all is counted through the tree.
     """
     has = set(parts.columns)
     xml_like = F.col("part").rlike(r"(?i)\.(xml|rels)$")
-    nested = F.col("part").rlike(r"(?i)\.(zip|docx|pptx|xlsx|docm|pptm|xlsm)$")
+    depth = F.col("depth") if "depth" in has else F.lit(0)
+    nested = F.col("part").rlike(ARCHIVE_NAME) & (depth >= limits.nested_depth)
     encrypted = (F.col("flags").bitwiseAND(1) == 1) if "flags" in has else F.lit(False)
     zip64 = (F.col("size") >= 4294967295) | (F.col("comp_size") >= 4294967295)
     relationships = F.regexp_count("xml", F.lit(r"<Relationship\b")) if "xml" in has else F.lit(0)
@@ -125,7 +127,7 @@ def volume_limits(parts: DataFrame, limits: Limits = Limits()) -> DataFrame:
         issue(F.col("expanded") > limits.expanded_bytes, "ZIP_EXPANDED_BYTES_EXCEEDED", "error"),
         issue(F.col("largest_xml") > limits.xml_part_bytes, "ZIP_XML_PART_TOO_LARGE", "error"),
         issue(F.col("ratio") > limits.ratio, "ZIP_COMPRESSION_RATIO_EXCEEDED", "error"),
-        issue(F.col("nested") & F.lit(limits.nested_depth <= 0), "ZIP_NESTED_ZIP_DETECTED", "error"),
+        issue(F.col("nested"), "ZIP_NESTED_ZIP_DETECTED", "error"),
         issue(F.col("encrypted"), "ZIP_ENCRYPTED_ENTRY", "error"),
         issue(F.col("zip64"), "ZIP64_UNSUPPORTED", "error"),
         issue(F.col("rels") > limits.relationships, "ZIP_RELATIONSHIP_LIMIT_EXCEEDED", "error"),

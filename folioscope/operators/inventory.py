@@ -72,11 +72,18 @@ def sheet_map(parts: DataFrame) -> DataFrame:
 
 
 def workbook_map(parts: DataFrame) -> DataFrame:
-    """Per workbook: sheets by state, defined names, and object parts by folder."""
+    """Per workbook: sheets by state, defined names, cells, formulas, validations, protected sheets, and object parts by folder.
+
+    The role is that of the workbook as a whole: a model has over 20 formulas, an input form has validations.
+    """
     folder = lambda pattern: F.count_if(F.col("part").rlike(pattern))
     book = F.when(F.col("part") == "xl/workbook.xml", F.col("xml"))
     counted = lambda pattern: F.sum(F.coalesce(F.regexp_count(book, F.lit(pattern)), F.lit(0))).cast("bigint")
-    return parts.filter(F.col("format") == "xlsx").groupBy("doc_id").agg(
+    sheet = F.when(F.col("part").rlike(SHEET_PART), F.col("xml"))
+    inside = lambda pattern: F.sum(F.coalesce(F.regexp_count(sheet, F.lit(pattern)), F.lit(0))).cast("bigint")
+    books = parts.filter(F.col("format") == "xlsx").groupBy("doc_id").agg(
+        inside(r"<c[\s>/]").alias("cells"), inside(r"<f\b").alias("formulas"), inside(r"<dataValidation\b").alias("validations"),
+        F.count_if(sheet.rlike(r"(?i)<sheetProtection\b")).alias("protected_sheets"),
         counted(r"<sheet\b").alias("sheets"),
         counted(r'(?i)\bstate="hidden"').alias("hidden"),
         counted(r'(?i)\bstate="veryHidden"').alias("very_hidden"),
@@ -88,6 +95,7 @@ def workbook_map(parts: DataFrame) -> DataFrame:
         folder(r"(?i)^xl/externalLinks/").alias("external_links"),
         folder(r"(?i)vbaProject\.bin$").alias("macros"),
     )
+    return books.withColumn("role", F.when(F.col("formulas") > 20, "model").when(F.col("validations") > 0, "input").otherwise("support"))
 
 
 # --- media -------------------------------------------------------------------

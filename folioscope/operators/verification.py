@@ -217,7 +217,7 @@ def shape_runs(runs: DataFrame) -> DataFrame:
     shaped = runs.groupBy("doc_id", "part", "shape").agg(
         F.count_distinct("para").alias("paragraphs"), F.min(F.when(F.col("font_pt") > 0, F.col("font_pt"))).alias("smallest_pt"),
         F.bool_or(F.coalesce("italic", F.lit(False))).alias("italic"), F.count_if(F.col("text") == "\n").alias("line_breaks"),
-        F.max("level").alias("deepest_level"),
+        F.max("level").alias("deepest_level"), F.sum(F.length("text")).alias("characters"),
     )
     return shaped
 
@@ -292,55 +292,6 @@ def diagnose(packages: DataFrame, objects: DataFrame, overflow: DataFrame, macro
 # --- critique, improvement, repair -------------------------------------------------------
 
 
-def critique_decks(summary: DataFrame) -> DataFrame:
-    """Rules for presentations over per-document aggregates.
-
-    ``summary``: ``doc_id, slides, assets, charts, text_objects, titles,
-    distinct_titles, tiny, mixed, italic, long_bullets, deep_bullets,
-    line_breaks, fonts``.
-    """
-    c = F.col
-    return explode_issues(summary, ["doc_id"], [
-        issue((c("slides") > 1) & (c("assets") == 0), "PPTX_ASSETS_NONE", "warning"),
-        issue(c("charts") == 0, "PPTX_CHARTS_NONE", "warning"),
-        issue(c("text_objects") / c("slides") > 18, "PPTX_TEXT_DENSITY_HIGH", "warning"),
-        issue(c("distinct_titles") < c("titles"), "PPTX_DUPLICATE_TITLES", "warning"),
-        issue((c("slides") > 0) & (c("text_objects") == 0) & (c("charts") == 0) & (c("assets") == 0), "PPTX_BLANK_LIKE_SLIDES", "warning"),
-        issue((c("slides") > 2) & (c("assets") == 0) & (c("charts") == 0), "PPTX_VISUAL_ANCHOR_LOW", "warning"),
-        issue(c("tiny") > 0, "PPTX_FONT_TOO_SMALL", "warning"),
-        issue(c("mixed") > 0, "PPTX_FONT_FAMILY_FRAGMENTED", "warning"),
-        issue(c("italic") > 0, "PPTX_STRAY_ITALIC_TEXT", "info"),
-        issue(c("long_bullets") > 0, "PPTX_BULLET_TOO_LONG", "warning"),
-        issue(c("deep_bullets") > 0, "PPTX_BULLET_DEPTH_HIGH", "warning"),
-        issue(c("line_breaks") > 0, "PPTX_EXPLICIT_LINE_BREAKS_HIGH", "info"),
-        issue(c("fonts") > 4, "PPTX_FONT_INVENTORY_FRAGMENTED", "warning"),
-    ])
-
-
-def critique_workbooks(summary: DataFrame) -> DataFrame:
-    c = F.col
-    return explode_issues(summary, ["doc_id"], [
-        issue(c("charts") == 0, "XLSX_DASHBOARD_CHARTS_NONE", "warning"),
-        issue(c("tables") == 0, "XLSX_TABLES_NONE", "warning"),
-        issue(c("formulas") == 0, "XLSX_FORMULAS_NONE", "info"),
-        issue(c("cells") > 250, "XLSX_WIDE_SHEET_READABILITY_RISK", "warning"),
-    ])
-
-
-def critique_documents(summary: DataFrame, repeated: DataFrame, jumps: DataFrame) -> DataFrame:
-    """Rules for word-processing files; headings come from ``headings`` operators."""
-    flags = summary.join(repeated.select("doc_id").distinct().withColumn("repeated", F.lit(True)), "doc_id", "left").join(
-        jumps.select("doc_id").distinct().withColumn("jump", F.lit(True)), "doc_id", "left")
-    c = F.col
-    return explode_issues(flags, ["doc_id"], [
-        issue(c("repeated"), "DOCX_REPEATED_HEADINGS", "warning"),
-        issue(c("headers") == 0, "DOCX_HEADERS_NONE", "info"),
-        issue(c("paragraphs") == 0, "DOCX_EMPTY_SECTION", "warning"),
-        issue(c("jump"), "DOCX_HEADING_HIERARCHY_GAP", "warning"),
-        issue(c("styles") == 1, "DOCX_STYLE_VARIETY_LOW", "info"),
-    ])
-
-
 def critique_score(documents: DataFrame, findings: DataFrame) -> DataFrame:
     penalty = F.lit(CRITIQUE_PENALTY["info"])
     for name in ("warning", "error"):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import string_distance
-from folioscope.operators import integrity, redaction, versions
+from folioscope.operators import integrity, inventory, redaction, versions
 from folioscope.plans.reading import DOC_LINES, PAGE_NODES
-from folioscope.sources import corpus, relationships, textnodes
+from folioscope.sources import corpus, packages, relationships, textnodes
 from folioscope.sources.packages import Limits
 
 QUERIES: dict = {}
@@ -282,6 +282,39 @@ def _(spark, sf):
     return integrity.volume_limits(parts, Limits(entries=6, expanded_bytes=300000, xml_part_bytes=95000, ratio=100))
 
 
+def _nested_packages(spark, sf):
+    """A presentation inside a word-processing package, and every third time that inside another one."""
+    def wrap(inner, name):
+        body = F.encode(F.lit("<w:document/>"), "UTF-8")
+        rows = F.array(F.struct(F.lit("word/document.xml").alias("part"), F.lit(0).alias("ord"), body.alias("content")),
+                       F.struct(F.lit(f"word/embeddings/{name}").alias("part"), F.lit(1).alias("ord"), F.col("content").alias("content")))
+        return packages.pack(inner.select("doc_id", F.lit("docx").alias("format"), F.inline(rows)).withColumn("xml", F.lit(None).cast("string")))
+
+    held = wrap(packages.pack(corpus.pptx_parts(spark, sf)), "deck.pptx")
+    third = F.col("doc_id") % 3 == 0
+    return held.filter(~third).unionByName(wrap(held.filter(third), "report.docx"))
+
+
+@query("nested_packages", r"""
+WITH c AS (SELECT conv_id, max(turn) + 5 AS n FROM conversations GROUP BY 1)
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(d AS INT) AS depth, CASE d WHEN 0 THEN 2 ELSE n END::BIGINT AS parts, NULL::VARCHAR AS blocked
+FROM c, (SELECT unnest([0, 1]) AS d) WHERE conv_id % 3 <> 0
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 0, 1, 'ZIP_NESTED_ZIP_DETECTED' FROM c WHERE conv_id % 3 = 0""")
+def _(spark, sf):
+    """Packages in packages: one level is opened and counted, two are refused."""
+    parts = packages.shred(_nested_packages(spark, sf), inner=True)
+    return parts.groupBy("doc_id", "depth", "blocked").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("nested_limits", r"""
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, 'ZIP_NESTED_ZIP_DETECTED' AS code, 'error' AS severity FROM conversations WHERE conv_id % 3 = 0 GROUP BY 1
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'ZIP_ENTRY_LIMIT_EXCEEDED', 'error' FROM conversations GROUP BY conv_id HAVING max(turn) + 5 + CASE WHEN conv_id % 3 = 0 THEN 4 ELSE 2 END > 9""")
+def _(spark, sf):
+    """The same limits over the parts of the whole tree."""
+    tree = packages.shred(_nested_packages(spark, sf), packages.Limits(nested_depth=2), inner=True)
+    return integrity.volume_limits(tree, packages.Limits(entries=9, nested_depth=1))
+
+
 @query("entity_declarations", """
 SELECT page_id AS doc_id, url AS part, 'ZIP_XML_ENTITY_DENIED' AS code, 'error' AS severity FROM pages
 WHERE regexp_matches(html, '(?i)<!DOCTYPE|<!ENTITY')""")
@@ -401,18 +434,18 @@ def _(spark, sf):
     return redaction.redact_json(docs, ["doc_id"], "json").drop("changed")
 
 
-@query("workbook_flags", r"""
-WITH t AS (SELECT l_orderkey AS doc_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY 1)
-SELECT doc_id, 'XLSX_FORMULAS_NONE' AS code, 'warning' AS severity FROM t WHERE r = 0
-UNION ALL SELECT doc_id, 'XLSX_NAMED_RANGES_NONE', 'warning' FROM t WHERE f = 0
-UNION ALL SELECT doc_id, 'XLSX_EXTERNAL_LINKS_PRESENT', 'error' FROM t WHERE n > 6
-UNION ALL SELECT doc_id, 'XLSX_PROTECTED_SHEETS_PRESENT', 'warning' FROM t WHERE n = 2""")
-def _(spark, sf):
-    summary = corpus.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
-        F.count_if(F.col("l_returnflag") == "R").alias("formulas"), F.count_if(F.col("l_linestatus") == "F").alias("defined_names"),
-        F.count_if(F.lit(True)).alias("n"))
-    summary = summary.withColumn("external_links", F.when(F.col("n") > 6, 1).otherwise(0)).withColumn(
-        "protected_sheets", F.when(F.col("n") == 2, 1).otherwise(0))
-    return integrity.workbook_flags(summary)
+BOOKS = r"""
+books AS (
+  SELECT o_orderkey AS doc_id, o_orderkey % 5 = 0 AS linked, o_orderkey % 3 <> 0 AS named, o_custkey % 2 = 0 AS charted, starts_with(o_orderpriority, '1') AS tabled,
+         coalesce(n, 0) * 2 * CASE WHEN o_orderkey % 11 = 0 THEN 50 ELSE 1 END AS cells, coalesce(f, 0) AS formulas, coalesce(p, 0) AS locked
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f, count(*) FILTER (l_linenumber = 4) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
 
+@query("workbook_flags", "WITH " + BOOKS + r"""
+SELECT doc_id, 'XLSX_FORMULAS_NONE' AS code, 'warning' AS severity FROM books WHERE formulas = 0
+UNION ALL SELECT doc_id, 'XLSX_NAMED_RANGES_NONE', 'warning' FROM books WHERE NOT named
+UNION ALL SELECT doc_id, 'XLSX_EXTERNAL_LINKS_PRESENT', 'error' FROM books WHERE linked
+UNION ALL SELECT doc_id, 'XLSX_PROTECTED_SHEETS_PRESENT', 'warning' FROM books WHERE locked > 0""")
+def _(spark, sf):
+    """Review flags over the summary of the workbooks' parts."""
+    return integrity.workbook_flags(inventory.workbook_map(corpus.review_books(spark, sf)))

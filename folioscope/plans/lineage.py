@@ -82,6 +82,21 @@ def _(spark, sf):
     return _deps(spark, sf)
 
 
+@query("formula_brackets", r"""
+WITH c AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS sheet_idx, l_suppkey % 50 + 1 AS r FROM lineitem)
+SELECT doc_id, sheet_idx, 'Z' || r AS ref, u.k AS dep_kind, u.f AS dep_ref, u.s AS dep_sheet, u.n AS dep_name, u.t AS source_text FROM (
+  SELECT *, unnest([
+    {'k': 'tableStructuredRef', 'f': NULL, 's': NULL, 'n': 'Sales', 't': 'Sales[[#Data],[a[b[c' || r || ']]]]'},
+    {'k': 'cell', 'f': 'B' || r, 's': NULL, 'n': NULL, 't': 'B' || r},
+    {'k': 'threeD', 'f': 'C' || r, 's': 'My Own Sheet', 'n': NULL, 't': 'My Own Sheet!C' || r}]) AS u FROM c)""")
+def _(spark, sf):
+    """Brackets three levels deep, a name of over 18 characters before a blank, a string with brackets."""
+    r = F.col("r")
+    cells = _formula_cells(spark, sf).withColumn("r", F.substring("ref", 2, 9)).withColumn("formula", F.concat(
+        F.lit("Sales[[#Data],[a[b[c"), r, F.lit("]]]]+AVeryLongFunctionNameIndeed A"), r, F.lit('+"Sales[x"&B'), r, F.lit("*(My Own Sheet!C"), r, F.lit(")")))
+    return formulas.formula_deps(cells.drop("r"), *_names(spark, sf)).drop("dep_book")
+
+
 @query("formula_graph", "WITH " + DEPS + r"""
 SELECT doc_id, sheet_idx, dep_kind, count(DISTINCT (coalesce(dep_ref, ''), coalesce(dep_sheet, ''), coalesce(dep_book, ''), coalesce(dep_name, ''), source_text)) AS dependencies,
        count(DISTINCT ref) AS formula_cells FROM deps GROUP BY 1, 2, 3""")

@@ -275,11 +275,15 @@ def _(spark, sf):
 
 
 @query("workbook_map", r"""
-SELECT o_orderkey AS doc_id, 7::BIGINT AS sheets, 1::BIGINT AS hidden, 0::BIGINT AS very_hidden, 1::BIGINT AS defined_names,
-       0::BIGINT AS tables, 0::BIGINT AS charts, 0::BIGINT AS pivots, 0::BIGINT AS slicers, 0::BIGINT AS external_links, 0::BIGINT AS macros
-FROM orders""")
-def _(spark, sf):
-    return inventory.workbook_map(corpus.xlsx_parts(spark, sf))
+WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS doc_id, coalesce(n, 0) * 6 AS cells, coalesce(n, 0)::BIGINT AS formulas, 0::BIGINT AS validations, 0::BIGINT AS protected_sheets,
+       7::BIGINT AS sheets, 1::BIGINT AS hidden, 0::BIGINT AS very_hidden, 1::BIGINT AS defined_names,
+       0::BIGINT AS tables, 0::BIGINT AS charts, 0::BIGINT AS pivots, 0::BIGINT AS slicers, 0::BIGINT AS external_links, 0::BIGINT AS macros,
+       CASE WHEN n > 20 THEN 'model' ELSE 'support' END AS role
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def _(spark, sf):
+    orders = corpus.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    return inventory.workbook_map(corpus.xlsx_parts(spark, sf)).join(orders, "doc_id", "left_semi")
 
 
 def _media(spark, sf):

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions.xml import not_blank
-from folioscope.operators import design, headings, integrity, inventory, verification
+from folioscope.operators import critique, design, headings, integrity, inventory, verification
 from folioscope.plans.reading import DOC_LINES, LIST_TABLES, PAGE_NODES, UNESCAPE
-from folioscope.plans.comparing import BOXES
+from folioscope.plans.comparing import BOOKS, BOXES
 from folioscope.sources import corpus, textnodes
 
 QUERIES: dict = {}
@@ -213,28 +212,6 @@ def _(spark, sf):
     return verification.diagnose(packages, objects, verification.overflow_risk(objects), macros, integrity.required_parts(parts, packages))
 
 
-def deck_summary(spark, sf):
-    """Per-deck aggregates the critique rules read."""
-    parts = corpus.pptx_parts(spark, sf)
-    runs = textnodes.runs(parts)
-    slides = inventory.slide_objects(parts).groupBy("doc_id").agg(
-        F.count_distinct("slide").alias("slides"), F.count_if(not_blank("text")).alias("text_objects"),
-        F.count_if((F.col("placeholder") == "title") & not_blank("text")).alias("titles"),
-        F.count_distinct(F.when((F.col("placeholder") == "title") & not_blank("text"), F.trim("text"))).alias("distinct_titles"))
-    media = parts.groupBy("doc_id").agg(F.count_if(F.col("part").contains("/media/")).alias("assets"), F.count_if(F.col("part").contains("/charts/")).alias("charts"))
-    shapes = verification.shape_runs(runs).groupBy("doc_id").agg(
-        F.count_if(F.col("smallest_pt") < 9).alias("tiny"), F.count_if("italic").alias("italic"),
-        F.count_if(F.col("deepest_level") >= 3).alias("deep_bullets"), F.count_if(F.col("line_breaks") > 0).alias("line_breaks"))
-    families = verification.font_families(runs).groupBy("doc_id").agg(F.count_if(F.col("families") > 2).alias("mixed"))
-    bullets = textnodes.text_semantics(parts).groupBy("doc_id").agg(
-        F.count_if(F.col("bullet").isNotNull() & (F.length("text") > 80)).alias("long_bullets"))
-    fonts = inventory.style_inventory(runs).filter(F.col("kind").isin("latin", "ea", "cs")).groupBy("doc_id").agg(F.count_distinct("value").alias("fonts"))
-    out = slides
-    for other in (media, shapes, families, bullets, fonts):
-        out = out.join(other, "doc_id", "left")
-    return out.na.fill(0)
-
-
 DECK_FINDINGS = BODY_LINES + r""",
 deck AS (SELECT c.conv_id AS doc_id, count(*) AS slides, count(DISTINCT role) AS roles, bool_or(smallest < 9) AS tiny, bool_or(long > 0) AS long
          FROM conversations c JOIN stats s ON s.conv_id = c.conv_id AND s.turn = c.turn GROUP BY 1),
@@ -244,48 +221,51 @@ UNION ALL SELECT doc_id, 'PPTX_CHARTS_NONE', 'warning' FROM deck
 UNION ALL SELECT doc_id, 'PPTX_DUPLICATE_TITLES', 'warning' FROM deck WHERE roles < slides
 UNION ALL SELECT doc_id, 'PPTX_VISUAL_ANCHOR_LOW', 'warning' FROM deck WHERE slides > 2
 UNION ALL SELECT doc_id, 'PPTX_FONT_TOO_SMALL', 'warning' FROM deck WHERE tiny
-UNION ALL SELECT doc_id, 'PPTX_BULLET_TOO_LONG', 'warning' FROM deck WHERE long)"""
+UNION ALL SELECT doc_id, 'PPTX_BULLET_TOO_LONG', 'warning' FROM deck WHERE long
+UNION ALL SELECT doc_id, 'PPTX_OBJECT_OFF_SLIDE', 'warning' FROM deck
+UNION ALL SELECT DISTINCT conv_id, 'PPTX_TEXT_OVERFLOW_ESTIMATE', 'warning' FROM stats WHERE regexp_matches(text, '\S') AND """ + HEIGHT.format(text="text", w="864", pt="pt", par="par") + r""" > 475 * 1.15
+UNION ALL SELECT DISTINCT conv_id, 'PPTX_SLIDE_DENSITY_HIGH', 'warning' FROM conversations
+  WHERE length(role) + CASE WHEN regexp_matches(text, '\S') THEN length(text) ELSE 0 END > 950)"""
 
 
 @query("critique_decks", "WITH " + DECK_FINDINGS + " SELECT * FROM findings")
 def _(spark, sf):
-    return verification.critique_decks(deck_summary(spark, sf))
+    return critique.critique(critique.deck_metrics(corpus.pptx_parts(spark, sf)), "pptx")
 
 
 @query("improvement_plan", "WITH " + DECK_FINDINGS + """
 SELECT doc_id, code AS finding_code, severity, CASE code WHEN 'PPTX_ASSETS_NONE' THEN 'pptx.replaceImageByShape' WHEN 'PPTX_CHARTS_NONE' THEN 'pptx.updateChartData'
-  WHEN 'PPTX_FONT_TOO_SMALL' THEN 'pptx.setText' WHEN 'PPTX_BULLET_TOO_LONG' THEN 'pptx.setText' END AS skeleton_op, true AS dry_run_only FROM findings""")
+  WHEN 'PPTX_FONT_TOO_SMALL' THEN 'pptx.setText' WHEN 'PPTX_BULLET_TOO_LONG' THEN 'pptx.setText'
+  WHEN 'PPTX_OBJECT_OFF_SLIDE' THEN 'pptx.setText' WHEN 'PPTX_TEXT_OVERFLOW_ESTIMATE' THEN 'pptx.setText' WHEN 'PPTX_SLIDE_DENSITY_HIGH' THEN 'pptx.setText' END AS skeleton_op, true AS dry_run_only FROM findings""")
 def _(spark, sf):
-    return verification.improvement_plan(verification.critique_decks(deck_summary(spark, sf)))
+    return verification.improvement_plan(critique.critique(critique.deck_metrics(corpus.pptx_parts(spark, sf)), "pptx"))
 
 
-def _order_books(spark, sf):
-    return corpus.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
-        F.count_if(F.col("l_returnflag") == "R").alias("charts"), F.count_if(F.col("l_linestatus") == "F").alias("tables"),
-        F.count_if(F.col("l_returnflag") == "A").alias("formulas"), F.sum("l_quantity").alias("cells"))
+BOOK_FINDINGS = BOOKS + """,
+findings AS (SELECT doc_id, 'XLSX_DASHBOARD_CHARTS_NONE' AS code, 'warning' AS severity FROM books WHERE NOT charted
+UNION ALL SELECT doc_id, 'XLSX_TABLES_NONE', 'warning' FROM books WHERE NOT tabled
+UNION ALL SELECT doc_id, 'XLSX_FORMULAS_NONE', 'info' FROM books WHERE formulas = 0
+UNION ALL SELECT doc_id, 'XLSX_WIDE_SHEET_READABILITY_RISK', 'warning' FROM books WHERE cells > 250)"""
 
 
-BOOK_FINDINGS = """
-book AS (SELECT l_orderkey AS doc_id, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'F') AS f,
-                count(*) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
-findings AS (SELECT doc_id, 'XLSX_DASHBOARD_CHARTS_NONE' AS code, 'warning' AS severity FROM book WHERE r = 0
-UNION ALL SELECT doc_id, 'XLSX_TABLES_NONE', 'warning' FROM book WHERE f = 0
-UNION ALL SELECT doc_id, 'XLSX_FORMULAS_NONE', 'info' FROM book WHERE a = 0
-UNION ALL SELECT doc_id, 'XLSX_WIDE_SHEET_READABILITY_RISK', 'warning' FROM book WHERE q > 250)"""
+@query("critique_workbooks", "WITH " + BOOK_FINDINGS + " SELECT * FROM findings")
+def _(spark, sf):
+    return critique.critique(inventory.workbook_map(corpus.review_books(spark, sf)), "xlsx")
 
 
-@query("critique_workbooks", "WITH " + BOOK_FINDINGS + " SELECT * FROM findings")
+@query("critique_profile", "WITH " + BOOK_FINDINGS + " SELECT * FROM findings WHERE code <> 'XLSX_DASHBOARD_CHARTS_NONE'")
 def _(spark, sf):
-    return verification.critique_workbooks(_order_books(spark, sf))
+    """A profile that does not ask for charts."""
+    return critique.critique(inventory.workbook_map(corpus.review_books(spark, sf)), "xlsx", "archive")
 
 
 @query("critique_score", "WITH " + BOOK_FINDINGS + """,
 p AS (SELECT doc_id, sum(CASE severity WHEN 'warning' THEN 0.12::DOUBLE ELSE 0.03::DOUBLE END) AS p, count(*) AS n FROM findings GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS findings, round(greatest(0.0, round(1 - coalesce(p, 0), 8)), 2) AS score, CASE WHEN n > 0 THEN 'warning' ELSE 'pass' END AS readiness
-FROM book LEFT JOIN p USING (doc_id)""")
+FROM books LEFT JOIN p USING (doc_id)""")
 def _(spark, sf):
-    books = _order_books(spark, sf)
-    return verification.critique_score(books, verification.critique_workbooks(books))
+    books = inventory.workbook_map(corpus.review_books(spark, sf))
+    return verification.critique_score(books, critique.critique(books, "xlsx"))
 
 
 LEVELS = "CAST(1 + turn // 2 % 2 * 2 AS INT)"
@@ -315,16 +295,15 @@ def _(spark, sf):
 
 
 @query("critique_documents", "WITH " + HEADS + """,
-d AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1)
-SELECT DISTINCT doc_id, 'DOCX_REPEATED_HEADINGS' AS code, 'warning' AS severity FROM h WHERE level = pl AND text = pt
-UNION ALL SELECT doc_id, 'DOCX_HEADERS_NONE', 'info' FROM d WHERE n % 2 = 0
-UNION ALL SELECT DISTINCT doc_id, 'DOCX_HEADING_HIERARCHY_GAP', 'warning' FROM h WHERE level - pl > 1
-UNION ALL SELECT doc_id, 'DOCX_STYLE_VARIETY_LOW', 'info' FROM d WHERE n % 3 = 1""")
+d AS (SELECT DISTINCT conv_id AS doc_id FROM conversations)
+SELECT DISTINCT doc_id, 'DOCX_REPEATED_HEADINGS' AS code, 'warning' AS severity FROM h WHERE level = pl AND text = pt AND doc_id % 7 <> 3
+UNION ALL SELECT doc_id, 'DOCX_HEADERS_NONE', 'info' FROM d WHERE doc_id % 2 = 1
+UNION ALL SELECT DISTINCT doc_id, 'DOCX_HEADING_HIERARCHY_GAP', 'warning' FROM h WHERE level - pl > 1 AND doc_id % 7 <> 3
+UNION ALL SELECT doc_id, 'DOCX_EMPTY_SECTION', 'warning' FROM d WHERE doc_id % 7 = 3
+UNION ALL SELECT doc_id, 'DOCX_TABLE_WIDTH_RISK', 'warning' FROM d WHERE doc_id % 5 = 1
+UNION ALL SELECT doc_id, 'DOCX_STYLE_VARIETY_LOW', 'info' FROM d WHERE doc_id % 3 = 1""")
 def _(spark, sf):
-    rows = _turn_headings(spark, sf)
-    n = F.count(F.lit(1))
-    summary = rows.groupBy("doc_id").agg((n % 2).alias("headers"), n.alias("paragraphs"), (n % 3).alias("styles"))
-    return verification.critique_documents(summary, headings.repeated_headings(rows), headings.heading_jumps(rows))
+    return critique.critique(critique.document_metrics(corpus.review_reports(spark, sf)), "docx")
 
 
 @query("repair_taxonomy", "WITH " + ISSUES + r""",

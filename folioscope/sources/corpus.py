@@ -342,6 +342,52 @@ def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(orders, "xlsx", "o_orderkey", "xl/workbook.xml", named).unionByName(sheets)
 
 
+def review_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks per order that differ in what reviews look at.
+
+    Rows are repeated 50 times in every eleventh order; orders without returned items have no formula; every fifth one has an
+    external link, every third one no defined name, every second customer's a chart, urgent ones a table, and the sheets of line 4 are protected.
+    """
+    orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    li = by_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
+    key = F.col("o_orderkey")
+    book = F.concat(F.lit('<workbook><sheets><sheet name="Line 1" sheetId="1" r:id="rId1"/></sheets>'),
+                    F.when(key % 3 != 0, '<definedNames><definedName name="TaxRate">1</definedName></definedNames>').otherwise(""), F.lit("</workbook>"))
+    extra = lambda when, name: F.when(when, F.lit(name))
+    named = _parts(orders, "xlsx", "o_orderkey", "xl/workbook.xml", {"xl/workbook.xml": book})
+    others = F.array_compact(F.array(
+        extra(key % 5 == 0, "xl/externalLinks/externalLink1.xml"), extra(F.col("o_custkey") % 2 == 0, "xl/charts/chart1.xml"),
+        extra(F.col("o_orderpriority").startswith("1"), "xl/tables/table1.xml")))
+    objects = orders.select(key.alias("doc_id"), F.lit("xlsx").alias("format"), F.explode(others).alias("part"), F.lit(9).alias("ord"), F.lit("<x/>").alias("xml"))
+    row = F.concat(F.lit('<row><c r="A1"><v>'), F.col("l_quantity").cast("int").cast("string"), F.lit("</v></c>"),
+                   F.when(F.col("l_returnflag") == "R", '<c r="B1"><f>A1*2</f><v>0</v></c>').otherwise('<c r="B1"><v>0</v></c>'), F.lit("</row>"))
+    sheet = F.concat(F.lit("<worksheet>"), F.when(F.col("l_linenumber") == 4, '<sheetProtection sheet="1"/>').otherwise(""), F.lit("<sheetData>"),
+                     F.when(F.col("l_orderkey") % 11 == 0, F.repeat(row, 50)).otherwise(row), F.lit("</sheetData></worksheet>"))
+    name = F.concat(F.lit("xl/worksheets/sheet"), F.col("l_linenumber").cast("string"), F.lit(".xml"))
+    sheets = li.join(orders.select(key.alias("l_orderkey")), "l_orderkey", "left_semi")
+    return named.unionByName(objects).unionByName(sheets.select(*_part(F.col("l_orderkey"), "xlsx", name, F.col("l_linenumber") + 9, sheet)))
+
+
+def review_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-processing packages per conversation: a heading per turn; level and text change every second turn.
+
+    Every seventh has no paragraph and every fifth a table; even ones have a header part, and the number of styles is the id by 3.
+    """
+    turns = by_key(table(spark, sf_dir, "conversations"), "conv_id")
+    convs = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))  # one row a conversation
+    head = lambda i: F.concat(
+        F.lit('<w:p><w:pPr><w:pStyle w:val="Heading'), (F.floor(i / 2) % 2 * 2 + 1).cast("string"), F.lit('"/></w:pPr><w:r><w:t>part '),
+        F.floor(i / 2).cast("string"), F.lit("</w:t></w:r></w:p>"))
+    key = F.col("conv_id")
+    body = F.concat(
+        F.lit("<w:document><w:body>"), F.when(key % 7 != 3, F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), head), "")).otherwise(""),
+        F.when(key % 5 == 1, "<w:tbl><w:tr><w:tc><w:r><w:t>x</w:t></w:r></w:tc></w:tr></w:tbl>").otherwise(""), F.lit("<w:sectPr/></w:body></w:document>"))
+    styles = F.concat(F.lit("<w:styles>"), F.repeat(F.lit('<w:style w:type="paragraph" w:styleId="S"></w:style>'), (key % 3).cast("int")), F.lit("</w:styles>"))
+    named = _parts(convs, "docx", "conv_id", "word/document.xml", {"word/document.xml": body, "word/styles.xml": styles})
+    header = convs.filter(key % 2 == 0).select(*_part(key, "docx", "word/header1.xml", 9, F.lit("<w:hdr/>")))
+    return named.unionByName(header)
+
+
 def pdf_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small PDF per benchmark passage and per conversation turn, one text operator per line."""
     text = table(spark, sf_dir, "conversations").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +28,12 @@ FORMATS = {
     "svg": "svg", "html": "html", "htm": "html", "json": "json",
 }
 
+# Names of entries that are archives themselves.
+ARCHIVE_NAME = r"(?i)\.(zip|docx|pptx|xlsx|docm|pptm|xlsm)$"
+
 PARTS_SCHEMA = (
     "doc_id string, format string, part string, ord int, size bigint, comp_size bigint, "
-    "flags int, sha256 string, xml string, content binary, blocked string"
+    "flags int, sha256 string, xml string, content binary, blocked string, depth int"
 )
 
 
@@ -80,21 +84,31 @@ def oversized(spark: SparkSession, path: str, limits: Limits = Limits()) -> Data
     )
 
 
-def _refusal(archive: zipfile.ZipFile, limits: Limits) -> str | None:
-    """Limits that can be checked on the directory, before anything is inflated."""
-    entries = archive.infolist()
-    if len(entries) > limits.entries:
-        return "ZIP_ENTRY_LIMIT_EXCEEDED"
-    if sum(e.file_size for e in entries) > limits.expanded_bytes:
-        return "ZIP_EXPANDED_BYTES_EXCEEDED"
-    for entry in entries:
-        if entry.flag_bits & 1:
-            return "ZIP_ENCRYPTED_ENTRY"
-        if entry.compress_size and entry.file_size / entry.compress_size > limits.ratio:
-            return "ZIP_COMPRESSION_RATIO_EXCEEDED"
-        if entry.filename.lower().endswith((".xml", ".rels")) and entry.file_size > limits.xml_part_bytes:
-            return "ZIP_XML_PART_TOO_LARGE"
-    return None
+class Budget:
+    """Entries and bytes of a package and all archives inside it, against one set of limits."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.entries, self.expanded = limits, 0, 0
+
+    def refusal(self, archive: zipfile.ZipFile, depth: int) -> str | None:
+        """Limits that can be checked on a directory, before anything of that archive is inflated."""
+        limits, entries = self.limits, archive.infolist()
+        self.entries += len(entries)
+        self.expanded += sum(e.file_size for e in entries)
+        if self.entries > limits.entries:
+            return "ZIP_ENTRY_LIMIT_EXCEEDED"
+        if self.expanded > limits.expanded_bytes:
+            return "ZIP_EXPANDED_BYTES_EXCEEDED"
+        for entry in entries:
+            if entry.flag_bits & 1:
+                return "ZIP_ENCRYPTED_ENTRY"
+            if entry.compress_size and entry.file_size / entry.compress_size > limits.ratio:
+                return "ZIP_COMPRESSION_RATIO_EXCEEDED"
+            if entry.filename.lower().endswith((".xml", ".rels")) and entry.file_size > limits.xml_part_bytes:
+                return "ZIP_XML_PART_TOO_LARGE"
+            if depth >= limits.nested_depth and re.search(ARCHIVE_NAME, entry.filename):
+                return "ZIP_NESTED_ZIP_DETECTED"
+        return None
 
 
 def _decode(name: str, data: bytes) -> str | None:
@@ -106,33 +120,40 @@ def _decode(name: str, data: bytes) -> str | None:
         return None
 
 
-def _shred_one(doc_id, fmt, content: bytes | None, blocked: str | None, limits: Limits) -> list[tuple]:
-    blank = [None] * 6
+def _shred_one(doc_id, fmt, content: bytes | None, blocked: str | None, limits: Limits, inner: bool) -> list[tuple]:
+    """Parts of a package; a work list holds the archives found inside it, each a level deeper."""
+    refused = lambda code: [(doc_id, fmt, *[None] * 8, code, 0)]
     if content is None:
-        return [(doc_id, fmt, None, None, *blank, blocked or "INPUT_MISSING")]
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            reason = _refusal(archive, limits)
-            if reason:
-                return [(doc_id, fmt, None, None, *blank, reason)]
-            rows = []
-            for ord_, entry in enumerate(archive.infolist()):
-                with archive.open(entry) as handle:
-                    data = handle.read()
-                name = entry.orig_filename
-                rows.append((
-                    doc_id, fmt, name, ord_, entry.file_size, entry.compress_size, entry.flag_bits,
-                    hashlib.sha256(data).hexdigest(), _decode(name, data), data, None,
-                ))
-            return rows
-    except (zipfile.BadZipFile, ValueError, NotImplementedError, EOFError, OSError) as error:
-        code = "ZIP_ENCRYPTED_ENTRY" if "encrypted" in str(error) else "ZIP_CENTRAL_DIRECTORY_INVALID"
-        return [(doc_id, fmt, None, None, *blank, code)]
-
-
-def shred(packages: DataFrame, limits: Limits = Limits()) -> DataFrame:
+        return refused(blocked or "INPUT_MISSING")
+    rows, budget, work = [], Budget(limits), [("", content, 0)]
+    while work:
+        prefix, data, depth = work.pop()
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                reason = budget.refusal(archive, depth)
+                if reason:
+                    return refused(reason)
+                for entry in archive.infolist():
+                    with archive.open(entry) as handle:
+                        part = handle.read()
+                    name = prefix + entry.orig_filename
+                    if inner or not depth:
+                        rows.append((doc_id, fmt, name, len(rows), entry.file_size, entry.compress_size, entry.flag_bits,
+                                     hashlib.sha256(part).hexdigest(), _decode(name, part), part, None, depth))
+                    if re.search(ARCHIVE_NAME, entry.filename) and zipfile.is_zipfile(io.BytesIO(part)):
+                        work.append((name + "!/", part, depth + 1))
+        except (zipfile.BadZipFile, ValueError, NotImplementedError, EOFError, OSError) as error:
+            return refused("ZIP_ENCRYPTED_ENTRY" if "encrypted" in str(error) else "ZIP_CENTRAL_DIRECTORY_INVALID")
+    return rows
+
+
+def shred(packages: DataFrame, limits: Limits = Limits(), inner: bool = False) -> DataFrame:
     """Parts of every package; a refused package is one row with ``blocked`` set.
 
+    Archives inside a package count against the limits of the package and are opened down to the depth
+    allowed; one that lies deeper refuses the package. With ``inner`` their parts are rows as well, named after the part that holds them
+    (``word/embeddings/book.xlsx!/xl/workbook.xml``), with their ``depth``.
+
     File splits are already balanced by size, so no shuffle is needed: each
     package is read where its bytes are. A frame is handed on per package.
     """
@@ -141,7 +162,7 @@ def shred(packages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, fmt, content, blocked in zip(batch["doc_id"], batch["format"], batch["content"], batch["blocked"]):
-                yield pd.DataFrame(_shred_one(doc_id, fmt, content, blocked, limits), columns=names)
+                yield pd.DataFrame(_shred_one(doc_id, fmt, content, blocked, limits, inner), columns=names)
 
     blocked = F.col("blocked") if "blocked" in packages.columns else F.lit(None).cast("string")
     narrow = packages.select(F.col("doc_id").cast("string").alias("doc_id"), "format", "content", blocked.alias("blocked"))
