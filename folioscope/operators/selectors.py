@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +22,39 @@ LOW_CONFIDENCE = 0.65
 TITLE_BOOST, PROMINENCE_BAND = 2.25, 0.95
 
 
-def _agrees(criteria: list[str], objects: str = "o", selectors: str = "s") -> Column:
-    """A NULL criterion does not restrict."""
-    tests = [F.col(f"{selectors}.{c}").isNull() | F.col(f"{selectors}.{c}").eqNullSafe(F.col(f"{objects}.{c}")) for c in criteria]
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+@dataclass(frozen=True)
+class Criterion:
+    """What a selector may ask for, and the columns of objects that can answer.
+
+    Any of the ``hints`` may, or only the ``first`` that an object has; with ``fold`` case does not count.
+    """
+
+    name: str
+    hints: tuple[str, ...]
+    first: bool = False
+    fold: bool = False
+
+
+# Criteria that more than one column of an object, or either case, can answer.
+CRITERIA = {c.name: c for c in (
+    Criterion("shape_name", ("label", "shape_name", "name")), Criterion("page", ("page", "slide", "sheet"), first=True),
+    Criterion("story", ("story", "part_kind")), Criterion("table", ("table", "table_index"), first=True), Criterion("range", ("range", "ref"), first=True),
+    Criterion("placeholder", ("placeholder_key", "placeholder")), Criterion("content_control_tag", ("content_control_tag", "tag")),
+    Criterion("named_range", ("named_range", "label")), Criterion("sheet_name", ("sheet_name", "sheet number"), fold=True),
+    Criterion("cell", ("cell", "label"), first=True, fold=True), Criterion("table_name", ("table_name", "label"), first=True),
+    Criterion("chart_path", ("chart_path", "xml_path"), first=True))}
+ID, EXACT, INNER_WORD, ANY, FIRST = 0, 1, 2, -1, 3
+
+
+def _answers(rule: Criterion, objects: DataFrame) -> Column:
+    """Values of an object for a criterion, as text."""
+    has = set(objects.columns)
+    named = lambda c: F.concat(F.lit("sheet"), F.col("sheet").cast("string")) if c == "sheet number" else F.col(c).cast("string")
+    values = [named(c) for c in rule.hints if c in has or (c == "sheet number" and "sheet" in has)]
+    folded = [F.lower(v) if rule.fold else v for v in values]
+    if not folded:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.array(F.coalesce(*folded) if rule.first else folded[0], *([] if rule.first else folded[1:]))))
 
 
 def _anchor_word(needle: Column) -> Column:
@@ -35,35 +65,39 @@ def _anchor_word(needle: Column) -> Column:
 def matches(objects: DataFrame, selectors: DataFrame, criteria: list[str]) -> DataFrame:
     """``(selector_id, doc_id, object_id)`` for every object a selector matches.
 
-    ``selectors``: ``selector_id, doc_id`` plus nullable ``object_id``, the
-    equality ``criteria`` and ``contains`` / ``equals`` on the text. A selector
-    takes the narrowest equi-join its criteria allow: object id, whole text, an
-    inner word of the contained text, or the document alone. A selector without
-    criteria matches nothing.
+    ``selectors``: ``selector_id, doc_id`` plus nullable ``object_id``, the ``criteria`` and ``contains`` / ``equals`` on the
+    text (of cells also on the ``formula``). A selector without criteria matches nothing; one with an id is bound to it alone.
+
+    Every selector is looked up by one key: its object id, whole text, an inner word of the contained
+    text, or the first criterion it has; only one whose contained text has no inner word meets all objects of
+    the document. Objects are read once and give up the kinds of keys that some selector is looked up by; what else a selector asks is checked on the pair.
     """
-    o = objects.alias("o")
-    same_doc = F.col("o.doc_id") == F.col("s.doc_id")
-    rest = _agrees(criteria)
-    ids = [F.col("s.selector_id"), F.col("o.doc_id"), F.col("o.object_id")]
-    has = lambda name: F.col(name).isNotNull()
-    by_id = o.join(selectors.filter(has("object_id")).alias("s"), same_doc & (F.col("o.object_id") == F.col("s.object_id"))).select(*ids)
-    by_text = o.join(
-        selectors.filter(~has("object_id") & has("equals")).alias("s"),
-        same_doc & (F.col("o.text") == F.col("s.equals")) & rest).select(*ids)
-    partial = selectors.filter(~has("object_id") & ~has("equals") & has("contains")).withColumn("word", _anchor_word(F.col("contains")))
-    words = objects.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"({WORD})"), F.lit(1)))))
-    by_word = words.alias("o").join(
-        partial.filter(has("word")).alias("s"),
-        same_doc & (F.col("o.word") == F.col("s.word")) & F.contains(F.col("o.text"), F.col("s.contains")) & rest).select(*ids)
-    by_scan = o.join(
-        partial.filter(~has("word")).alias("s"), same_doc & F.contains(F.col("o.text"), F.col("s.contains")) & rest).select(*ids)
-    any_criterion = reduce(lambda a, b: a | b, [has(c) for c in criteria], F.lit(False))
-    plain = selectors.filter(~has("object_id") & ~has("equals") & ~has("contains") & any_criterion)
-    # Selectors that name the first criterion join on it as well as on the document.
-    lead = criteria[0]
-    by_lead = o.join(plain.filter(has(lead)).alias("s"), same_doc & (F.col(f"o.{lead}") == F.col(f"s.{lead}")) & rest).select(*ids)
-    by_other = o.join(plain.filter(~has(lead)).alias("s"), same_doc & rest).select(*ids)
-    return by_id.unionByName(by_text).unionByName(by_word).unionByName(by_scan).unionByName(by_lead).unionByName(by_other)
+    rules = [CRITERIA.get(c, Criterion(c, (c,))) for c in criteria]
+    has = set(objects.columns)
+    formula = [F.when(F.col("kind") == "cell", F.col("formula"))] if {"kind", "formula"} <= has else []
+    read = objects.select("doc_id", "object_id", F.array_distinct(F.array_compact(F.array("text", *formula))).alias("_texts"),
+                          *[_answers(rule, objects).alias(f"_v{i}") for i, rule in enumerate(rules)])
+    asked = [F.lower(F.col(r.name).cast("string")) if r.fold else F.col(r.name).cast("string") for r in rules]
+    word = _anchor_word(F.col("contains"))
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    lead = F.when(F.col("object_id").isNotNull(), key(ID, F.col("object_id").cast("string"))).when(F.col("equals").isNotNull(), key(EXACT, F.col("equals"))).when(
+        word.isNotNull(), key(INNER_WORD, word))
+    for i, value in enumerate(asked):
+        lead = lead.when(value.isNotNull(), key(FIRST + i, value))
+    lead = lead.when(F.col("contains").isNotNull(), key(ANY, F.lit("")))
+    wanted = selectors.select("selector_id", "doc_id", F.col("object_id").cast("string").alias("_id"), "equals", "contains",
+                              *[v.alias(f"_s{i}") for i, v in enumerate(asked)], lead.alias("lead")).filter(F.col("lead").isNotNull()).select("*", "lead.*").drop("lead")
+    kinds = wanted.agg(F.collect_set("kind")).scalar()
+    none = F.array().cast("array<struct<kind: int, key: string>>")
+    give = lambda kind, values: F.when(F.array_contains("_kinds", kind), F.transform(values, lambda v: key(kind, v))).otherwise(none)
+    words = F.array_distinct(F.flatten(F.transform("_texts", lambda t: F.regexp_extract_all(t, F.lit(rf"({WORD})"), F.lit(1)))))
+    keys = F.concat(give(ID, F.array(F.col("object_id").cast("string"))), give(EXACT, F.col("_texts")), give(INNER_WORD, words), give(ANY, F.array(F.lit(""))),
+                    *[give(FIRST + i, F.col(f"_v{i}")) for i in range(len(rules))])
+    pairs = read.withColumn("_kinds", kinds).select(*read.columns, F.inline(keys)).join(wanted, ["doc_id", "kind", "key"])
+    text = F.when(F.col("equals").isNotNull(), F.array_contains("_texts", F.col("equals"))).otherwise(
+        F.col("contains").isNull() | F.exists("_texts", lambda t: F.contains(t, F.col("contains"))))
+    rest = reduce(lambda a, b: a & b, [F.col(f"_s{i}").isNull() | F.array_contains(f"_v{i}", F.col(f"_s{i}")) for i in range(len(rules))], F.lit(True))
+    return pairs.filter(F.col("_id").isNotNull() | (text & rest)).select("selector_id", "doc_id", "object_id")
 
 
 def resolve(found: DataFrame, selectors: DataFrame) -> DataFrame:

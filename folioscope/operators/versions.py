@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import string_distance
+from folioscope.session import cut
 
 # Part path pattern -> kind, first match wins.
 PART_KINDS = [
@@ -81,14 +82,26 @@ def touched_parts(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def _digests(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    return rows.select(*keys, *[F.sha2(c, 256).alias(name) for name, c in columns.items()])
+
+
+def _texts(rows: DataFrame, keys: list[str], wanted: DataFrame, name: str) -> DataFrame:
+    """The texts of the wanted keys; the few keys travel to the texts where Spark finds them few."""
+    return rows.select(*keys, F.col("text").alias(name)).join(wanted.select(*keys), keys, "left_semi")
+
+
 def diff_objects(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Objects that were added, removed, or whose text changed."""
-    joined = _outer(before, after, ["doc_id", "object_id"], ["text"])
-    return joined.select(
-        "doc_id", "object_id",
-        _status(~F.col("b_text").eqNullSafe(F.col("a_text"))).alias("status"),
-        F.col("b_text").alias("before_text"), F.col("a_text").alias("after_text"),
-    ).filter(F.col("status") != "unchanged")
+    """Objects that were added, removed, or whose text changed.
+
+    Digests are compared first; texts are read for the objects that differ.
+    """
+    keys = ["doc_id", "object_id"]
+    digest = {"digest": F.col("text")}
+    joined = _outer(_digests(before, keys, digest), _digests(after, keys, digest), keys, ["digest"])
+    status = _status(~F.col("b_digest").eqNullSafe(F.col("a_digest")))
+    differ = cut(joined.select(*keys, status.alias("status")).filter(F.col("status") != "unchanged"))
+    return differ.join(_texts(before, keys, differ, "before_text"), keys, "left").join(_texts(after, keys, differ, "after_text"), keys, "left")
 
 
 def diff_geometry(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -121,15 +134,18 @@ def diff_semantics(before: DataFrame, after: DataFrame) -> DataFrame:
     text of a shape is never gathered. Shapes on one side only are not changes.
     """
     keys = ["doc_id", "part", "shape"]
-    columns = ["text", "bullet", "numbering", "runs", "line_breaks"]
     both = before.select(*keys).distinct().join(after.select(*keys).distinct(), keys, "left_semi")
-    joined = _outer(before, after, [*keys, "para"], columns)
+    # Paragraphs meet as digests of their text and formats.
+    side = lambda rows: rows.select(*keys, "para", F.sha2("text", 256).alias("text"), "bullet", "numbering", "line_breaks",
+                                    F.sha2(_run_formats("runs"), 256).alias("formats"))
+    joined = _outer(side(before), side(after), [*keys, "para"], ["text", "bullet", "numbering", "formats", "line_breaks"])
+    none = F.sha2(F.lit("[]"), 256)
     differs = lambda c: ~F.col(f"b_{c}").eqNullSafe(F.col(f"a_{c}"))
     flags = joined.groupBy(*keys).agg(
         F.bool_or(differs("text") | differs("line_breaks") | F.col("in_before").isNull() | F.col("in_after").isNull()).alias("paragraph"),
         F.bool_or(differs("bullet")).alias("bullet"),
         F.bool_or(differs("numbering")).alias("numbering"),
-        F.bool_or(_run_formats("b_runs") != _run_formats("a_runs")).alias("run_format"),
+        F.bool_or(F.coalesce("b_formats", none) != F.coalesce("a_formats", none)).alias("run_format"),
     )
     named = F.array_compact(F.array(
         F.when(F.col("paragraph"), "paragraph"), F.when(F.col("bullet"), "bullet"),
@@ -139,9 +155,15 @@ def diff_semantics(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def page_scores(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Positional distance of each page's text between two snapshots."""
-    joined = _outer(before, after, ["doc_id", "page"], ["text"])
-    return joined.select("doc_id", "page", string_distance("b_text", "a_text").alias("score"))
+    """Positional distance of each page's text between two snapshots; texts are read for pages that differ."""
+    keys = ["doc_id", "page"]
+    digest = {"digest": F.coalesce("text", F.lit(""))}
+    joined = _outer(_digests(before, keys, digest), _digests(after, keys, digest), keys, ["digest"])
+    marked = cut(joined.select(*keys, (F.col("b_digest").eqNullSafe(F.col("a_digest"))).alias("same")))
+    same = marked.filter("same").select(*keys, F.lit(0.0).alias("score"))
+    differ = marked.filter(~F.col("same")).select(*keys)
+    texts = differ.join(_texts(before, keys, differ, "b_text"), keys, "left").join(_texts(after, keys, differ, "a_text"), keys, "left")
+    return same.unionByName(texts.select(*keys, string_distance("b_text", "a_text").alias("score")))
 
 
 def diff_summary(parts: DataFrame, objects: DataFrame, scores: DataFrame) -> DataFrame:
