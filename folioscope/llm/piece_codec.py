@@ -59,6 +59,9 @@ class Vocabulary:
 def load(path: str) -> Vocabulary:
     """Read on the driver; tasks get the vocabulary with the closure's broadcast, not the file."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    probe = "ﬁ①Ａ  e\u0301"
+    if model.normalize(probe).replace(MARK, " ").strip(" ") != probe:
+        raise ValueError("models that normalise texts are not supported")
     scores, ids, silent, byte_ids = {}, {}, set(), [0] * 256
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)

@@ -7,6 +7,7 @@ are runs of bytes other than those six, so all word work happens on the encoded
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -40,7 +41,7 @@ def shared_table(df: DataFrame) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
@@ -55,10 +56,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tasks make no cycles, and their tables are large
-        step = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield step(batch.slice(at, rows))
+        try:
+            step = make()
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield step(batch.slice(at, rows))
+        finally:
+            gc.enable()  # workers are used again
 
     found = StructType.fromDDL(schema)
     for name in ("key", "node"):  # passed through: their types may not be expressible in text
