@@ -24,12 +24,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import piece_codec
-from folioscope.llm.piece_codec import MARK, Encoder, Vocabulary
 from folioscope.llm.shared import Shipped, Words, map_batches, shared_table, shingles, texts_of
 
 SYMBOLS = np.zeros(256, bool)
@@ -78,20 +78,27 @@ def counts(words: Words, raw: bytes) -> tuple[int, int, int, int, int]:
 class Costs(dict):
     """Of a word (UTF-8): its piece ids as bytes, and its tokens in a byte-level vocabulary with the blank before it."""
 
-    def __init__(self, encoder: Encoder, value: tuple[str, list[tuple[str, int]]]):
+    def __init__(self, model: bytes, value: tuple[str, list[tuple[str, int]]]):
         super().__init__()
         ranks = {base64.b64decode(a): b for a, b in value[1]}
-        self.encoder = encoder
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.encode = tiktoken.Encoding("bytes", pat_str=value[0], mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, word: bytes) -> tuple[bytes, int]:
-        text = word.decode("utf-8", "replace")
-        out = self.encoder.word(MARK + text), len(self.encode(" " + text))
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
-        return out
+        self.spelled = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+
+    def of(self, words: list[bytes]) -> list[tuple[bytes, int]]:
+        """The costs of all words; unknown ones are encoded together, and short ones remembered."""
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(set(words))
+        texts = [w.decode("utf-8", "replace") for w in new]
+        for word, text, ids in zip(new, texts, self.pieces.encode(texts, num_threads=1)):
+            self[word] = np.array(ids, "<u4").tobytes(), len(self.encode(" " + text))
+        found = [self[w] for w in words]
+        for word in new:
+            if len(word) > SHORT:
+                del self[word]
+        return found
 
 
 @functools.lru_cache(1 << 16)
@@ -114,18 +121,16 @@ def main_script(text: str) -> str:
 def measured(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: str | None = None) -> DataFrame:
     """(key, band, script, counts, measures) of every whole text."""
     spark = df.sparkSession
-    vocabulary = piece_codec.load(model or piece_codec.default_model())
-    shipped = Shipped(spark, (tuple(vars(vocabulary).values()), byte_vocabulary()))
+    with open(model or piece_codec.default_model(), "rb") as file:
+        shipped = Shipped(spark, (file.read(), byte_vocabulary()))
 
     def make():
         words = Words()
-        costs = shipped.state(lambda v: Costs(Encoder(Vocabulary(*v[0])), v[1]))
-        encoder = costs.encoder
-        spelled = np.zeros(encoder.v.size, bool)
-        spelled[encoder.v.byte_ids] = True
+        costs = shipped.state(lambda v: Costs(*v))
+        spelled = costs.spelled
 
         def measures(raw: bytes, chars: int) -> tuple:
-            found = list(map(costs.__getitem__, raw.split()))
+            found = costs.of(raw.split())
             ids = np.frombuffer(b"".join([a for a, _ in found]), "<u4")
             if not len(ids):
                 return None, None, None, None
