@@ -7,6 +7,7 @@ import numpy as np
 import sentencepiece
 import tiktoken
 
+import corpus_pipeline
 from folioscope.llm import cross_parsing, fertility_rules, piece_codec, toxic_sentences
 
 # --- language -------------------------------------------------------------------------
@@ -227,3 +228,31 @@ def test_a_group_is_judged_alike_at_every_size(spark):
     for n in (2, 60, 140):
         got = fertility_rules.quality(spark.createDataFrame(quality_rows(n), "doc_id long, text string, lang string")).collect()
         assert sum(r.kept for r in got if 1000 <= r.doc_id < 5000) == n
+
+
+# --- pipeline -------------------------------------------------------------------------
+
+
+def test_pipeline_stages_equal_plain_decisions(spark):
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = {r.doc_id: r.text for r in table.collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id AS key", "toxic").where(toxic_sentences.remainder("key", 3) != 1)
+    model = toxic_sentences.train(table.selectExpr("doc_id AS key", "text"), labels)
+    kept = {r.doc_id for r in corpus_pipeline.keep_harmless(spark, table, sf).collect()}
+    assert model is not None and kept == {i for i, t in docs.items() if plain_score(t or "", model) < toxic_sentences.THRESHOLD}
+    assert 0 < len(kept) < len(docs)
+    harmless = table.where(table.doc_id.isin(list(kept))).where("length(text) < 700")
+    samples = cross_parsing.train(harmless.selectExpr("doc_id AS key", "text", "lang").where(toxic_sentences.remainder("key", 3) != 1))
+    most, letters = cross_parsing.limits(samples), set("".join(samples.values())) - {" "}
+
+    def in_line(text):
+        plain = cross_parsing.plain(text) if cross_parsing.LETTER.search(text) else ""
+        if not letters & set(plain):
+            return False
+        rates = [(plain_phrases(s, plain) - 1, limit * len(plain)) for s, limit in zip(samples.values(), most)]
+        return any(n <= m + 2 * math.sqrt(m) for n, m in rates)
+
+    spoken = {r.doc_id for r in corpus_pipeline.keep_known_language(spark, harmless, sf).collect()}
+    short = {r.doc_id for r in harmless.collect()}
+    assert spoken == {i for i in short if in_line(docs[i] or "")} and spoken
