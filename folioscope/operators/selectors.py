@@ -44,6 +44,8 @@ CRITERIA = {c.name: c for c in (
     Criterion("cell", ("cell", "label"), first=True, fold=True), Criterion("table_name", ("table_name", "label"), first=True),
     Criterion("chart_path", ("chart_path", "xml_path"), first=True))}
 ID, EXACT, INNER_WORD, ANY, FIRST = 0, 1, 2, -1, 3
+# Selectors of a document that are checked at every object of it.
+LIST = 64
 
 
 def _answers(rule: Criterion, objects: DataFrame) -> Column:
@@ -62,42 +64,67 @@ def _anchor_word(needle: Column) -> Column:
     return F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
-def matches(objects: DataFrame, selectors: DataFrame, criteria: list[str]) -> DataFrame:
-    """``(selector_id, doc_id, object_id)`` for every object a selector matches.
+def matches(objects: DataFrame, selectors: DataFrame, criteria: list[str], keep: list[str] | None = None) -> DataFrame:
+    """``(selector_id, doc_id, object_id, keep)`` for every object a selector matches.
 
     ``selectors``: ``selector_id, doc_id`` plus nullable ``object_id``, the ``criteria`` and ``contains`` / ``equals`` on the
     text (of cells also on the ``formula``). A selector without criteria matches nothing; one with an id is bound to it alone.
 
-    Every selector is looked up by one key: its object id, whole text, an inner word of the contained
-    text, or the first criterion it has; only one whose contained text has no inner word meets all objects of
-    the document. Objects are read once and give up the kinds of keys that some selector is looked up by; what else a selector asks is checked on the pair.
+    The selectors of a document travel to its objects as one list, and every object is checked where it is: its text is sent once.
+    Where a document has more than ``LIST`` selectors, each is looked up by one key: its object id, whole text, an
+    inner word of the contained text, or the first criterion it has; only one whose contained text has no inner word meets all
+    objects. Keys travel without texts, and only objects with a candidate meet it again.
     """
     rules = [CRITERIA.get(c, Criterion(c, (c,))) for c in criteria]
     has = set(objects.columns)
     formula = [F.when(F.col("kind") == "cell", F.col("formula"))] if {"kind", "formula"} <= has else []
-    read = objects.select("doc_id", "object_id", F.array_distinct(F.array_compact(F.array("text", *formula))).alias("_texts"),
+    read = objects.select("doc_id", "object_id", *(keep or []), F.array_distinct(F.array_compact(F.array("text", *formula))).alias("_texts"),
                           *[_answers(rule, objects).alias(f"_v{i}") for i, rule in enumerate(rules)])
     asked = [F.lower(F.col(r.name).cast("string")) if r.fold else F.col(r.name).cast("string") for r in rules]
+    any_of = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("object_id", "equals", "contains", *[r.name for r in rules])])
+    fields = ["selector_id", "_id", "equals", "contains", *[f"_s{i}" for i in range(len(rules))]]
+    wanted = selectors.filter(any_of).select("selector_id", "doc_id", F.col("object_id").cast("string").alias("_id"), "equals", "contains",
+                                             *[v.alias(f"_s{i}") for i, v in enumerate(asked)])
+
+    def fits(s) -> Column:
+        text = F.when(s["equals"].isNotNull(), F.array_contains("_texts", s["equals"])).otherwise(
+            s["contains"].isNull() | F.exists("_texts", lambda t: F.contains(t, s["contains"])))
+        rest = reduce(lambda a, b: a & b, [s[f"_s{i}"].isNull() | F.array_contains(f"_v{i}", s[f"_s{i}"]) for i in range(len(rules))], F.lit(True))
+        return F.when(s["_id"].isNotNull(), s["_id"] == F.col("object_id").cast("string")).otherwise(rest & text)
+
+    picked = ["selector_id", "doc_id", "object_id", *(keep or [])]
+    crowded = selectors.filter(any_of).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LIST).select("doc_id")
+    crowds = not crowded.isEmpty()
+    few = wanted.join(crowded, "doc_id", "left_anti") if crowds else wanted
+    lists = few.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_list"))
+    hit = F.explode(F.transform(F.filter("_list", fits), lambda s: s["selector_id"])).alias("selector_id")
+    found = read.join(lists, "doc_id").select("doc_id", "object_id", *(keep or []), hit).select(*picked)
+    if not crowds:
+        return found
+    led = _by_key(read.join(crowded, "doc_id", "left_semi"), wanted.join(crowded, "doc_id", "left_semi"), len(rules))
+    one = {f: F.col(f) for f in fields}
+    return found.unionByName(led.filter(fits(one)).select(*picked))
+
+
+def _by_key(read: DataFrame, wanted: DataFrame, n_rules: int) -> DataFrame:
+    """Objects with the selectors whose key they have."""
     word = _anchor_word(F.col("contains"))
     key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
-    lead = F.when(F.col("object_id").isNotNull(), key(ID, F.col("object_id").cast("string"))).when(F.col("equals").isNotNull(), key(EXACT, F.col("equals"))).when(
+    lead = F.when(F.col("_id").isNotNull(), key(ID, F.col("_id"))).when(F.col("equals").isNotNull(), key(EXACT, F.col("equals"))).when(
         word.isNotNull(), key(INNER_WORD, word))
-    for i, value in enumerate(asked):
-        lead = lead.when(value.isNotNull(), key(FIRST + i, value))
-    lead = lead.when(F.col("contains").isNotNull(), key(ANY, F.lit("")))
-    wanted = selectors.select("selector_id", "doc_id", F.col("object_id").cast("string").alias("_id"), "equals", "contains",
-                              *[v.alias(f"_s{i}") for i, v in enumerate(asked)], lead.alias("lead")).filter(F.col("lead").isNotNull()).select("*", "lead.*").drop("lead")
-    kinds = wanted.agg(F.collect_set("kind")).scalar()
+    for i in range(n_rules):
+        lead = lead.when(F.col(f"_s{i}").isNotNull(), key(FIRST + i, F.col(f"_s{i}")))
+    lead = lead.otherwise(key(ANY, F.lit("")))
+    asked = wanted.select("*", lead.alias("lead")).select("*", "lead.*").drop("lead")
+    kinds = asked.agg(F.collect_set("kind")).scalar()
     none = F.array().cast("array<struct<kind: int, key: string>>")
     give = lambda kind, values: F.when(F.array_contains("_kinds", kind), F.transform(values, lambda v: key(kind, v))).otherwise(none)
     words = F.array_distinct(F.flatten(F.transform("_texts", lambda t: F.regexp_extract_all(t, F.lit(rf"({WORD})"), F.lit(1)))))
     keys = F.concat(give(ID, F.array(F.col("object_id").cast("string"))), give(EXACT, F.col("_texts")), give(INNER_WORD, words), give(ANY, F.array(F.lit(""))),
-                    *[give(FIRST + i, F.col(f"_v{i}")) for i in range(len(rules))])
-    pairs = read.withColumn("_kinds", kinds).select(*read.columns, F.inline(keys)).join(wanted, ["doc_id", "kind", "key"])
-    text = F.when(F.col("equals").isNotNull(), F.array_contains("_texts", F.col("equals"))).otherwise(
-        F.col("contains").isNull() | F.exists("_texts", lambda t: F.contains(t, F.col("contains"))))
-    rest = reduce(lambda a, b: a & b, [F.col(f"_s{i}").isNull() | F.array_contains(f"_v{i}", F.col(f"_s{i}")) for i in range(len(rules))], F.lit(True))
-    return pairs.filter(F.col("_id").isNotNull() | (text & rest)).select("selector_id", "doc_id", "object_id")
+                    *[give(FIRST + i, F.col(f"_v{i}")) for i in range(n_rules)])
+    # Objects may share an id: a key counts once an id, and each of them is checked.
+    slim = read.withColumn("_kinds", kinds).select("doc_id", "object_id", F.inline(keys)).distinct()
+    return slim.join(asked, ["doc_id", "kind", "key"]).drop("kind", "key").join(read, ["doc_id", "object_id"])
 
 
 def resolve(found: DataFrame, selectors: DataFrame) -> DataFrame:
@@ -201,20 +228,16 @@ def final_status(resolved: DataFrame) -> DataFrame:
 def near_misses(objects: DataFrame, selectors: DataFrame, resolved: DataFrame, limit: int = 5, order: str = "idx") -> DataFrame:
     """First objects an unmatched text selector would match without white space and case.
 
-    Exact requests join on the compacted text; containment joins inside the document.
+    Both sides lose these, and then meet as in ``matches``.
     """
     compact = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
     missed = resolved.filter(F.col("status") == "not_found").select("selector_id")
-    asked = selectors.join(missed, "selector_id", "left_semi").withColumn("needle", compact(F.coalesce("equals", "contains"))).filter(F.col("needle") != "")
-    pressed = objects.withColumn("pressed", compact("text"))
-    exact = pressed.alias("o").join(
-        asked.filter(F.col("equals").isNotNull()).alias("s"),
-        (F.col("o.doc_id") == F.col("s.doc_id")) & (F.col("o.pressed") == F.col("s.needle")))
-    inside = pressed.alias("o").join(
-        asked.filter(F.col("equals").isNull()).alias("s"),
-        (F.col("o.doc_id") == F.col("s.doc_id")) & F.contains(F.col("o.pressed"), F.col("s.needle")))
-    pick = [F.col("s.selector_id"), F.col("o.doc_id"), F.col("o.object_id"), F.col(f"o.{order}").alias("at")]
-    hits = exact.select(*pick).unionByName(inside.select(*pick))
+    none = F.lit(None).cast("string")
+    asked = selectors.join(missed, "selector_id", "left_semi").select(
+        "selector_id", "doc_id", none.alias("object_id"), compact(F.col("equals")).alias("equals"),
+        F.when(F.col("equals").isNull(), compact(F.col("contains"))).alias("contains")).filter(F.coalesce("equals", "contains") != "")
+    pressed = objects.select("doc_id", "object_id", F.col(order).alias("at"), compact(F.col("text")).alias("text"))
+    hits = matches(pressed, asked, [], ["at"])
     rank = F.row_number().over(Window.partitionBy("selector_id").orderBy("at"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= limit).select("selector_id", "doc_id", "object_id", "rank")
 

@@ -57,6 +57,58 @@ def test_selectors_equal_a_loop(spark):
     assert want and sorted((x.selector_id, x.object_id) for x in got.collect()) == want
 
 
+def shuffled(df):
+    """Bytes that a query wrote to shuffles; ``df`` has run."""
+    seen, todo, total = set(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.finalPhysicalPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if kind == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleBytesWritten").value()
+    return total
+
+
+def test_crowded_documents_equal_a_loop(spark, monkeypatch):
+    for most in (0, 12, 25):
+        monkeypatch.setattr(selectors, "LIST", most)
+        test_selectors_equal_a_loop(spark)
+
+
+def _lines(n_words):
+    r = random.Random(7)
+    return [(d, f"o{i}", i, " ".join(f"{r.getrandbits(40):x}" for _ in range(n_words))) for d in range(20) for i in range(3)]
+
+
+def test_a_text_is_sent_once(spark):
+    rows = _lines(400)
+    objects = spark.createDataFrame(rows, "doc_id int, object_id string, idx int, text string")
+    asked = spark.createDataFrame([(str(r[0]), r[0], None, None, r[3][20:60]) for r in rows if r[2] == 1],
+                                  "selector_id string, doc_id int, object_id string, equals string, contains string")
+    got = selectors.matches(objects.repartition(3), asked, [])
+    got.write.format("noop").mode("overwrite").save()
+    assert sorted((r.selector_id, r.object_id) for r in got.collect()) == sorted((str(d), "o1") for d in range(20))
+    assert 0 < shuffled(got) < 3 * sum(len(r[3]) for r in rows)
+
+
+def test_near_misses_of_crowded_documents(spark, monkeypatch):
+    rows = _lines(6)
+    objects = spark.createDataFrame(rows, "doc_id int, object_id string, idx int, text string")
+    schema = "selector_id string, doc_id int, object_id string, equals string, contains string"
+    asked = spark.createDataFrame(
+        [(f"e{i}", r[0], None, r[3].upper().replace(" ", "  "), None) for i, r in enumerate(rows)] + [(f"c{i}", r[0], None, None, r[3][2:30].replace(" ", " \t")) for i, r in enumerate(rows)]
+        + [("both", 0, None, "none", rows[0][3]), ("blank", 0, None, None, "  ")], schema)
+    want = sorted((f"{kind}{i}", r[1], 1) for i, r in enumerate(rows) for kind in "ec")
+    for most in (64, 3):
+        monkeypatch.setattr(selectors, "LIST", most)
+        resolved = selectors.resolve(selectors.matches(objects, asked, []), asked)
+        got = selectors.near_misses(objects, asked, resolved)
+        assert sorted((r.selector_id, r.object_id, r["rank"]) for r in got.collect()) == want
+
+
 def test_steps_that_arrive_late(spark, tmp_path):
     log, table, checkpoint = tmp_path / "log", str(tmp_path / "table"), str(tmp_path / "checkpoint")
     log.mkdir()
