@@ -104,7 +104,7 @@ def related_objects(deps: DataFrame, objects: DataFrame, size: float = 8.0) -> D
 
     ``deps`` carry bounds (``with_bounds``); ``objects``: ``doc_id, kind, name,
     path, sheet_idx, sheet_name, table_name, c0, r0, c1, r1``. Overlaps join on
-    ``(doc, column band)``; structured references on ``(doc, table name)``.
+    the document, in crowded ones on column bands; structured references on ``(doc, table name)``.
     """
     keys = ["doc_id", "sheet_idx", "ref"]
     tables = objects.filter(F.col("kind") == "table")

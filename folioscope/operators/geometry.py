@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import round_half_up
-from folioscope.plans.intervals import overlapping
+from folioscope.plans.intervals import crowded, overlapping
 from folioscope.plans.ordered import chunk_of, numbered
 
 # Confidence of each geometric relation, overlap share, evidence weights.
@@ -51,15 +51,33 @@ def edge_tests() -> dict[str, tuple[str, Column]]:
 def geometry_edges(boxes: DataFrame, size: float = BAND) -> DataFrame:
     """``contains``, ``rightOf`` and ``below`` edges between boxes of one slide.
 
-    Every relation needs a shared stretch on one axis, so boxes meet by interval joins on
-    that axis, never slide against slide. ``contains`` and ``rightOf`` share the vertical one.
+    Every relation needs a shared stretch on one axis. The boxes of a slide with few of them meet once, for all relations;
+    those of a crowded one meet by interval joins, where ``contains`` and ``rightOf`` share the vertical axis.
     """
+    many = crowded(boxes, ["doc_id", "slide"])
+    if many.isEmpty():
+        return _edges_of_small(boxes)
+    return _edges_of_small(boxes.join(many, ["doc_id", "slide"], "left_anti")).unionByName(_edges_of_crowded(boxes.join(many, ["doc_id", "slide"], "left_semi"), size))
+
+
+def _edge(name: str, test: Column) -> Column:
+    return F.when(test, F.struct(F.lit(name).alias("relation"), F.lit(CONFIDENCE[name]).alias("confidence")))
+
+
+def _edges_of_small(boxes: DataFrame) -> DataFrame:
+    c = F.col
+    touch = lambda axis: (c(f"f_{axis}") <= c(f"t_{axis}_end")) & (c(f"t_{axis}") <= c(f"f_{axis}_end"))
+    edges = F.array_compact(F.array(*[_edge(name, test & touch(axis)) for name, (axis, test) in edge_tests().items()]))
+    met = box_side(boxes, "f").join(box_side(boxes, "t").hint("merge"), ["doc_id", "slide"]).filter(c("f_object_id") != c("t_object_id"))
+    return met.select("doc_id", "slide", c("f_object_id").alias("from_id"), c("t_object_id").alias("to_id"), F.inline(edges))
+
+
+def _edges_of_crowded(boxes: DataFrame, size: float) -> DataFrame:
     tests = edge_tests()
-    edge = lambda name: F.when(tests[name][1], F.struct(F.lit(name).alias("relation"), F.lit(CONFIDENCE[name]).alias("confidence")))
     ids = [F.col("f_object_id").alias("from_id"), F.col("t_object_id").alias("to_id")]
     left, right = box_side(boxes, "f"), box_side(boxes, "t")
     rows = box_pairs(left, right, "y", size).filter(tests["contains"][1] | tests["rightOf"][1]).select(
-        "doc_id", "slide", *ids, F.inline(F.array_compact(F.array(edge("contains"), edge("rightOf")))))
+        "doc_id", "slide", *ids, F.inline(F.array_compact(F.array(*[_edge(name, tests[name][1]) for name in ("contains", "rightOf")]))))
     columns = box_pairs(left, right, "x", size).filter(tests["below"][1]).select(
         "doc_id", "slide", *ids, F.lit("below").alias("relation"), F.lit(CONFIDENCE["below"]).alias("confidence"))
     return rows.unionByName(columns)

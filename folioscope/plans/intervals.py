@@ -1,6 +1,7 @@
-"""Joins of overlapping intervals: levels of doubling width.
+"""Joins of overlapping intervals: plain ones in small scopes, levels of doubling width in crowded ones.
 
-An interval lives on the lowest level whose cells are at least as wide as it is, so it touches one or two cells
+Where a scope has at most ``FEW`` rows on the right, each row of the left meets them as they are: no row is copied. In
+other scopes an interval lives on the lowest level whose cells are at least as wide as it is, so it touches one or two cells
 there, however long it is. Two overlapping intervals meet on the level of the longer one: that one
 is at home there, the shorter one visits. Only levels on which the other side has someone at home are
 visited; which these are is a small array that the same query works out, or all levels up to a known width. A visitor never
@@ -12,6 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FEW = 64
+
+
+def crowded(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than ``FEW`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FEW).select(*keys)
+
 
 def level_of(low: Column, high: Column, base: float) -> Column:
     """Lowest level with cells of ``base * 2**level`` that are no narrower than the interval."""
@@ -53,9 +61,19 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: t
     interval there can be on the left, which saves reading that side for its levels.
     """
     start = F.greatest(F.col(left_span[0]), F.col(right_span[0]))
+    touch = (start <= F.greatest(*map(F.col, left_span))) & (start <= F.greatest(*map(F.col, right_span)))
+    known = lambda df, span: df.filter(F.col(span[0]).isNotNull() & F.col(span[1]).isNotNull())
+    left, right = known(left, left_span), known(right, right_span)
+    # Sides may come out of arrays, which Spark's estimate of their size leaves out: they are never sent whole.
+    plain = lambda one, other: one.join(other.hint("merge"), keys).filter(touch)
+    many = crowded(right, keys)
+    if many.isEmpty():
+        return plain(left, right)
+    apart = [df.join(many, keys, "left_anti") for df in (left, right)]
+    left, right = (df.join(many, keys, "left_semi") for df in (left, right))
     # A pair that shares two cells is kept where the overlap begins.
     once = F.col("_cell") == F.floor(start / (F.lit(float(base)) * F.pow(F.lit(2.0), F.col("_level"))))
-    touch = (start <= F.greatest(*map(F.col, left_span))) & (start <= F.greatest(*map(F.col, right_span)))
     one = _placed(left, left_span, base, _levels(right, right_span, base, None), [0], [1])
     other = _placed(right, right_span, base, _levels(left, left_span, base, widest), [0, 1], [0])
-    return one.join(other, [*keys, "_level", "_cell", "_slot"]).filter(once & touch).drop("_level", "_cell", "_slot")
+    levelled = one.join(other.hint("merge"), [*keys, "_level", "_cell", "_slot"]).filter(once & touch).drop("_level", "_cell", "_slot")
+    return plain(*apart).unionByName(levelled)

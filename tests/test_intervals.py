@@ -5,10 +5,43 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import geometry, selectors
+from folioscope.operators import formulas, geometry, selectors
 from folioscope.plans import intervals
 
 
+@pytest.mark.parametrize("few", [0, 17, 64])
+def test_small_and_crowded_scopes_equal_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(intervals, "FEW", few)
+    test_overlaps_equal_all_pairs(spark, 64.0)
+    test_edges_at_anchors_are_those_of_all_edges(spark)
+
+
+def test_rows_of_small_scopes_are_not_copied(spark):
+    rows = spark.range(0, 900).select((F.col("id") / 3).cast("int").alias("doc_id"), F.lit(1).alias("slide"), F.concat(F.lit("o"), "id").alias("object_id"),
+                                      *[(F.col("id") % n).cast("double").alias(c) for c, n in (("x", 7), ("y", 200), ("w", 900), ("h", 300))])
+    edges = geometry.geometry_edges(rows.repartition(3))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "BroadcastExchange" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_objects_of_workbooks_are_not_broadcast(spark):
+    """Rows out of arrays look smaller than they are."""
+    none = F.lit(None)
+    item = F.struct(F.lit("pivotTable").alias("kind"), F.lit("P").alias("name"), F.lit("p.xml").alias("path"), none.cast("int").alias("sheet_idx"), none.cast("string").alias("sheet_name"),
+                    none.cast("string").alias("table_name"), *[F.lit(n).alias(c) for c, n in (("c0", 1), ("r0", 1), ("c1", 9), ("r1", 9))])
+    objects = spark.range(0, 50).select(F.col("id").alias("doc_id"), F.inline(F.array(item)))
+    deps = spark.range(0, 50).select(F.col("id").alias("doc_id"), F.lit(1).alias("sheet_idx"), F.lit("Z1").alias("ref"), F.lit("range").alias("dep_kind"), none.cast("string").alias("dep_name"),
+                                     none.cast("string").alias("dep_sheet"), *[F.lit(n).alias(c) for c, n in (("c0", 2), ("r0", 2), ("c1", 3), ("r1", 3))])
+    seen = []
+    cut = formulas.cut
+    formulas.cut = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df)
+    try:
+        assert formulas.related_objects(deps, objects).count() == 50
+    finally:
+        formulas.cut = cut
+    assert "SortMergeJoin [doc_id" in seen[0] and "Generate explode" not in seen[0]
+
+
 @pytest.mark.parametrize("base", [1.0, 64.0, 1000.0])
 def test_overlaps_equal_all_pairs(spark, base):
     r = random.Random(int(base))
