@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.operators.runs import finish_summary
 
@@ -17,12 +13,7 @@ TRACE_SCHEMA = (
     "finished_ms bigint, args string, envelope string"
 )
 SUMMARISED = ["run_id", "step_idx", "step_id", "status", "started_ms", "finished_ms"]
-# Steps are kept in stretches of so many positions, so that no run is one state.
-WIDTH = 4096
-
-# Per position of a stretch: rows, passed rows, earliest start, latest finish, and the first failed step.
-STATE = "at array<int>, rows array<bigint>, passed array<bigint>, started array<bigint>, finished array<bigint>, failed array<string>"
-STRETCH = "run_id string, stretch bigint, steps bigint, passed bigint, failed_at int, failed_id string, started_ms bigint, finished_ms bigint"
+STEP = "run_id string, step_idx int, rows bigint, passed bigint, failed struct<id: string>, started_ms bigint, finished_ms bigint"
 
 
 def read_traces(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -30,66 +21,34 @@ def read_traces(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return spark.readStream.schema(TRACE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def _least(a, b):
-    return b if a is None else a if b is None else min(a, b)
-
-
-def _most(a, b):
-    return b if a is None else a if b is None else max(a, b)
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New rows of a stretch of a run go into its state; the stretch up to its first failure comes out."""
-    known = {row[0]: list(row[1:]) for row in zip(*state.get)} if state.exists else {}
-    for frame in frames:
-        for at, name, status, start, finish in zip(*(frame[c] for c in ("step_idx", "step_id", "status", "started_ms", "finished_ms"))):
-            seen = known.setdefault(int(at), [0, 0, None, None, None])
-            seen[0] += 1
-            seen[1] += status == "pass"
-            seen[2] = _least(seen[2], None if pd.isna(start) else int(start))
-            seen[3] = _most(seen[3], None if pd.isna(finish) else int(finish))
-            if status == "fail":
-                seen[4] = _least(seen[4], name)
-    failed_at = min((at for at, seen in known.items() if seen[4] is not None), default=None)
-    # What lies behind a failure never counts again: a failure can only move forward in the run.
-    kept = sorted((at, *seen) for at, seen in known.items() if failed_at is None or at <= failed_at)
-    columns = list(map(list, zip(*kept)))
-    state.update(tuple(columns))
-    started = [x for x in columns[3] if x is not None]
-    finished = [x for x in columns[4] if x is not None]
-    yield pd.DataFrame({
-        "run_id": [key[0]], "stretch": [key[1]], "steps": [sum(columns[1])], "passed": [sum(columns[2])],
-        "failed_at": pd.array([failed_at], "Int32"), "failed_id": [None if failed_at is None else known[failed_at][4]],
-        "started_ms": pd.array([min(started, default=None)], "Int64"), "finished_ms": pd.array([max(finished, default=None)], "Int64")})
-
-
 def start_summaries(traces: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep summaries of stretches of every run, from state that lives in the checkpoint.
+    """Keep the steps of every run, as aggregates whose state lives in the checkpoint.
 
-    A batch reads its own rows only. Which steps count depends on the first failure, and that may
-    arrive after later steps, or be followed by an earlier one: the state holds the steps of a stretch of ``WIDTH``
-    positions up to its first failure, and :func:`latest` puts the stretches of a run together, so the same log
-    gives the same answer as the batch. Rows without a position are not part of a run. Each micro-batch
-    writes its own folder, so a replayed batch overwrites itself.
+    A batch reads its own rows only, and puts out the steps that it changed. Which steps count depends on the first failure, and that
+    may arrive after later steps, or be followed by an earlier one: :func:`latest` decides it, so the same log
+    gives the same answer as the batch. State is a row a step, so no run is one state. Rows without a position are not part of a
+    run. Each micro-batch writes its own folder, so a replayed batch overwrites itself.
     """
-    rows = traces.select(*SUMMARISED).filter(F.col("step_idx").isNotNull()).withColumn("stretch", F.floor(F.col("step_idx") / WIDTH))
-    stretches = rows.groupBy("run_id", "stretch").applyInPandasWithState(_step, STRETCH, STATE, "update", GroupStateTimeout.NoTimeout)
+    failed = F.when(F.col("status") == "fail", F.struct(F.col("step_id").alias("id")))
+    steps = traces.select(*SUMMARISED).filter(F.col("step_idx").isNotNull()).groupBy("run_id", F.col("step_idx").cast("int").alias("step_idx")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "pass").alias("passed"), F.min(failed).alias("failed"),
+        F.min("started_ms").alias("started_ms"), F.max("finished_ms").alias("finished_ms"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
-    writer = stretches.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = steps.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def latest(spark: SparkSession, table_path: str) -> DataFrame:
-    """Summary of every run seen so far, from the last summary of each of its stretches."""
-    fields = [c.split()[0] for c in STRETCH.split(", ")][2:]
-    table = spark.read.schema(f"{STRETCH}, batch bigint").parquet(table_path)
-    last = table.groupBy("run_id", "stretch").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("run_id", "stretch", "s.*")
-    stop = last.filter(F.col("failed_at").isNotNull()).groupBy("run_id").agg(
-        F.min("stretch").alias("stop_at"), F.min(F.struct(F.col("failed_at").alias("at"), F.col("failed_id").alias("id"))).alias("first_failed"))
-    counted = last.join(stop, "run_id", "left").filter(F.col("stop_at").isNull() | (F.col("stretch") <= F.col("stop_at")))
+    """Summary of every run seen so far, from what the last batch said of each of its steps."""
+    fields = ["rows", "passed", "failed", "started_ms", "finished_ms"]
+    table = spark.read.schema(f"{STEP}, batch bigint").parquet(table_path)
+    last = table.groupBy("run_id", "step_idx").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("run_id", "step_idx", "s.*")
+    stop = last.filter(F.col("failed").isNotNull()).groupBy("run_id").agg(
+        F.min(F.struct(F.col("step_idx").alias("at"), F.col("failed.id").alias("id"))).alias("first_failed"))
+    counted = last.join(stop, "run_id", "left").filter(F.col("first_failed").isNull() | (F.col("step_idx") <= F.col("first_failed.at")))
     return finish_summary(counted.groupBy("run_id").agg(
-        F.sum("steps").alias("steps"), F.sum("passed").alias("passed"), F.first("first_failed").alias("first_failed"),
+        F.sum("rows").alias("steps"), F.sum("passed").alias("passed"), F.first("first_failed").alias("first_failed"),
         F.min("started_ms").alias("started_ms"), F.max("finished_ms").alias("finished_ms")))

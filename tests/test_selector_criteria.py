@@ -125,6 +125,20 @@ def test_steps_that_arrive_late(spark, tmp_path):
         assert sorted(map(tuple, traces.latest(spark, table).collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
 
 
+def test_steps_are_not_grouped_in_python(spark, tmp_path):
+    """Many runs with few steps each; a failed step may have no name."""
+    log, table = tmp_path / "log", str(tmp_path / "table")
+    log.mkdir()
+    (log / "0.jsonl").write_text("\n".join(json.dumps({"run_id": f"r{k % 40}", "step_idx": k * 4096, "step_id": None if k % 9 == 0 else f"s{k}", "status": "fail" if k % 7 == 0 else "pass",
+                                                        "started_ms": k, "finished_ms": k + 3}) for k in range(200)))
+    stream = traces.start_summaries(traces.read_traces(spark, str(log)), table, str(tmp_path / "checkpoint"))
+    stream.awaitTermination()
+    plan = stream._jsq.explainInternal(False)
+    assert "StateStoreSave" in plan and "Pandas" not in plan
+    batch = runs.run_summary(spark.read.schema(traces.TRACE_SCHEMA).json(str(log)))
+    assert sorted(map(tuple, traces.latest(spark, table).collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
+
+
 def test_comparison_reads_texts_of_what_differs(spark):
     side = lambda rows: spark.createDataFrame(rows, "doc_id int, object_id string, text string")
     before, after = side([(1, "a", "x"), (1, "b", "y"), (1, "c", None), (2, "d", "gone")]), side([(1, "a", "x"), (1, "b", "z"), (1, "c", ""), (3, "e", "new")])
