@@ -48,7 +48,7 @@ ID, EXACT, INNER_WORD, ANY, FIRST = 0, 1, 2, -1, 3
 LIST = 64
 
 
-def _answers(rule: Criterion, objects: DataFrame) -> Column:
+def answers(rule: Criterion, objects: DataFrame) -> Column:
     """Values of an object for a criterion, as text."""
     has = set(objects.columns)
     named = lambda c: F.concat(F.lit("sheet"), F.col("sheet").cast("string")) if c == "sheet number" else F.col(c).cast("string")
@@ -64,6 +64,14 @@ def _anchor_word(needle: Column) -> Column:
     return F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
+def fits(selector, object_id: Column, texts: Column, values: list[Column]) -> Column:
+    """Whether an object has what a selector asks: its id alone, or the text and all criteria (``_s0`` ... in the order of the values)."""
+    text = F.when(selector["equals"].isNotNull(), F.array_contains(texts, selector["equals"])).otherwise(
+        selector["contains"].isNull() | F.exists(texts, lambda t: F.contains(t, selector["contains"])))
+    rest = reduce(lambda a, b: a & b, [selector[f"_s{i}"].isNull() | F.array_contains(v, selector[f"_s{i}"]) for i, v in enumerate(values)], F.lit(True))
+    return F.when(selector["_id"].isNotNull(), selector["_id"] == object_id.cast("string")).otherwise(rest & text)
+
+
 def matches(objects: DataFrame, selectors: DataFrame, criteria: list[str], keep: list[str] | None = None) -> DataFrame:
     """``(selector_id, doc_id, object_id, keep)`` for every object a selector matches.
 
@@ -79,31 +87,26 @@ def matches(objects: DataFrame, selectors: DataFrame, criteria: list[str], keep:
     has = set(objects.columns)
     formula = [F.when(F.col("kind") == "cell", F.col("formula"))] if {"kind", "formula"} <= has else []
     read = objects.select("doc_id", "object_id", *(keep or []), F.array_distinct(F.array_compact(F.array("text", *formula))).alias("_texts"),
-                          *[_answers(rule, objects).alias(f"_v{i}") for i, rule in enumerate(rules)])
+                          *[answers(rule, objects).alias(f"_v{i}") for i, rule in enumerate(rules)])
     asked = [F.lower(F.col(r.name).cast("string")) if r.fold else F.col(r.name).cast("string") for r in rules]
     any_of = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("object_id", "equals", "contains", *[r.name for r in rules])])
     fields = ["selector_id", "_id", "equals", "contains", *[f"_s{i}" for i in range(len(rules))]]
     wanted = selectors.filter(any_of).select("selector_id", "doc_id", F.col("object_id").cast("string").alias("_id"), "equals", "contains",
                                              *[v.alias(f"_s{i}") for i, v in enumerate(asked)])
 
-    def fits(s) -> Column:
-        text = F.when(s["equals"].isNotNull(), F.array_contains("_texts", s["equals"])).otherwise(
-            s["contains"].isNull() | F.exists("_texts", lambda t: F.contains(t, s["contains"])))
-        rest = reduce(lambda a, b: a & b, [s[f"_s{i}"].isNull() | F.array_contains(f"_v{i}", s[f"_s{i}"]) for i in range(len(rules))], F.lit(True))
-        return F.when(s["_id"].isNotNull(), s["_id"] == F.col("object_id").cast("string")).otherwise(rest & text)
-
+    check = lambda s: fits(s, F.col("object_id"), F.col("_texts"), [F.col(f"_v{i}") for i in range(len(rules))])
     picked = ["selector_id", "doc_id", "object_id", *(keep or [])]
     crowded = selectors.filter(any_of).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LIST).select("doc_id")
     crowds = not crowded.isEmpty()
     few = wanted.join(crowded, "doc_id", "left_anti") if crowds else wanted
     lists = few.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_list"))
-    hit = F.explode(F.transform(F.filter("_list", fits), lambda s: s["selector_id"])).alias("selector_id")
+    hit = F.explode(F.transform(F.filter("_list", check), lambda s: s["selector_id"])).alias("selector_id")
     found = read.join(lists, "doc_id").select("doc_id", "object_id", *(keep or []), hit).select(*picked)
     if not crowds:
         return found
     led = _by_key(read.join(crowded, "doc_id", "left_semi"), wanted.join(crowded, "doc_id", "left_semi"), len(rules))
     one = {f: F.col(f) for f in fields}
-    return found.unionByName(led.filter(fits(one)).select(*picked))
+    return found.unionByName(led.filter(check(one)).select(*picked))
 
 
 def _by_key(read: DataFrame, wanted: DataFrame, n_rules: int) -> DataFrame:

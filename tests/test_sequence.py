@@ -48,6 +48,24 @@ def test_in_order_equals_a_loop(spark):
     assert {x.op_id: x.outcome for x in got.collect()} == outcomes and {"applied", "SELECTOR_NOT_FOUND", "SELECTOR_AMBIGUOUS"} == set(outcomes.values())
 
 
+def test_large_documents_equal_a_loop(spark, monkeypatch):
+    for name, most in (("OBJECTS", 0), ("CHARACTERS", 9), ("OPERATIONS", 4)):
+        with monkeypatch.context() as m:
+            m.setattr(sequence, name, most)
+            test_in_order_equals_a_loop(spark)
+
+
+def test_documents_are_edited_without_rounds(spark, monkeypatch):
+    """Rounds would write the changed texts once each."""
+    written = []
+    monkeypatch.setattr(sequence, "cut", lambda df: written.append(df) or df.localCheckpoint())
+    ops = [(str(k), 1, k, "replaceText" if k % 2 else "setText", None, None if k % 2 else f"t{k}", None, "t", f"t{k + 2}" if k % 2 == 0 else "t", None) for k in range(6)]
+    objects = spark.createDataFrame([(1, "o1", "t0", 0), (2, "o1", "t0", 0), (1, "o2", None, 0)], "doc_id int, object_id string, text string, slide int")
+    after, got = sequence.apply_in_order(objects, spark.createDataFrame(ops, OPS), ["slide"])
+    assert sorted(tuple(r) for r in after.select("doc_id", "object_id", "text", "edited").collect()) == [(1, "o1", "t6", True), (1, "o2", None, False), (2, "o1", "t0", False)]
+    assert {r.outcome for r in got.collect()} == {"applied"} and not written
+
+
 def test_operations_on_named_objects_share_a_wave(spark):
     ops = [(str(k), 1, k, "setText", "o1", None, None, None, f"t{k}", None) for k in range(40)] + [("x", 1, 40, "setText", None, "t39", None, None, "end", None)]
     table = spark.createDataFrame(ops, OPS)
