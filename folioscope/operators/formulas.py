@@ -27,7 +27,8 @@ NAME = r"[A-Za-z0-9_.]+"
 def _names_by_document(names: DataFrame) -> DataFrame:
     """Defined names of a workbook as one small map; they all sit in one bounded part."""
     unique = names.groupBy("doc_id", F.lower("name").alias("word")).agg(F.min("name").alias("name"))
-    return unique.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "name"))).alias("names"))
+    return unique.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "name"))).alias("names"), F.collect_list(F.when(~F.col("word").rlike(f"^{NAME}$"), F.col("word"))).alias("odd_names"))
 
 
 def _blanks(token: Column) -> Column:
@@ -38,23 +39,32 @@ def formula_deps(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataF
     """Dependencies of every formula cell, without repeats inside a cell.
 
     ``cells``: ``doc_id, sheet_idx, ref, formula``; ``names``: ``doc_id, name``;
-    ``tables``: ``doc_id, name``. Formulas meet the names of their workbook in
+    ``tables``: ``doc_id, name``. Equal formulas are read once, and meet the names of their workbooks in
     one join; strings, brackets of any depth and words before blanks are told apart in one pass over the formula.
     """
     keys = ["doc_id", "sheet_idx", "ref"]
-    rows = cells.filter(F.col("formula").isNotNull() & (F.col("formula") != "")).select(
-        *keys, split_formula("formula").alias("split")).select(*keys, "split.*").join(_names_by_document(_without(names, tables)), "doc_id", "left")
-    tagged = lambda tag: lambda t: F.struct(F.lit(tag).alias("tag"), t.alias("token"))
-    plain = F.filter(F.array_distinct(F.transform(matches("clean", f"({NAME})", 1), F.lower)), lambda w: F.map_contains_key("names", w))
+    rows = cells.filter(F.col("formula").isNotNull() & (F.col("formula") != "")).select(*keys, "formula")
+    named = rows.join(_names_by_document(_without(names, tables)), "doc_id", "left")
+    known = named.join(_parsed(rows.select("formula").distinct()), "formula")
+    plain = F.filter("words", lambda w: F.map_contains_key("names", w))
     # Names with other characters are searched for; word characters must not touch them.
     edge = r"[^A-Za-z0-9_.]"
-    odd = F.filter(F.map_keys("names"), lambda n: ~n.rlike(f"^{NAME}$") & F.contains(F.lower("clean"), n) & F.regexp_like(
+    odd = F.filter("odd_names", lambda n: F.contains(F.lower("clean"), n) & F.regexp_like(
         F.col("clean"), F.concat(F.lit(rf"(?i)(^|{edge})\Q"), n, F.lit(rf"\E($|{edge})"))))
-    named = F.when(F.col("names").isNotNull(), F.concat(plain, odd)).otherwise(F.array().cast("array<string>"))
-    tokens = F.concat(
-        F.transform("tables", tagged("s")), F.transform(F.transform(matches("clean", REFERENCE, 0), _blanks), tagged("r")),
-        F.transform(F.transform(named, lambda w: F.try_element_at("names", w)), tagged("n")))
-    found = rows.select(*keys, F.inline(F.array_distinct(tokens)))
+    token = lambda w: F.struct(F.lit("namedRange").alias("dep_kind"), *[F.lit(None).cast("string").alias(c) for c in ("dep_ref", "dep_sheet", "dep_book")],
+                               F.try_element_at("names", w).alias("dep_name"), F.try_element_at("names", w).alias("source_text"))
+    by_name = F.when(F.size("odd_names") > 0, F.concat(plain, odd)).otherwise(plain)
+    tokens = F.when(F.col("names").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.transform(by_name, token)))
+    return known.select(*keys, F.inline(tokens))
+
+
+def _parsed(formulas: DataFrame) -> DataFrame:
+    """What a formula says by itself: its references, the words that may be names, and its text without strings. Equal formulas are read once."""
+    tagged = lambda tag: lambda t: F.struct(F.lit(tag).alias("tag"), t.alias("token"))
+    split = formulas.select("formula", split_formula("formula").alias("split")).select("formula", "split.*")
+    tokens = F.concat(F.transform("tables", tagged("s")), F.transform(F.transform(matches("clean", REFERENCE, 0), _blanks), tagged("r")))
+    words = F.array_distinct(F.transform(matches("clean", f"({NAME})", 1), F.lower))
+    found = split.select("formula", "clean", words.alias("words"), F.posexplode_outer(F.array_distinct(tokens)).alias("at", "t")).select("formula", "clean", "words", "at", "t.*")
     reference = F.col("tag") == "r"
     cell = F.when(reference, F.regexp_extract("token", r"(\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?)$", 1))
     elsewhere = F.contains("token", F.lit("!")) | F.col("token").startswith("[")
@@ -62,13 +72,13 @@ def formula_deps(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataF
     placed = found.withColumns({
         "dep_ref": F.upper(F.replace(cell, F.lit("$"), F.lit(""))),
         "raw_sheet": F.when(reference & elsewhere, sheet), "raw_book": F.when(reference & elsewhere, first_match("token", r"^\[([^\]]+)\]", 1)),
-        "dep_name": F.when(F.col("tag") == "n", F.col("token")).when(F.col("tag") == "s", F.regexp_extract("token", r"^([A-Za-z_][A-Za-z0-9_.]*)", 1))})
+        "dep_name": F.when(F.col("tag") == "s", F.regexp_extract("token", r"^([A-Za-z_][A-Za-z0-9_.]*)", 1))})
     kind = (
-        F.when(F.col("tag") == "s", "tableStructuredRef").when(F.col("tag") == "n", "namedRange").when(elsewhere, "threeD")
+        F.when(F.col("tag") == "s", "tableStructuredRef").when(elsewhere, "threeD")
         .when(F.contains("dep_ref", F.lit(":")), "range").otherwise("cell"))
-    return placed.select(
-        *keys, kind.alias("dep_kind"), "dep_ref", xml_unescape("raw_sheet", numeric=False).alias("dep_sheet"),
-        xml_unescape("raw_book", numeric=False).alias("dep_book"), "dep_name", F.col("token").alias("source_text"))
+    dep = F.struct(kind.alias("dep_kind"), "dep_ref", xml_unescape("raw_sheet", numeric=False).alias("dep_sheet"),
+                   xml_unescape("raw_book", numeric=False).alias("dep_book"), "dep_name", F.col("token").alias("source_text"))
+    return placed.groupBy("formula").agg(F.first("clean").alias("clean"), F.first("words").alias("words"), F.collect_list(F.when(F.col("tag").isNotNull(), dep)).alias("tokens"))
 
 
 def _without(names: DataFrame, tables: DataFrame) -> DataFrame:
@@ -133,9 +143,13 @@ def related_objects(deps: DataFrame, objects: DataFrame, size: float = 8.0) -> D
 
 def formula_graph(deps: DataFrame) -> DataFrame:
     """Distinct dependencies and formula cells per sheet and kind."""
-    ident = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("dep_ref", "dep_sheet", "dep_book", "dep_name", "source_text")])
-    return deps.groupBy("doc_id", "sheet_idx", "dep_kind").agg(
-        F.count_distinct(ident).alias("dependencies"), F.count_distinct("ref").alias("formula_cells"))
+    parts = ["dep_ref", "dep_sheet", "dep_book", "dep_name", "source_text"]
+    ident = F.struct(F.lit(False).alias("is_cell"), *[F.coalesce(c, F.lit("")).alias(c) for c in parts])
+    cell = F.struct(F.lit(True).alias("is_cell"), F.col("ref").alias("dep_ref"), *[F.lit("").alias(c) for c in parts[1:]])
+    # Counted in two plain steps, which need no exchange where rows lie by document.
+    keys = ["doc_id", "sheet_idx", "dep_kind"]
+    each = deps.select(*keys, F.inline(F.array(ident, cell))).select(*keys, "is_cell", *parts).distinct()
+    return each.groupBy(*keys).agg(F.count_if(~F.col("is_cell")).alias("dependencies"), F.count_if(F.col("is_cell") & F.col("dep_ref").isNotNull()).alias("formula_cells"))
 
 
 # --- chart and diagram specifications ---------------------------------------------------------

@@ -30,3 +30,15 @@ def test_dependencies_of_deep_brackets_and_long_names(spark):
     tables = spark.createDataFrame([("d", "Sales")], "doc_id string, name string")
     got = {(r.dep_kind, r.dep_ref, r.dep_sheet, r.dep_name) for r in formulas.formula_deps(cells, names, tables).collect()}
     assert got == {("tableStructuredRef", None, None, "Sales"), ("cell", "B1", None, None), ("threeD", "C1", "My Own Sheet", None), ("namedRange", None, None, "rate")}
+
+
+def test_equal_formulas_are_read_once(spark):
+    cells = spark.range(0, 30).selectExpr("id AS doc_id", "1 AS sheet_idx", "'A1' AS ref", "concat('B', id % 3 + 1, '+Rate') AS formula")
+    names = spark.createDataFrame([(3, "RATE")], "doc_id long, name string")
+    deps = formulas.formula_deps(cells, names, names.limit(0))
+    plan = deps._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[formula" in plan[plan.index("ArrowEvalPython"):]
+    assert sorted((r.doc_id, r.source_text) for r in deps.collect()) == sorted([(d, f"B{d % 3 + 1}") for d in range(30)] + [(3, "RATE")])
+    graph = formulas.formula_graph(deps.unionByName(deps))
+    assert "Expand" not in graph._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in graph.filter("doc_id = 3").collect()} == {(3, 1, "cell", 1, 1), (3, 1, "namedRange", 1, 1)}
