@@ -13,8 +13,9 @@ CELL = r"^([A-Za-z]+)([0-9]+)$"
 
 
 def letters_to_col(letters) -> Column:
-    chars = F.split(F.upper(as_column(letters)), "")
-    return F.aggregate(chars, F.lit(0), lambda acc, ch: acc * 26 + F.ascii(ch) - 64)
+    """Letters of either case; the low five bits of a letter are its number."""
+    chars = F.split(as_column(letters), "")
+    return F.aggregate(chars, F.lit(0), lambda acc, ch: acc * 26 + F.ascii(ch).bitwiseAND(31))
 
 
 def ref_col(ref) -> Column:

@@ -95,8 +95,11 @@ def first_match(text, pattern: str, group: int = 1) -> Column:
 
 
 def attribute(tag, name: str) -> Column:
-    """Attribute value in either quote style; NULL when absent."""
-    return first_match(tag, rf"""(?<![\w:.-]){name}\s*=\s*(["'])(.*?)\1""", 2)
+    """Attribute value in either quote style; NULL when absent.
+
+    The name is looked for before what may not stand in front of it: few places have the name, all have a character in front.
+    """
+    return first_match(tag, rf"""{name}(?<![\w:.-]{name})\s*=\s*(["'])(.*?)\1""", 2)
 
 
 def not_blank(value) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from folioscope.sources.sheets import SHEET_PART, sheets
 from folioscope.sources.textnodes import semantic_part
 
 
+DIGITS, LETTERS = string.digits, string.ascii_letters
+
+
 def summarize(parts: DataFrame, objects: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Per document: parts, text objects, characters, tables, images, charts, presence flags."""
     media = F.col("part").contains("/media/").cast("int")
@@ -44,16 +49,17 @@ def sheet_map(parts: DataFrame) -> DataFrame:
     """Per sheet: cells, formulas, used range, validations, protection and role.
 
     Counts and bounds are read inside each worksheet row, without exploding
-    cells; column letters are reduced to distinct ones before they are decoded.
+    cells; references are cut out in one pass, and column letters are reduced to distinct ones before they are decoded.
     """
-    cell = r'<c\b[^>]*\br="([A-Za-z]+)([0-9]+)"'
-    letters = F.array_distinct(matches("xml", cell, 1))
+    counted = lambda start, pattern: F.when(F.contains("xml", F.lit(start)), F.regexp_count("xml", F.lit(pattern))).otherwise(0)
     local = parts.filter(F.col("part").rlike(SHEET_PART)).select(
-        "doc_id", "part",
-        F.regexp_count("xml", F.lit(cell)).alias("n"), F.transform(letters, letters_to_col).alias("columns"),
-        F.transform(F.array_distinct(matches("xml", cell, 2)), lambda r: r.try_cast("int")).alias("rows"),
-        F.regexp_count("xml", F.lit(r"<f\b")).alias("f"), F.regexp_count("xml", F.lit(r"<dataValidation\b")).alias("d"),
-        F.col("xml").rlike(r"(?i)<sheetProtection\b").alias("p"))
+        "doc_id", "part", matches("xml", r'<c\b[^>]*\br="([A-Za-z]+[0-9]+)"', 1).alias("refs"),
+        counted("<f", r"<f\b").alias("f"), counted("<dataValidation", r"<dataValidation\b").alias("d"),
+        F.col("xml").rlike(r"(?i)<sheetProtection\b").alias("p")).select(
+        "doc_id", "part", F.size("refs").alias("n"),
+        F.transform(F.array_distinct(F.transform("refs", lambda r: F.rtrim(r, F.lit(DIGITS)))), letters_to_col).alias("columns"),
+        F.transform(F.array_distinct(F.transform("refs", lambda r: F.ltrim(r, F.lit(LETTERS)))), lambda r: r.try_cast("int")).alias("rows"),
+        "f", "d", "p")
     used = local.groupBy("doc_id", "part").agg(
         F.sum("n").alias("cells"), F.sum("f").alias("formulas"), F.sum("d").alias("validations"), F.bool_or("p").alias("protected"),
         F.min(F.array_min("columns")).alias("c0"), F.min(F.array_min("rows")).alias("r0"),

@@ -300,24 +300,12 @@ def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
     li = by_key(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"), "l_orderkey")
-    sheet_ids = F.sequence(F.lit(1), F.lit(7))
-    workbook = F.concat(
-        F.lit("<workbook><sheets>"),
-        F.array_join(F.transform(sheet_ids, lambda i: F.concat(
-            F.lit('<sheet name="Line '), i.cast("string"), F.lit('" sheetId="'), i.cast("string"),
-            F.when(i == 7, '" state="hidden').otherwise(""),
-            F.lit('" r:id="rId'), i.cast("string"), F.lit('"/>')
-        )), ""),
-        F.lit('</sheets><definedNames><definedName name="TaxRate">\'Line 1\'!$A$1</definedName></definedNames></workbook>'),
-    )
-    rels = F.concat(
-        F.lit("<Relationships>"),
-        F.array_join(F.transform(sheet_ids, lambda i: F.concat(
-            F.lit('<Relationship Id="rId'), i.cast("string"),
-            F.lit('" Type="worksheet" Target="worksheets/sheet'), i.cast("string"), F.lit('.xml"/>')
-        )), ""),
-        F.lit("</Relationships>"),
-    )
+    # The same seven sheets in every order's workbook: fixed text.
+    workbook = F.lit("<workbook><sheets>" + "".join(
+        f'<sheet name="Line {i}" sheetId="{i}{chr(34) + " state=" + chr(34) + "hidden" if i == 7 else ""}" r:id="rId{i}"/>' for i in range(1, 8)
+    ) + """</sheets><definedNames><definedName name="TaxRate">'Line 1'!$A$1</definedName></definedNames></workbook>""")
+    rels = F.lit("<Relationships>" + "".join(
+        f'<Relationship Id="rId{i}" Type="worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, 8)) + "</Relationships>")
     strings = F.concat(
         F.lit("<sst><si><t>"), xml_escape("o_orderstatus"), F.lit("</t></si><si><t>"),
         xml_escape("o_orderpriority"), F.lit("</t></si></sst>"),

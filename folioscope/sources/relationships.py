@@ -31,9 +31,11 @@ def owner_of(rels_part) -> Column:
     return F.when(part.rlike(r"^.*/_rels/[^/]+\.rels$"), nested).otherwise("")
 
 
-def resolve_target(owner, target) -> Column:
-    """Target relative to the owner's folder; fragment and query are cut off."""
-    clean = F.regexp_replace(F.replace(as_column(target), F.lit("\\"), F.lit("/")), r"[#?](?s:.*)$", "")
+def _clean(target) -> Column:
+    return F.regexp_replace(F.replace(as_column(target), F.lit("\\"), F.lit("/")), r"[#?](?s:.*)$", "")
+
+
+def _resolve(owner, clean: Column) -> Column:
     folder = F.regexp_replace(as_column(owner), r"[^/]*$", "")
     relative = fold_path(F.concat(folder, clean))
     return F.when(clean == "", F.lit(None)).when(
@@ -41,8 +43,13 @@ def resolve_target(owner, target) -> Column:
     ).otherwise(relative)
 
 
+def resolve_target(owner, target) -> Column:
+    """Target relative to the owner's folder; fragment and query are cut off."""
+    return _resolve(owner, _clean(target))
+
+
 def is_external(target, mode) -> Column:
-    by_mode = F.lower(F.coalesce(as_column(mode), F.lit(""))) == "external"
+    by_mode = F.coalesce(F.lower(as_column(mode)) == "external", F.lit(False))
     return by_mode | as_column(target).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
 
 
@@ -67,9 +74,10 @@ def relationships(parts: DataFrame) -> DataFrame:
 
 def targets(xml, owner: str) -> Column:
     """Relationships of one part as an array of ``(rel_id, resolved)``, for joins inside a row; external ones resolve to NULL."""
-    def read(tag: Column) -> Column:
-        target = xml_unescape(attribute(tag, "Target"))
-        inside = F.when(~is_external(target, attribute(tag, "TargetMode")), resolve_target(F.lit(owner), target))
-        return F.struct(attribute(tag, "Id").alias("rel_id"), inside.alias("resolved"))
-
-    return F.transform(matches(xml, r"<Relationship\b[^>]*>"), read)
+    # Inside a lambda Spark evaluates an expression once per mention: each step binds what the next one mentions.
+    read = F.transform(matches(xml, r"<Relationship\b[^>]*>"), lambda tag: F.struct(
+        attribute(tag, "Id").alias("rel_id"), attribute(tag, "Target").alias("raw"), attribute(tag, "TargetMode").alias("mode")))
+    named = F.transform(read, lambda r: F.struct(r["rel_id"].alias("rel_id"), xml_unescape(r["raw"]).alias("target"), r["mode"].alias("mode")))
+    clean = F.transform(named, lambda r: F.struct(
+        r["rel_id"].alias("rel_id"), F.when(~is_external(r["target"], r["mode"]), _clean(r["target"])).alias("clean")))
+    return F.transform(clean, lambda r: F.struct(r["rel_id"].alias("rel_id"), F.when(r["clean"].isNotNull(), _resolve(F.lit(owner), r["clean"])).alias("resolved")))
