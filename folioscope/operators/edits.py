@@ -350,7 +350,8 @@ def write_back(parts: DataFrame, edits: DataFrame, tags: tuple[str, ...] = TEXT_
 
 def cell_xml(ref: str = "ref", value: str = "value", formula: str = "formula") -> Column:
     """Cell element: formula, number or inline string."""
-    number = F.col(value).try_cast("double").isNotNull()
+    # A failed cast costs an exception: what has no digit and names no special value is not tried.
+    number = F.when(F.col(value).rlike("[0-9]|(?i:inf|nan)"), F.col(value).try_cast("double").isNotNull()).otherwise(False)
     return (
         F.when(F.col(formula).isNotNull(), F.concat(F.lit('<c r="'), ref, F.lit('"><f>'), xml_escape(formula), F.lit("</f></c>")))
         .when(number, F.concat(F.lit('<c r="'), ref, F.lit('"><v>'), value, F.lit("</v></c>")))
@@ -361,7 +362,7 @@ def cell_xml(ref: str = "ref", value: str = "value", formula: str = "formula") -
 def sheet_rows(cells: DataFrame) -> DataFrame:
     """Row elements of every sheet in column order, one table row per worksheet row."""
     piece = F.struct("col", cell_xml().alias("xml"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["xml"]), "")
+    body = F.array_join(F.sort_array(F.collect_list(piece))["xml"], "")
     return cells.groupBy("doc_id", "sheet", "row").agg(body.alias("body")).withColumn(
         "row_xml", F.concat(F.lit('<row r="'), F.col("row").cast("string"), F.lit('">'), "body", F.lit("</row>"))).drop("body")
 
@@ -375,7 +376,7 @@ def sheet_data(cells: DataFrame, max_bytes: int = MAX_XML_PART_BYTES) -> DataFra
     lined = sheet_rows(cells)
     sizes = lined.groupBy("doc_id", "sheet").agg(F.sum(F.octet_length("row_xml")).alias("n"))
     small = lined.join(sizes.filter(F.col("n") <= max_bytes).select("doc_id", "sheet"), ["doc_id", "sheet"], "left_semi")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "row_xml"))), lambda r: r["row_xml"]), "")
+    lines = F.array_join(F.sort_array(F.collect_list(F.struct("row", "row_xml")))["row_xml"], "")
     built = small.groupBy("doc_id", "sheet").agg(F.concat(F.lit("<sheetData>"), lines, F.lit("</sheetData>")).alias("xml"))
     refused = sizes.filter(F.col("n") > max_bytes).select("doc_id", "sheet", F.lit(None).cast("string").alias("xml"), F.lit("PART_TOO_LARGE").alias("blocked"))
     return built.withColumn("blocked", F.lit(None).cast("string")).unionByName(refused)

@@ -409,9 +409,11 @@ cells AS (SELECT doc_id, sheet, col, "row", value, CASE WHEN col = 3 THEN 'A' ||
 
 
 def _unique_cells(spark, sf):
-    cells = corpus.order_cells(spark, sf).groupBy("doc_id", F.col("sheet_name").alias("sheet"), "col", "row").agg(F.max("value").alias("value"))
-    row = F.col("row").cast("string")
-    return cells.withColumn("formula", F.when(F.col("col") == 3, F.concat(F.lit("A"), row, F.lit("+$B$"), row)))
+    """The cells of ``corpus.order_cells`` with the greatest value of each place; a row's five values are compared before they become cells."""
+    rows = corpus.order_rows(spark, sf).groupBy("doc_id", "sheet_idx", "row").agg(*[F.max(c).alias(c) for c in corpus.ORDER_COLUMNS])
+    row, cells = F.col("row").cast("string"), F.array(*[F.struct(F.lit(i + 1).alias("col"), F.col(c).alias("value")) for i, c in enumerate(corpus.ORDER_COLUMNS)])
+    return rows.select("doc_id", F.concat(F.lit("Line "), F.col("sheet_idx").cast("string")).alias("sheet"), F.inline(cells), "row").select(
+        "doc_id", "sheet", "col", "row", "value", F.when(F.col("col") == 3, F.concat(F.lit("A"), row, F.lit("+$B$"), row)).alias("formula"))
 
 
 @query("upsert_cells", "WITH " + UNIQUE_CELLS + r""",

@@ -18,15 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_key(df: DataFrame, key: str) -> DataFrame:
+# Partitions for each core where short rows become long parts.
+DEAL = 4
+
+
+def by_key(df: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Rows for parsing: where they lie, or over all cores if the input is one or two splits.
 
     Markup is parsed row by row, so no exchange is needed below the parser: a table of a cluster has
     far more splits than cores and is read in place. Only a file that cannot be split, such as one row
-    group, is dealt out first, by the document, into as many partitions as there are cores.
+    group, is dealt out first, by the document, into as many partitions as there are cores. Where the key is ``unique``, no
+    key can fill a partition, and short rows that become long parts are dealt out unless there are several splits for each core:
+    a split of 128 MB holds millions of them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if unique:
+        return df.repartition(DEAL * cores, key) if splits < DEAL * cores else df
+    return df.repartition(cores, key) if 2 * splits < cores else df
 
 
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,24 +119,23 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORDER_COLUMNS = ("quantity", "price", "discount", "flag", "status")
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as worksheet rows: sheet = line number, row by supplier, five values as text."""
+    values = (F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.round(F.col("l_discount") * 100).cast("int"),
+              F.col("l_returnflag"), F.col("l_linestatus"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sheet_idx"), (F.col("l_suppkey") % 50 + 1).cast("int").alias("row"),
+        *[v.cast("string").alias(name) for name, v in zip(ORDER_COLUMNS, values)])
+
+
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as worksheet cells: sheet = line number, row by supplier, columns A-E."""
-    li = table(spark, sf_dir, "lineitem")
-    column = lambda i, value: F.struct(F.lit(i).alias("col"), value.cast("string").alias("value"))
-    values = F.array(
-        column(1, F.col("l_quantity").cast("int")),
-        column(2, F.round(F.col("l_extendedprice") * 100).cast("bigint")),
-        column(3, F.round(F.col("l_discount") * 100).cast("int")),
-        column(4, F.col("l_returnflag")),
-        column(5, F.col("l_linestatus")),
-    )
+    """Line items as worksheet cells: columns A-E of ``order_rows``."""
+    values = F.array(*[F.struct(F.lit(i + 1).alias("col"), F.col(c).alias("value")) for i, c in enumerate(ORDER_COLUMNS)])
     return (
-        li.select(
-            F.col("l_orderkey").alias("doc_id"),
-            F.col("l_linenumber").alias("sheet_idx"),
-            (F.col("l_suppkey") % 50 + 1).cast("int").alias("row"),
-            F.inline(values),
-        )
+        order_rows(spark, sf_dir).select("doc_id", "sheet_idx", "row", F.inline(values))
         .withColumn("sheet_name", F.concat(F.lit("Line "), F.col("sheet_idx").cast("string")))
         .withColumn("ref", make_ref("col", "row"))
     )
@@ -281,7 +288,7 @@ def grouped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word-processing part per order: a table of one row and two cells, the second of which holds a table with a row per line item number up to the order's priority."""
-    orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", unique=True)
     text = lambda value: F.concat(F.lit("<w:tc><w:p><w:r><w:t>"), xml_escape(value), F.lit("</w:t></w:r></w:p>"))
     many = F.substring("o_orderpriority", 1, 1).cast("int")
     inner = F.array_join(F.transform(F.sequence(F.lit(1), many), lambda i: F.concat(
@@ -297,7 +304,7 @@ def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: quantity, price in cents, a formula, and two shared strings (order
     status and priority) taken from the order's own shared-string part.
     """
-    orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    orders = by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", unique=True)
     li = by_key(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"), "l_orderkey")
     # The same seven sheets in every order's workbook: fixed text.
