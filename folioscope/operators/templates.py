@@ -63,8 +63,9 @@ def fill_report(filled: DataFrame) -> DataFrame:
                          code.alias("code"), readiness.alias("readiness"))
 
 
-def _json_kind(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
+def _json_kind(schema: str) -> Column:
+    """Kind of a variant by its schema."""
+    kind = F.col(schema)
     return (
         F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
@@ -79,8 +80,9 @@ def validate_values(fields: DataFrame, data: DataFrame) -> DataFrame:
     """
     joined = data.join(fields, "template_id")
     picked = F.try_parse_json(F.coalesce(_quoted("json", "name"), F.col("default_json")))
-    valued = joined.withColumn("v", picked)
-    kind, text = _json_kind(F.col("v")), F.try_variant_get("v", "$", "string")
+    # Schema and kind are columns: both are mentioned by every rule, and rules are read one by one.
+    valued = joined.withColumn("v", picked).withColumn("schema", F.schema_of_variant("v")).withColumn("kind", _json_kind("schema"))
+    kind, text = F.col("kind"), F.try_variant_get("v", "$", "string")
     fits = (
         F.when(F.col("type") == "date", (kind == "string") & F.try_to_timestamp(text).isNotNull())
         .when(F.col("type") == "image", kind == "string")
@@ -89,10 +91,10 @@ def validate_values(fields: DataFrame, data: DataFrame) -> DataFrame:
         .when(F.col("type").isin("table", "list"), kind == "array").when(F.col("type") == "json", True)
         .otherwise(kind == F.col("type"))
     )
-    return explode_issues(valued, ["record_id", "template_id", "name"], [
-        issue(F.col("v").isNull() & F.col("required"), "FIELD_MISSING", "error"),
-        issue(F.col("v").isNotNull() & ~fits, "FIELD_TYPE", "error"),
-    ])
+    judged = valued.select("record_id", "template_id", "name", (F.col("v").isNull() & F.col("required")).alias("missing"),
+                           (F.col("v").isNotNull() & ~fits).alias("misfit"))
+    return explode_issues(judged, ["record_id", "template_id", "name"], [
+        issue(F.col("missing"), "FIELD_MISSING", "error"), issue(F.col("misfit"), "FIELD_TYPE", "error")])
 
 
 def _quoted(json: str, name: str) -> Column:
