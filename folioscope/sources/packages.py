@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +37,16 @@ PARTS_SCHEMA = (
 )
 
 
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+ARROW_PARTS = pa.schema([(name, ARROW_TYPES[kind]) for name, kind in map(str.split, PARTS_SCHEMA.split(", "))])
+# Bytes of parts that leave a worker together.
+FRAME_BYTES = 4_000_000
+
+
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW_PARTS.types)], schema=ARROW_PARTS)
+
+
 @dataclass(frozen=True)
 class Limits:
     input_bytes: int = MAX_INPUT_BYTES
@@ -155,18 +165,25 @@ def shred(packages: DataFrame, limits: Limits = Limits(), inner: bool = False) -
     (``word/embeddings/book.xlsx!/xl/workbook.xml``), with their ``depth``.
 
     File splits are already balanced by size, so no shuffle is needed: each
-    package is read where its bytes are. A frame is handed on per package.
+    package is read where its bytes are. Parts are handed on as soon as there are ``FRAME_BYTES`` of them.
     """
-    names = [field.split()[0] for field in PARTS_SCHEMA.split(", ")]
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, fmt, content, blocked in zip(batch["doc_id"], batch["format"], batch["content"], batch["blocked"]):
-                yield pd.DataFrame(_shred_one(doc_id, fmt, content, blocked, limits, inner), columns=names)
+            rows, held = [], 0
+            for values in zip(*[batch.column(c) for c in ("doc_id", "format", "content", "blocked")]):
+                doc_id, fmt, content, blocked = (v.as_py() for v in values)
+                found = _shred_one(doc_id, fmt, content, blocked, limits, inner)
+                rows += found
+                held += sum(row[4] or 0 for row in found) + 1000 * len(found)
+                if held > FRAME_BYTES:
+                    yield _frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _frame(rows)
 
     blocked = F.col("blocked") if "blocked" in packages.columns else F.lit(None).cast("string")
     narrow = packages.select(F.col("doc_id").cast("string").alias("doc_id"), "format", "content", blocked.alias("blocked"))
-    return narrow.mapInPandas(explode, PARTS_SCHEMA)
+    return narrow.mapInArrow(explode, PARTS_SCHEMA)
 
 
 def readable(parts: DataFrame) -> DataFrame:
@@ -189,16 +206,17 @@ def pack(parts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     over = (F.col("entries") > limits.entries) | (F.col("bytes") > limits.expanded_bytes)
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        if first["over"]:
-            return pd.DataFrame([(first["doc_id"], None, None, "PACKAGE_TOO_LARGE")], columns=["doc_id", "format", "content", "blocked"])
+    def build(group: pa.Table) -> pa.Table:
+        one = lambda fmt, content, why: pa.table({
+            "doc_id": group.column("doc_id").slice(0, 1), "format": fmt, "content": pa.array([content], pa.binary()), "blocked": pa.array([why], pa.string())})
+        if group.column("over")[0].as_py():
+            return one(pa.array([None], pa.string()), None, "PACKAGE_TOO_LARGE")
+        order, names = group.column("ord").to_pylist(), group.column("part").to_pylist()
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            for name, data in frame.sort_values("ord", kind="stable")[["part", "content"]].itertuples(index=False):
-                archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame([(first["doc_id"], first["format"], buffer.getvalue(), None)],
-                            columns=["doc_id", "format", "content", "blocked"])
+            for i in sorted(range(len(order)), key=lambda i: (order[i] is None, order[i] or 0)):
+                archive.writestr(zipfile.ZipInfo(names[i], (1980, 1, 1, 0, 0, 0)), group.column("content")[i].as_py(), zipfile.ZIP_DEFLATED)
+        return one(group.column("format").slice(0, 1), buffer.getvalue(), None)
 
     id_type = parts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, format string, content binary, blocked string"
@@ -206,7 +224,7 @@ def pack(parts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     sized = rows.join(totals.select("doc_id", over.alias("over"), "first"), "doc_id")
     kept = sized.filter(~F.col("over") | (F.struct("ord", "part") == F.col("first"))).withColumn(
         "content", F.when(~F.col("over"), F.col("content")))
-    return kept.drop("first").groupBy("doc_id").applyInPandas(build, schema)
+    return kept.drop("first").groupBy("doc_id").applyInArrow(build, schema)
 
 
 def write_packages(packed: DataFrame, path: str) -> None:
