@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,15 +49,19 @@ ID, EXACT, INNER_WORD, ANY, FIRST = 0, 1, 2, -1, 3
 LIST = 64
 
 
-def answers(rule: Criterion, objects: DataFrame) -> Column:
-    """Values of an object for a criterion, as text."""
+def hints(rule: Criterion, objects: DataFrame) -> list[Column]:
+    """What of an object can answer a criterion, as text; any of these may."""
     has = set(objects.columns)
     named = lambda c: F.concat(F.lit("sheet"), F.col("sheet").cast("string")) if c == "sheet number" else F.col(c).cast("string")
     values = [named(c) for c in rule.hints if c in has or (c == "sheet number" and "sheet" in has)]
     folded = [F.lower(v) if rule.fold else v for v in values]
-    if not folded:
-        return F.array().cast("array<string>")
-    return F.array_distinct(F.array_compact(F.array(F.coalesce(*folded) if rule.first else folded[0], *([] if rule.first else folded[1:]))))
+    return [F.coalesce(*folded)] if rule.first and folded else folded
+
+
+def answers(rule: Criterion, objects: DataFrame) -> Column:
+    """Values of an object for a criterion, as one array."""
+    values = hints(rule, objects)
+    return F.array_distinct(F.array_compact(F.array(*values))) if values else F.array().cast("array<string>")
 
 
 def _anchor_word(needle: Column) -> Column:
@@ -72,41 +77,54 @@ def fits(selector, object_id: Column, texts: Column, values: list[Column]) -> Co
     return F.when(selector["_id"].isNotNull(), selector["_id"] == object_id.cast("string")).otherwise(rest & text)
 
 
-def matches(objects: DataFrame, selectors: DataFrame, criteria: list[str], keep: list[str] | None = None) -> DataFrame:
+def meets(selector, object_id: Column, texts: list[Column], values: list[list[Column]]) -> Column:
+    """``fits`` on the columns of an object, where no arrays of them are made."""
+    some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    text = F.when(selector["equals"].isNotNull(), some([t == selector["equals"] for t in texts])).otherwise(
+        selector["contains"].isNull() | some([F.contains(t, selector["contains"]) for t in texts]))
+    rest = reduce(lambda a, b: a & b, [selector[f"_s{i}"].isNull() | some([v == selector[f"_s{i}"] for v in vs]) for i, vs in enumerate(values)], F.lit(True))
+    return F.when(selector["_id"].isNotNull(), selector["_id"] == object_id.cast("string")).otherwise(rest & text)
+
+
+def matches(objects: DataFrame, selectors: DataFrame, criteria: list[str], keep: list[str] | None = None,
+            unfold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(selector_id, doc_id, object_id, keep)`` for every object a selector matches.
 
     ``selectors``: ``selector_id, doc_id`` plus nullable ``object_id``, the ``criteria`` and ``contains`` / ``equals`` on the
     text (of cells also on the ``formula``). A selector without criteria matches nothing; one with an id is bound to it alone.
 
-    The selectors of a document travel to its objects as one list, and every object is checked where it is: its text is sent once.
+    Objects and selectors of a document meet on its id, and an object is sent with nothing but its own columns: what it answers is
+    worked out where it is checked. Where objects come out of shorter rows, ``objects`` are these rows and ``unfold`` makes
+    objects of them, keeping the columns it does not know: the rows are sent, not the objects.
     Where a document has more than ``LIST`` selectors, each is looked up by one key: its object id, whole text, an
     inner word of the contained text, or the first criterion it has; only one whose contained text has no inner word meets all
     objects. Keys travel without texts, and only objects with a candidate meet it again.
     """
+    unfold = unfold or (lambda rows: rows)
+    made = unfold(objects)
     rules = [CRITERIA.get(c, Criterion(c, (c,))) for c in criteria]
-    has = set(objects.columns)
-    formula = [F.when(F.col("kind") == "cell", F.col("formula"))] if {"kind", "formula"} <= has else []
-    read = objects.select("doc_id", "object_id", *(keep or []), F.array_distinct(F.array_compact(F.array("text", *formula))).alias("_texts"),
-                          *[answers(rule, objects).alias(f"_v{i}") for i, rule in enumerate(rules)])
+    formula = [F.when(F.col("kind") == "cell", F.col("formula"))] if {"kind", "formula"} <= set(made.columns) else []
+    texts = [F.col("text"), *formula]
     asked = [F.lower(F.col(r.name).cast("string")) if r.fold else F.col(r.name).cast("string") for r in rules]
     any_of = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("object_id", "equals", "contains", *[r.name for r in rules])])
     fields = ["selector_id", "_id", "equals", "contains", *[f"_s{i}" for i in range(len(rules))]]
     wanted = selectors.filter(any_of).select("selector_id", "doc_id", F.col("object_id").cast("string").alias("_id"), "equals", "contains",
                                              *[v.alias(f"_s{i}") for i, v in enumerate(asked)])
 
-    check = lambda s: fits(s, F.col("object_id"), F.col("_texts"), [F.col(f"_v{i}") for i in range(len(rules))])
-    picked = ["selector_id", "doc_id", "object_id", *(keep or [])]
+    picked = ["doc_id", "object_id", *(keep or [])]
     crowded = selectors.filter(any_of).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LIST).select("doc_id")
     crowds = not crowded.isEmpty()
     few = wanted.join(crowded, "doc_id", "left_anti") if crowds else wanted
-    lists = few.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_list"))
-    hit = F.explode(F.transform(F.filter("_list", check), lambda s: s["selector_id"])).alias("selector_id")
-    found = read.join(lists, "doc_id").select("doc_id", "object_id", *(keep or []), hit).select(*picked)
+    met = unfold(objects.join(few.select("doc_id", F.struct(*fields).alias("_ask")), "doc_id"))
+    hit = meets(F.col("_ask"), F.col("object_id"), texts, [hints(rule, made) for rule in rules])
+    found = met.filter(hit).select(F.col("_ask")["selector_id"].alias("selector_id"), *picked)
     if not crowds:
         return found
+    read = made.select(*picked, F.array_distinct(F.array_compact(F.array(*texts))).alias("_texts"),
+                       *[answers(rule, made).alias(f"_v{i}") for i, rule in enumerate(rules)])
     led = _by_key(read.join(crowded, "doc_id", "left_semi"), wanted.join(crowded, "doc_id", "left_semi"), len(rules))
-    one = {f: F.col(f) for f in fields}
-    return found.unionByName(led.filter(check(one)).select(*picked))
+    check = fits({f: F.col(f) for f in fields}, F.col("object_id"), F.col("_texts"), [F.col(f"_v{i}") for i in range(len(rules))])
+    return found.unionByName(led.filter(check).select("selector_id", *picked))
 
 
 def _by_key(read: DataFrame, wanted: DataFrame, n_rules: int) -> DataFrame:

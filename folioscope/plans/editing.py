@@ -76,16 +76,16 @@ FROM orders JOIN order_cells c ON c.doc_id = o_orderkey AND c.col IN (1, 3)
 WHERE CASE o_orderkey % 3 WHEN 0 THEN c.sheet_idx = 2 AND c.col = 1 WHEN 1 THEN c.sheet_idx = 3 AND c.col = 3
       ELSE c.col = 1 AND c.ref = 'A' || (o_custkey % 50 + 1) END""")
 def _(spark, sf):
-    """Sheets by name or number in any case, cells in any case; a cell's formula is text of it."""
-    cells = corpus.order_cells(spark, sf).filter(F.col("col").isin(1, 3)).select(
-        "doc_id", F.concat_ws("/", "doc_id", "sheet_idx", "ref", "value").alias("object_id"), "value", F.col("sheet_idx").alias("sheet"), "sheet_name",
+    """Sheets by name or number in any case, cells in any case; a cell's formula is text of it. Line items meet the selectors of their order before they are cells."""
+    cells = lambda rows: corpus.as_cells(rows, ("quantity", "discount")).select(
+        "*", F.concat_ws("/", "doc_id", "sheet_idx", "ref", "value").alias("object_id"), F.col("value").alias("text"), F.col("sheet_idx").alias("sheet"),
         F.col("ref").alias("cell"), F.lit("cell").alias("kind"), F.when(F.col("col") == 1, F.lit("=SUM( one )")).otherwise("=NOW()").alias("formula"))
     third = F.col("o_orderkey") % 3
     asked = corpus.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("selector_id"), F.col("o_orderkey").alias("doc_id"), F.lit(None).cast("string").alias("object_id"), F.lit(None).cast("string").alias("equals"),
         F.when(third == 0, F.lit("( one )")).when(third == 1, F.lit("NOW(")).alias("contains"), F.when(third == 0, "LINE 2").when(third == 1, "Sheet3").alias("sheet_name"),
         F.when(third == 2, F.concat(F.lit("a"), (F.col("o_custkey") % 50 + 1).cast("string"))).alias("cell"))
-    return selectors.matches(cells.withColumnRenamed("value", "text"), asked, ["sheet_name", "cell"])
+    return selectors.matches(corpus.order_rows(spark, sf), asked, ["sheet_name", "cell"], unfold=cells)
 
 
 CONF = r"""

@@ -131,16 +131,21 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[v.cast("string").alias(name) for name, v in zip(ORDER_COLUMNS, values)])
 
 
-def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as worksheet cells: columns A-E of ``order_rows``."""
-    values = F.array(*[F.struct(F.lit(i + 1).alias("col"), F.col(c).alias("value")) for i, c in enumerate(ORDER_COLUMNS)])
+def as_cells(rows: DataFrame, columns: tuple[str, ...] = ORDER_COLUMNS) -> DataFrame:
+    """Cells of the ``columns`` of ``order_rows``; other columns stay as they are."""
+    values = F.array(*[F.struct(F.lit(ORDER_COLUMNS.index(c) + 1).alias("col"), F.col(c).alias("value")) for c in columns])
     return (
-        order_rows(spark, sf_dir).select("doc_id", "sheet_idx", "row", F.inline(values))
+        rows.select(*[c for c in rows.columns if c not in ORDER_COLUMNS], F.inline(values))
         .withColumn("sheet_name", F.concat(F.lit("Line "), F.col("sheet_idx").cast("string")))
         .withColumn("ref", make_ref("col", "row"))
     )
 
 
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as worksheet cells: columns A-E of ``order_rows``."""
+    return as_cells(order_rows(spark, sf_dir))
+
+
 # --- office packages derived from the driver tables -------------------------
 
 

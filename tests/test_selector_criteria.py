@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioscope.operators import runs, selectors, versions
+from folioscope.plans import editing
 from folioscope.streaming import traces
 
 COLUMNS = ["doc_id", "object_id", "text", "kind", "formula", "label", "shape_name", "page", "slide", "sheet", "sheet_name", "cell", "placeholder"]
@@ -94,6 +95,33 @@ def test_a_text_is_sent_once(spark):
     assert 0 < shuffled(got) < 3 * sum(len(r[3]) for r in rows)
 
 
+def test_rows_meet_selectors_before_they_are_objects(spark, monkeypatch):
+    """Rows that unfold into a cell per word and find the same as their cells; selectors of a document may repeat."""
+    rows = [(d, i, " ".join(f"w{(d * i + k) % 5}" for k in range(4))) for d in range(6) for i in range(5)]
+    lines = spark.createDataFrame(rows, "doc_id int, sheet int, words string")
+    unfold = lambda df: df.select("*", F.posexplode(F.split("words", " ")).alias("at", "text")).select(
+        "*", F.concat_ws("/", "doc_id", "sheet", "at").alias("object_id"), F.lit("cell").alias("kind"), F.concat(F.lit("="), "text").alias("formula"))
+    asked = [(f"s{n}", n % 8, None, None, "=w1" if n % 2 else None, f"SHEET{n % 5}" if n % 3 else None) for n in range(40)] * 2 + [("id", 1, "1/2/3", None, "none", None)]
+    table = spark.createDataFrame(asked, "selector_id string, doc_id int, object_id string, equals string, contains string, sheet_name string")
+    want = sorted((s, f"{d}/{i}/{k}") for s, doc, own, _, text, sheet in asked for d, i, words in rows for k, w in enumerate(words.split())
+                  if d == doc and (f"{d}/{i}/{k}" == own if own else (text or sheet) and (not text or text in "=" + w) and (not sheet or sheet == f"SHEET{i}")))
+    for most in (64, 6, 0):
+        monkeypatch.setattr(selectors, "LIST", most)
+        got = selectors.matches(lines, table, ["sheet_name"], unfold=unfold)
+        assert want and sorted((r.selector_id, r.object_id) for r in got.collect()) == want
+
+
+def test_line_items_are_sent_once(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = editing.QUERIES["selector_hints"](spark, sf)
+        assert got.count()
+        sent = shuffled(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < sent < 40 * spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
 def test_near_misses_of_crowded_documents(spark, monkeypatch):
     rows = _lines(6)
     objects = spark.createDataFrame(rows, "doc_id int, object_id string, idx int, text string")
