@@ -107,24 +107,37 @@ def rank_templates(templates: DataFrame, tags: DataFrame, fields: DataFrame, req
     """Templates scored per request; zero scores drop out, ties go by id; the best ``limit``, or all.
 
     ``templates``: ``template_id, search_text``; ``tags`` / ``fields``: one row
-    per value; ``requests``: ``request_id, query``. Tag and field scores are
-    equi-joins on the value; query texts are searched as in ``text_hits``.
+    per value; ``requests``: ``request_id, query``. Query texts are searched as in ``text_hits``.
+
+    Templates with the same asked tags and fields score alike for every request: these profiles are scored, not templates. What a
+    query text or a source adds is never negative, so the best are among the first ``limit`` ids of each profile and
+    the templates with such an addition; no other pair of request and template is made.
     """
-    low = F.lower
-    by_tag = tags.select("template_id", low("tag").alias("tag")).join(request_tags.select("request_id", low("tag").alias("tag")).distinct(), "tag").groupBy(
-        "request_id", "template_id").agg((F.count(F.lit(1)) * TAG_WEIGHT).alias("score"))
-    by_field = fields.select("template_id", low("field").alias("field")).join(
-        request_fields.select("request_id", low("field").alias("field")).distinct(), "field").groupBy(
-        "request_id", "template_id").agg((F.count(F.lit(1)) * FIELD_WEIGHT).alias("score"))
+    trait = lambda df, key, kind: df.select(key, F.lit(kind).alias("kind"), F.lower(kind).alias("value"))
+    asked = trait(request_tags, "request_id", "tag").unionByName(trait(request_fields, "request_id", "field")).distinct()
+    given = trait(tags, "template_id", "tag").unionByName(trait(fields, "template_id", "field"))
+    counted = given.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi").groupBy("template_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    profiles = counted.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value", "n"))).alias("profile"))
+    first = profiles
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy("profile").orderBy("template_id"))
+        first = profiles.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    weight = F.when(F.col("kind") == "tag", TAG_WEIGHT).otherwise(FIELD_WEIGHT)
+    by_profile = first.select("profile").distinct().select("profile", F.inline("profile")).join(asked, ["kind", "value"]).groupBy(
+        "request_id", "profile").agg(F.sum(F.col("n") * weight).alias("score"))
+
     texts = templates.select(F.col("template_id").alias("doc_id"), F.lit("text").alias("object_id"), F.col("search_text").alias("text"))
     queries = requests.select(F.col("request_id").alias("pattern_id"), F.trim("query").alias("pattern"))
-    by_query = text_hits(texts, queries).select(
+    added = text_hits(texts, queries).select(
         F.col("pattern_id").alias("request_id"), F.col("doc_id").alias("template_id"), F.lit(QUERY_WEIGHT).cast("bigint").alias("score"))
-    scored = by_tag.unionByName(by_field).unionByName(by_query)
     if source_fields is not None:
         mapped = source_fields.groupBy("request_id", "template_id").agg((F.count(F.lit(1)) + SOURCE_WEIGHT).alias("score"))
-        scored = scored.unionByName(mapped)
-    totals = scored.groupBy("request_id", "template_id").agg(F.sum("score").alias("score"))
+        added = added.unionByName(mapped)
+    pair = ["request_id", "template_id"]
+    base = by_profile.join(first, "profile").select(*pair, "score")
+    if limit is not None:
+        base = base.unionByName(added.select(*pair).distinct().join(profiles, "template_id").join(by_profile, ["request_id", "profile"]).select(*pair, "score")).distinct()
+    totals = base.unionByName(added).groupBy(*pair).agg(F.sum("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("score").desc(), "template_id"))
     ranked = totals.withColumn("rank", rank)
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
