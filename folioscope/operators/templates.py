@@ -109,19 +109,21 @@ def rank_templates(templates: DataFrame, tags: DataFrame, fields: DataFrame, req
     ``templates``: ``template_id, search_text``; ``tags`` / ``fields``: one row
     per value; ``requests``: ``request_id, query``. Query texts are searched as in ``text_hits``.
 
-    Templates with the same asked tags and fields score alike for every request: these profiles are scored, not templates. What a
-    query text or a source adds is never negative, so the best are among the first ``limit`` ids of each profile and
-    the templates with such an addition; no other pair of request and template is made.
+    Templates with the same asked tags and fields score alike for every request: these profiles are scored, not templates. What
+    query texts and sources add is never negative, so the best are among the first ``limit`` ids of each profile, and the first of
+    those in it with the same addition to a request; no other pair of request and template is made.
     """
     trait = lambda df, key, kind: df.select(key, F.lit(kind).alias("kind"), F.lower(kind).alias("value"))
     asked = trait(request_tags, "request_id", "tag").unionByName(trait(request_fields, "request_id", "field")).distinct()
     given = trait(tags, "template_id", "tag").unionByName(trait(fields, "template_id", "field"))
     counted = given.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi").groupBy("template_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     profiles = counted.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value", "n"))).alias("profile"))
-    first = profiles
-    if limit is not None:
-        place = F.row_number().over(Window.partitionBy("profile").orderBy("template_id"))
-        first = profiles.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+
+    def first_ids(df: DataFrame, *alike: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*alike).orderBy("template_id"))
+        return df if limit is None else df.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+
+    first = first_ids(profiles, "profile")
     weight = F.when(F.col("kind") == "tag", TAG_WEIGHT).otherwise(FIELD_WEIGHT)
     by_profile = first.select("profile").distinct().select("profile", F.inline("profile")).join(asked, ["kind", "value"]).groupBy(
         "request_id", "profile").agg(F.sum(F.col("n") * weight).alias("score"))
@@ -135,9 +137,9 @@ def rank_templates(templates: DataFrame, tags: DataFrame, fields: DataFrame, req
         added = added.unionByName(mapped)
     pair = ["request_id", "template_id"]
     base = by_profile.join(first, "profile").select(*pair, "score")
-    if limit is not None:
-        base = base.unionByName(added.select(*pair).distinct().join(profiles, "template_id").join(by_profile, ["request_id", "profile"]).select(*pair, "score")).distinct()
-    totals = base.unionByName(added).groupBy(*pair).agg(F.sum("score").alias("score"))
+    more = first_ids(added.groupBy(*pair).agg(F.sum("score").alias("more")).join(profiles, "template_id", "left"), "request_id", "profile", "more")
+    raised = more.join(by_profile, ["request_id", "profile"], "left").select(*pair, (F.coalesce("score", F.lit(0)) + F.col("more")).alias("score"))
+    totals = base.unionByName(raised).groupBy(*pair).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("score").desc(), "template_id"))
     ranked = totals.withColumn("rank", rank)
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
