@@ -101,3 +101,24 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(i, [0.1 * i, 0.3 * (i % 3)], 5, 7, 9) for i in range(6)],
                                "vec_id long, embedding array<float>, key int, vector int, whitened int")
     assert sw.whitened(df).count() == 12
+
+
+def test_rows_of_one_split_are_dealt_out(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    table(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (400, 3)))]).coalesce(1).write.parquet(f"{tmp_path}/one")
+    found = sw.partial_spectra(spark.read.parquet(f"{tmp_path}/one").selectExpr("embedding AS vector"), 3).collect()
+    assert len(found) > 1 and sum(r.n for r in found) == 400
+
+
+def test_roots_of_close_poles_and_uneven_weights():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        d = np.cumsum(10.0 ** rng.uniform(-9, 3, n))
+        z = 10.0 ** rng.uniform(-5, 2, n) * rng.choice([-1, 1], n)
+        found, away = sw.roots(d, z)
+        assert (np.diff(found) >= 0).all() and (found >= d).all()
+        # Signs between the poles, and the value at the root against the sizes of its terms.
+        assert (np.tril(away) <= 0).all() and (np.triu(away, 1) >= 0).all()
+        terms = z * z / away
+        assert (np.abs(1 + terms.sum(axis=1)) <= 1e-13 * n * (1 + np.abs(terms).sum(axis=1))).all()
