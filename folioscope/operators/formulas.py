@@ -9,7 +9,7 @@ from folioscope.functions.cellref import range_bounds
 from folioscope.functions.formula import AFTER_WORD, AFTER_WORD_BREAK, split_formula
 from folioscope.functions.xml import first_match, matches, xml_unescape
 from folioscope.operators.integrity import explode_issues, issue
-from folioscope.plans.intervals import overlapping
+from folioscope.plans.intervals import crowded, overlapping
 from folioscope.session import cut
 
 # Functions that recalculate on every change.
@@ -22,11 +22,20 @@ REFERENCE = (
     r"\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?"
 )
 NAME = r"[A-Za-z0-9_.]+"
+# What a formula refers to by itself.
+KINDS = ["tableStructuredRef", "threeD", "range", "cell"]
+FEW_FORMULAS = 1000  # so many parsed formulas are sent whole
 
 
-def _names_by_document(names: DataFrame) -> DataFrame:
-    """Defined names of a workbook as one small map; they all sit in one bounded part."""
-    unique = names.groupBy("doc_id", F.lower("name").alias("word")).agg(F.min("name").alias("name"))
+def _names_by_document(names: DataFrame, tables: DataFrame) -> DataFrame:
+    """Defined names of a workbook that are not names of its tables, as one small map; they all sit in bounded parts.
+
+    Names and tables are sent once, by their workbook.
+    """
+    word = F.lower("name").alias("word")
+    both = names.select("doc_id", word, "name").unionByName(tables.select("doc_id", word, F.lit(None).cast("string").alias("name")))
+    found = both.filter(F.col("word").isNotNull()).repartition("doc_id").groupBy("doc_id", "word").agg(F.min("name").alias("name"), F.count_if(F.col("name").isNull()).alias("tables"))
+    unique = found.filter(F.col("tables") == 0)
     return unique.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "name"))).alias("names"), F.collect_list(F.when(~F.col("word").rlike(f"^{NAME}$"), F.col("word"))).alias("odd_names"))
 
@@ -42,20 +51,33 @@ def formula_deps(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataF
     ``tables``: ``doc_id, name``. Equal formulas are read once, and meet the names of their workbooks in
     one join; strings, brackets of any depth and words before blanks are told apart in one pass over the formula.
     """
-    keys = ["doc_id", "sheet_idx", "ref"]
-    rows = cells.filter(F.col("formula").isNotNull() & (F.col("formula") != "")).select(*keys, "formula")
-    named = rows.join(_names_by_document(_without(names, tables)), "doc_id", "left")
-    known = named.join(_parsed(rows.select("formula").distinct()), "formula")
+    met = _met(cells, names, tables)
+    token = lambda w: F.struct(F.lit("namedRange").alias("dep_kind"), *[F.lit(None).cast("string").alias(c) for c in ("dep_ref", "dep_sheet", "dep_book")],
+                               F.try_element_at("names", w).alias("dep_name"), F.try_element_at("names", w).alias("source_text"))
+    tokens = F.when(F.col("names").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.transform(_words_that_name(), token)))
+    return met.select("doc_id", "sheet_idx", "ref", F.inline(tokens))
+
+
+def _formula_rows(cells: DataFrame) -> DataFrame:
+    return cells.filter(F.col("formula").isNotNull() & (F.col("formula") != "")).select("doc_id", "sheet_idx", "ref", "formula")
+
+
+def _met(cells: DataFrame, names: DataFrame, tables: DataFrame, send: bool = False) -> DataFrame:
+    """Formula cells with the names of their workbook and what their formula says; ``send`` where formulas are known to be few."""
+    rows = _formula_rows(cells)
+    named = rows.join(_names_by_document(names, tables), "doc_id", "left")
+    parsed = _parsed(rows.select("formula").distinct())
+    return named.join(F.broadcast(parsed) if send else parsed, "formula")
+
+
+def _words_that_name() -> Column:
+    """Words of a formula that are names of its workbook."""
     plain = F.filter("words", lambda w: F.map_contains_key("names", w))
     # Names with other characters are searched for; word characters must not touch them.
     edge = r"[^A-Za-z0-9_.]"
     odd = F.filter("odd_names", lambda n: F.contains(F.lower("clean"), n) & F.regexp_like(
         F.col("clean"), F.concat(F.lit(rf"(?i)(^|{edge})\Q"), n, F.lit(rf"\E($|{edge})"))))
-    token = lambda w: F.struct(F.lit("namedRange").alias("dep_kind"), *[F.lit(None).cast("string").alias(c) for c in ("dep_ref", "dep_sheet", "dep_book")],
-                               F.try_element_at("names", w).alias("dep_name"), F.try_element_at("names", w).alias("source_text"))
-    by_name = F.when(F.size("odd_names") > 0, F.concat(plain, odd)).otherwise(plain)
-    tokens = F.when(F.col("names").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.transform(by_name, token)))
-    return known.select(*keys, F.inline(tokens))
+    return F.when(F.size("odd_names") > 0, F.concat(plain, odd)).otherwise(plain)
 
 
 def _parsed(formulas: DataFrame) -> DataFrame:
@@ -78,14 +100,9 @@ def _parsed(formulas: DataFrame) -> DataFrame:
         .when(F.contains("dep_ref", F.lit(":")), "range").otherwise("cell"))
     dep = F.struct(kind.alias("dep_kind"), "dep_ref", xml_unescape("raw_sheet", numeric=False).alias("dep_sheet"),
                    xml_unescape("raw_book", numeric=False).alias("dep_book"), "dep_name", F.col("token").alias("source_text"))
-    return placed.groupBy("formula").agg(F.first("clean").alias("clean"), F.first("words").alias("words"), F.collect_list(F.when(F.col("tag").isNotNull(), dep)).alias("tokens"))
-
-
-def _without(names: DataFrame, tables: DataFrame) -> DataFrame:
-    """Defined names that are not table names of the same document."""
-    left = names.select("doc_id", "name", F.lower("name").alias("key"))
-    right = tables.select("doc_id", F.lower("name").alias("key"))
-    return left.join(right, ["doc_id", "key"], "left_anti").drop("key")
+    parsed = placed.groupBy("formula").agg(F.first("clean").alias("clean"), F.first("words").alias("words"), F.collect_list(F.when(F.col("tag").isNotNull(), dep)).alias("tokens"))
+    of_kind = lambda kind: F.transform(F.filter("tokens", lambda t: t["dep_kind"] == kind), lambda t: t["source_text"])
+    return parsed.withColumn("by_kind", F.array(*map(of_kind, KINDS)))
 
 
 def with_bounds(deps: DataFrame, ref: str = "dep_ref") -> DataFrame:
@@ -152,6 +169,34 @@ def formula_graph(deps: DataFrame) -> DataFrame:
     return each.groupBy(*keys).agg(F.count_if(~F.col("is_cell")).alias("dependencies"), F.count_if(F.col("is_cell") & F.col("dep_ref").isNotNull()).alias("formula_cells"))
 
 
+def sheet_graph(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataFrame:
+    """``formula_graph`` of the dependencies of ``cells``, which may hold repeats.
+
+    The tokens of a formula, which tell its dependencies of a kind apart, are put by kind once for equal formulas. A sheet gathers
+    those of its cells; only dependencies of crowded sheets become rows of their own.
+    """
+    keys = ["doc_id", "sheet_idx"]
+    many = crowded(_formula_rows(cells), keys)
+    if many.isEmpty():
+        return _gathered_graph(cells, names, tables)
+    few, rest = (cells.join(many, keys, how) for how in ("left_anti", "left_semi"))
+    return _gathered_graph(few, names, tables).unionByName(formula_graph(formula_deps(rest, names, tables)))
+
+
+def _gathered_graph(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataFrame:
+    named = F.when(F.col("names").isNotNull(), _words_that_name()).otherwise(F.array().cast("array<string>"))
+    # Asked before the plan is made: left to run time, cells may be sent by formula before these are counted.
+    few = _formula_rows(cells).select("formula").distinct().limit(FEW_FORMULAS + 1).count() <= FEW_FORMULAS
+    met = _met(cells, names, tables, few).select("doc_id", "sheet_idx", "ref", F.concat("by_kind", F.array(named)).alias("by_kind"))
+    sheets = met.groupBy("doc_id", "sheet_idx").agg(F.collect_list(F.struct("ref", "by_kind")).alias("cells"))
+    of = lambda kind: F.struct(
+        F.lit(([*KINDS, "namedRange"])[kind]).alias("dep_kind"),
+        F.size(F.array_distinct(F.flatten(F.transform("cells", lambda c: c["by_kind"][kind])))).cast("long").alias("dependencies"),
+        F.size(F.array_distinct(F.filter(F.transform("cells", lambda c: F.when(F.size(c["by_kind"][kind]) > 0, c["ref"])), F.isnotnull))).cast("long").alias("formula_cells"))
+    counts = F.filter(F.array(*map(of, range(len(KINDS) + 1))), lambda k: k["dependencies"] > 0)
+    return sheets.select("doc_id", "sheet_idx", F.inline(counts))
+
+
 # --- chart and diagram specifications ---------------------------------------------------------
 
 

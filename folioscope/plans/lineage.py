@@ -41,11 +41,12 @@ def _(spark, sf):
     return sheets.resolve_shared(cells, ("doc_id",))
 
 
-def _formula_cells(spark, sf):
-    """One formula per order, line number and row; equal cells are dropped on their narrow keys."""
+def _formula_cells(spark, sf, repeats=False):
+    """One formula per order, line number and row; equal cells are dropped on their narrow keys, unless they may repeat."""
     row = (F.col("l_suppkey") % 50 + 1).cast("string")
     places = corpus.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sheet_idx"), row.alias("r")).distinct()
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sheet_idx"), row.alias("r"))
+    places = places if repeats else places.distinct()
     r = F.col("r")
     formula = F.concat(
         F.lit("SUM(A"), r, F.lit(":$B"), r, F.lit(")+'Line 2'!C"), r,
@@ -101,7 +102,7 @@ def _(spark, sf):
 SELECT doc_id, sheet_idx, dep_kind, count(DISTINCT (coalesce(dep_ref, ''), coalesce(dep_sheet, ''), coalesce(dep_book, ''), coalesce(dep_name, ''), source_text)) AS dependencies,
        count(DISTINCT ref) AS formula_cells FROM deps GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return formulas.formula_graph(_deps(spark, sf))
+    return formulas.sheet_graph(_formula_cells(spark, sf, repeats=True), *_names(spark, sf))
 
 
 FORMULAS = ["NOW()+A1", 'INDIRECT("A1")', "[Book1]S!A1", "_xlfn.X(A1)", "SUM(A1)", "RandBetween(1,2)+OFFSET(A1,1,1)"]

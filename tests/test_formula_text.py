@@ -42,3 +42,30 @@ def test_equal_formulas_are_read_once(spark):
     graph = formulas.formula_graph(deps.unionByName(deps))
     assert "Expand" not in graph._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in graph.filter("doc_id = 3").collect()} == {(3, 1, "cell", 1, 1), (3, 1, "namedRange", 1, 1)}
+
+
+def _sheets(spark):
+    formulas_ = ["A1+B2+Rate", "B2:C3+Sales[Q]+rate", "'S 2'!A1+D4+Net.Sum", "LOG10(E5)+Tax Ä", "\"A1\"", "Rate", "A1+A1"]
+    cells = [(d, s, f"Z{(d * 7 + s * 3 + i) % 90 + 1}", formulas_[(d + i * i) % 7]) for d in range(6) for s in (1, 2) for i in range(1 + d * s)]
+    cells += [(7, 1, f"C{i % 75}", formulas_[i % 7]) for i in range(160)]  # a crowded sheet
+    cells += cells[::5] + [(8, 1, None, "A1+B2"), (8, None, "Z1", "A1"), (8, 1, "Z9", None), (8, 1, "Z9", ""), (9, 1, "Z1", "A1+Rate")]
+    names = [(d, n) for d in range(9) for n in ("RATE", "Rate", "Sales", "Tax Ä", "Unused")]
+    return (spark.createDataFrame(cells, "doc_id long, sheet_idx int, ref string, formula string"), spark.createDataFrame(names, "doc_id long, name string"),
+            spark.createDataFrame([(d, "sales") for d in range(0, 9, 2)], "doc_id long, name string"))
+
+
+def test_graph_of_sheets_is_the_graph_of_their_dependencies(spark):
+    cells, names, tables = _sheets(spark)
+    got, want = formulas.sheet_graph(cells, names, tables), formulas.formula_graph(formulas.formula_deps(cells, names, tables))
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in want.collect()}
+    assert any(r[:3] == (7, 1, "namedRange") and r[4] > 30 for r in rows) and any(r[2] == "tableStructuredRef" for r in rows)
+
+
+def test_graph_of_small_sheets_makes_no_row_of_a_dependency(spark):
+    cells, names, tables = _sheets(spark)
+    plan = formulas.sheet_graph(cells.filter("doc_id < 7"), names, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "is_cell" not in plan and "collect_list(struct(ref" in plan
+    # Few formulas are sent to the cells, which stay where they met the names of their workbook.
+    assert "hashpartitioning(sheet_idx" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 2
