@@ -42,7 +42,8 @@ def _fill(best: np.ndarray, seeds: np.ndarray, counts: np.ndarray, block: int, h
     below = 0 if block == 0 else width
     seeds = mixed(seeds + np.uint64(block * BLOCK & MASK))
     times = np.zeros(len(seeds))
-    chunk = max(1, math.ceil(horizon * width / 4))
+    expected = horizon * width
+    chunk = math.ceil(expected + 2 * math.sqrt(expected))  # points of most processes: each further chunk is for the few that have more
     done = 0
     while len(seeds):
         draws = mixed(seeds[:, None] + np.arange(done + 1, done + chunk + 1, dtype=np.uint64) * TIME)
