@@ -122,3 +122,25 @@ def test_roots_of_close_poles_and_uneven_weights():
         assert (np.tril(away) <= 0).all() and (np.triu(away, 1) >= 0).all()
         terms = z * z / away
         assert (np.abs(1 + terms.sum(axis=1)) <= 1e-13 * n * (1 + np.abs(terms).sum(axis=1))).all()
+
+
+def test_roots_next_to_the_middle_of_two_poles():
+    for apart in (1e-6, -1e-7, 1e-9, 0.0):
+        weight = np.array([0.0, 0.2, 0.7])
+        weight[0] = weight[1] + 0.5 * (1 + weight[2] / 2.5) + apart  # the value at the middle is about -2 * apart
+        found, away = sw.roots(np.array([0.0, 1.0, 3.0]), np.sqrt(weight))
+        assert np.abs(1 + (weight / away).sum(axis=1)).max() < 1e-14
+
+
+@pytest.mark.parametrize("rows", [1, 3, 4, 7, 90])
+def test_spectra_side_by_side_are_the_spectrum_of_all_rows(rows):
+    rng = np.random.default_rng(rows)
+    for x in (rng.normal(0, 1, (rows, 6)), rng.integers(0, 2, (rows, 6)).astype(float), np.ones((rows, 6))):
+        times, seen = rng.integers(1, 4, rows), sw.Spectra(6)
+        for at in range(0, rows, sw.LANES):
+            seen.add(x[at : at + sw.LANES], times[at : at + sw.LANES])
+        n, mean, values, vectors = seen.merged()
+        all_rows, vectors = np.repeat(x, times, axis=0), vectors.reshape(6, 6)
+        scatter = (all_rows - all_rows.mean(axis=0)).T @ (all_rows - all_rows.mean(axis=0))
+        assert n == times.sum() and np.allclose(mean, all_rows.mean(axis=0))
+        assert np.abs(vectors.T @ vectors - np.eye(6)).max() < 1e-12 and np.abs((vectors * values) @ vectors.T - scatter).max() < 1e-11 * max(1, np.abs(scatter).max())
